@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import jaccard_join, secret_scan, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op4_substring_dedup": substring_dedup.op4,
+        "op7_jaccard_join": jaccard_join.op7,
+        "op10_secret_scan": secret_scan.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op7_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op10_secret_scan": secret_scan.ORACLE_SQL,
     }
