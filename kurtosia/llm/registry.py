@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, secret_scan, substring_dedup
+from . import decontamination, jaccard_join, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": url_filter.op2,
+        "op3_packing": packing.op3,
         "op4_substring_dedup": substring_dedup.op4,
+        "op5_decontamination": decontamination.op5,
+        "op6_warc_derivatives": warc.op6,
         "op7_jaccard_join": jaccard_join.op7,
+        "op8_toxicity": toxicity.op8,
         "op10_secret_scan": secret_scan.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": url_filter.ORACLE_SQL,
         "op4_substring_dedup": substring_dedup.ORACLE_SQL,
         "op7_jaccard_join": jaccard_join.ORACLE_SQL,
         "op10_secret_scan": secret_scan.ORACLE_SQL,
