@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
+from . import decontamination, html_text, jaccard_join, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_warc_derivatives": warc.op6,
         "op7_jaccard_join": jaccard_join.op7,
         "op8_toxicity": toxicity.op8,
+        "op9_html_text": html_text.op9,
         "op10_secret_scan": secret_scan.op10,
     }
 
