@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     logarithm of a component's length.  Minima are combined before the shuffle and
     hubs sit on the side of a join that Spark can split.  Nulls and loops link nothing.
     """
-    e = scratch.save(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    before, state = None, None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
@@ -25,11 +25,12 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         down = large.where("a <> b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        new = scratch.save(small.unionByName(low.withColumnRenamed("low", "b")).where("a <> b").distinct())
-        was, state = state, new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(e)
-        e = new
-        if was == state:
+        e, now = scratch.measure(small.unionByName(low.withColumnRenamed("low", "b")).where("a <> b").distinct(), h=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        if before:
+            scratch.drop(before)
+        before = e
+        if state == now:
             break
+        state = now
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCKS, count_in_chunks, in_chunks, pack, unpack
@@ -14,10 +16,11 @@ from .components import connected_components
 from .hashing import WORD_BASE, U, mix, rolling, utf8_slices, window_hashes, word_hashes, words
 from .scratch import Scratch
 
-SETS = "doc_id long, n_shingles long, set_key binary, signatures array<long>, shingles array<long>"
+SETS = "doc_id long, n_shingles long, set_key binary, signatures array<long>, sketch array<long>, shingles array<long>"
 PARTS_PER_ITEM = 0.3
 STAR_SIGNATURES = 8
-FIRST_OFFSETS = 4
+FIRST_OFFSETS = 8
+SKETCH_LONGS = 16
 
 
 def shingle_sets(text: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -104,6 +107,12 @@ def _chosen(owner: np.ndarray, sig: np.ndarray, rank: np.ndarray, limits: dict[i
     return dict(zip(ids.tolist(), np.split(sig, first[1:]), strict=True)) if len(ids) else {}
 
 
+def _sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of the items over 64 * SKETCH_LONGS cells: two sketches differ in no more cells than the sets in items."""
+    odd = np.bincount((items % U(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """SETS: a row per document; signatures and shingles only where another document may be similar."""
     chunked, buckets = in_chunks(docs, id_col, text_col)
@@ -127,6 +136,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent
                 "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                 "set_key": pa.array([hashlib.md5(x.tobytes()).digest() if i in chosen else None for i, x in enumerate(sets)], pa.binary()),
                 "signatures": pa.array([longs(i, chosen.get(i)) for i in range(len(sets))], pa.list_(pa.int64())),
+                "sketch": pa.array([_sketch(x) if i in chosen else None for i, x in enumerate(sets)], pa.list_(pa.int64())),
                 "shingles": pa.array([longs(i, x) for i, x in enumerate(sets)], pa.list_(pa.int64())),
             }
         )
@@ -135,12 +145,18 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(select, SETS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, in whole numbers."""
+def _may_be(least: Column, a: str, b: str) -> Column:
+    """Whether the sketches allow a similarity of ``least`` hundredths."""
+    apart = reduce(add, [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_LONGS)])
+    return apart * (100 + least) <= (100 - least) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, least), with ``similarity`` in hundredths times the union and ``union``; below ``least`` they go."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    union = F.size("sa") + F.size("sb") - F.col("common")
+    return joined.select("a", "b", "least", (100 * F.col("common")).alias("similarity"), union.alias("union")).where("similarity >= least * union")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -153,10 +169,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. PartEnum signatures of all sets are counted over the corpus (see ``signatures``);
        a document that shares too few of them with others has no partner and is done.
     2. Equal sets become one class, held by its smallest id.
-    3. Classes link to the smallest class of their rarest shared signatures, if the sets are similar.
-    4. Groups of a signature that still span several components compare their
-       members in a circle, at growing distances, until they are one component or
-       every pair has been compared.  A round makes a fixed number of pairs per member.
+    3. Classes link to the smallest class of their rarest shared signatures, their
+       leader, if the sets are similar.
+    4. Leaders that share a signature but no component yet are compared in a circle, at
+       growing distances, a fixed number of pairs per leader and round.  As Jaccard
+       distance is a metric, members of two leaders can only link if the leaders
+       are at most their members' distances further apart than a link.
+    5. The members of leaders that near are compared themselves.
+
+    Before sets are fetched, parity sketches rule out pairs that differ too much.
 
     Result, a row for each input row: doc_id (long), n_shingles, component_id (the
     smallest id that links reach, itself included).  Null, empty and separator-only
@@ -169,38 +190,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = found.where("set_key is not null")
     classes = scratch.save(shared.groupBy("set_key").agg(F.min("doc_id").alias("class_id")))
     sets = scratch.save(
-        shared.join(classes, "set_key").where("doc_id = class_id").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "signatures", "shingles")
+        shared.join(classes, "set_key").where("doc_id = class_id").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "signatures", "sketch", "shingles")
     )
 
     near = sets.select("doc_id", F.explode(F.slice("signatures", 1, STAR_SIGNATURES)).alias("s"))
-    star = near.groupBy("s").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    tried = scratch.save(near.join(star, "s").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
-    links = scratch.save(_verified(tried, sets, percent))
-    parts = scratch.save(connected_components(links, scratch))
-
-    far = 0
-    while True:
-        named = sets.select("doc_id", "signatures").join(parts, F.col("doc_id") == F.col("id"), "left")
-        rows = named.select("doc_id", F.coalesce("component", "doc_id").alias("part"), F.explode("signatures").alias("s"))
-        open_ = rows.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo < hi and n >= {2 * far + 2}")
-        ring = Window.partitionBy("s").orderBy("part", "doc_id")
-        group = scratch.save(rows.join(open_.select("s", "n"), "s").withColumn("i", F.row_number().over(ring)))
-        if group.isEmpty():
-            break
-        to = FIRST_OFFSETS * 4 if far else FIRST_OFFSETS
-        to = max(to, 4 * far)
-        ahead = group.select("s", "doc_id", "part", F.explode(F.sequence(F.lit(far + 1), F.least(F.lit(to), F.floor(F.col("n") / 2)))).alias("o"), "i", "n")
-        other = group.select("s", F.col("i").alias("k"), F.col("doc_id").alias("other"), F.col("part").alias("other_part"))
-        met = ahead.withColumn("k", (F.col("i") + F.col("o") - 1) % F.col("n") + 1).join(other, ["s", "k"]).where("part <> other_part")
-        pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-        tried_now = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = scratch.save(_verified(tried_now, sets, percent))
-        scratch.drop(group)
-        if not more.isEmpty():
-            links = scratch.save(links.unionByName(more))
-            parts = scratch.save(connected_components(links, scratch))
-        tried = scratch.save(tried.unionByName(tried_now))
+    first = near.groupBy("s").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = near.join(first, "s").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct().withColumn("least", F.lit(percent))
+    links = scratch.save(_compared(star, sets).select("a", "b"))
+    parts = connected_components(links, scratch)
+
+    follows = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti").groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("leader"))
+    leads = follows.select(F.col("leader").alias("doc_id")).distinct().withColumn("leads", F.lit(1))
+    with_leader = sets.join(follows, "doc_id", "left").join(leads, "doc_id", "left").join(parts, F.col("doc_id") == F.col("id"), "left")
+    cols = ["doc_id", F.coalesce("leader", "doc_id").alias("leader"), F.coalesce("leads", F.lit(0)).alias("leads"), F.coalesce("component", "doc_id").alias("part")]
+    members = scratch.save(with_leader.select(*cols, F.size("shingles").alias("size"), "sketch", "signatures"))
+
+    shared_by = members.select("leader", "part", F.explode("signatures").alias("s")).distinct()
+    open_ = shared_by.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    leaders = members.where("doc_id = leader").drop("signatures", "doc_id")
+    ring = Window.partitionBy("s").orderBy("leader")
+    placed = shared_by.drop("part").join(open_.select("s", "n"), "s").withColumn("i", F.row_number().over(ring))
+    circle, seen = scratch.measure(placed, most=F.max("n"))
+    far, found_pairs = 0, []
+    while seen["n"] and 2 * far + 2 <= seen["most"]:
+        to = far + FIRST_OFFSETS * (1 + far)
+        steps = F.explode(F.sequence(F.lit(far + 1), F.least(F.lit(to), F.floor(F.col("n") / 2))))
+        ahead = circle.where(f"n >= {2 * far + 2}").select("s", "leader", "i", "n", steps.alias("o")).withColumn("k", (F.col("i") + F.col("o") - 1) % F.col("n") + 1)
+        met = ahead.alias("x").join(circle.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("k") == F.col("y.i")))
+        pairs = met.select(F.least("x.leader", "y.leader").alias("a"), F.greatest("x.leader", "y.leader").alias("b")).distinct()
+        least = F.greatest(F.lit(0), percent - (100 - percent) * (F.col("l.leads") + F.col("r.leads")))
+        sized = pairs.join(leaders.alias("l"), F.col("a") == F.col("l.leader")).join(leaders.alias("r"), (F.col("b") == F.col("r.leader")) & (F.col("l.part") != F.col("r.part")) & _may_be(least, "l", "r"))
+        found_pairs.append(scratch.save(_compared(sized.select("a", "b", least.cast("int").alias("least")), sets)))
         far = to
+    if found_pairs:
+        found_pairs = reduce(DataFrame.unionByName, found_pairs).distinct()
+        links = links.unionByName(found_pairs.where(f"similarity >= {percent} * union").select("a", "b"))
+        close = found_pairs.where(f"similarity < {percent} * union").select("a", "b")
+        one, two = members.alias("l"), members.alias("r")
+        met = close.join(one, F.col("a") == F.col("l.leader")).join(two, (F.col("b") == F.col("r.leader")) & (F.col("l.part") != F.col("r.part")) & _may_be(F.lit(percent), "l", "r"))
+        pairs = met.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct().withColumn("least", F.lit(percent))
+        links = links.unionByName(_compared(pairs, sets).select("a", "b"))
+        parts = connected_components(links, scratch)
 
     named = classes.join(parts, F.col("class_id") == F.col("id"), "left").select("set_key", F.coalesce("component", "class_id").alias("part"))
     copies = shared.select("doc_id", "n_shingles", "set_key").join(named, "set_key").groupBy("doc_id").agg(F.min("part").alias("part"))

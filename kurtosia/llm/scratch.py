@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,12 +31,17 @@ class Scratch:
         self._n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        return self.measure(df)[0]
+
+    def measure(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """The saved table, and its number of rows (``n``) and ``metrics``, observed while it was written."""
         self._n += 1
         at = f"{self.root}/{self._n}"
-        df.write.parquet(at)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
-        return out
+        return out, seen.get
 
     def drop(self, df: DataFrame) -> None:
         self._fs.delete(self._path(df._scratch_path), True)
