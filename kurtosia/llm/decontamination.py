@@ -154,6 +154,27 @@ def contaminated(
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", characters_per_edit: int = CHARACTERS_PER_EDIT
+) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item (see ``contaminated``); nothing is joined or shuffled."""
+    items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and trim(text) <> ''")
+    for block in _blocks(items):
+        docs = docs.where(~F.pandas_udf(_holds(block, characters_per_edit), "boolean")(F.col(text_col).cast("string")))
+    return docs
+
+
+def _holds(items: list[tuple], characters_per_edit: int):
+    finders: list[Finder] = []
+
+    def holds(texts):
+        if not finders:
+            finders.append(Finder(items, characters_per_edit))
+        return texts.map(lambda x: bool(finders[0](x))).astype("bool")
+
+    return holds
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
     """The items in blocks; the driver holds one partition of them at a time."""
     block, size = [], 0

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, jaccard_join, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
+import corpus_pipeline
+
+from . import decontamination, html_text, jaccard_join, nn_descent, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_nn_descent": nn_descent.op1,
         "op2_url_filter": url_filter.op2,
         "op3_packing": packing.op3,
         "op4_substring_dedup": substring_dedup.op4,
@@ -16,6 +19,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_html_text": html_text.op9,
         "op10_secret_scan": secret_scan.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -41,6 +41,7 @@ class Scratch:
         df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
+        self.spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that led here
         return out, seen.get
 
     def drop(self, df: DataFrame) -> None:

@@ -246,8 +246,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``, a double from 0 to 1: the fitted grammar over the whole text.
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with ``score_col``, a double from 0 to 1: the fitted grammar over the whole text.
 
     The grammar composes transducers for negation, reported speech, targets and
     threats; insults weigh what ``learn`` finds, and a clause scores by the context in
@@ -264,7 +264,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x = np.array([scorer(t) for t in texts]).reshape(-1, len(FEATURES))
         return texts.__class__(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))), index=texts.index)
 
-    return docs.withColumn("toxicity", toxicity(F.col(text_col).cast("string")))
+    return docs.withColumn(score_col, toxicity(F.col(text_col).cast("string")))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
