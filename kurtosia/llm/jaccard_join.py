@@ -159,6 +159,18 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "least", (100 * F.col("common")).alias("similarity"), union.alias("union")).where("similarity >= least * union")
 
 
+def _weights(groups: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(leader, t): two leaders without members can only be similar if their t add up to 0 or less.
+
+    A shingle that no other leader in play has is a difference from each of them.  Of
+    two similar leaders one at least has t <= 0; those with members always have.
+    """
+    playing = sets.join(groups.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("h"))
+    alone = playing.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader")).where("n = 1").groupBy("leader").agg(F.count(F.lit(1)).alias("u"))
+    t = (100 + percent) * F.coalesce("u", F.lit(0)) - (100 - percent) * F.col("size")
+    return leaders.join(alone, "leader", "left").select("leader", F.when(F.col("leads") == 1, -(1 << 60)).otherwise(t).alias("t"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more.
 
@@ -171,8 +183,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     2. Equal sets become one class, held by its smallest id.
     3. Classes link to the smallest class of their rarest shared signatures, their
        leader, if the sets are similar.
-    4. Leaders that share a signature but no component yet are compared in a circle, at
-       growing distances, a fixed number of pairs per leader and round.  As Jaccard
+    4. Leaders that share a signature but no component yet are compared: those of which
+       half the budget of differences is left (see ``_weights``) in a circle, at
+       growing distances, a fixed number of pairs per leader and round, and the
+       others with those of them that the budget allows.  As Jaccard
        distance is a metric, members of two leaders can only link if the leaders
        are at most their members' distances further apart than a link.
     5. The members of leaders that near are compared themselves.
@@ -208,22 +222,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared_by = members.select("leader", "part", F.explode("signatures").alias("s")).distinct()
     open_ = shared_by.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     leaders = members.where("doc_id = leader").drop("signatures", "doc_id")
-    ring = Window.partitionBy("s").orderBy("leader")
-    placed = shared_by.drop("part").join(open_.select("s", "n"), "s").withColumn("i", F.row_number().over(ring))
-    circle, seen = scratch.measure(placed, most=F.max("n"))
+    groups = scratch.save(shared_by.drop("part").join(open_.select("s"), "s"))
+    groups = groups.join(_weights(groups, leaders, sets, percent), "leader")
+    ring = Window.partitionBy("s")
+    light = groups.where("t <= 0").withColumn("i", F.row_number().over(ring.orderBy("leader"))).withColumn("n", F.count(F.lit(1)).over(ring))
+    circle, seen = scratch.measure(light, most=F.max("n"))
+
+    x, y = F.col("x.leader"), F.col("y.leader")
+    ends = [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     far, found_pairs = 0, []
-    while seen["n"] and 2 * far + 2 <= seen["most"]:
+    met = groups.where("t > 0").alias("x").join(circle.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.t") + F.col("y.t") <= 0))
+    while True:
+        pairs = met.select(*ends).distinct()
+        least = F.greatest(F.lit(0), percent - (100 - percent) * (F.col("l.leads") + F.col("r.leads")))
+        sized = pairs.join(leaders.alias("l"), F.col("a") == F.col("l.leader")).join(leaders.alias("r"), (F.col("b") == F.col("r.leader")) & (F.col("l.part") != F.col("r.part")) & _may_be(least, "l", "r"))
+        found_pairs.append(scratch.save(_compared(sized.select("a", "b", least.cast("int").alias("least")), sets)))
+        if not seen["n"] or 2 * far + 2 > seen["most"]:
+            break
         to = far + FIRST_OFFSETS * (1 + far)
         steps = F.explode(F.sequence(F.lit(far + 1), F.least(F.lit(to), F.floor(F.col("n") / 2))))
         ahead = circle.where(f"n >= {2 * far + 2}").select("s", "leader", "i", "n", steps.alias("o")).withColumn("k", (F.col("i") + F.col("o") - 1) % F.col("n") + 1)
         met = ahead.alias("x").join(circle.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("k") == F.col("y.i")))
-        pairs = met.select(F.least("x.leader", "y.leader").alias("a"), F.greatest("x.leader", "y.leader").alias("b")).distinct()
-        least = F.greatest(F.lit(0), percent - (100 - percent) * (F.col("l.leads") + F.col("r.leads")))
-        sized = pairs.join(leaders.alias("l"), F.col("a") == F.col("l.leader")).join(leaders.alias("r"), (F.col("b") == F.col("r.leader")) & (F.col("l.part") != F.col("r.part")) & _may_be(least, "l", "r"))
-        found_pairs.append(scratch.save(_compared(sized.select("a", "b", least.cast("int").alias("least")), sets)))
         far = to
-    if found_pairs:
-        found_pairs = reduce(DataFrame.unionByName, found_pairs).distinct()
+    found_pairs = reduce(DataFrame.unionByName, found_pairs).distinct()
+    if not found_pairs.isEmpty():
         links = links.unionByName(found_pairs.where(f"similarity >= {percent} * union").select("a", "b"))
         close = found_pairs.where(f"similarity < {percent} * union").select("a", "b")
         one, two = members.alias("l"), members.alias("r")
