@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import stream
+from . import signals, stream, tables
 
-_ALL = stream.QUERIES
+_ALL = stream.QUERIES | signals.QUERIES | tables.QUERIES
 
 
 def queries() -> dict:

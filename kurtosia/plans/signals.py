@@ -179,16 +179,15 @@ SELECT r.vec_id, round(avg(r2 * r2) / pow(avg(r2), 2), 5) AS kurtosis, round(sqr
 
 def owned_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = spectrum.power(spectrum.dft(long(spark, sf_dir), KEY, SIZE, "hann_periodic"), KEY, SIZE)
-    return spectrum.owned_bands(z, KEY, 1.0, 8.0, 25.0, upper_hz=20.0).select("vec_id", "owner", _r("energy").alias("energy"), _r("share", 4).alias("share"))
+    return spectrum.owned_bands(z, KEY, 1.0, 10.0, 25.0, upper_hz=20.0).select("vec_id", "owner", _r("energy").alias("energy"), _r("share", 4).alias("share"))
 
 
 OWNED_SQL = f"""
 WITH {_spectrum_sql("hann_periodic")}, p AS (SELECT vec_id, k, (re * re + im * im) / (64 * 64 * 0.375) * CASE WHEN k = 32 THEN 1 ELSE 2 END AS p FROM z WHERE k BETWEEN 1 AND 25),
-o AS (SELECT vec_id, p, CASE WHEN k BETWEEN 14 AND 18 THEN '2x' WHEN k >= 20 THEN 'upper' ELSE 'other' END AS owner FROM p),
-o2 AS (SELECT vec_id, p, CASE {{OWNERS}} END AS owner FROM p),
-e AS (SELECT vec_id, owner, sum(p) AS energy FROM o2 GROUP BY vec_id, owner)
+o AS (SELECT vec_id, p, CASE WHEN k BETWEEN 3 AND 7 THEN '0.5x' WHEN k BETWEEN 8 AND 12 THEN '1x' WHEN k BETWEEN 13 AND 17 THEN '1.5x' WHEN k BETWEEN 18 AND 22 THEN '2x' WHEN k >= 20 THEN 'upper' ELSE 'other' END AS owner FROM p),
+e AS (SELECT vec_id, owner, sum(p) AS energy FROM o GROUP BY vec_id, owner)
 SELECT vec_id, owner, round(energy, 6) AS energy, round(100 * energy / sum(energy) OVER (PARTITION BY vec_id), 4) AS share FROM e
-""".replace("o AS (SELECT vec_id, p, CASE WHEN k BETWEEN 14 AND 18 THEN '2x' WHEN k >= 20 THEN 'upper' ELSE 'other' END AS owner FROM p),\n", "").replace("{OWNERS}", "WHEN k BETWEEN 2 AND 6 THEN '0.5x' WHEN k BETWEEN 22 AND 26 THEN 'never' WHEN k >= 20 THEN 'upper' ELSE 'other'")
+"""
 
 
 def synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:
