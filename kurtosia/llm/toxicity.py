@@ -24,8 +24,14 @@ INSULTS = "idiot moron loser scum trash stupid pathetic worthless disgusting clo
 #: Documents of each class that a fit reads at most, smallest hash of the id first.
 SAMPLE = {1: 4000, 0: 6000}
 #: A cue is a word, or the first letters of words, seen in so many toxic sample documents at least.
-LEAST_DOCUMENTS = 5
-LEAST_WEIGHT = 2.5
+LEAST_DOCUMENTS = 6
+#: ... and in such a share of them, so that copies of one document make no cues.
+LEAST_SHARE = 0.02
+#: A beginning gives way to a longer form that covers this share of its documents.
+COVERED = 0.9
+#: Its log odds, less so many standard errors, reach LEAST_WEIGHT.
+ERRORS = 1.64
+LEAST_WEIGHT = 2.0
 MOST_CUES = 4000
 PREFIXES = (4, 5, 6, 7, 8)
 SCOPE = 3
@@ -168,7 +174,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     one = lambda c: known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(SAMPLE[c])
     chosen = one(1).unionByName(one(0)).select("doc_id", "toxic")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    return texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").distinct()
 
 
 def _forms(text: str | None) -> set[str]:
@@ -195,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     cues = dict.fromkeys(INSULTS, LEAST_WEIGHT)
     if n[0] and n[1]:
-        often = sample.where("toxic = 1").mapInArrow(_count_forms, "form string, t long").groupBy("form").agg(F.sum("t").alias("t")).where(F.col("t") >= LEAST_DOCUMENTS)
+        often = sample.where("toxic = 1").mapInArrow(_count_forms, "form string, t long").groupBy("form").agg(F.sum("t").alias("t")).where(F.col("t") >= max(LEAST_DOCUMENTS, LEAST_SHARE * n[1]))
         wanted = [r["form"] for r in often.orderBy(F.desc("t"), "form").limit(50 * MOST_CUES).collect()]
         cues |= _weigh(sample, wanted, n)
     scorer = Scorer(cues)
@@ -223,8 +229,11 @@ def _weigh(sample: DataFrame, wanted: list[str], n: dict[int, int]) -> dict[str,
 
     counts = sample.mapInArrow(count, "form string, c long, t long").groupBy("form").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).where(F.col("t") >= LEAST_DOCUMENTS)
     weight = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
-    found = counts.withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "form").limit(MOST_CUES)
-    return {r["form"]: r["w"] for r in found.collect()}
+    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    found = counts.withColumn("w", weight).where(F.col("w") - ERRORS * error >= LEAST_WEIGHT).orderBy(F.desc("w"), "form").limit(MOST_CUES)
+    rows = {r["form"]: (r["w"], r["t"]) for r in found.collect()}
+    longer = lambda head, t: any(x.rstrip("*").startswith(head) and len(x.rstrip("*")) > len(head) and rows[x][1] >= COVERED * t for x in rows)
+    return {x: w for x, (w, t) in rows.items() if not (x.endswith("*") and longer(x[:-1], t))}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

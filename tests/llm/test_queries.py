@@ -1,0 +1,42 @@
+"""Queries against their SQL, and the pipeline stage by stage."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kurtosia.llm import decontamination, registry, secret_scan
+from kurtosia.llm.scratch import Scratch
+
+SQL = registry.oracle_sql()
+AT = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql(same_as_sql, name):
+    same_as_sql(registry.queries()[name], SQL[name])
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{AT}/documents.parquet")
+    columns, scratch, seen = docs.columns, Scratch(spark, "test"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, scratch.save(stage(spark, docs, AT))
+        seen[name] = (before, docs)
+        if name != "packing":
+            assert docs.columns == columns
+    labels = spark.read.parquet(f"{AT}/labels.parquet")
+    before, after = seen["toxicity"]
+    assert after.join(labels.where("toxic = 0"), "doc_id").count() == before.join(labels.where("toxic = 0"), "doc_id").count()
+    before, after = seen["ngram_jaccard"]
+    assert before.select("text").distinct().count() >= after.count() > 0
+    assert after.select("text").where("text <> ''").distinct().count() == after.where("text <> ''").count()
+    before, after = seen["decontamination"]
+    items = [decontamination.normal(r.text) for r in spark.read.parquet(f"{AT}/benchmark.parquet").collect()]
+    exact = {r.doc_id for r in before.collect() if any(i in decontamination.normal(r.text) for i in items)}
+    assert exact and {r.doc_id for r in before.select("doc_id").collect()} - {r.doc_id for r in after.collect()} >= exact
+    before, after = seen["secrets"]
+    assert before.count() == after.count()
+    assert secret_scan.find_secrets(after).where(F.size("base") > 0).count() == 0
+    before, after = seen["packing"]
+    assert after.select("doc_id").distinct().count() == before.count()
+    assert corpus_pipeline.run(spark, AT).count() == after.count()
