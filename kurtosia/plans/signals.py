@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kurtosia.operators import asof, framing, metrics, scoring, spectrum
+from kurtosia.operators import asof, framing, metrics, scoring, spectrum, waveform
 
 SIZE, FS = 64, 64.0
 KEY = ["vec_id"]
@@ -252,7 +252,14 @@ FROM s
 """
 
 
+def waveform_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide feature vector of every window, in long form."""
+    out = waveform.waveform_features(vectors(spark, sf_dir), "x", FS, 4.0)
+    return out.select("vec_id", F.posexplode("features").alias("feature", "value")).withColumn("value", _r("value"))
+
+
 QUERIES = {
+    "waveform_features": (waveform_features, None),
     "amplitude_spectrum": (amplitude_spectrum, AMPLITUDE_SQL),
     "hann_spectrum": (hann_spectrum, HANN_SQL),
     "fft_spectrum": (fft_spectrum, HANN_SQL),
