@@ -18,6 +18,7 @@ SAMPLE = 2000
 MOST_MARKS = 2000
 WORD_SCORE = 1.0
 LINKED_SCORE = 0.25
+DROPPED_TAG = 0.25
 TAG_SCORES = (0.05, 4.0)
 PRIOR = 3.0
 
@@ -104,7 +105,7 @@ def mark_counts(page: str) -> Counter:
 
     A page labels itself when it has an article or main element: what that holds
     is content.  Dropped parts (menus, adverts, scripts) teach nothing, on either
-    side: their tags always take off one point at least.
+    side: their tags always take off DROPPED_TAG.
     """
     found = tokens(page)
     if not any(t.element.main for t in found):
@@ -125,7 +126,8 @@ def main_text(page: str | None, costs: dict[str, float]) -> str:
     """The blocks of the best region, joined by a newline.
 
     A word scores WORD_SCORE, in a link LINKED_SCORE and in a part that is dropped
-    nothing; a tag takes off the largest cost of its marks.  One scan finds the contiguous tokens of the
+    nothing; a tag takes off the largest cost of its marks, in a dropped part
+    DROPPED_TAG.  One scan finds the contiguous tokens of the
     largest sum; of equal sums the first.
     """
     found = tokens(page or "")
@@ -137,7 +139,7 @@ def main_text(page: str | None, costs: dict[str, float]) -> str:
         if t.text is not None:
             total += 0.0 if e.dropped else t.words * (LINKED_SCORE if e.linked else WORD_SCORE)
         elif e.dropped:
-            total -= max(1.0, max(costs.get(m, default) for m in e.marks))
+            total -= DROPPED_TAG
         else:
             total -= max(costs.get(m, default) for m in e.marks)
         if total <= 0:

@@ -19,7 +19,7 @@ NO_DATE = "1970-01-01T00:00:00Z"
 RECORD = "record_id string, record_type string, target_uri string, date string, refers_to string, content_type string, content_length long, block_digest string, payload_digest string, header string, block string"
 _COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
 
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 _BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|main|blockquote|pre|form|hr|dd|dt|figure)\b[^>]*>")
 _TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*(?:>|\Z)")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\Z)")
