@@ -127,7 +127,8 @@ def assert_contract(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     told = df.agg(*[c.alias(f"_{i}") for i, c in enumerate(checks.values())])
     bad = [F.assert_true(F.coalesce(f"_{i}", F.lit(False)), F.lit(name)).isNull() for i, name in enumerate(checks)]
     ok = told.select(*[b.alias(f"_{i}") for i, b in enumerate(bad)])
-    return df.join(F.broadcast(ok), how="cross").drop(*[f"_{i}" for i in range(len(bad))])
+    names = [f"_{i}" for i in range(len(bad))]
+    return df.join(F.broadcast(ok), how="cross").where(" AND ".join(names)).drop(*names)
 
 
 def shared_content(df: DataFrame, content: str, role: str) -> DataFrame:
