@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .hashing import U
 
-CHUNK_BYTES = 4 << 20
-BUCKET_HASHES = 2 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_HASHES = 1 << 20
 BLOCKS = "chunk long, bucket long, payload binary"
 REPLIES = "chunk long, bucket long, counts binary"
 _ARROW = {"chunk": pa.int64(), "bucket": pa.int64(), "payload": pa.binary(), "counts": pa.binary()}
