@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kurtosia.operators import asof, framing, metrics, scoring, spectrum, waveform
+from kurtosia.operators import asof, framing, metrics, models, scoring, spectrum, waveform
 
 SIZE, FS = 64, 64.0
 KEY = ["vec_id"]
@@ -258,7 +258,15 @@ def waveform_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.posexplode("features").alias("feature", "value")).withColumn("value", _r("value"))
 
 
+def held_out_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shallow trees of the labels, each fold of vectors by a model of the others: rows and hits of each class."""
+    rows = vectors(spark, sf_dir).select("vec_id", "label", "x", F.pmod(F.xxhash64("vec_id"), F.lit(3)).alias("fold"))
+    out = models.held_out_predictions(rows, "label", "x", "fold", models.shallow_tree, 3)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("hits"))
+
+
 QUERIES = {
+    "held_out_trees": (held_out_trees, None),
     "waveform_features": (waveform_features, None),
     "amplitude_spectrum": (amplitude_spectrum, AMPLITUDE_SQL),
     "hann_spectrum": (hann_spectrum, HANN_SQL),
