@@ -17,9 +17,9 @@ FIRST_CANDIDATES, CANDIDATES = 5, 10
 MOST_ROUNDS = 7
 SETTLED = 0.01
 CELL = 256
-POOL = 64
+POOL = 128
 BEAM = 32
-MOST_STEPS = 8
+MOST_STEPS = 10
 NODES = "id long, code binary"
 FOUND = "x long, y long, score float"
 EDGE = "struct<score:float,id:long,new:boolean>"
