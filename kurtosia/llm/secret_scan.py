@@ -136,25 +136,29 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """``docs`` with every span of ``find_secrets`` replaced by <KIND>; overlapping spans become the first one's tag.
 
-    All rows stay.  Texts without any part pass through without a shuffle.
+    All rows and columns stay.  The texts are scanned once; the spans, far smaller,
+    are kept as a table and joined to the rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("text_length"), text.alias("text"))
-    found = _scanned(keyed, F.col("text"))
-    none = (F.size("base") == 0) & ((F.size("weak") == 0) | (F.size("weak") == 1))
-    spanned = _with_linked(found.where(~none), reach)
+    key = [F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("text_length")]
+    keyed = docs.select(F.struct("*").alias("row"), *key)
+    kept = Scratch(docs.sparkSession, "redaction").save(_scanned(docs.select(*key, text.alias("text")), F.col("text")).drop("text"))
+    found = kept.where("size(base) + size(weak) > 0").dropDuplicates(list(KEY))
+    spans = _with_linked(found, reach).where("size(spans) > 0").select(*KEY, "spans").alias("k")
+    on = reduce(and_, [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in KEY])
+    spanned = keyed.alias("d").join(spans, on, "left").select("d.row", "d.text_length", "k.spans")
+    body = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
+        gap = F.substring(body, acc["at"] + 1, x["start"] - acc["at"])
         new = F.concat(acc["out"], gap, F.element_at(names, x["rank"] + 1))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.col("text_length")))
+    tail = lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.col("text_length")))
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, tail)
-    changed = F.when(F.size("spans") > 0, clean).otherwise(F.col(f"row.{text_col}"))
-    fields = lambda new: [new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return found.where(none).select(*fields(F.col(f"row.{text_col}"))).unionByName(spanned.select(*fields(changed)))
+    changed = F.when(F.col("spans").isNotNull(), clean).otherwise(F.col(f"row.`{text_col}`"))
+    return spanned.select(*[changed.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _joined(spans: str) -> Column:
