@@ -159,10 +159,14 @@ def main_text(page: str | None, costs: dict[str, float]) -> str:
 
 
 def learn_costs(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Tag costs from SAMPLE pages at most that label themselves; without any, all tags cost the same."""
+    """Tag costs from SAMPLE different pages at most that label themselves; without any, all tags cost the same.
+
+    Only hashes are sorted to draw the sample; pages stay where they are.
+    """
     page = F.col(html_col).cast("string")
     labelled = pages.select(page.alias("html")).where(F.col("html").rlike("(?i)<(article|main)\\b"))
-    sample = labelled.orderBy(F.xxhash64("html"), "html").limit(SAMPLE)
+    drawn = labelled.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = labelled.where(F.xxhash64("html") <= F.lit(drawn))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
