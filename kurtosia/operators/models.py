@@ -71,6 +71,10 @@ def case_of(model: DecisionTreeClassificationModel, values: Column) -> Column:
     return build(model._call_java("rootNode"))
 
 
+def _swap(i: int) -> Callable:
+    return lambda x, j: F.when(j == i, F.col("_other")[i]).otherwise(x)
+
+
 def permutation_importance(model, df: DataFrame, label: str, vector: str, size: int, seed: int = 1) -> list[float]:
     """Accuracy lost when one feature is taken from another row: rows of a hashed order are shifted by one."""
     from pyspark.sql import Window
@@ -82,7 +86,7 @@ def permutation_importance(model, df: DataFrame, label: str, vector: str, size:
     moved = df.withColumn("_other", F.coalesce(other, F.col(vector))).persist()
     out = []
     for i in range(size):
-        swapped = F.transform(vector, lambda x, j, i=i: F.when(j == i, F.col("_other")[i]).otherwise(x))
+        swapped = F.transform(vector, _swap(i))
         out.append(whole - accuracy(moved.withColumn("features", array_to_vector(swapped))))
     moved.unpersist()
     return out
