@@ -20,12 +20,13 @@ def _over(keys: Sequence, order: Names, back: int | None = None):
     return w.rowsBetween(Window.unboundedPreceding if back is None else -back, 0)
 
 
-def votes(df: DataFrame, keys: Names, order: Names, flag: str, size: int = 5, prefix: str = "votes") -> DataFrame:
+def votes(df: DataFrame, keys: Names, order: Names, flag: str, size: int = 5, prefix: str = "votes", dealt: bool = False) -> DataFrame:
     """Adds <prefix>_positive and <prefix>_valid: hits and rows among the last ``size`` rows with a verdict.
 
-    Rows that abstain carry the counts of the row before them.
+    Rows that abstain carry the counts of the row before them.  Both windows run on
+    one deal of the rows by ``keys``; ``dealt`` says that it has been made.
     """
-    df = df.repartition(*keys)
+    df = df if dealt else df.repartition(*keys)
     valid = F.col(flag).isNotNull()
     recent = _over([*keys, valid], order, size - 1)
     so_far = _over(keys, order)
@@ -76,9 +77,9 @@ def four_faults(df: DataFrame, keys: Names, order: Names, ratio_limit: float = 1
 
     Imbalance is never confirmed: it is suspected, or to be inspected while misalignment is confirmed.
     """
-    df = df.withColumn("imbalance", (F.col("ratio") >= ratio_limit) & (F.col("phase") >= phase_limit))
+    df = df.withColumn("imbalance", (F.col("ratio") >= ratio_limit) & (F.col("phase") >= phase_limit)).repartition(*keys)
     for fault in ("bearing", "misalignment", "belt", "imbalance"):
-        df = votes(df, keys, order, fault, size, fault)
+        df = votes(df, keys, order, fault, size, fault, dealt=True)
     unavailable = lambda x: F.col(x).isNull() | (F.col(f"{x}_valid") < size)
     enough = lambda x: F.col(f"{x}_positive") >= needed
     for fault in ("bearing", "misalignment", "belt"):
