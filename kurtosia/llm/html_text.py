@@ -25,16 +25,19 @@ PRIOR = 3.0
 # HTML element names and the words by which pages name their parts.
 BLOCKS = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-RAW = "script style noscript template textarea svg math iframe object".split()
+RAW = "script style noscript template textarea svg iframe".split()
+ENDLESS = "script style".split()
+HEAD_PARTS = "base basefont bgsound head html link meta noscript script style template title".split()
 DROPPED = "head nav aside footer form button select dialog menu".split()
 DROPPED_WORDS = "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus notice notices cookie cookies consent newsletter subscribe signup login share sharing social related recommended popup modal widget pagination pager toolbar skip".split()
 MAIN_WORDS = "article main".split()
 
-_TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)" % "|".join(RAW))
+_TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(%s)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)" % "|".join(RAW))
 _NAMED = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _MARK = re.compile(r"[a-z]+")
 _BLOCKS, _VOID, _DROPPED, _DROPPED_WORDS, _MAIN = map(frozenset, (BLOCKS, VOID, DROPPED, DROPPED_WORDS, MAIN_WORDS))
 _P_ENDS = _BLOCKS - {"body", "html", "head"}
+_HEAD_PARTS = frozenset(HEAD_PARTS)
 
 
 class Token:
@@ -60,17 +63,39 @@ class Element:
         self.linked = bool(parent and parent.linked) or name == "a"
 
 
+def raw_end(page: str, name: str, attributes: str, at: int, missing: set[str]) -> int:
+    """Where a raw element ends whose start tag ends at ``at``.
+
+    Without an end tag, scripts and styles go on to the end of the page and others
+    are empty, as are self-closed ones that are no scripts or styles.  ``missing`` keeps
+    the names that have no end tag in the rest of the page.
+    """
+    closed = attributes.endswith("/")
+    if closed and name not in ENDLESS:
+        return at
+    end = None if name in missing else re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*>").search(page, at)
+    if end:
+        return end.end()
+    missing.add(name)
+    return len(page) if name in ENDLESS and not closed else at
+
+
 def tokens(page: str) -> list[Token]:
     """Tags and runs of text of a page in order; comments and what scripts and styles hold are left out.
 
     Markup may be broken: an end tag closes the nearest open element of its name,
-    and is passed over if there is none; a block ends an open paragraph.
+    and is passed over if there is none; a block ends an open paragraph, and what no
+    head may hold ends an open head.
     """
     out = []
-    top = Element("", (), None)
-    for m in _TOKEN.finditer(page):
-        raw, slash, name, attributes, text = m.groups()
+    top, head, at, missing = Element("", (), None), None, 0, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        raw, raw_attributes, slash, name, attributes, text = m.groups()
         if text is not None:
+            if head is top and text.strip():
+                top, head = head.parent, None
             out.append(Token(top, text))
         elif name:
             name = name.lower()
@@ -81,7 +106,13 @@ def tokens(page: str) -> list[Token]:
                 if e.parent:
                     out.append(Token(e, None, name in _BLOCKS))
                     top = e.parent
+                    head = None if e.name in ("head", "html") else head
                 continue
+            if head and name not in _HEAD_PARTS:
+                e = top
+                while e.parent and e is not head:
+                    e = e.parent
+                top, head = head.parent if e is head else top, None
             if name in _P_ENDS:
                 e = top
                 while e.parent and e.name != "p" and e.name not in _BLOCKS:
@@ -93,9 +124,11 @@ def tokens(page: str) -> list[Token]:
             out.append(Token(e, None, name in _BLOCKS))
             if name not in _VOID and not attributes.endswith("/"):
                 top = e
+                head = e if name == "head" else head
             elif name == "br":
                 out.append(Token(top, " "))
         elif raw:
+            at = raw_end(page, raw.lower(), raw_attributes, at, missing)
             out.append(Token(top, " "))
     return out
 

@@ -14,15 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_text import raw_end
+
 #: Of records made from tables that know no time of capture.
 NO_DATE = "1970-01-01T00:00:00Z"
 RECORD = "record_id string, record_type string, target_uri string, date string, refers_to string, content_type string, content_length long, block_digest string, payload_digest string, header string, block string"
 _COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
 
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>")
 _BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|main|blockquote|pre|form|hr|dd|dt|figure)\b[^>]*>")
 _TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*(?:>|\Z)")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\Z)")
+_TITLE = re.compile(r"(?is)<title(?=[\s/>])[^>]*>(?:(.*?)</title\s*>|([^<]*))")
 _LINK = re.compile(r"(?i)<a\b[^>]*\bhref\s*=")
 
 
@@ -30,9 +32,24 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _shown(page: str) -> str:
+    """Without hidden elements; a head needs no end tag, since all it may hold is hidden or void."""
+    parts, at, missing = [], 0, set()
+    while m := _HIDDEN.search(page, at):
+        parts.append(page[at : m.start()])
+        at = m.end()
+        if m[1]:
+            name = m[1].lower()
+            at = raw_end(page, name, m[2], at, missing)
+            if name == "title" and at == m.end() and not m[2].endswith("/"):
+                next_tag = page.find("<", at)
+                at = next_tag if next_tag >= 0 else len(page)
+    return " ".join([*parts, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Visible text: hidden elements left out, a line for each block, character references decoded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", _shown(page)))
     lines = (" ".join(html.unescape(x).split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -107,7 +124,7 @@ def derived(source: dict) -> list[dict]:
     status, *lines = head.split("\r\n")
     fields = [
         ("sourceRecordId", source["record_id"]), ("sourceBlockDigest", digest(block.encode())), ("sourcePayloadDigest", source["payload_digest"] or digest(body.encode())),
-        ("sourceContentLength", len(block.encode())), ("conversionRecordId", conversion["record_id"]), ("title", " ".join(html.unescape(title[1]).split()) if title else ""),
+        ("sourceContentLength", len(block.encode())), ("conversionRecordId", conversion["record_id"]), ("title", " ".join(html.unescape(title[1] or title[2] or "").split()) if title else ""),
         ("linkCount", len(_LINK.findall(body))), ("http-status", status), *[("http-header", x) for x in lines if x],
     ]
     return [_record("metadata", source, "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), conversion]
