@@ -21,6 +21,7 @@ LINKED_SCORE = 0.25
 DROPPED_TAG = 0.25
 TAG_SCORES = (0.05, 4.0)
 PRIOR = 3.0
+NAMED_PRIOR = 0.5
 
 # HTML element names and the words by which pages name their parts.
 BLOCKS = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -33,11 +34,12 @@ DROPPED_WORDS = "ad ads advert adverts advertisement advertising banner sponsor
 MAIN_WORDS = "article main".split()
 
 _TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(%s)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)" % "|".join(RAW))
-_NAMED = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAMED = re.compile(r"""(?is)(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _MARK = re.compile(r"[a-z]+")
 _BLOCKS, _VOID, _DROPPED, _DROPPED_WORDS, _MAIN = map(frozenset, (BLOCKS, VOID, DROPPED, DROPPED_WORDS, MAIN_WORDS))
 _P_ENDS = _BLOCKS - {"body", "html", "head"}
 _HEAD_PARTS = frozenset(HEAD_PARTS)
+_NAMED_COSTS = {"." + w: NAMED_PRIOR for w in DROPPED_WORDS}
 
 
 class Token:
@@ -52,15 +54,49 @@ class Token:
 
 
 class Element:
-    __slots__ = ("dropped", "linked", "main", "marks", "name", "parent")
+    """An element; ``boilerplate`` are those whose name or class, id or role as a whole says that they are no content."""
 
-    def __init__(self, name: str, marks: tuple[str, ...], parent: Element | None):
+    __slots__ = ("boilerplate", "dropped", "holds_main", "linked", "main", "marks", "name", "parent", "words")
+
+    def __init__(self, name: str, marks: tuple[str, ...], parent: Element | None, named: bool = False):
         self.name, self.marks, self.parent = name, marks, parent
-        words = [m[1:] for m in marks if m[0] == "."]
         header = name == "header" and not (parent and parent.main)
-        self.dropped = bool(parent and parent.dropped) or name in _DROPPED or header or (name not in ("html", "body") and not _DROPPED_WORDS.isdisjoint(words))
+        self.boilerplate = name in _DROPPED or header or (named and name not in ("html", "body"))
         self.main = bool(parent and parent.main) or name in _MAIN
         self.linked = bool(parent and parent.linked) or name == "a"
+        self.dropped, self.holds_main, self.words = False, name in _MAIN, 0
+
+
+def _names(attributes: str) -> tuple[list[str], bool]:
+    """The words of class, id and role as marks, and whether one of these names has only words of DROPPED_WORDS."""
+    words, named = set(), False
+    for a in _NAMED.finditer(attributes):
+        for whole in (a[1] or a[2] or a[3] or "").lower().split():
+            parts = _MARK.findall(whole)
+            words.update(parts)
+            named = named or bool(parts) and _DROPPED_WORDS.issuperset(parts)
+    return sorted("." + w for w in words), named
+
+
+def _drop(elements: list[Element], found: list[Token]) -> None:
+    """Sets ``dropped``: boilerplate, but for elements that are or hold a main element or most of the page's words.
+
+    ``elements`` are in page order.  Heads are always dropped.
+    """
+    total = 0
+    for t in found:
+        if t.words:
+            t.element.words += t.words
+            total += t.words
+    for e in reversed(elements):
+        if e.parent and e.name != "head":
+            e.parent.words += e.words
+            e.parent.holds_main = e.parent.holds_main or e.holds_main
+        elif e.parent:
+            total -= e.words
+    for e in elements:
+        kept = e.name != "head" and (e.holds_main or 2 * e.words > total)
+        e.dropped = bool(e.parent and e.parent.dropped) or (e.boilerplate and not kept)
 
 
 def raw_end(page: str, name: str, attributes: str, at: int, missing: set[str]) -> int:
@@ -87,7 +123,7 @@ def tokens(page: str) -> list[Token]:
     and is passed over if there is none; a block ends an open paragraph, and what no
     head may hold ends an open head.
     """
-    out = []
+    out, elements = [], []
     top, head, at, missing = Element("", (), None), None, 0, set()
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -119,8 +155,9 @@ def tokens(page: str) -> list[Token]:
                     e = e.parent
                 if e.name == "p":
                     top = e.parent
-            marks = (name, *sorted({"." + w for a in _NAMED.finditer(attributes) for w in _MARK.findall((a[1] or a[2] or a[3] or "").lower())})) if attributes else (name,)
-            e = Element(name, marks, top)
+            marks, named = _names(attributes) if attributes else ((), False)
+            e = Element(name, (name, *marks), top, named)
+            elements.append(e)
             out.append(Token(e, None, name in _BLOCKS))
             if name not in _VOID and not attributes.endswith("/"):
                 top = e
@@ -130,6 +167,7 @@ def tokens(page: str) -> list[Token]:
         elif raw:
             at = raw_end(page, raw.lower(), raw_attributes, at, missing)
             out.append(Token(top, " "))
+    _drop(elements, out)
     return out
 
 
@@ -160,11 +198,13 @@ def main_text(page: str | None, costs: dict[str, float]) -> str:
 
     A word scores WORD_SCORE, in a link LINKED_SCORE and in a part that is dropped
     nothing; a tag takes off the largest cost of its marks, in a dropped part
-    DROPPED_TAG.  One scan finds the contiguous tokens of the
+    DROPPED_TAG.  A mark that no sample taught costs NAMED_PRIOR if it is a word of
+    DROPPED_WORDS.  One scan finds the contiguous tokens of the
     largest sum; of equal sums the first.
     """
     found = tokens(page or "")
     default = TAG_SCORES[0] * PRIOR
+    costs = _NAMED_COSTS | costs
     best = total = 0.0
     first, region = 0, (0, 0)
     for i, t in enumerate(found):
