@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,9 @@ from .scratch import Scratch
 NEIGHBOURS = 32
 REVERSE = 32
 FIRST_CANDIDATES, CANDIDATES = 5, 10
-MOST_ROUNDS = 7
 SETTLED = 0.01
 CELL = 256
-POOL = 128
+POOL, POOL_A_DOUBLING = 128, 8
 BEAM = 32
 MOST_STEPS = 10
 NODES = "id long, code binary"
@@ -38,22 +38,32 @@ def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.join(F.broadcast(usual.select("d")), F.size("vec") == F.col("d"), "left_semi").groupBy("id").agg(F.min("vec").alias("vec"))
 
 
+def distinct_vectors(vectors: DataFrame, most: int) -> DataFrame:
+    """(id, vec, ids): each distinct vector once, with its smallest id and its ``most`` smallest ids in order.
+
+    Spark applies the limit before it shuffles, so copies of a common vector load no task.
+    """
+    rank = F.row_number().over(Window.partitionBy("hash", "vec").orderBy("id"))
+    least = vectors.withColumn("hash", F.xxhash64("vec")).withColumn("rank", rank).where(F.col("rank") <= most)
+    return least.groupBy("hash", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("id"), "vec", "ids")
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Unit rows from codes."""
-    codes = [np.frombuffer(x.as_py(), dtype=np.int8) for x in column]
+    codes = [np.frombuffer(x.as_py(), dtype=np.int16) for x in column]
     m = np.stack(codes).astype(np.float32) if codes else np.zeros((0, 1), dtype=np.float32)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def encoded(vectors: DataFrame) -> DataFrame:
-    """NODES: directions in one signed byte a component, which is all that the graph is built from."""
+    """NODES: directions in two bytes a component, which is all that the graph is built from."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = []
             for v in b["vec"]:
                 v = np.array(v.as_py())
-                codes.append(np.rint(v / np.abs(v).max() * 127).astype(np.int8).tobytes())
+                codes.append(np.rint(v / np.abs(v).max() * 32767).astype(np.int16).tobytes())
             yield pa.RecordBatch.from_pydict({"id": b["id"], "code": pa.array(codes, pa.binary())})
 
     return vectors.mapInArrow(encode, NODES)
@@ -157,7 +167,7 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     n = nodes.count()
     start = _first_neighbours(nodes, n, 1).unionByName(_first_neighbours(nodes, n, 2)).withColumn("new", F.lit(True))
     graph = scratch.save(_lists(start, nodes))
-    for k in range(MOST_ROUNDS if n > NEIGHBOURS + 1 else 0):
+    for k in count() if n > NEIGHBOURS + 1 else ():
         found = _joined_neighbours(graph, CANDIDATES if k else FIRST_CANDIDATES, k).withColumn("new", F.lit(True))
         old = graph.select(F.col("id").alias("x"), F.explode("near").alias("e")).select("x", F.col("e.id").alias("y"), F.col("e.score").alias("score"), F.lit(False).alias("new"))
         fresh = F.sum(F.size(F.filter("near", lambda e: e["new"])))
@@ -169,8 +179,8 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return graph
 
 
-def search_graph(graph: DataFrame, queries: DataFrame, scratch: Scratch) -> DataFrame:
-    """(query_id, id): the POOL best nodes that greedy search finds for queries (query_id, code, start).
+def search_graph(graph: DataFrame, queries: DataFrame, scratch: Scratch, most: int = POOL) -> DataFrame:
+    """(query_id, id): the ``most`` best nodes that greedy search finds for queries (query_id, code, start).
 
     A step expands, for each query, the BEAM best nodes of its pool that have not been
     expanded, scores their neighbours and keeps the best; it ends when no pool
@@ -189,11 +199,11 @@ def search_graph(graph: DataFrame, queries: DataFrame, scratch: Scratch) -> Data
                 pool = {e["id"]: (e["score"], e["done"]) for e in pool}
                 flat = found.values
                 if flat is not None and len(flat):
-                    unit = np.frombuffer(query, dtype=np.int8).astype(np.float32)
+                    unit = np.frombuffer(query, dtype=np.int16).astype(np.float32)
                     scores = _matrix(flat.field("code")) @ (unit / np.linalg.norm(unit))
                     for i, s in zip(flat.field("id").to_pylist(), scores.tolist(), strict=True):
                         pool.setdefault(i, (s, False))
-                best = sorted(pool.items(), key=lambda e: (-e[1][0], e[0]))[:POOL]
+                best = sorted(pool.items(), key=lambda e: (-e[1][0], e[0]))[:most]
                 ahead = [i for i, (_, done) in best if not done][:BEAM]
                 now = set(ahead)
                 out.append((q, query, [{"score": s, "id": i, "done": done or i in now} for i, (s, done) in best], ahead))
@@ -213,16 +223,26 @@ def search_graph(graph: DataFrame, queries: DataFrame, scratch: Scratch) -> Data
     return pools.select("query_id", F.explode("pool").alias("e")).select("query_id", F.col("e.id").alias("id"))
 
 
-def nearest(vectors: DataFrame, graph: DataFrame, of: Column, k: int, scratch: Scratch) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest found of each node for which ``of`` holds, by exact cosine."""
+def nearest(classes: DataFrame, graph: DataFrame, of: DataFrame, k: int, scratch: Scratch, most: int = POOL) -> DataFrame:
+    """(query_id, rank, id, score): the k nearest found of each id of ``of`` (query_id, class), by exact cosine.
+
+    Distinct vectors are searched once, and of those found the ids follow; the k + 1
+    best classes hold the k + 1 best ids, of which at most one is the query itself.
+    """
     start = F.transform("near", lambda e: e["id"]).alias("start")
-    queries = graph.where(of).select(F.col("id").alias("query_id"), "code", start)
-    pairs = search_graph(graph, queries, scratch)
-    left = vectors.select(F.col("id").alias("query_id"), F.col("vec").alias("ua"))
-    right = vectors.select("id", F.col("vec").alias("ub"))
-    scored = pairs.join(left, "query_id").join(right, "id").select("query_id", "id", F.pandas_udf(exact_cosine, "double")(F.col("ua"), F.col("ub")).alias("score"))
+    asked = of.select(F.col("class").alias("query_id")).distinct()
+    queries = graph.join(asked, F.col("id") == F.col("query_id"), "left_semi").select(F.col("id").alias("query_id"), "code", start)
+    pairs = search_graph(graph, queries, scratch, most).unionByName(asked.select("query_id", F.col("query_id").alias("id")))
+    left = classes.select(F.col("id").alias("query_id"), F.col("vec").alias("ua"))
+    right = classes.select("id", F.col("vec").alias("ub"), "ids")
+    scored = pairs.join(left, "query_id").join(right, "id").select("query_id", "id", "ids", F.pandas_udf(exact_cosine, "double")(F.col("ua"), F.col("ub")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    each = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("less"), i.alias("id")))
+    found = best.groupBy(F.col("query_id").alias("class")).agg(F.slice(F.array_sort(F.flatten(F.collect_list(each))), 1, k + 1).alias("found"))
+    others = F.slice(F.filter("found", lambda e: e["id"] != F.col("query_id")), 1, k)
+    rows = of.join(found, "class").select("query_id", F.posexplode(others).alias("at", "e"))
+    return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.id").alias("id"), (-F.col("e.less")).alias("score"))
 
 
 def exact_cosine(a, b):
@@ -238,17 +258,20 @@ def exact_cosine(a, b):
 def nearest_neighbours(table: DataFrame, of: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of the rows for which ``of`` (over ``id``) holds.
 
-    The graph indexes every vector (see ``build_graph``); queries start at their own
+    The graph indexes every distinct vector once (see ``build_graph``); queries start at their own
     neighbours in it and search greedily.  Scores are exact cosines in double
-    precision; ties go to the smaller id.  Null, zero and non-finite vectors, and null ids,
+    precision; ties go to the smaller id, however many rows share a vector.  Null, zero and non-finite vectors, and null ids,
     take no part (see ``valid_vectors``).  With fewer candidates than k all are
     returned; an empty table gives no rows.  Other columns are not looked at.
     """
     scratch = Scratch(table.sparkSession, "nn-descent")
     vectors = scratch.save(valid_vectors(table, id_col, vec_col))
-    nodes = scratch.save(encoded(vectors))
+    classes, seen = scratch.measure(distinct_vectors(vectors, k + 1))
+    of_class = vectors.where(of).select(F.col("id").alias("query_id"), "vec").join(classes.select(F.col("id").alias("class"), "vec"), "vec")
+    asked = scratch.save(of_class.select("query_id", "class"))
+    nodes = scratch.save(encoded(classes.select("id", "vec")))
     graph = build_graph(nodes, scratch)
-    return nearest(vectors, graph, of, k, scratch)
+    return nearest(classes, graph, asked, k, scratch, max(POOL, POOL_A_DOUBLING * seen["n"].bit_length()))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
