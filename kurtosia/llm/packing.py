@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 1024
 OPEN_WINDOWS = 64
 LEAST_CUT = 16
@@ -48,6 +50,24 @@ def encoder(ranks_path: str = RANKS):
     return lambda text: (full if _TWO_SPACES.search(text) else fast).encode_ordinary(text)
 
 
+def document_encoder(ranks_path: str = RANKS, tokenizer_path: str = TOKENIZER):
+    """text -> ids as ``tokenizers`` gives by default: texts are split at the file's added tokens, which have their own ids."""
+    encode = encoder(ranks_path)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    if not added:
+        return encode
+    split = re.compile("(%s)" % "|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+
+    def ids(text: str) -> list[int]:
+        parts = split.split(text)
+        if len(parts) == 1:
+            return encode(text)
+        return [i for at, part in enumerate(parts) for i in ([added[part]] if at % 2 else encode(part))]
+
+    return ids
+
+
 class Packer:
     """Keeps at most ``most`` open windows; pieces go where they leave the least room.
 
@@ -174,7 +194,7 @@ def pack_documents(
         return {"doc_id": batch.schema.field("doc_id").type, "start": n, "length": n, "ids": pa.binary(), "ids_crc32": n, "doc_tokens": n, "sequence_id": n, "offset": n, "merge_group": n}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, partition, types = encoder(ranks_path), TaskContext.get().partitionId(), None
+        encode, partition, types = document_encoder(ranks_path), TaskContext.get().partitionId(), None
         packer = Packer(length, open_windows, partition << 33)
         for batch in batches:
             types = types or arrow_types(batch)
