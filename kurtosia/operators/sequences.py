@@ -1,34 +1,50 @@
-"""Order-dependent state: transport sequences by window functions, non-associative folds by one aggregate over a key's rows.
+"""Order-dependent state: transport sequences by window functions, non-associative folds by steps through sorted rows.
 
-A fold gathers the rows of one key, in order, into an array and steps through it in
-the JVM.  It needs memory for one key's rows, so keys should carry a session; nothing
-else can express a state that every row may replace.
+A fold deals rows by key, sorts them within partitions and steps through them batch by
+batch with one state, so memory does not grow with a key's rows; Spark sorts and spills.
+The rows of one key are stepped through by one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 Names = Sequence[str]
 
 
-def fold(df: DataFrame, keys: Names, order: Names, values: Names, state: Column, step: Callable[[Column, Column], Column], out: str) -> DataFrame:
-    """(keys, order, <fields of the state>): the state after each row.  ``out`` is the state's type."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("_rows"))
-    names = [f.split(":")[0] for f in out[len("struct<") : -1].split(",")]
-    item = f"struct<{','.join(f'{o}:{df.schema[o].dataType.simpleString()}' for o in order)},state:{out}>"
-
-    def advance(acc: Column, row: Column) -> Column:
-        new = step(acc["s"], row).cast(out)
-        placed = F.struct(*[row[o].alias(o) for o in order], new.alias("state"))
-        return F.struct(new.alias("s"), F.concat(acc["o"], F.array(placed).cast(f"array<{item}>")).alias("o"))
-
-    start = F.struct(state.cast(out).alias("s"), F.expr(f"cast(array() as array<{item}>)").alias("o"))
-    done = rows.select(*keys, F.explode(F.aggregate("_rows", start, advance, lambda acc: acc["o"])).alias("_o"))
-    return done.select(*keys, *[F.col(f"_o.{o}").alias(o) for o in order], *[F.col(f"_o.state.{n}").alias(n) for n in names])
+def fold(df: DataFrame, keys: Names, order: Names, values: Sequence[Column], state: tuple, step: Callable[..., tuple], out: str) -> DataFrame:
+    """(keys, order, <fields of the state>): the state after each row, ``step(state, *values)``.  ``out`` names the state's fields and types."""
+    named = [*keys, *order]
+    rows = df.select(*named, *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    rows = rows.repartition(*keys) if keys else rows.coalesce(1)
+    rows = rows.sortWithinPartitions(*named, *[f"_v{i}" for i in range(len(values))])
+    fields = StructType.fromDDL(out).fields
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    names = [*named, *[f.name for f in fields]]
+    same = lambda a, b: all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now = None, state
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            held = zip(*columns[: len(keys)], strict=True) if keys else ((),) * b.num_rows
+            states = []
+            for k, *row in zip(held, *columns[len(named) :], strict=True):
+                if key is None or not same(k, key):
+                    key, now = k, state
+                now = step(now, *row)
+                states.append(now)
+            done = [pa.array([x[i] for x in states], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(named)], *done], names=names)
+
+    kept = [StructField(c, df.schema[c].dataType) for c in named]
+    return rows.mapInArrow(run, StructType([*kept, *fields]))
 
 
 def track_rotation(df: DataFrame, keys: Names, order: Names, candidate: str, jump: float = 5.0, relock: int = 5) -> DataFrame:
@@ -36,18 +52,14 @@ def track_rotation(df: DataFrame, keys: Names, order: Names, candidate: str, jum
 
     NULL candidates change nothing.
     """
-    kind = "struct<hz:double,pending:double,rejected:int>"
-    start = F.struct(F.lit(None).cast("double").alias("hz"), F.lit(None).cast("double").alias("pending"), F.lit(0).alias("rejected"))
-    make = lambda hz, pending, n: F.struct(hz.alias("hz"), pending.alias("pending"), n.alias("rejected"))
+    def step(s, c):
+        hz, pending, rejected = s
+        if c is None:
+            return s
+        n = rejected + 1 if rejected > 0 and abs(c - pending) <= jump else 1
+        return (c, None, 0) if hz is None or abs(c - hz) <= jump or n >= relock else (hz, c, n)
 
-    def step(s: Column, row: Column) -> Column:
-        c = row[candidate].cast("double")
-        none = F.lit(None).cast("double")
-        n = F.when((s["rejected"] > 0) & (F.abs(c - s["pending"]) <= jump), s["rejected"] + 1).otherwise(1)
-        follow = s["hz"].isNull() | (F.abs(c - s["hz"]) <= jump) | (n >= relock)
-        return F.when(c.isNull(), s).when(follow, make(c, none, F.lit(0))).otherwise(make(s["hz"], c, n))
-
-    return fold(df, keys, order, [candidate], start, step, kind).select(*keys, *order, "hz")
+    return fold(df, keys, order, [F.col(candidate).cast("double")], (None, None, 0), step, "hz double, pending double, rejected int").select(*keys, *order, "hz")
 
 
 def run_state(df: DataFrame, keys: Names, order: Names, snr: str, threshold: float = 5.0, rows: int = 3) -> DataFrame:
@@ -71,17 +83,16 @@ def learning_mode(df: DataFrame, keys: Names, order: Names, running: str, warm_u
 
 def smooth(df: DataFrame, keys: Names, order: Names, value: str, start: str, end: str, alpha: float = 0.4, most_gap: int = 500) -> DataFrame:
     """(keys, order, value, count): exponential mean that starts anew after a gap over ``most_gap``, an overlap, or a NULL (count 0)."""
-    kind = "struct<value:double,count:int,end:long>"
-    state = F.struct(F.lit(None).cast("double").alias("value"), F.lit(0).alias("count"), F.lit(None).cast("long").alias("end"))
-    make = lambda v, n, e: F.struct(v.alias("value"), n.alias("count"), e.alias("end"))
-
-    def step(s: Column, row: Column) -> Column:
-        x, at = row[value].cast("double"), row[start].cast("long")
-        reset = s["end"].isNull() | (at < s["end"]) | (at - s["end"] > most_gap) | (s["count"] == 0)
-        end_ = row[end].cast("long")
-        return F.when(x.isNull(), make(F.lit(None).cast("double"), F.lit(0), end_)).when(reset, make(x, F.lit(1), end_)).otherwise(make(s["value"] + alpha * (x - s["value"]), s["count"] + 1, end_))
+    def step(s, x, at, to):
+        mean, n, last = s
+        if x is None:
+            return None, 0, to
+        if n == 0 or last is None or (at is not None and (at < last or at - last > most_gap)):
+            return x, 1, to
+        return mean + alpha * (x - mean), n + 1, to
 
-    return fold(df, keys, order, [value, start, end], state, step, kind).drop("end")
+    values = [F.col(value).cast("double"), F.col(start).cast("long"), F.col(end).cast("long")]
+    return fold(df, keys, order, values, (None, 0, None), step, "value double, count int, end long").select(*keys, *order, "value", "count")
 
 
 def sequence_status(df: DataFrame, keys: Names, order: Names, session: str, seq: str, bad: str) -> DataFrame:
@@ -137,21 +148,21 @@ def baseline_store(df: DataFrame, keys: Names, order: Names, command: str, basel
     current one, which becomes previous; import replaces the current one.  A command
     that cannot apply changes nothing; others raise the generation.
     """
-    kind = "struct<current:string,candidate:string,previous:string,generation:int>"
-    none = F.lit(None).cast("string")
-    state = F.struct(none.alias("current"), none.alias("candidate"), none.alias("previous"), F.lit(0).alias("generation"))
-
-    def step(s: Column, row: Column) -> Column:
-        c, b = row[command], row[baseline].cast("string")
-        make = lambda cur, cand, prev: F.struct(cur.alias("current"), cand.alias("candidate"), prev.alias("previous"), (s["generation"] + 1).alias("generation"))
-        return (
-            F.when((c == "learned") & b.isNotNull(), make(s["current"], b, s["previous"]))
-            .when((c == "approve") & s["candidate"].isNotNull(), make(s["candidate"], none, F.coalesce(s["current"], s["previous"])))
-            .when((c == "discard") & s["candidate"].isNotNull(), make(s["current"], none, s["previous"]))
-            .when((c == "rollback") & s["previous"].isNotNull(), make(s["previous"], s["candidate"], s["current"]))
-            .when((c == "clear") & s["current"].isNotNull(), make(none, s["candidate"], s["current"]))
-            .when((c == "import") & b.isNotNull(), make(b, s["candidate"], F.coalesce(s["current"], s["previous"])))
-            .otherwise(s)
-        )
-
-    return fold(df, keys, order, [command, baseline], state, step, kind)
+    def step(s, c, b):
+        current, candidate, previous, generation = s
+        if c == "learned" and b is not None:
+            return current, b, previous, generation + 1
+        if c == "approve" and candidate is not None:
+            return candidate, None, previous if current is None else current, generation + 1
+        if c == "discard" and candidate is not None:
+            return current, None, previous, generation + 1
+        if c == "rollback" and previous is not None:
+            return previous, candidate, current, generation + 1
+        if c == "clear" and current is not None:
+            return None, candidate, current, generation + 1
+        if c == "import" and b is not None:
+            return b, candidate, previous if current is None else current, generation + 1
+        return s
+
+    fields = "current string, candidate string, previous string, generation int"
+    return fold(df, keys, order, [F.col(command).cast("string"), F.col(baseline).cast("string")], (None, None, None, 0), step, fields)
