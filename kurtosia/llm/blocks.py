@@ -23,6 +23,7 @@ from .hashing import U
 
 CHUNK_BYTES = 2 << 20
 BUCKET_HASHES = 1 << 20
+MOST_COUNT = 255  # a count of this means: this or more
 BLOCKS = "chunk long, bucket long, payload binary"
 REPLIES = "chunk long, bucket long, counts binary"
 _ARROW = {"chunk": pa.int64(), "bucket": pa.int64(), "payload": pa.binary(), "counts": pa.binary()}
@@ -68,7 +69,7 @@ def _answer(blocks):
     seen, times = np.unique(np.concatenate(parts), return_counts=True)
     out: dict[str, list] = {"chunk": [], "bucket": [], "counts": []}
     for chunk, bucket, part in zip(blocks["chunk"].to_pylist(), blocks["bucket"].to_pylist(), parts, strict=True):
-        n = np.minimum(times[np.searchsorted(seen, part)], 255).astype(np.uint8)
+        n = np.minimum(times[np.searchsorted(seen, part)], MOST_COUNT).astype(np.uint8)
         if (n > 1).any():
             out["chunk"].append(chunk)
             out["bucket"].append(bucket)
@@ -77,7 +78,7 @@ def _answer(blocks):
 
 
 def count_in_chunks(blocks: DataFrame) -> DataFrame:
-    """REPLIES: for each block with a shared hash, in how many chunks (255 at most) each of its hashes occurs."""
+    """REPLIES: for each block with a shared hash, in how many chunks (MOST_COUNT at most) each of its hashes occurs."""
     return blocks.groupBy("bucket").applyInArrow(_answer, REPLIES)
 
 

@@ -34,3 +34,15 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         state = now
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+def merged_components(parts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``parts`` (id, component), joined further by ``links`` (a, b) between ids in or out of it."""
+    of = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"{x}c"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    named, seen = scratch.measure(named.where("a <> b").distinct())
+    if not seen["n"]:
+        return parts
+    more = connected_components(named, scratch)
+    moved = parts.join(more.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return scratch.save(moved.unionByName(more.join(parts.select("id"), "id", "left_anti")))

@@ -1,8 +1,10 @@
-"""Vectorised words and polynomial (Rabin-Karp) hashes over the UTF-8 bytes of an Arrow string column.
+"""Vectorised word hashes and rolling (Rabin-Karp) window hashes over the UTF-8 bytes of an Arrow string column.
 
-All functions run inside Spark tasks on one slice of documents at a time.  A
-rolling hash of items x_s..x_{e-1} is sum(x_j * B**(j-s)) modulo 2**64; prefix
-sums make every window of a slice one subtraction and one multiplication.
+All functions run inside Spark tasks on one slice of documents at a time.  A word's
+hash sums one pseudo-random number for each byte and place in the word: no pattern
+of bytes cancels out, as patterns do in a polynomial modulo 2**64.  The rolling hash
+of items x_s..x_{e-1} is sum(x_j * B**(j-s)) modulo 2**64; prefix sums make every
+window of a slice one subtraction and one multiplication.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BYTE_BASE = 0x9E3779B97F4A7C15 | 1
+GOLDEN = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 SLICE_BYTES = 1 << 20
 
@@ -34,6 +36,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: For each of the first 64 places in a word and each byte, its number; ``code`` is place * 256 + byte.
+_BYTE_AT = mix(np.arange(1, 64 * 256 + 1, dtype=U) * U(GOLDEN))
+
+
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
@@ -96,8 +102,14 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A mixed 64-bit hash of every word; ``lower`` folds A-Z first."""
-    x = (_LOWER[data] if lower else data).astype(U) + U(1)
-    return mix(rolling(x, starts, ends, BYTE_BASE) + (ends - starts).astype(U))
+    place = np.zeros(len(data), dtype=np.int64)
+    place[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(place)
+    code = place * 256 + (_LOWER[data] if lower else data)
+    short = len(_BYTE_AT) > (int(code.max()) if len(code) else 0)
+    total = np.zeros(len(data) + 1, dtype=U)
+    np.cumsum(_BYTE_AT[code] if short else mix((code + 1).astype(U) * U(GOLDEN)), out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(U))
 
 
 def window_hashes(h: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

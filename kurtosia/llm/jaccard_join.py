@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
-from operator import add
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCKS, count_in_chunks, in_chunks, pack, unpack
-from .components import connected_components
+from .blocks import BLOCKS, MOST_COUNT, count_in_chunks, in_chunks, pack, unpack
+from .components import connected_components, merged_components
 from .hashing import WORD_BASE, U, mix, rolling, utf8_slices, window_hashes, word_hashes, words
 from .scratch import Scratch
 
-SETS = "doc_id long, n_shingles long, set_key binary, signatures array<long>, sketch array<long>, shingles array<long>"
-PARTS_PER_ITEM = 0.3
-STAR_SIGNATURES = 8
-FIRST_OFFSETS = 8
-SKETCH_LONGS = 16
+SETS = "doc_id {id}, n_shingles long, set_key binary, weight long, signatures array<long>, shingles array<long>"
 
 
 def shingle_sets(text: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -39,136 +34,176 @@ def shingle_sets(text: pa.ChunkedArray, width: int) -> list[np.ndarray]:
     return out
 
 
-def _budget(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """The most differences that sets of a and b items at the threshold can have."""
-    return (100 - percent) * (a + b) // (100 + percent)
+def _budget(total, percent: int):
+    """The most items in which two similar sets of ``total`` items together can differ."""
+    return (100 - percent) * total // (100 + percent)
 
 
-def signatures(sets: list[np.ndarray], percent: int):
-    """PartEnum signatures of sets: owner (set * 4 + instance), hash, and per owner how many a pair may differ in.
+def _band_ends(percent: int, most: int) -> np.ndarray:
+    """Last sizes of the bands, from 0: a band reaches as far as sets similar to its smallest size do."""
+    ends = [0]
+    while ends[-1] < most:
+        ends.append((ends[-1] + 1) * 100 // percent)
+    return np.array([*ends, (ends[-1] + 1) * 100 // percent], dtype=np.int64)
 
-    Sizes fall into bands [2**i, 2**(i+1)).  A set enters the instance of its own
-    band and, when a similar set can be larger than its band, that of the next.
-    An instance cuts the feature domain into PARTS_PER_ITEM times its largest size
-    of parts; the items of a set in one part make a signature.  Each item in which
-    two sets differ spoils one part at most, so sets within the budget of k
-    differences share a signature if one of them fills more than k parts.  Sets
-    that fill fewer also give each single item as a signature (instances 2 and 3).
+
+def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """PartEnum signatures of sets, in tables with a row per first-level part and a column per enumerated subset.
+
+    Similar sets lie in one size band or in neighbouring ones, so a set enters the
+    instance of its own band and that of the next.  An instance whose sets differ in
+    at most k items cuts the feature domain into n1 parts and each part into n2
+    pieces, so that two similar sets differ in at most k2 items of some part.  All
+    subsets of n2 - k2 pieces of each part are enumerated; a signature is the hash of
+    a set's items in one subset.  Some subset holds none of the k2 differences: similar
+    sets share a signature.
+
+    k up to 2: n1 = 1, k2 = k, n2 = 2k + 2.  Else k2 = 1, n2 = 3 and n1 = k/2 + 1 and a
+    sixteenth of k more.  Each table is (set of each row, signatures, whether a
+    subset is empty, per set and in sets' order the least number of parts in which
+    a similar set differs in k2 items or fewer).
     """
     size = np.array([len(x) for x in sets], dtype=np.int64)
-    most = size * 100 // percent
-    band = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
-    owners, hashes, limits = [], [], {}
+    ends = _band_ends(percent, int(size.max(initial=0)))
+    band = np.searchsorted(ends, size)
+    tables = []
     for up in (0, 1):
-        at = np.flatnonzero((size > 0) & (most >= (2 << band) if up else size > 0))
-        if not len(at):
-            continue
-        j = band[at] + up
-        n = size[at]
-        k = _budget(n, most[at] if up else np.minimum(most[at], (2 << band[at]) - 1), percent)
-        h = np.concatenate([sets[i] for i in at])
-        own = np.repeat(np.arange(len(at)), n)
-        parts = np.ceil(PARTS_PER_ITEM * (2 << j)).astype(U)
-        part = ((h >> U(32)) * parts[own]) >> U(32)
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (part[1:] != part[:-1]) | (own[1:] != own[:-1])
-        start = np.flatnonzero(new)
-        tag = part[start] * U(0x9E3779B97F4A7C15) + j[own[start]].astype(U) * U(0xC2B2AE3D27D4EB4F)
-        owners.append(at[own[start]] * 4 + up)
-        hashes.append(mix(np.add.reduceat(mix(h), start) ^ tag))
-        filled = np.bincount(own[start], minlength=len(at))
-        limits |= dict(zip((at * 4 + up).tolist(), k.tolist(), strict=True))
-        for i in np.flatnonzero(filled <= k):
-            owners.append(np.full(n[i], at[i] * 4 + 2 + up))
-            hashes.append(mix(sets[at[i]] ^ mix(j[i : i + 1].astype(U) + U(0x51ED270B))))
-            limits[int(at[i] * 4 + 2 + up)] = 1 << 62
-    if not owners:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U), limits
-    return np.concatenate(owners), np.concatenate(hashes), limits
-
-
-def _chosen(owner: np.ndarray, sig: np.ndarray, rank: np.ndarray, limits: dict[int, int]) -> dict[int, np.ndarray]:
-    """Per set the shared ones among the first k+1 signatures of each instance, rarest first.
-
-    All sets rank signatures alike, so two similar sets share one of their first
-    k+1: those before the first common one are spoiled.  Signatures that no other
-    set has (rank 0) come first and match nothing; sets with over k of them have no partner.
+        last = ends[np.minimum(band + up, len(ends) - 1)]
+        partner = np.minimum(size * 100 // percent, last)
+        k = _budget(2 * last, percent)
+        spoiled = np.where(k <= 2, k, 1)
+        parts = np.where(k <= 2, 1, k // 2 + 1 + k // 16)
+        takes_part = (size > 0) & ((partner > ends[band]) | (up == 0))
+        for k2 in (0, 1, 2):
+            for n2 in {2 * k2 + 2, 3 if k2 == 1 else 2 * k2 + 2}:
+                at = np.flatnonzero(takes_part & (spoiled == k2) & (np.where(k <= 2, 2 * k + 2, 3) == n2))
+                if not len(at):
+                    continue
+                n, n1 = size[at], parts[at]
+                h = np.concatenate([sets[i] for i in at])
+                own = np.repeat(np.arange(len(at)), n)
+                cells = n1 * n2
+                first = np.cumsum(cells) - cells
+                flat = first[own] + (((h >> U(32)) * cells[own].astype(U)) >> U(32)).astype(np.int64)
+                count = np.bincount(flat, minlength=int(cells.sum()))
+                upto = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(h), dtype=U)))
+                end = np.cumsum(count)
+                sums = (upto[end] - upto[end - count]).reshape(-1, n2)
+                count = count.reshape(-1, n2)
+                row_set = np.repeat(np.arange(len(at)), n1)
+                part = np.arange(len(row_set)) - np.repeat(np.cumsum(n1) - n1, n1)
+                tag = mix(part.astype(U) * U(0x9E3779B97F4A7C15) + (band[at] + up).astype(U)[row_set] * U(0xC2B2AE3D27D4EB4F))
+                sig, empty = [], []
+                for q, kept in enumerate(combinations(range(n2), n2 - k2)):
+                    sig.append(mix(sums[:, kept].sum(axis=1, dtype=U) ^ (tag + U(q))))
+                    empty.append(count[:, kept].sum(axis=1) == 0)
+                sure = np.zeros(len(sets), dtype=np.int64)
+                sure[at] = n1 - _budget(n + partner[at], percent) // (k2 + 1)
+                tables.append((at[row_set], np.stack(sig, axis=1), np.stack(empty, axis=1), sure))
+    return tables
+
+
+def _all(tables) -> np.ndarray:
+    return np.concatenate([sig.ravel() for _, sig, _, _ in tables]) if tables else np.zeros(0, dtype=U)
+
+
+def _kept(tables, n_sets: int, distinct: np.ndarray, heard: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per set the signatures that others may share, and how widely its signatures are shared on average.
+
+    ``heard`` is how often each of the ``distinct`` signatures occurs (1: nowhere else).
+    Bland signatures, of empty subsets or with a full count, go where a set can spare
+    them: where fewer parts have any than the parts that a similar set agrees on, one
+    at least of the latter has none, and whichever signature of it is shared is kept by both.
     """
-    order = np.lexsort((sig, rank, owner))
-    owner, sig, rank = owner[order], sig[order], rank[order]
-    ids, first = np.unique(owner, return_index=True)
-    k = np.array([limits[i] for i in ids.tolist()])
-    which = np.searchsorted(ids, owner)
-    take = (np.arange(len(owner)) - first[which] <= k[which]) & (rank > 0)
-    doc, sig, rank = owner[take] // 4, sig[take], rank[take]
-    order = np.lexsort((rank, doc))
-    doc, sig = doc[order], sig[order]
-    ids, first = np.unique(doc, return_index=True)
-    return dict(zip(ids.tolist(), np.split(sig, first[1:]), strict=True)) if len(ids) else {}
-
-
-def _sketch(items: np.ndarray) -> np.ndarray:
-    """Parities of the items over 64 * SKETCH_LONGS cells: two sketches differ in no more cells than the sets in items."""
-    odd = np.bincount((items % U(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    owner, sigs = [], []
+    total, n = np.zeros(n_sets), np.zeros(n_sets)
+    for row_set, sig, empty, sure in tables:
+        c = heard[np.searchsorted(distinct, sig)]
+        bland = empty | (c >= MOST_COUNT)
+        bad = np.bincount(row_set, weights=bland.any(axis=1), minlength=n_sets)
+        keep = (c > 1) & (~bland | (bad >= sure)[row_set][:, None])
+        total += np.bincount(row_set, weights=c.sum(axis=1), minlength=n_sets)
+        n += np.bincount(row_set, minlength=n_sets) * c.shape[1]
+        owner.append(np.broadcast_to(row_set[:, None], sig.shape)[keep])
+        sigs.append(sig[keep])
+    out = [np.zeros(0, dtype=U)] * n_sets
+    if owner:
+        who, what = np.concatenate(owner), np.concatenate(sigs)
+        order = np.argsort(who, kind="stable")
+        ids, start = np.unique(who[order], return_index=True)
+        for i, x in zip(ids.tolist(), np.split(what[order], start[1:]) if len(ids) else [], strict=True):
+            out[i] = x
+    return out, (1000 * total / np.maximum(n, 1)).astype(np.int64)
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """SETS: a row per document; signatures and shingles only where another document may be similar."""
+    """SETS: a row per document; all but the number of shingles only where another document may be similar."""
     chunked, buckets = in_chunks(docs, id_col, text_col)
 
     def blocks(key, table):
-        _, sig, _ = signatures(shingle_sets(table["text"], width), percent)
-        return pack(key[0].as_py(), np.unique(sig), buckets)
+        return pack(key[0].as_py(), np.unique(_all(signatures(shingle_sets(table["text"], width), percent))), buckets)
 
     def select(table, replies):
         sets = shingle_sets(table["text"], width)
-        owner, sig, limits = signatures(sets, percent)
-        distinct, where, n = np.unique(sig, return_inverse=True, return_counts=True)
+        tables = signatures(sets, percent)
+        distinct, n = np.unique(_all(tables), return_counts=True)
         chunks = unpack(replies, distinct, buckets).astype(np.int64)
-        rank = np.where(chunks > 1, chunks, np.where(n > 1, 1, 0))[where]
-        known = np.array(table["doc_id"].is_valid())
-        chosen = {d: s for d, s in _chosen(owner, sig, rank, limits).items() if known[d]}
-        longs = lambda i, x: x.view(np.int64) if i in chosen else None
+        kept, weight = _kept(tables, len(sets), distinct, np.where(chunks > 1, chunks, np.minimum(n, 2)))
+        chosen = [known and len(s) > 0 for known, s in zip(table["doc_id"].is_valid().to_pylist(), kept, strict=True)]
+        longs = lambda xs: pa.array([x.view(np.int64) if c else None for c, x in zip(chosen, xs, strict=True)], pa.list_(pa.int64()))
         return pa.table(
             {
-                "doc_id": table["doc_id"].cast(pa.int64()),
+                "doc_id": table["doc_id"],
                 "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
-                "set_key": pa.array([hashlib.md5(x.tobytes()).digest() if i in chosen else None for i, x in enumerate(sets)], pa.binary()),
-                "signatures": pa.array([longs(i, chosen.get(i)) for i in range(len(sets))], pa.list_(pa.int64())),
-                "sketch": pa.array([_sketch(x) if i in chosen else None for i, x in enumerate(sets)], pa.list_(pa.int64())),
-                "shingles": pa.array([longs(i, x) for i, x in enumerate(sets)], pa.list_(pa.int64())),
+                "set_key": pa.array([hashlib.md5(x.tobytes()).digest() if c else None for c, x in zip(chosen, sets, strict=True)], pa.binary()),
+                "weight": pa.array(weight, pa.int64()),
+                "signatures": longs(kept),
+                "shingles": longs(sets),
             }
         )
 
     replies = count_in_chunks(chunked.groupBy("chunk").applyInArrow(blocks, BLOCKS))
-    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(select, SETS)
+    schema = SETS.format(id=chunked.schema["doc_id"].dataType.simpleString())
+    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(select, schema)
 
 
-def _may_be(least: Column, a: str, b: str) -> Column:
-    """Whether the sketches allow a similarity of ``least`` hundredths."""
-    apart = reduce(add, [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_LONGS)])
-    return apart * (100 + least) <= (100 - least) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar."""
+    side = lambda x: sets.select(F.col("set_key").alias(x), F.col("shingles").alias(f"s{x}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, least), with ``similarity`` in hundredths times the union and ``union``; below ``least`` they go."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    return joined.select("a", "b", "least", (100 * F.col("common")).alias("similarity"), union.alias("union")).where("similarity >= least * union")
+def _close_within(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that may be similar among the ``members`` (p, x, pc, xc, new) of each pivot p.
 
+    Sets are held as their differences D from the pivot's set: x and y differ in
+    |Dx| + |Dy| - 2 |Dx and Dy| items.  Where that needs no common difference, both are
+    similar to p and joined already.  Otherwise they share one, and the first one in
+    any order of the differences that all members use stands at places i and j with
 
-def _weights(groups: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(leader, t): two leaders without members can only be similar if their t add up to 0 or less.
+        |Dy| <= |Dx| - 2i + budget(x, y)  and  |Dx| <= |Dy| - 2j + budget(x, y).
 
-    A shingle that no other leader in play has is a difference from each of them.  Of
-    two similar leaders one at least has t <= 0; those with members always have.
+    The order puts differences first that no member of another component has, then
+    rare ones.  One of the pair, say x, is not similar to p (|Dx| > budget(x, p)): so
+    2j < |Dy| + budget(y, .) - budget(p, .), about the rarer half of Dy, and i <= budget(x, y).
     """
-    playing = sets.join(groups.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("h"))
-    alone = playing.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader")).where("n = 1").groupBy("leader").agg(F.count(F.lit(1)).alias("u"))
-    t = (100 + percent) * F.coalesce("u", F.lit(0)) - (100 - percent) * F.col("size")
-    return leaders.join(alone, "leader", "left").select("leader", F.when(F.col("leads") == 1, -(1 << 60)).otherwise(t).alias("t"))
+    size = lambda c: F.size(c).cast("long")
+    px = members.join(sets.select(F.col("set_key").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("set_key").alias("x"), F.col("shingles").alias("sx")), "x")
+    d = F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))
+    deltas = scratch.save(px.select("p", "x", "xc", "new", (F.col("xc") != F.col("pc")).alias("apart"), size("sx").alias("n"), size("sp").alias("np"), d.alias("d")))
+    each = deltas.select("p", "x", "xc", "new", "apart", "n", "np", size("d").alias("nd"), F.explode("d").alias("item"))
+    open_ = each.groupBy("p", "item").agg(F.count(F.lit(1)).alias("holders"), F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p", "item", "holders")
+    own = Window.partitionBy("p", "x")
+    place = F.row_number().over(own.orderBy("holders", "item")) - 1 + F.col("nd") - F.count(F.lit(1)).over(own)
+    placed = each.join(open_, ["p", "item"]).withColumn("at", place)
+    placed = scratch.save(placed.where(f"at <= {100 - percent} * (n + n * 100 div {percent}) div {100 + percent}"))
+
+    x, y = placed.where("apart").alias("x"), placed.where(f"2 * at * {100 + percent} < {100 + percent} * nd + {100 - percent} * (n - np)").alias("y")
+    budget = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+    fits = (F.col("x.p") == F.col("y.p")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.xc") != F.col("y.xc")) & (F.col("x.new") | F.col("y.new"))
+    fits &= (F.col("y.nd") <= F.col("x.nd") - 2 * F.col("x.at") + budget) & (F.col("x.nd") <= F.col("y.nd") - 2 * F.col("y.at") + budget)
+    return x.join(y, fits).select(F.least("x.x", "y.x").alias("a"), F.greatest("x.x", "y.x").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -179,86 +214,68 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sequence.  The join is exact (``percent`` * union <= 100 * intersection):
 
     1. PartEnum signatures of all sets are counted over the corpus (see ``signatures``);
-       a document that shares too few of them with others has no partner and is done.
-    2. Equal sets become one class, held by its smallest id.
-    3. Classes link to the smallest class of their rarest shared signatures, their
-       leader, if the sets are similar.
-    4. Leaders that share a signature but no component yet are compared: those of which
-       half the budget of differences is left (see ``_weights``) in a circle, at
-       growing distances, a fixed number of pairs per leader and round, and the
-       others with those of them that the budget allows.  As Jaccard
-       distance is a metric, members of two leaders can only link if the leaders
-       are at most their members' distances further apart than a link.
-    5. The members of leaders that near are compared themselves.
-
-    Before sets are fetched, parity sketches rule out pairs that differ too much.
-
-    Result, a row for each input row: doc_id (long), n_shingles, component_id (the
+       a document that shares none has no partner and is done.
+    2. Equal sets become one class.
+    3. Of the classes with a signature, the one that shares most with others is its
+       pivot.  Each class is compared with its best pivot, then with its other pivots
+       that are not in its component yet: a number of pairs in proportion to signatures.
+    4. Two similar classes share a signature and so a pivot.  Pairs that two pivots
+       serve are left to the more popular one where its members are most of the other's;
+       for the rest see ``_close_within``: differences from the pivot are matched by
+       their rarest items, so that a group of near copies is never compared pair by pair.
+
+    Result, a row for each input row: doc_id, n_shingles, component_id (the
     smallest id that links reach, itself included).  Null, empty and separator-only
     texts: no shingles, linked with nothing.  Rows with a null id keep a null
-    component and link nothing; rows that repeat an id are one node.  Other columns
-    are not looked at.
+    component and link nothing; rows that repeat an id are one node.  Ids may be of
+    any type that sorts.  Other columns are not looked at.
     """
+    if not 1 <= percent <= 100 or width < 1:
+        raise ValueError("percent must lie in 1..100 and width be positive")
     scratch = Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(_candidates(docs, id_col, text_col, width, percent))
     shared = found.where("set_key is not null")
     classes = scratch.save(shared.groupBy("set_key").agg(F.min("doc_id").alias("class_id")))
-    sets = scratch.save(
-        shared.join(classes, "set_key").where("doc_id = class_id").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "signatures", "sketch", "shingles")
-    )
-
-    near = sets.select("doc_id", F.explode(F.slice("signatures", 1, STAR_SIGNATURES)).alias("s"))
-    first = near.groupBy("s").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = near.join(first, "s").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct().withColumn("least", F.lit(percent))
-    links = scratch.save(_compared(star, sets).select("a", "b"))
-    parts = connected_components(links, scratch)
-
-    follows = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti").groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("leader"))
-    leads = follows.select(F.col("leader").alias("doc_id")).distinct().withColumn("leads", F.lit(1))
-    with_leader = sets.join(follows, "doc_id", "left").join(leads, "doc_id", "left").join(parts, F.col("doc_id") == F.col("id"), "left")
-    cols = ["doc_id", F.coalesce("leader", "doc_id").alias("leader"), F.coalesce("leads", F.lit(0)).alias("leads"), F.coalesce("component", "doc_id").alias("part")]
-    members = scratch.save(with_leader.select(*cols, F.size("shingles").alias("size"), "sketch", "signatures"))
-
-    shared_by = members.select("leader", "part", F.explode("signatures").alias("s")).distinct()
-    open_ = shared_by.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    leaders = members.where("doc_id = leader").drop("signatures", "doc_id")
-    groups = scratch.save(shared_by.drop("part").join(open_.select("s"), "s"))
-    groups = groups.join(_weights(groups, leaders, sets, percent), "leader")
-    ring = Window.partitionBy("s")
-    light = groups.where("t <= 0").withColumn("i", F.row_number().over(ring.orderBy("leader"))).withColumn("n", F.count(F.lit(1)).over(ring))
-    circle, seen = scratch.measure(light, most=F.max("n"))
-
-    x, y = F.col("x.leader"), F.col("y.leader")
-    ends = [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    far, found_pairs = 0, []
-    met = groups.where("t > 0").alias("x").join(circle.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.t") + F.col("y.t") <= 0))
-    while True:
-        pairs = met.select(*ends).distinct()
-        least = F.greatest(F.lit(0), percent - (100 - percent) * (F.col("l.leads") + F.col("r.leads")))
-        sized = pairs.join(leaders.alias("l"), F.col("a") == F.col("l.leader")).join(leaders.alias("r"), (F.col("b") == F.col("r.leader")) & (F.col("l.part") != F.col("r.part")) & _may_be(least, "l", "r"))
-        found_pairs.append(scratch.save(_compared(sized.select("a", "b", least.cast("int").alias("least")), sets)))
-        if not seen["n"] or 2 * far + 2 > seen["most"]:
-            break
-        to = far + FIRST_OFFSETS * (1 + far)
-        steps = F.explode(F.sequence(F.lit(far + 1), F.least(F.lit(to), F.floor(F.col("n") / 2))))
-        ahead = circle.where(f"n >= {2 * far + 2}").select("s", "leader", "i", "n", steps.alias("o")).withColumn("k", (F.col("i") + F.col("o") - 1) % F.col("n") + 1)
-        met = ahead.alias("x").join(circle.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("k") == F.col("y.i")))
-        far = to
-    found_pairs = reduce(DataFrame.unionByName, found_pairs).distinct()
-    if not found_pairs.isEmpty():
-        links = links.unionByName(found_pairs.where(f"similarity >= {percent} * union").select("a", "b"))
-        close = found_pairs.where(f"similarity < {percent} * union").select("a", "b")
-        one, two = members.alias("l"), members.alias("r")
-        met = close.join(one, F.col("a") == F.col("l.leader")).join(two, (F.col("b") == F.col("r.leader")) & (F.col("l.part") != F.col("r.part")) & _may_be(F.lit(percent), "l", "r"))
-        pairs = met.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct().withColumn("least", F.lit(percent))
-        links = links.unionByName(_compared(pairs, sets).select("a", "b"))
-        parts = connected_components(links, scratch)
-
-    named = classes.join(parts, F.col("class_id") == F.col("id"), "left").select("set_key", F.coalesce("component", "class_id").alias("part"))
-    copies = shared.select("doc_id", "n_shingles", "set_key").join(named, "set_key").groupBy("doc_id").agg(F.min("part").alias("part"))
-    many = shared.select("doc_id", "n_shingles").join(copies, "doc_id").select("doc_id", "n_shingles", F.col("part").alias("component_id"))
-    alone = found.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return alone.unionByName(many)
+    first = classes.select("set_key", F.col("class_id").alias("doc_id"))
+    sets = scratch.save(shared.join(first, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("set_key", "weight", "signatures", "shingles"))
+
+    signed = sets.select("set_key", "weight", F.explode("signatures").alias("s"))
+    top = signed.groupBy("s").agg(F.max(F.struct("weight", "set_key")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = scratch.save(signed.join(top, "s").select("s", F.col("set_key").alias("x"), F.col("top.set_key").alias("p"), F.col("top.weight").alias("pw")))
+    members = scratch.save(entries.select("p", "pw", "x").distinct())
+    others = members.where("p <> x")
+    best = others.groupBy("x").agg(F.max(F.struct("pw", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("x").alias("b"))
+    # rows that repeat an id tie the classes of their texts
+    tied = shared.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a <> z")
+    tied = shared.join(tied, "doc_id").where("a <> set_key").select("a", F.col("set_key").alias("b"))
+    parts = connected_components(scratch.save(_linked(best, sets, percent).unionByName(tied)), scratch)
+
+    def with_parts(rows: DataFrame) -> DataFrame:
+        named = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"{x}c"))
+        return rows.join(named("x"), "x", "left").join(named("p"), "p", "left").withColumns({f"{k}c": F.coalesce(f"{k}c", k) for k in "xp"})
+
+    apart = with_parts(others).where("pc <> xc").select(F.col("p").alias("a"), F.col("x").alias("b"))
+    parts = merged_components(parts, _linked(apart, sets, percent), scratch)
+
+    named = with_parts(members)
+    open_ = named.groupBy("p").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p")
+    named = scratch.save(named.join(open_, "p"))
+    one, two = named.alias("l"), members.alias("r")
+    earlier = (F.col("l.x") == F.col("r.x")) & (F.struct("r.pw", "r.p") > F.struct("l.pw", "l.p"))
+    homes = one.join(two, earlier).groupBy(F.col("l.p").alias("p"), F.col("r.p").alias("home")).agg(F.count(F.lit(1)).alias("n"))
+    homes = homes.groupBy("p").agg(F.max_by("home", F.struct("n", "home")).alias("home"))
+    served = named.join(homes, "p").join(members.select(F.col("p").alias("home"), "x"), ["home", "x"]).select("p", "x", F.lit(False).alias("new"))
+    named = scratch.save(named.join(served, ["p", "x"], "left").select("p", "x", "pc", "xc", F.coalesce("new", F.lit(True)).alias("new")))
+    live = entries.join(named, ["p", "x"]).groupBy("s").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi"), F.max("new").alias("new")).where("lo < hi and new")
+    active = named.join(entries.join(live.select("s"), "s").select("p", "x").distinct(), ["p", "x"])
+    parts = merged_components(parts, _linked(_close_within(active, sets, percent, scratch), sets, percent), scratch)
+
+    classes = classes.join(parts, F.col("set_key") == F.col("id"), "left").select("set_key", "class_id", F.coalesce("component", "set_key").alias("part"))
+    least = classes.groupBy("part").agg(F.min("class_id").alias("component_id"))
+    keyed = shared.select("doc_id", "set_key").join(classes.join(least, "part").select("set_key", "component_id"), "set_key")
+    of_id = keyed.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    return found.select("doc_id", "n_shingles").join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

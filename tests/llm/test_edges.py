@@ -1,6 +1,5 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
-import itertools
 import zlib
 from collections import defaultdict
 
@@ -8,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kurtosia.llm import decontamination, html_text, jaccard_join, nn_descent, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
+from kurtosia.llm import decontamination, html_text, nn_descent, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, chunk string, bucket long, base string, weak string, spans string, a long, s string"
 
@@ -56,61 +55,6 @@ def test_substring_dedup_against_brute_force(spark):
         assert {k for x in r.removed for k in range(x.start, x.end)} == gone[r.doc_id]
 
 
-def _shingles(text):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
-
-
-def test_jaccard_components_against_brute_force(spark):
-    rng = np.random.default_rng(5)
-    common = [f"c{i}" for i in range(45)]
-    rows = [(i, t) for i, t in ODD if i != 4 and i is not None and i != 5] + [(5, "one two")]
-    base = [[f"b{k}_{i}" for i in range(n)] for k, n in enumerate((6, 12, 40, 90, 200))]
-    for i in range(100, 220):
-        words = list(base[i % 5])
-        for _ in range(int(rng.integers(0, 1 + len(words) // 18))):
-            words[int(rng.integers(0, len(words)))] = f"e{rng.integers(0, 9)}"
-        rows.append((i, " ".join(words)))
-    rows += [(i, " ".join([*common, *[f"t{i}_{j}" for j in range(int(rng.integers(1, 14)))]])) for i in range(300, 340)]  # a common passage
-    sets = {i: _shingles(t) for i, t in rows}
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b in itertools.combinations(sets, 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(spark, rows)).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
-
-
-def test_jaccard_components_of_odd_rows(spark):
-    out = jaccard_join.jaccard_components(docs(spark, ODD))
-    rows = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str)
-    assert rows == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 1, None), (None, 0, None), (4, 59996, 4), (5, 1, 5), (5, 1, 5), (6, 1, 5)], key=str)
-    assert jaccard_join.jaccard_components(docs(spark, [])).collect() == []
-
-
-def test_signatures_are_shared_by_all_similar_sets():
-    rng = np.random.default_rng(7)
-    for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 40, 63, 64, 100, 300):
-        for _ in range(20):
-            items = np.unique(rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64))
-            drop = int(rng.integers(0, n // 5 + 1))
-            a, b = items[:n], items[drop : n + int(rng.integers(0, n // 8 + 1))]
-            union, inter = len(np.union1d(a, b)), len(np.intersect1d(a, b))
-            if 100 * inter < 80 * union:
-                continue
-            owner, sig, limits = jaccard_join.signatures([np.sort(a), np.sort(b)], 80)
-            chosen = jaccard_join._chosen(owner, sig, np.array([np.count_nonzero(sig == s) for s in sig]), limits)
-            one = jaccard_join._chosen(owner, sig, np.array([2 if np.count_nonzero(sig == s) > 1 else 0 for s in sig]), limits)
-            assert chosen and len(np.intersect1d(one.get(0, []), one.get(1, []))), (n, union, inter)
-
-
 def test_packing_round_trip(spark):
     rows = [*ODD, *[(i, "word " * (i * 37 % 3000)) for i in range(10, 60)]]
     texts = defaultdict(list)
