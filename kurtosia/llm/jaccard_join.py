@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +16,9 @@ from .components import connected_components, merged_components
 from .hashing import WORD_BASE, U, mix, rolling, utf8_slices, window_hashes, word_hashes, words
 from .scratch import Scratch
 
-SETS = "doc_id {id}, n_shingles long, set_key binary, weight long, signatures array<long>, shingles array<long>"
+SETS = "doc_id {id}, n_shingles long, set_key binary, weight long, widest array<long>, kept binary, shingles array<long>"
+ENTRIES = "s long, x long, weight long, part long"
+WIDEST = 8
 
 
 def shingle_sets(text: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -59,9 +62,10 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, n
     sets share a signature.
 
     k up to 2: n1 = 1, k2 = k, n2 = 2k + 2.  Else k2 = 1, n2 = 3 and n1 = k/2 + 1 and a
-    sixteenth of k more.  Each table is (set of each row, signatures, whether a
-    subset is empty, per set and in sets' order the least number of parts in which
-    a similar set differs in k2 items or fewer).
+    sixteenth of k more.  A set whose partners are so small that they differ from it in
+    at most k' < k items gives only the first parts, k - k' over two fewer: in what
+    two similar sets both give, as many parts as ``sure`` differ in k2 items or fewer.
+    Each table is (set of each row, signatures, whether a subset is empty, sure by row).
     """
     size = np.array([len(x) for x in sets], dtype=np.int64)
     ends = _band_ends(percent, int(size.max(initial=0)))
@@ -72,7 +76,9 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, n
         partner = np.minimum(size * 100 // percent, last)
         k = _budget(2 * last, percent)
         spoiled = np.where(k <= 2, k, 1)
-        parts = np.where(k <= 2, 1, k // 2 + 1 + k // 16)
+        spare = np.where(k <= 2, 0, k // 16)
+        parts = np.where(k <= 2, 1, k // 2 + 1 + spare)
+        given = np.where(k <= 2, 1, _budget(size + partner, percent) // 2 + 1 + spare)
         takes_part = (size > 0) & ((partner > ends[band]) | (up == 0))
         for k2 in (0, 1, 2):
             for n2 in {2 * k2 + 2, 3 if k2 == 1 else 2 * k2 + 2}:
@@ -92,14 +98,13 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, n
                 count = count.reshape(-1, n2)
                 row_set = np.repeat(np.arange(len(at)), n1)
                 part = np.arange(len(row_set)) - np.repeat(np.cumsum(n1) - n1, n1)
+                first_parts = part < given[at][row_set]
+                row_set, part, sums, count = row_set[first_parts], part[first_parts], sums[first_parts], count[first_parts]
                 tag = mix(part.astype(U) * U(0x9E3779B97F4A7C15) + (band[at] + up).astype(U)[row_set] * U(0xC2B2AE3D27D4EB4F))
-                sig, empty = [], []
-                for q, kept in enumerate(combinations(range(n2), n2 - k2)):
-                    sig.append(mix(sums[:, kept].sum(axis=1, dtype=U) ^ (tag + U(q))))
-                    empty.append(count[:, kept].sum(axis=1) == 0)
-                sure = np.zeros(len(sets), dtype=np.int64)
-                sure[at] = n1 - _budget(n + partner[at], percent) // (k2 + 1)
-                tables.append((at[row_set], np.stack(sig, axis=1), np.stack(empty, axis=1), sure))
+                subsets = list(combinations(range(n2), n2 - k2))
+                sig = np.stack([mix(sums[:, kept].sum(axis=1, dtype=U) ^ (tag + U(q))) for q, kept in enumerate(subsets)], axis=1)
+                empty = np.stack([count[:, kept].sum(axis=1) == 0 for kept in subsets], axis=1)
+                tables.append((at[row_set], sig, empty, 1 + spare[at][row_set]))
     return tables
 
 
@@ -107,33 +112,31 @@ def _all(tables) -> np.ndarray:
     return np.concatenate([sig.ravel() for _, sig, _, _ in tables]) if tables else np.zeros(0, dtype=U)
 
 
-def _kept(tables, n_sets: int, distinct: np.ndarray, heard: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per set the signatures that others may share, and how widely its signatures are shared on average.
+def _by_set(tables, *columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The owners of all signatures, in order of sets, and the columns (a matrix for each table) in that order."""
+    if not tables:
+        return [np.zeros(0, dtype=np.int64), *[np.zeros(0, dtype=U) for _ in columns]]
+    owner = np.concatenate([np.repeat(row_set, sig.shape[1]) for row_set, sig, _, _ in tables])
+    order = np.argsort(owner, kind="stable")
+    return [owner[order], *[np.concatenate([m.ravel() for m in c])[order] for c in columns]]
+
+
+def _wanted(tables, n_sets: int, distinct: np.ndarray, heard: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each table how often its signatures are heard, and which of them others may share.
 
     ``heard`` is how often each of the ``distinct`` signatures occurs (1: nowhere else).
     Bland signatures, of empty subsets or with a full count, go where a set can spare
     them: where fewer parts have any than the parts that a similar set agrees on, one
     at least of the latter has none, and whichever signature of it is shared is kept by both.
     """
-    owner, sigs = [], []
-    total, n = np.zeros(n_sets), np.zeros(n_sets)
+    counts, keep = [], []
     for row_set, sig, empty, sure in tables:
         c = heard[np.searchsorted(distinct, sig)]
         bland = empty | (c >= MOST_COUNT)
         bad = np.bincount(row_set, weights=bland.any(axis=1), minlength=n_sets)
-        keep = (c > 1) & (~bland | (bad >= sure)[row_set][:, None])
-        total += np.bincount(row_set, weights=c.sum(axis=1), minlength=n_sets)
-        n += np.bincount(row_set, minlength=n_sets) * c.shape[1]
-        owner.append(np.broadcast_to(row_set[:, None], sig.shape)[keep])
-        sigs.append(sig[keep])
-    out = [np.zeros(0, dtype=U)] * n_sets
-    if owner:
-        who, what = np.concatenate(owner), np.concatenate(sigs)
-        order = np.argsort(who, kind="stable")
-        ids, start = np.unique(who[order], return_index=True)
-        for i, x in zip(ids.tolist(), np.split(what[order], start[1:]) if len(ids) else [], strict=True):
-            out[i] = x
-    return out, (1000 * total / np.maximum(n, 1)).astype(np.int64)
+        counts.append(c)
+        keep.append((c > 1) & (~bland | (bad[row_set] >= sure)[:, None]))
+    return counts, keep
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -148,32 +151,62 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         tables = signatures(sets, percent)
         distinct, n = np.unique(_all(tables), return_counts=True)
         chunks = unpack(replies, distinct, buckets).astype(np.int64)
-        kept, weight = _kept(tables, len(sets), distinct, np.where(chunks > 1, chunks, np.minimum(n, 2)))
-        chosen = [known and len(s) > 0 for known, s in zip(table["doc_id"].is_valid().to_pylist(), kept, strict=True)]
-        longs = lambda xs: pa.array([x.view(np.int64) if c else None for c, x in zip(chosen, xs, strict=True)], pa.list_(pa.int64()))
-        return pa.table(
-            {
-                "doc_id": table["doc_id"],
-                "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
-                "set_key": pa.array([hashlib.md5(x.tobytes()).digest() if c else None for c, x in zip(chosen, sets, strict=True)], pa.binary()),
-                "weight": pa.array(weight, pa.int64()),
-                "signatures": longs(kept),
-                "shingles": longs(sets),
-            }
-        )
+        counts, keep = _wanted(tables, len(sets), distinct, np.where(chunks > 1, chunks, np.minimum(n, 2)))
+        owner, sig, c, k = _by_set(tables, [x[1] for x in tables], counts, keep)
+        bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
+        rows = [[] for _ in range(5)]
+        for i, known in enumerate(table["doc_id"].is_valid().to_pylist()):
+            at = slice(bounds[i], bounds[i + 1])
+            if known and k[at].any():
+                own = np.flatnonzero(k[at])
+                widest = own[np.argsort(-c[at][own], kind="stable")[:WIDEST]]
+                row = (hashlib.md5(sets[i].tobytes()).digest(), int(1000 * c[at].mean()), sig[at][widest].view(np.int64), np.packbits(k[at]).tobytes(), sets[i].view(np.int64))
+            else:
+                row = (None,) * 5
+            for column, value in zip(rows, row, strict=True):
+                column.append(value)
+        longs = pa.list_(pa.int64())
+        columns = [pa.array(x, kind) for x, kind in zip(rows, (pa.binary(), pa.int64(), longs, pa.binary(), longs), strict=True)]
+        names = ["doc_id", "n_shingles", "set_key", "weight", "widest", "kept", "shingles"]
+        return pa.Table.from_arrays([table["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *columns], names=names)
 
     replies = count_in_chunks(chunked.groupBy("chunk").applyInArrow(blocks, BLOCKS))
     schema = SETS.format(id=chunked.schema["doc_id"].dataType.simpleString())
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(select, schema)
 
 
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
+    """ENTRIES: a row for each kept signature of the sets (x, weight, part, kept, shingles)."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                sets = [np.asarray(x.values).view(U) for x in b["shingles"]]
+                tables = signatures(sets, percent)
+                owner, sig = _by_set(tables, [x[1] for x in tables])
+                n = np.bincount(owner, minlength=len(sets))
+                keep = np.concatenate([np.unpackbits(np.frombuffer(m.as_py(), dtype=np.uint8), count=c) for m, c in zip(b["kept"], n, strict=True)]).astype(bool)
+                of = owner[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), *[b[c].take(pa.array(of)) for c in ("x", "weight", "part")]], ["s", "x", "weight", "part"])
+
+    return sets.select("x", "weight", "part", "kept", "shingles").mapInArrow(entries, ENTRIES)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar."""
-    side = lambda x: sets.select(F.col("set_key").alias(x), F.col("shingles").alias(f"s{x}"))
+    side = lambda x: sets.select(F.col("x").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def _with_pivots(entries: DataFrame) -> DataFrame:
+    """The entries (s, x, weight) that others share, with their pivot p: the one of most weight."""
+    rank = F.max(F.struct("weight", "x"))
+    top = entries.groupBy("s").agg(rank.alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return entries.join(top.select("s", F.col("top.x").alias("p"), F.col("top.weight").alias("pw")), "s")
+
+
 def _close_within(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) that may be similar among the ``members`` (p, x, pc, xc, new) of each pivot p.
 
@@ -189,7 +222,7 @@ def _close_within(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     2j < |Dy| + budget(y, .) - budget(p, .), about the rarer half of Dy, and i <= budget(x, y).
     """
     size = lambda c: F.size(c).cast("long")
-    px = members.join(sets.select(F.col("set_key").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("set_key").alias("x"), F.col("shingles").alias("sx")), "x")
+    px = members.join(sets.select(F.col("x").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select("x", F.col("shingles").alias("sx")), "x")
     d = F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))
     deltas = scratch.save(px.select("p", "x", "xc", "new", (F.col("xc") != F.col("pc")).alias("apart"), size("sx").alias("n"), size("sp").alias("np"), d.alias("d")))
     each = deltas.select("p", "x", "xc", "new", "apart", "n", "np", size("d").alias("nd"), F.explode("d").alias("item"))
@@ -217,9 +250,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        a document that shares none has no partner and is done.
     2. Equal sets become one class.
     3. Of the classes with a signature, the one that shares most with others is its
-       pivot.  Each class is compared with its best pivot, then with its other pivots
-       that are not in its component yet: a number of pairs in proportion to signatures.
-    4. Two similar classes share a signature and so a pivot.  Pairs that two pivots
+       pivot.  Each class is compared with the best pivot of its WIDEST most common
+       signatures, then with those of their pivots that are not in its component yet.
+    4. All signatures that classes of different components share are open.  Classes
+       are compared with their pivots there in the same way.
+    5. Two similar classes share a signature and so a pivot.  Pairs that two pivots
        serve are left to the more popular one where its members are most of the other's;
        for the rest see ``_close_within``: differences from the pivot are matched by
        their rarest items, so that a group of near copies is never compared pair by pair.
@@ -235,47 +270,61 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(_candidates(docs, id_col, text_col, width, percent))
     shared = found.where("set_key is not null")
-    classes = scratch.save(shared.groupBy("set_key").agg(F.min("doc_id").alias("class_id")))
-    first = classes.select("set_key", F.col("class_id").alias("doc_id"))
-    sets = scratch.save(shared.join(first, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("set_key", "weight", "signatures", "shingles"))
+    classes = scratch.save(shared.groupBy("set_key").agg(F.min("doc_id").alias("class_id")).withColumn("x", F.monotonically_increasing_id()))
+    first = classes.select("set_key", F.col("class_id").alias("doc_id"), "x")
+    sets = scratch.save(shared.join(first, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("x", "weight", "widest", "kept", "shingles"))
+    alone = found.where("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("x"))
+    rows = scratch.save(alone.unionByName(shared.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "x"), "set_key").drop("set_key")))
+    scratch.drop(found)
 
-    signed = sets.select("set_key", "weight", F.explode("signatures").alias("s"))
-    top = signed.groupBy("s").agg(F.max(F.struct("weight", "set_key")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = scratch.save(signed.join(top, "s").select("s", F.col("set_key").alias("x"), F.col("top.set_key").alias("p"), F.col("top.weight").alias("pw")))
-    members = scratch.save(entries.select("p", "pw", "x").distinct())
-    others = members.where("p <> x")
-    best = others.groupBy("x").agg(F.max(F.struct("pw", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("x").alias("b"))
     # rows that repeat an id tie the classes of their texts
-    tied = shared.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a <> z")
-    tied = shared.join(tied, "doc_id").where("a <> set_key").select("a", F.col("set_key").alias("b"))
-    parts = connected_components(scratch.save(_linked(best, sets, percent).unionByName(tied)), scratch)
+    tied = rows.where("x is not null").groupBy("doc_id").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a <> z")
+    tied = rows.join(tied, "doc_id").where("x is not null and a <> x").select("a", F.col("x").alias("b"))
 
-    def with_parts(rows: DataFrame) -> DataFrame:
+    def apart(members: DataFrame, parts: DataFrame) -> DataFrame:
+        """Members (p, x) and their components pc and xc, where these differ."""
         named = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"{x}c"))
-        return rows.join(named("x"), "x", "left").join(named("p"), "p", "left").withColumns({f"{k}c": F.coalesce(f"{k}c", k) for k in "xp"})
-
-    apart = with_parts(others).where("pc <> xc").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    parts = merged_components(parts, _linked(apart, sets, percent), scratch)
+        both = members.join(named("x"), "x", "left").join(named("p"), "p", "left")
+        return both.withColumns({f"{k}c": F.coalesce(f"{k}c", k) for k in "xp"})
+
+    def joined_to_pivots(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """The components once all members are compared with their pivots, the best one first."""
+        best = members.where("p <> x") if parts is None else apart(members, parts).where("pc <> xc")
+        best = best.groupBy("x").agg(F.max(F.struct("pw", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("x").alias("b"))
+        links = _linked(best, sets, percent)
+        parts = connected_components(scratch.save(links.unionByName(tied)), scratch) if parts is None else merged_components(parts, links, scratch)
+        rest = apart(members, parts).where("pc <> xc").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        return merged_components(parts, _linked(rest, sets, percent), scratch)
+
+    wide = _with_pivots(sets.select(F.explode("widest").alias("s"), "x", "weight"))
+    parts = joined_to_pivots(scratch.save(wide.select("p", "pw", "x").distinct()), None)
+
+    labelled = sets.join(parts.select(F.col("id").alias("x"), F.col("component").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
+    signed = _entries(labelled, percent)
+    open_ = signed.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("s")
+    entries = scratch.save(_with_pivots(signed.drop("part").join(open_, "s")))
+    members = scratch.save(entries.select("p", "pw", "x").distinct())
+    parts = joined_to_pivots(members, parts)
 
-    named = with_parts(members)
-    open_ = named.groupBy("p").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p")
-    named = scratch.save(named.join(open_, "p"))
+    named = apart(members, parts)
+    mixed = named.groupBy("p").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p")
+    named = scratch.save(named.join(mixed, "p"))
     one, two = named.alias("l"), members.alias("r")
     earlier = (F.col("l.x") == F.col("r.x")) & (F.struct("r.pw", "r.p") > F.struct("l.pw", "l.p"))
     homes = one.join(two, earlier).groupBy(F.col("l.p").alias("p"), F.col("r.p").alias("home")).agg(F.count(F.lit(1)).alias("n"))
-    homes = homes.groupBy("p").agg(F.max_by("home", F.struct("n", "home")).alias("home"))
+    homes = homes.groupBy("p").agg(F.max(F.struct("n", "home")).alias("top")).select("p", "top.home")
     served = named.join(homes, "p").join(members.select(F.col("p").alias("home"), "x"), ["home", "x"]).select("p", "x", F.lit(False).alias("new"))
     named = scratch.save(named.join(served, ["p", "x"], "left").select("p", "x", "pc", "xc", F.coalesce("new", F.lit(True)).alias("new")))
     live = entries.join(named, ["p", "x"]).groupBy("s").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi"), F.max("new").alias("new")).where("lo < hi and new")
     active = named.join(entries.join(live.select("s"), "s").select("p", "x").distinct(), ["p", "x"])
     parts = merged_components(parts, _linked(_close_within(active, sets, percent, scratch), sets, percent), scratch)
 
-    classes = classes.join(parts, F.col("set_key") == F.col("id"), "left").select("set_key", "class_id", F.coalesce("component", "set_key").alias("part"))
+    classes = classes.join(parts, F.col("x") == F.col("id"), "left").select("x", "class_id", F.coalesce("component", "x").alias("part"))
     least = classes.groupBy("part").agg(F.min("class_id").alias("component_id"))
-    keyed = shared.select("doc_id", "set_key").join(classes.join(least, "part").select("set_key", "component_id"), "set_key")
-    of_id = keyed.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    of_x = classes.join(least, "part").select("x", "component_id")
+    of_id = rows.where("x is not null").join(of_x, "x").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return found.select("doc_id", "n_shingles").join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles").join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
