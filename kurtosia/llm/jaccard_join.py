@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,11 @@ from .components import connected_components, merged_components
 from .hashing import WORD_BASE, U, mix, rolling, utf8_slices, window_hashes, word_hashes, words
 from .scratch import Scratch
 
-SETS = "doc_id {id}, n_shingles long, set_key binary, weight long, widest array<long>, kept binary, shingles array<long>"
+SETS = "doc_id {id}, n_shingles long, set_key binary, weight long, sketch array<long>, widest array<long>, kept binary, shingles array<long>"
 ENTRIES = "s long, x long, weight long, part long"
 WIDEST = 8
+PIVOTS = 4
+SKETCH_LONGS = 16
 
 
 def shingle_sets(text: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -61,8 +65,8 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, n
     a set's items in one subset.  Some subset holds none of the k2 differences: similar
     sets share a signature.
 
-    k up to 2: n1 = 1, k2 = k, n2 = 2k + 2.  Else k2 = 1, n2 = 3 and n1 = k/2 + 1 and a
-    sixteenth of k more.  A set whose partners are so small that they differ from it in
+    k up to 2: n1 = 1, k2 = k, n2 = 2k + 2.  Else k2 = 1, n2 = 3 and n1 = k/2 + 1 and k/8 + 1
+    spare ones more.  A set whose partners are so small that they differ from it in
     at most k' < k items gives only the first parts, k - k' over two fewer: in what
     two similar sets both give, as many parts as ``sure`` differ in k2 items or fewer.
     Each table is (set of each row, signatures, whether a subset is empty, sure by row).
@@ -76,7 +80,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, n
         partner = np.minimum(size * 100 // percent, last)
         k = _budget(2 * last, percent)
         spoiled = np.where(k <= 2, k, 1)
-        spare = np.where(k <= 2, 0, k // 16)
+        spare = np.where(k <= 2, 0, k // 8 + 1)
         parts = np.where(k <= 2, 1, k // 2 + 1 + spare)
         given = np.where(k <= 2, 1, _budget(size + partner, percent) // 2 + 1 + spare)
         takes_part = (size > 0) & ((partner > ends[band]) | (up == 0))
@@ -125,20 +129,29 @@ def _wanted(tables, n_sets: int, distinct: np.ndarray, heard: np.ndarray) -> tup
     """For each table how often its signatures are heard, and which of them others may share.
 
     ``heard`` is how often each of the ``distinct`` signatures occurs (1: nowhere else).
-    Bland signatures, of empty subsets or with a full count, go where a set can spare
-    them: where fewer parts have any than the parts that a similar set agrees on, one
-    at least of the latter has none, and whichever signature of it is shared is kept by both.
+    A set shares a signature of ``sure`` parts at least with a similar one; where fewer
+    parts have any that is heard twice, none is kept.  Bland signatures, of empty
+    subsets or with a full count, go where a set can spare them: where fewer parts than
+    ``sure`` have any, one at least of those shared with a similar set has none, and
+    whichever signature of it is shared is kept by both.
     """
     counts, keep = [], []
     for row_set, sig, empty, sure in tables:
         c = heard[np.searchsorted(distinct, sig)]
+        parts_with = lambda x: np.bincount(row_set, weights=x.any(axis=1), minlength=n_sets)[row_set]  # noqa: B023, E731
         bland = empty | (c >= MOST_COUNT)
-        bad = np.bincount(row_set, weights=bland.any(axis=1), minlength=n_sets)
+        enough, spared = parts_with(c > 1) >= sure, parts_with(bland) < sure
         counts.append(c)
-        keep.append((c > 1) & (~bland | (bad[row_set] >= sure)[:, None]))
+        keep.append((c > 1) & enough[:, None] & ~(bland & spared[:, None]))
     return counts, keep
 
 
+def _sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of the items over 64 * SKETCH_LONGS cells: two sketches differ in no more cells than the sets in items."""
+    odd = np.bincount((items % U(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """SETS: a row per document; all but the number of shingles only where another document may be similar."""
     chunked, buckets = in_chunks(docs, id_col, text_col)
@@ -154,20 +167,20 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         counts, keep = _wanted(tables, len(sets), distinct, np.where(chunks > 1, chunks, np.minimum(n, 2)))
         owner, sig, c, k = _by_set(tables, [x[1] for x in tables], counts, keep)
         bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
-        rows = [[] for _ in range(5)]
+        rows = [[] for _ in range(6)]
         for i, known in enumerate(table["doc_id"].is_valid().to_pylist()):
             at = slice(bounds[i], bounds[i + 1])
             if known and k[at].any():
                 own = np.flatnonzero(k[at])
                 widest = own[np.argsort(-c[at][own], kind="stable")[:WIDEST]]
-                row = (hashlib.md5(sets[i].tobytes()).digest(), int(1000 * c[at].mean()), sig[at][widest].view(np.int64), np.packbits(k[at]).tobytes(), sets[i].view(np.int64))
+                row = (hashlib.md5(sets[i].tobytes()).digest(), int(1000 * c[at].mean()), _sketch(sets[i]), sig[at][widest].view(np.int64), np.packbits(k[at]).tobytes(), sets[i].view(np.int64))
             else:
-                row = (None,) * 5
+                row = (None,) * 6
             for column, value in zip(rows, row, strict=True):
                 column.append(value)
         longs = pa.list_(pa.int64())
-        columns = [pa.array(x, kind) for x, kind in zip(rows, (pa.binary(), pa.int64(), longs, pa.binary(), longs), strict=True)]
-        names = ["doc_id", "n_shingles", "set_key", "weight", "widest", "kept", "shingles"]
+        columns = [pa.array(x, kind) for x, kind in zip(rows, (pa.binary(), pa.int64(), longs, longs, pa.binary(), longs), strict=True)]
+        names = ["doc_id", "n_shingles", "set_key", "weight", "sketch", "widest", "kept", "shingles"]
         return pa.Table.from_arrays([table["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *columns], names=names)
 
     replies = count_in_chunks(chunked.groupBy("chunk").applyInArrow(blocks, BLOCKS))
@@ -194,17 +207,26 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
+    """Those of the pairs (a, b) whose sets are similar.  Sketches rule out most others before sets are fetched."""
+    small = lambda x: sets.select(F.col("x").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    apart = reduce(add, [F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(SKETCH_LONGS)])
+    near = pairs.join(small("a"), "a").join(small("b"), "b").where(apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
     side = lambda x: sets.select(F.col("x").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return near.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def _with_pivots(entries: DataFrame) -> DataFrame:
-    """The entries (s, x, weight) that others share, with their pivot p: the one of most weight."""
-    rank = F.max(F.struct("weight", "x"))
-    top = entries.groupBy("s").agg(rank.alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return entries.join(top.select("s", F.col("top.x").alias("p"), F.col("top.weight").alias("pw")), "s")
+    """The entries (s, x, weight) that others share, with their pivots: of each of PIVOTS classes by hash the one of most weight, the best first."""
+    of = lambda c: F.max(F.when(F.pmod(F.xxhash64("x"), F.lit(PIVOTS)) == c, F.struct("weight", "x")))
+    top = entries.groupBy("s").agg(F.sort_array(F.array_compact(F.array(*[of(c) for c in range(PIVOTS)])), asc=False).alias("pivots"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return entries.join(top.select("s", "pivots"), "s").select("s", "x", "pivots")
+
+
+def _compared(entries: DataFrame, most: int = PIVOTS) -> DataFrame:
+    """(p, pw, x) once for each class and pivot of its entries, ``most`` pivots of a signature."""
+    pairs = entries.select("x", F.explode(F.slice("pivots", 1, most)).alias("p")).where("p.x <> x")
+    return pairs.select(F.col("p.x").alias("p"), F.col("p.weight").alias("pw"), "x").distinct()
 
 
 def _close_within(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -249,15 +271,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. PartEnum signatures of all sets are counted over the corpus (see ``signatures``);
        a document that shares none has no partner and is done.
     2. Equal sets become one class.
-    3. Of the classes with a signature, the one that shares most with others is its
-       pivot.  Each class is compared with the best pivot of its WIDEST most common
-       signatures, then with those of their pivots that are not in its component yet.
+    3. Pivots of a signature are PIVOTS of the classes that have it, those that share most
+       with others.  Each class is compared with the best pivots of its WIDEST most
+       common signatures.
     4. All signatures that classes of different components share are open.  Classes
-       are compared with their pivots there in the same way.
-    5. Two similar classes share a signature and so a pivot.  Pairs that two pivots
-       serve are left to the more popular one where its members are most of the other's;
-       for the rest see ``_close_within``: differences from the pivot are matched by
-       their rarest items, so that a group of near copies is never compared pair by pair.
+       are compared with their pivots there: a number of pairs in proportion to signatures.
+    5. Two similar classes share a signature and so its best pivot.  Those that are no
+       pivots of it and not yet joined are found by ``_close_within``: differences from the
+       pivot are matched by their rarest items, so that a group of near copies is never
+       compared pair by pair.  Pairs that two pivots serve are left to the more popular
+       one where its members are most of the other's.
 
     Result, a row for each input row: doc_id, n_shingles, component_id (the
     smallest id that links reach, itself included).  Null, empty and separator-only
@@ -272,7 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = found.where("set_key is not null")
     classes = scratch.save(shared.groupBy("set_key").agg(F.min("doc_id").alias("class_id")).withColumn("x", F.monotonically_increasing_id()))
     first = classes.select("set_key", F.col("class_id").alias("doc_id"), "x")
-    sets = scratch.save(shared.join(first, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("x", "weight", "widest", "kept", "shingles"))
+    sets = scratch.save(shared.join(first, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("x", "weight", F.col("n_shingles").alias("n"), "sketch", "widest", "kept", "shingles"))
     alone = found.where("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("x"))
     rows = scratch.save(alone.unionByName(shared.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "x"), "set_key").drop("set_key")))
     scratch.drop(found)
@@ -297,16 +320,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return merged_components(parts, _linked(rest, sets, percent), scratch)
 
     wide = _with_pivots(sets.select(F.explode("widest").alias("s"), "x", "weight"))
-    parts = joined_to_pivots(scratch.save(wide.select("p", "pw", "x").distinct()), None)
+    parts = joined_to_pivots(scratch.save(_compared(wide, 1)), None)
 
     labelled = sets.join(parts.select(F.col("id").alias("x"), F.col("component").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
     signed = _entries(labelled, percent)
     open_ = signed.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("s")
     entries = scratch.save(_with_pivots(signed.drop("part").join(open_, "s")))
-    members = scratch.save(entries.select("p", "pw", "x").distinct())
-    parts = joined_to_pivots(members, parts)
+    parts = joined_to_pivots(scratch.save(_compared(entries)), parts)
 
-    named = apart(members, parts)
+    entries = entries.withColumn("p", F.col("pivots")[0]["x"]).withColumn("pw", F.col("pivots")[0]["weight"]).withColumn("is_pivot", F.exists("pivots", lambda v: v["x"] == F.col("x")))
+    members = scratch.save(entries.select("p", "pw", "x").distinct())
+    rest = entries.where("not is_pivot")  # pivots are compared with all that share their signatures
+    named = apart(rest.select("p", "pw", "x").distinct(), parts)
     mixed = named.groupBy("p").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p")
     named = scratch.save(named.join(mixed, "p"))
     one, two = named.alias("l"), members.alias("r")
@@ -315,8 +340,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     homes = homes.groupBy("p").agg(F.max(F.struct("n", "home")).alias("top")).select("p", "top.home")
     served = named.join(homes, "p").join(members.select(F.col("p").alias("home"), "x"), ["home", "x"]).select("p", "x", F.lit(False).alias("new"))
     named = scratch.save(named.join(served, ["p", "x"], "left").select("p", "x", "pc", "xc", F.coalesce("new", F.lit(True)).alias("new")))
-    live = entries.join(named, ["p", "x"]).groupBy("s").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi"), F.max("new").alias("new")).where("lo < hi and new")
-    active = named.join(entries.join(live.select("s"), "s").select("p", "x").distinct(), ["p", "x"])
+    live = rest.join(named, ["p", "x"]).groupBy("s").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi"), F.max("new").alias("new")).where("lo < hi and new")
+    active = named.join(rest.join(live.select("s"), "s").select("p", "x").distinct(), ["p", "x"])
     parts = merged_components(parts, _linked(_close_within(active, sets, percent, scratch), sets, percent), scratch)
 
     classes = classes.join(parts, F.col("x") == F.col("id"), "left").select("x", "class_id", F.coalesce("component", "x").alias("part"))
