@@ -121,3 +121,18 @@ def window_hashes(h: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     begin = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(total)
     return begin, mix(rolling(h, begin, begin + width, WORD_BASE) + U(width))
+
+
+def other_window_hashes(h: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """A second hash of the windows that start at ``begin``, of another kind: the exclusive or of the words' numbers, each turned by its place."""
+    g = mix(h ^ U(0xA0761D6478BD642F))
+    turn = (np.arange(len(g), dtype=U) & U(63)).astype(U)
+    total = np.zeros(len(g) + 1, dtype=U)
+    np.bitwise_xor.accumulate(_turned(g, turn), out=total[1:])
+    back = (U(64) - (begin.astype(U) & U(63))) & U(63)
+    return mix(_turned(total[begin + width] ^ total[begin], back))
+
+
+def _turned(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Rotation of the 64 bits to the left."""
+    return (x << by) | (x >> ((U(64) - by) & U(63)))

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Labelled pages that a fit reads at most, smallest hash of the page first.
 SAMPLE = 2000
-#: Marks (element names, class and id words) whose weights are kept, the commonest first.
-MOST_MARKS = 2000
 WORD_SCORE = 1.0
 LINKED_SCORE = 0.25
 DROPPED_TAG = 0.25
@@ -193,6 +191,19 @@ def tag_costs(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return {m: min(hi, max(lo, x)) for m, x in odds.items()}
 
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous part of the largest sum above 0, the first of equals; one pass."""
+    best = total = 0.0
+    first, region = 0, (0, 0)
+    for i, x in enumerate(scores):
+        total += x
+        if total <= 0:
+            total, first = 0.0, i + 1
+        elif total > best:
+            best, region = total, (first, i + 1)
+    return region
+
+
 def main_text(page: str | None, costs: dict[str, float]) -> str:
     """The blocks of the best region, joined by a newline.
 
@@ -205,22 +216,16 @@ def main_text(page: str | None, costs: dict[str, float]) -> str:
     found = tokens(page or "")
     default = TAG_SCORES[0] * PRIOR
     costs = _NAMED_COSTS | costs
-    best = total = 0.0
-    first, region = 0, (0, 0)
-    for i, t in enumerate(found):
+
+    def score(t: Token) -> float:
         e = t.element
         if t.text is not None:
-            total += 0.0 if e.dropped else t.words * (LINKED_SCORE if e.linked else WORD_SCORE)
-        elif e.dropped:
-            total -= DROPPED_TAG
-        else:
-            total -= max(costs.get(m, default) for m in e.marks)
-        if total <= 0:
-            total, first = 0.0, i + 1
-        elif total > best:
-            best, region = total, (first, i + 1)
+            return 0.0 if e.dropped else t.words * (LINKED_SCORE if e.linked else WORD_SCORE)
+        return -DROPPED_TAG if e.dropped else -max(costs.get(m, default) for m in e.marks)
+
+    start, end = best_region([score(t) for t in found])
     blocks, part = [], []
-    for t in found[region[0] : region[1]]:
+    for t in found[start:end]:
         if t.block:
             blocks.append("".join(part))
             part = []
@@ -249,7 +254,7 @@ def learn_costs(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
         keys = sorted(total)
         yield pa.RecordBatch.from_pydict({"mark": pa.array([k[0] for k in keys], pa.string()), "content": pa.array([k[1] for k in keys], pa.bool_()), "n": pa.array([total[k] for k in keys], pa.int64())})
 
-    rows = sample.mapInArrow(count, "mark string, content boolean, n long").groupBy("mark", "content").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "mark", "content").limit(MOST_MARKS)
+    rows = sample.mapInArrow(count, "mark string, content boolean, n long").groupBy("mark", "content").agg(F.sum("n").alias("n"))
     return tag_costs({(r["mark"], r["content"]): r["n"] for r in rows.collect()})
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 from operator import add
@@ -18,11 +18,12 @@ from .components import connected_components, merged_components
 from .hashing import WORD_BASE, U, mix, rolling, utf8_slices, window_hashes, word_hashes, words
 from .scratch import Scratch
 
-SETS = "doc_id {id}, n_shingles long, set_key binary, weight long, sketch array<long>, widest array<long>, kept binary, shingles array<long>"
-ENTRIES = "s long, x long, weight long, part long"
+SETS = "doc_id {id}, n_shingles long, set_key binary, weight long, sketch array<long>, widest array<long>, needs array<int>, kept binary, shingles array<long>"
+ENTRIES = "s long, x long, weight long, part long, needs array<int>, piece long"
 WIDEST = 8
 PIVOTS = 4
 SKETCH_LONGS = 16
+_INSTANCE = 40  # bits of a piece (first-level part) below the number of its instance
 
 
 def shingle_sets(text: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -54,7 +55,7 @@ def _band_ends(percent: int, most: int) -> np.ndarray:
     return np.array([*ends, (ends[-1] + 1) * 100 // percent], dtype=np.int64)
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, ...]]:
     """PartEnum signatures of sets, in tables with a row per first-level part and a column per enumerated subset.
 
     Similar sets lie in one size band or in neighbouring ones, so a set enters the
@@ -69,7 +70,8 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, n
     spare ones more.  A set whose partners are so small that they differ from it in
     at most k' < k items gives only the first parts, k - k' over two fewer: in what
     two similar sets both give, as many parts as ``sure`` differ in k2 items or fewer.
-    Each table is (set of each row, signatures, whether a subset is empty, sure by row).
+    Each table is (set of each row, signatures, whether a subset is empty, sure by row,
+    and the row's instance and part as one number).
     """
     size = np.array([len(x) for x in sets], dtype=np.int64)
     ends = _band_ends(percent, int(size.max(initial=0)))
@@ -108,42 +110,48 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, n
                 subsets = list(combinations(range(n2), n2 - k2))
                 sig = np.stack([mix(sums[:, kept].sum(axis=1, dtype=U) ^ (tag + U(q))) for q, kept in enumerate(subsets)], axis=1)
                 empty = np.stack([count[:, kept].sum(axis=1) == 0 for kept in subsets], axis=1)
-                tables.append((at[row_set], sig, empty, 1 + spare[at][row_set]))
+                tables.append((at[row_set], sig, empty, 1 + spare[at][row_set], (up << _INSTANCE) + part))
     return tables
 
 
 def _all(tables) -> np.ndarray:
-    return np.concatenate([sig.ravel() for _, sig, _, _ in tables]) if tables else np.zeros(0, dtype=U)
+    return np.concatenate([table[1].ravel() for table in tables]) if tables else np.zeros(0, dtype=U)
 
 
 def _by_set(tables, *columns: list[np.ndarray]) -> list[np.ndarray]:
     """The owners of all signatures, in order of sets, and the columns (a matrix for each table) in that order."""
     if not tables:
         return [np.zeros(0, dtype=np.int64), *[np.zeros(0, dtype=U) for _ in columns]]
-    owner = np.concatenate([np.repeat(row_set, sig.shape[1]) for row_set, sig, _, _ in tables])
+    owner = np.concatenate([np.repeat(table[0], table[1].shape[1]) for table in tables])
     order = np.argsort(owner, kind="stable")
     return [owner[order], *[np.concatenate([m.ravel() for m in c])[order] for c in columns]]
 
 
-def _wanted(tables, n_sets: int, distinct: np.ndarray, heard: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _wanted(tables, n_sets: int, short: Callable, distinct: np.ndarray, heard: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each table how often its signatures are heard, and which of them others may share.
 
-    ``heard`` is how often each of the ``distinct`` signatures occurs (1: nowhere else).
+    ``heard`` is how often each of the ``distinct`` signatures, made ``short``, occurs (1: nowhere else).
     A set shares a signature of ``sure`` parts at least with a similar one; where fewer
     parts have any that is heard twice, none is kept.  Bland signatures, of empty
     subsets or with a full count, go where a set can spare them: where fewer parts than
     ``sure`` have any, one at least of those shared with a similar set has none, and
     whichever signature of it is shared is kept by both.
+
+    Also, by instance and set, in how many parts at least the set and a similar one keep
+    a signature in common: ``sure``, less the parts of which the set gives up bland ones, or
+    1 where it keeps them and the other may not.
     """
-    counts, keep = [], []
-    for row_set, sig, empty, sure in tables:
-        c = heard[np.searchsorted(distinct, sig)]
+    counts, keep, needs = [], [], np.ones((2, n_sets), dtype=np.int32)
+    for row_set, sig, empty, sure, piece in tables:
+        c = heard[np.searchsorted(distinct, short(sig))]
         parts_with = lambda x: np.bincount(row_set, weights=x.any(axis=1), minlength=n_sets)[row_set]  # noqa: B023, E731
         bland = empty | (c >= MOST_COUNT)
-        enough, spared = parts_with(c > 1) >= sure, parts_with(bland) < sure
+        bad = parts_with(bland)
+        enough, spared = parts_with(c > 1) >= sure, bad < sure
+        needs[piece >> _INSTANCE, row_set] = np.where(spared, sure - bad, 1)
         counts.append(c)
         keep.append((c > 1) & enough[:, None] & ~(bland & spared[:, None]))
-    return counts, keep
+    return counts, keep, needs
 
 
 def _sketch(items: np.ndarray) -> np.ndarray:
@@ -154,42 +162,42 @@ def _sketch(items: np.ndarray) -> np.ndarray:
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """SETS: a row per document; all but the number of shingles only where another document may be similar."""
-    chunked, buckets = in_chunks(docs, id_col, text_col)
+    chunked, plan = in_chunks(docs, id_col, text_col)
 
     def blocks(key, table):
-        return pack(key[0].as_py(), np.unique(_all(signatures(shingle_sets(table["text"], width), percent))), buckets)
+        return pack(key[0].as_py(), np.unique(plan.short(_all(signatures(shingle_sets(table["text"], width), percent)))), plan)
 
     def select(table, replies):
         sets = shingle_sets(table["text"], width)
         tables = signatures(sets, percent)
-        distinct, n = np.unique(_all(tables), return_counts=True)
-        chunks = unpack(replies, distinct, buckets).astype(np.int64)
-        counts, keep = _wanted(tables, len(sets), distinct, np.where(chunks > 1, chunks, np.minimum(n, 2)))
+        distinct, n = np.unique(plan.short(_all(tables)), return_counts=True)
+        chunks = unpack(replies, distinct, plan).astype(np.int64)
+        counts, keep, needs = _wanted(tables, len(sets), plan.short, distinct, np.where(chunks > 1, chunks, np.minimum(n, 2)))
         owner, sig, c, k = _by_set(tables, [x[1] for x in tables], counts, keep)
         bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
-        rows = [[] for _ in range(6)]
+        rows = [[] for _ in range(7)]
         for i, known in enumerate(table["doc_id"].is_valid().to_pylist()):
             at = slice(bounds[i], bounds[i + 1])
             if known and k[at].any():
                 own = np.flatnonzero(k[at])
                 widest = own[np.argsort(-c[at][own], kind="stable")[:WIDEST]]
-                row = (hashlib.md5(sets[i].tobytes()).digest(), int(1000 * c[at].mean()), _sketch(sets[i]), sig[at][widest].view(np.int64), np.packbits(k[at]).tobytes(), sets[i].view(np.int64))
+                row = (hashlib.md5(sets[i].tobytes()).digest(), int(1000 * c[at].mean()), _sketch(sets[i]), sig[at][widest].view(np.int64), needs[:, i], np.packbits(k[at]).tobytes(), sets[i].view(np.int64))
             else:
-                row = (None,) * 6
+                row = (None,) * 7
             for column, value in zip(rows, row, strict=True):
                 column.append(value)
         longs = pa.list_(pa.int64())
-        columns = [pa.array(x, kind) for x, kind in zip(rows, (pa.binary(), pa.int64(), longs, longs, pa.binary(), longs), strict=True)]
-        names = ["doc_id", "n_shingles", "set_key", "weight", "sketch", "widest", "kept", "shingles"]
+        columns = [pa.array(x, kind) for x, kind in zip(rows, (pa.binary(), pa.int64(), longs, longs, pa.list_(pa.int32()), pa.binary(), longs), strict=True)]
+        names = ["doc_id", "n_shingles", "set_key", "weight", "sketch", "widest", "needs", "kept", "shingles"]
         return pa.Table.from_arrays([table["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *columns], names=names)
 
-    replies = count_in_chunks(chunked.groupBy("chunk").applyInArrow(blocks, BLOCKS))
+    replies = count_in_chunks(chunked.groupBy("chunk").applyInArrow(blocks, BLOCKS), plan)
     schema = SETS.format(id=chunked.schema["doc_id"].dataType.simpleString())
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(select, schema)
 
 
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
-    """ENTRIES: a row for each kept signature of the sets (x, weight, part, kept, shingles)."""
+    """ENTRIES: a row for each kept signature of the sets (x, weight, part, needs, kept, shingles)."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -197,13 +205,28 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
                 b = whole.slice(lo, 256)
                 sets = [np.asarray(x.values).view(U) for x in b["shingles"]]
                 tables = signatures(sets, percent)
-                owner, sig = _by_set(tables, [x[1] for x in tables])
+                owner, sig, piece = _by_set(tables, [x[1] for x in tables], [np.broadcast_to(x[4][:, None], x[1].shape) for x in tables])
                 n = np.bincount(owner, minlength=len(sets))
                 keep = np.concatenate([np.unpackbits(np.frombuffer(m.as_py(), dtype=np.uint8), count=c) for m, c in zip(b["kept"], n, strict=True)]).astype(bool)
                 of = owner[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), *[b[c].take(pa.array(of)) for c in ("x", "weight", "part")]], ["s", "x", "weight", "part"])
+                columns = [b[c].take(pa.array(of)) for c in ("x", "weight", "part", "needs")]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), *columns, pa.array(piece[keep].astype(np.int64))], ["s", "x", "weight", "part", "needs", "piece"])
+
+    found = sets.select("x", "weight", "part", "needs", "kept", "shingles").mapInArrow(entries, ENTRIES)
+    return found.withColumn("need", F.col("needs")[F.shiftright("piece", _INSTANCE).cast("int")]).drop("needs")
+
 
-    return sets.select("x", "weight", "part", "kept", "shingles").mapInArrow(entries, ENTRIES)
+def _open(entries: DataFrame, part: str) -> DataFrame:
+    """The entries (s, x, piece, need) that may be shared by similar sets of different components.
+
+    Their signatures occur in two components, and the set has such ones in as many parts of an instance as it needs.
+    """
+    mixed = entries.groupBy("s").agg(F.min(part).alias("lo"), F.max(part).alias("hi")).where("lo < hi").select("s")
+    left = entries.join(mixed, "s")
+    instance = F.shiftright("piece", _INSTANCE)
+    pieces = left.select("x", "piece", "need").distinct().groupBy("x", instance.alias("instance")).agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    enough = pieces.where("n >= need").select(F.col("x").alias("ex"), "instance")
+    return left.join(enough, (F.col("x") == F.col("ex")) & (instance == F.col("instance")), "left_semi")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,15 +240,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_pivots(entries: DataFrame) -> DataFrame:
-    """The entries (s, x, weight) that others share, with their pivots: of each of PIVOTS classes by hash the one of most weight, the best first."""
-    of = lambda c: F.max(F.when(F.pmod(F.xxhash64("x"), F.lit(PIVOTS)) == c, F.struct("weight", "x")))
+    """The entries (s, x, weight, part, ...) that others share, with their pivots (weight, x, part): of each of PIVOTS classes by hash the one of most weight, the best first."""
+    of = lambda c: F.max(F.when(F.pmod(F.xxhash64("x"), F.lit(PIVOTS)) == c, F.struct("weight", "x", "part")))
     top = entries.groupBy("s").agg(F.sort_array(F.array_compact(F.array(*[of(c) for c in range(PIVOTS)])), asc=False).alias("pivots"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return entries.join(top.select("s", "pivots"), "s").select("s", "x", "pivots")
+    return entries.drop("weight").join(top.select("s", "pivots"), "s")
 
 
 def _compared(entries: DataFrame, most: int = PIVOTS) -> DataFrame:
-    """(p, pw, x) once for each class and pivot of its entries, ``most`` pivots of a signature."""
-    pairs = entries.select("x", F.explode(F.slice("pivots", 1, most)).alias("p")).where("p.x <> x")
+    """(p, pw, x) once for each class and pivot of its entries that is in another component, ``most`` pivots of a signature."""
+    pairs = entries.select("x", "part", F.explode(F.slice("pivots", 1, most)).alias("p")).where("p.part <> part")
     return pairs.select(F.col("p.x").alias("p"), F.col("p.weight").alias("pw"), "x").distinct()
 
 
@@ -295,7 +318,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = found.where("set_key is not null")
     classes = scratch.save(shared.groupBy("set_key").agg(F.min("doc_id").alias("class_id")).withColumn("x", F.monotonically_increasing_id()))
     first = classes.select("set_key", F.col("class_id").alias("doc_id"), "x")
-    sets = scratch.save(shared.join(first, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("x", "weight", F.col("n_shingles").alias("n"), "sketch", "widest", "kept", "shingles"))
+    sets = scratch.save(shared.join(first, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("x", "weight", F.col("n_shingles").alias("n"), "sketch", "widest", "needs", "kept", "shingles"))
     alone = found.where("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("x"))
     rows = scratch.save(alone.unionByName(shared.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "x"), "set_key").drop("set_key")))
     scratch.drop(found)
@@ -304,44 +327,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tied = rows.where("x is not null").groupBy("doc_id").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a <> z")
     tied = rows.join(tied, "doc_id").where("x is not null and a <> x").select("a", F.col("x").alias("b"))
 
-    def apart(members: DataFrame, parts: DataFrame) -> DataFrame:
-        """Members (p, x) and their components pc and xc, where these differ."""
-        named = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"{x}c"))
-        both = members.join(named("x"), "x", "left").join(named("p"), "p", "left")
-        return both.withColumns({f"{k}c": F.coalesce(f"{k}c", k) for k in "xp"})
-
-    def joined_to_pivots(members: DataFrame, parts: DataFrame | None) -> DataFrame:
-        """The components once all members are compared with their pivots, the best one first."""
-        best = members.where("p <> x") if parts is None else apart(members, parts).where("pc <> xc")
-        best = best.groupBy("x").agg(F.max(F.struct("pw", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("x").alias("b"))
-        links = _linked(best, sets, percent)
-        parts = connected_components(scratch.save(links.unionByName(tied)), scratch) if parts is None else merged_components(parts, links, scratch)
-        rest = apart(members, parts).where("pc <> xc").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        return merged_components(parts, _linked(rest, sets, percent), scratch)
-
-    wide = _with_pivots(sets.select(F.explode("widest").alias("s"), "x", "weight"))
-    parts = joined_to_pivots(scratch.save(_compared(wide, 1)), None)
-
-    labelled = sets.join(parts.select(F.col("id").alias("x"), F.col("component").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
-    signed = _entries(labelled, percent)
-    open_ = signed.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("s")
-    entries = scratch.save(_with_pivots(signed.drop("part").join(open_, "s")))
-    parts = joined_to_pivots(scratch.save(_compared(entries)), parts)
-
-    entries = entries.withColumn("p", F.col("pivots")[0]["x"]).withColumn("pw", F.col("pivots")[0]["weight"]).withColumn("is_pivot", F.exists("pivots", lambda v: v["x"] == F.col("x")))
-    members = scratch.save(entries.select("p", "pw", "x").distinct())
-    rest = entries.where("not is_pivot")  # pivots are compared with all that share their signatures
-    named = apart(rest.select("p", "pw", "x").distinct(), parts)
-    mixed = named.groupBy("p").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p")
-    named = scratch.save(named.join(mixed, "p"))
-    one, two = named.alias("l"), members.alias("r")
+    def named(rows: DataFrame, x: str) -> DataFrame:
+        """``rows`` with the component of x as <x>c."""
+        labels = parts.select(F.col("id").alias(x), F.col("component").alias(f"{x}c"))
+        return rows.join(labels, x, "left").withColumn(f"{x}c", F.coalesce(f"{x}c", x))
+
+    pairs = lambda rows: rows.select(F.col("p").alias("a"), F.col("x").alias("b"))
+    wide = scratch.save(_compared(_with_pivots(sets.select(F.explode("widest").alias("s"), "x", "weight", F.col("x").alias("part"))), 1))
+    best = wide.groupBy("x").agg(F.max(F.struct("pw", "p")).alias("best")).select("best.p", "x")
+    parts = connected_components(scratch.save(_linked(pairs(best), sets, percent).unionByName(tied)), scratch)
+    parts = merged_components(parts, _linked(pairs(named(named(wide, "x"), "p").where("pc <> xc")), sets, percent), scratch)
+
+    signed = _entries(named(sets, "x").withColumnRenamed("xc", "part"), percent)
+    entries = scratch.save(_with_pivots(scratch.save(_open(signed, "part"))))
+    parts = merged_components(parts, _linked(pairs(scratch.save(_compared(entries))), sets, percent), scratch)
+
+    best = entries.select("s", "x", "piece", "need", F.col("pivots")[0]["x"].alias("p"), F.col("pivots")[0]["weight"].alias("pw"), F.exists("pivots", lambda v: v["x"] == F.col("x")).alias("is_pivot"))
+    members = scratch.save(best.select("p", "pw", "x").distinct())
+    rest = best.where("not is_pivot").drop("is_pivot")  # pivots are compared with all that share their signatures
+    live = scratch.save(_open(named(rest, "x"), "xc"))
+    live = scratch.save(_open(live, "xc"))
+    held = scratch.save(named(live.select("p", "pw", "x", "xc").distinct(), "p"))
+    one, two = held.alias("l"), members.alias("r")
     earlier = (F.col("l.x") == F.col("r.x")) & (F.struct("r.pw", "r.p") > F.struct("l.pw", "l.p"))
     homes = one.join(two, earlier).groupBy(F.col("l.p").alias("p"), F.col("r.p").alias("home")).agg(F.count(F.lit(1)).alias("n"))
     homes = homes.groupBy("p").agg(F.max(F.struct("n", "home")).alias("top")).select("p", "top.home")
-    served = named.join(homes, "p").join(members.select(F.col("p").alias("home"), "x"), ["home", "x"]).select("p", "x", F.lit(False).alias("new"))
-    named = scratch.save(named.join(served, ["p", "x"], "left").select("p", "x", "pc", "xc", F.coalesce("new", F.lit(True)).alias("new")))
-    live = rest.join(named, ["p", "x"]).groupBy("s").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi"), F.max("new").alias("new")).where("lo < hi and new")
-    active = named.join(rest.join(live.select("s"), "s").select("p", "x").distinct(), ["p", "x"])
+    served = held.join(homes, "p").join(members.select(F.col("p").alias("home"), "x"), ["home", "x"]).select("p", "x", F.lit(False).alias("new"))
+    held = scratch.save(held.join(served, ["p", "x"], "left").select("p", "x", "pc", "xc", F.coalesce("new", F.lit(True)).alias("new")))
+    fresh = live.select("s", "p", "x").join(held, ["p", "x"])
+    asked = fresh.groupBy("s").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi"), F.max("new").alias("new")).where("lo < hi and new")
+    active = held.join(fresh.join(asked.select("s"), "s").select("p", "x").distinct(), ["p", "x"])
     parts = merged_components(parts, _linked(_close_within(active, sets, percent, scratch), sets, percent), scratch)
 
     classes = classes.join(parts, F.col("x") == F.col("id"), "left").select("x", "class_id", F.coalesce("component", "x").alias("part"))

@@ -19,7 +19,6 @@ SETTLED = 0.01
 CELL = 256
 POOL, POOL_A_DOUBLING = 128, 8
 BEAM = 32
-MOST_STEPS = 10
 NODES = "id long, code binary"
 FOUND = "x long, y long, score float"
 EDGE = "struct<score:float,id:long,new:boolean>"
@@ -211,12 +210,15 @@ def search_graph(graph: DataFrame, queries: DataFrame, scratch: Scratch, most: i
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), kind, pa.list_(pa.int64())), strict=True)], ["query_id", "query", "pool", "ahead"])
 
-    found = pools.select("query_id", F.explode("start").alias("id"))
-    for _ in range(MOST_STEPS):
+    found, before = pools.select("query_id", F.explode("start").alias("id")), None
+    while True:
         near = found.where("id <> query_id").distinct().join(codes, "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "code")).alias("found"))
         none = F.expr("cast(array() as array<struct<id:long,code:binary>>)")
         stepped = pools.select("query_id", "query", "pool").join(near, "query_id", "left").withColumn("found", F.coalesce("found", none))
         pools, seen = scratch.measure(stepped.mapInArrow(step, f"query_id long, query binary, pool array<{entry}>, ahead array<long>"), left=F.sum(F.size("ahead")))
+        if before:
+            scratch.drop(before)
+        before = pools
         if not seen["left"]:
             break
         found = pools.select("query_id", F.explode("ahead").alias("id")).join(links, "id").select("query_id", F.explode("to").alias("id"))
@@ -246,13 +248,12 @@ def nearest(classes: DataFrame, graph: DataFrame, of: DataFrame, k: int, scratch
 
 
 def exact_cosine(a, b):
-    """In double precision; components are scaled first, so that no square overflows or vanishes."""
-
-    def one(x, y):
-        x, y = x / np.abs(x).max(), y / np.abs(y).max()
-        return float(x @ y / np.sqrt((x @ x) * (y @ y)))
-
-    return a.__class__([one(x, y) for x, y in zip(a, b, strict=True)], index=a.index, dtype="float64")
+    """Row by row in double precision; components are scaled first, so that no square overflows or vanishes."""
+    if not len(a):
+        return a.__class__([], index=a.index, dtype="float64")
+    x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (np.stack(a.to_numpy()), np.stack(b.to_numpy())))
+    dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+    return a.__class__(dot(x, y) / np.sqrt(dot(x, x) * dot(y, y)), index=a.index)
 
 
 def nearest_neighbours(table: DataFrame, of: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Has Spark delete a query's shuffle files when it ends: a saved table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a folder of the session's warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,10 +42,14 @@ class Scratch:
         self._n += 1
         at = f"{self.root}/{self._n}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(at)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(at)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
-        self.spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that led here
         return out, seen.get
 
     def drop(self, df: DataFrame) -> None:

@@ -23,8 +23,6 @@ BASE = {
     "access": ("AKIA[A-Z0-9]+", 0, 18),
     "hex": ("[0-9a-f]+", 0, 16),
 }
-#: A run of hex digits of the least length is a whole match of the base pattern that passes, and the other way round.
-_SCAN = {"hex": "[0-9a-f]{16,}"}
 #: Weak parts: kind, role, pattern, group whose length counts, least and most length.
 #: A mixed token also needs a lower-case and an upper-case letter and a digit.
 WEAK = (
@@ -35,6 +33,11 @@ WEAK = (
     ("endpoint", "endpoint", r"[a-z][a-z0-9+]{1,14}://[A-Za-z0-9._:@/?&=%-]+", 0, 8, 1 << 30),
     ("address", "endpoint", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", 0, 7, 15),
 )
+#: Of each pattern, how it is scanned and what a text has to hold for it to match at all.
+#: A run of hex digits of the least length is a whole match of the base pattern that passes, and the other way round.
+_SCAN = {BASE["hex"][0]: "[0-9a-f]{16,}"}
+_HOLDS = {BASE["access"][0]: "AKIA", WEAK[4][2]: "://"}
+BLOCK = 256
 KINDS = (*BASE, *(w[0] for w in WEAK))
 ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {w[0]: w[1] for w in WEAK}
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -42,25 +45,21 @@ REACH = 256
 KEY = ("doc_id", "text_hash", "text_length")
 
 
-def _matches(text: Column, kind: str, pattern: str, group: int, least: int, most: int = 1 << 30) -> Column:
-    """(start, rank, end) of the passing matches: offsets add up the matches and the pieces between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-
-    def passes(m: Column) -> Column:
-        n = F.length(F.regexp_extract(m, pattern, group) if group else m)
-        ok = (n >= least) & (n <= most)
-        return ok & m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]") if kind == "mixed_token" else ok
+def _placed(lengths: Column) -> Column:
+    """(start, end, n, mixed) of matches from (gap, hit, n, mixed): lengths before them add up, block by block, so that no array grows match by match."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    sums = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda t, x: t + x["gap"] + x["hit"]))
+    starts = F.aggregate(sums, F.array(F.lit(0)), lambda ts, x: F.concat(ts, F.array(F.element_at(ts, -1) + x)))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(passes(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
+        span = F.struct(start.alias("start"), end.alias("end"), x["n"].alias("n"), x["mixed"].alias("mixed"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    zipped = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(_none())
+    none = F.expr("cast(array() as array<struct<start:int,end:int,n:int,mixed:boolean>>)")
+    inner = F.zip_with(blocks, F.slice(starts, 1, F.size(sums)), lambda xs, at: F.aggregate(xs, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+    return F.when(F.size(lengths) > 0, F.flatten(inner)).otherwise(none)
 
 
 def _none() -> Column:
@@ -72,10 +71,41 @@ def _is(rank: Column, role: str) -> Column:
 
 
 def _scanned(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with ``base`` and ``weak`` spans, in order of start, then kind."""
-    base = [_matches(text, k, _SCAN.get(k, p), g, least) for k, (p, g, least) in BASE.items()]
-    weak = [_matches(text, k, p, g, least, most) for k, _, p, g, least, most in WEAK]
-    return docs.select("*", F.array_sort(F.concat(*base)).alias("base"), F.array_sort(F.concat(*weak)).alias("weak"))
+    """docs with ``base`` and ``weak`` spans, in order of start, then kind.
+
+    Each pattern is searched once, kinds that share one by their lengths; the pieces
+    between matches are only cut where there are any.
+    """
+    kinds = [(k, p, g, least, 1 << 30) for k, (p, g, least) in BASE.items()] + [(k, p, g, least, most) for k, _, p, g, least, most in WEAK]
+    groups = {p: g for _, p, g, _, _ in kinds}
+    mixed = {p for k, p, *_ in kinds if k == "mixed_token"}
+    names = {p: f"_m{i}" for i, p in enumerate(groups)}
+    scan = lambda p: F.lit(_SCAN.get(p, p))
+    empty = F.expr("cast(array() as array<string>)")
+
+    def hits(p: str) -> Column:
+        found = F.regexp_extract_all(text, scan(p), F.lit(0))
+        return F.when(F.contains(text, F.lit(_HOLDS[p])), found).otherwise(empty) if p in _HOLDS else found
+
+    def lengths(p: str) -> Column:
+        found = F.col(names[p])
+        gaps = F.slice(F.split(text, _SCAN.get(p, p), -1), 1, F.size(found))
+        n = (lambda h: F.length(F.regexp_extract(h, p, groups[p]))) if groups[p] else F.length
+        both = (lambda h: h.rlike("[a-z]") & h.rlike("[A-Z]") & h.rlike("[0-9]")) if p in mixed else (lambda h: F.lit(True))
+        each = F.zip_with(gaps, found, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), n(h).alias("n"), both(h).alias("mixed")))
+        return F.when(F.size(found) > 0, each).otherwise(F.expr("cast(array() as array<struct<gap:int,hit:int,n:int,mixed:boolean>>)"))
+
+    def spans(rank: int) -> Column:
+        _, p, _, least, most = kinds[rank]
+        inside = F.filter(names[p], lambda m: m["n"].between(least, most) & m["mixed"])
+        return F.transform(inside, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
+
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    found = docs.select(*kept, *[hits(p).alias(n) for p, n in names.items()])
+    measured = found.select(*kept, *[lengths(p).alias(n) for p, n in names.items()])
+    placed = measured.select(*kept, *[_placed(F.col(n)).alias(n) for n in names.values()])
+    base, weak = range(len(BASE)), range(len(BASE), len(kinds))
+    return placed.select(*kept, *[F.array_sort(F.concat(*map(spans, ranks))).alias(name) for name, ranks in (("base", base), ("weak", weak))])
 
 
 def _linked(scanned: DataFrame, reach: int) -> DataFrame:

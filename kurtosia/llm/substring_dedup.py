@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCKS, count_in_chunks, in_chunks, pack, unpack
-from .hashing import U, utf8_slices, window_hashes, word_hashes, words
+from .hashing import U, mix, other_window_hashes, utf8_slices, window_hashes, word_hashes, words
 
 RESULT = "doc_id {id}, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 
@@ -16,8 +18,9 @@ RESULT = "doc_id {id}, n_words long, n_removed long, removed array<struct<start:
 def _windows(text: pa.ChunkedArray, window: int):
     for row, data, offs in utf8_slices(text):
         s, e, bounds = words(data, offs)
-        begin, h = window_hashes(word_hashes(data, s, e), bounds, window)
-        yield row, data, s, e, bounds, begin, h
+        of_words = word_hashes(data, s, e)
+        begin, h = window_hashes(of_words, bounds, window)
+        yield row, data, s, e, bounds, begin, h, mix(h ^ other_window_hashes(of_words, begin, window))
 
 
 def _member(h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -65,25 +68,38 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts with fewer words than ``window`` lose nothing.  Rows with a null or
     repeated id are texts like all others.  Other columns are not looked at.
 
-    Two different windows with one 64-bit hash would count as a repeat: over n
-    windows that befalls about n*n/2**65 pairs.
+    Windows whose hash occurs again are only candidates: they are counted once more by
+    a hash that joins the first one with a second of another kind, 128 bits in all.
     """
     if window < 1:
         raise ValueError("window must be positive")
-    chunked, buckets = in_chunks(docs, id_col, text_col)
+    chunked, plan = in_chunks(docs, id_col, text_col)
+    flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, dtype=U)
+
+    exact = replace(plan, dropped_bits=0)
+
+    def again(hashes: np.ndarray, replies, plan) -> np.ndarray:
+        """The sorted short hashes that occur more than once."""
+        h, n = np.unique(plan.short(hashes), return_counts=True)
+        return h[(n > 1) | (unpack(replies, h, plan) > 1)]
 
     def blocks(key, table):
-        h = [x[-1] for x in _windows(table["text"], window)]
-        return pack(key[0].as_py(), np.unique(np.concatenate(h)) if h else np.zeros(0, dtype=U), buckets)
+        return pack(key[0].as_py(), np.unique(plan.short(flat([x[-2] for x in _windows(table["text"], window)]))), plan)
+
+    def candidates(key, table, replies):
+        if not replies.num_rows and not table.num_rows:
+            return pack(0, np.zeros(0, dtype=U), exact)
+        slices = [(x[-2], x[-1]) for x in _windows(table["text"], window)]
+        first, both = flat([x[0] for x in slices]), flat([x[1] for x in slices])
+        return pack(key[0].as_py(), np.unique(both[_member(plan.short(first), again(first, replies, plan))]), exact)
 
     def cut(table, replies):
         slices = list(_windows(table["text"], window))
-        h, n = np.unique(np.concatenate([x[-1] for x in slices]), return_counts=True) if slices else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
-        again = h[(n > 1) | (unpack(replies, h, buckets) > 1)]
+        twice = again(flat([x[-1] for x in slices]), replies, exact)
         out: list[list] = [[], [], [], []]
-        for _, data, s, e, bounds, begin, hashes in slices:
+        for _, data, s, e, bounds, begin, _, hashes in slices:
             change = np.zeros(len(s) + 1, dtype=np.int64)
-            hit = begin[_member(hashes, again)]
+            hit = begin[_member(hashes, twice)]
             np.add.at(change, hit, 1)
             np.subtract.at(change, hit + window, 1)
             gone = np.cumsum(change)[:-1] > 0
@@ -92,20 +108,21 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out[1].append(total[bounds[1:]] - total[bounds[:-1]])
             out[2].extend(_intervals(gone, bounds))
             out[3].append(_kept_texts(data, s, e, bounds, ~gone))
-        flat = lambda x: pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64())
+        longs = lambda x: pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64())
         return pa.table(
             {
                 "doc_id": table["doc_id"],
-                "n_words": flat(out[0]),
-                "n_removed": flat(out[1]),
+                "n_words": longs(out[0]),
+                "n_removed": longs(out[1]),
                 "removed": pa.array(out[2], pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()}))),
                 "kept_text": pa.chunked_array(out[3], pa.large_string()).cast(pa.string()),
             }
         )
 
-    replies = count_in_chunks(chunked.groupBy("chunk").applyInArrow(blocks, BLOCKS))
+    replies = count_in_chunks(chunked.groupBy("chunk").applyInArrow(blocks, BLOCKS), plan)
+    checked = chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(candidates, BLOCKS)
     schema = RESULT.format(id=chunked.schema["doc_id"].dataType.simpleString())
-    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
+    return chunked.groupBy("chunk").cogroup(count_in_chunks(checked, exact).groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def _intervals(gone: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 TARGETS = "you your yours u ur du dich dir ihr euch tu toi vous te ti usted ustedes vosotros they them he she him her these those people".split()
 NEGATIONS = "not no never isn't aren't don't wasn't nicht kein keine nie niemals pas jamais ni nunca jamás".split()
 REPORTING = "said says say wrote writes called claims claimed quoted quote reported sagte sagt schrieb dit écrit dijo dice escribió".split()
+CONTRASTS = "but however yet aber sondern doch mais pero sino".split()
 THREATS = "kill hurt destroy shoot stab beat murder töten schlagen tuer frapper matar golpear".split()
 INSULTS = "idiot moron loser scum trash stupid pathetic worthless disgusting clown fool dumb imbecile".split()
 
@@ -32,14 +33,16 @@ COVERED = 0.9
 #: Its log odds, less so many standard errors, reach LEAST_WEIGHT.
 ERRORS = 1.64
 LEAST_WEIGHT = 2.0
-MOST_CUES = 4000
 PREFIXES = (4, 5, 6, 7, 8)
-SCOPE = 3
 CONTEXTS = ("plain", "negated", "reported")
 FEATURES = tuple(f"{c}_{x}" for c in CONTEXTS for x in ("top", "sum")) + ("aimed_top", "threat", "aimed_threat")
 
-_CLAUSE = re.compile(r"[.!?;:\n|]+")
+_CLAUSE_ENDS = ".!?;\n|"
+_CLAUSE = re.compile(r"[.!?;\n|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_SYMBOL = re.compile(rf"{_WORD.pattern}|,")
+_QUOTES = {"\"": "\"", "“": "”", "«": "»", "„": "“"}
+_QUOTE = re.compile("[\"“”«»„]")
 
 
 class Transducer:
@@ -73,14 +76,17 @@ class Transducer:
 
 
 # A symbol is (kind, marks): the kind of a word and what the machines so far say of it.
-KINDS = ("word", "insult", "threat", "target", "negation", "reporting")
+KINDS = ("word", "insult", "threat", "target", "negation", "reporting", "contrast", "comma")
 
 
 def _negation(state: int, x):
+    """A negation lasts to the end of the clause (1), or to a contrast, or to a target right after a comma (2), as in "..., you ...\"."""
     kind, marks = x
     if kind == "negation":
-        return SCOPE, x
-    return max(state - 1, 0), (kind, marks | {"negated"}) if state and kind in ("insult", "threat") else x
+        return 1, x
+    if kind == "contrast" or (state == 2 and kind == "target"):
+        return 0, x
+    return (2 if kind == "comma" else 1) if state else 0, (kind, marks | {"negated"}) if state and kind in ("insult", "threat") else x
 
 
 def _reported(state: bool, x):
@@ -105,7 +111,26 @@ GRAMMAR = (
 _START = GRAMMAR.start
 _ARCS, _LAST = GRAMMAR.table([(k, frozenset()) for k in KINDS])
 _CONTEXT = {frozenset(m for m, on in zip(("negated", "reported"), bits, strict=True) if on): ("negated" if bits[0] else "reported" if bits[1] else "plain") for bits in product((0, 1), repeat=2)}
-_FIXED = {w: k for k, ws in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("reporting", REPORTING)) for w in ws}
+_FIXED = {w: k for k, ws in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("reporting", REPORTING), ("contrast", CONTRASTS), ("comma", [","])) for w in ws}
+
+
+def _clause_start(low: str, at: int) -> int:
+    return max(low.rfind(c, 0, at) for c in _CLAUSE_ENDS) + 1
+
+
+def _before_quote(low: str, left: int, at: int) -> str:
+    """What leads up to the quotation that a clause (from ``left``) goes on with, as in: she said: "One. Two": nothing outside quotations.
+
+    A quotation ends with its line at the latest.
+    """
+    line = low.rfind("\n", 0, at) + 1
+    opened, closer = -1, ""
+    for m in _QUOTE.finditer(low, line, at):
+        if opened >= 0 and m[0] == closer:
+            opened = -1
+        elif opened < 0 and m[0] in _QUOTES:
+            opened, closer = m.start(), _QUOTES[m[0]]
+    return low[_clause_start(low, opened) : opened] + " " if 0 <= opened < left else ""
 
 
 class Scorer:
@@ -132,17 +157,17 @@ class Scorer:
             begin = at - n + 1
             if begin < done or (begin and low[begin - 1].isalpha()):
                 continue
-            left = max((low.rfind(c, 0, begin) for c in ".!?;:\n|"), default=-1) + 1
+            left = _clause_start(low, begin)
             right = _CLAUSE.search(low, at)
             done = right.start() if right else len(low)
-            self._clause(low[left:done], f)
+            self._clause(_before_quote(low, left, begin) + low[left:done], f)
         for c in CONTEXTS:
             f[f"{c}_sum"] = math.log1p(f[f"{c}_sum"])
         return np.array([f[k] for k in FEATURES])
 
     def _clause(self, clause: str, f: dict) -> None:
         state, found = _START, []
-        for word in _WORD.findall(clause):
+        for word in _SYMBOL.findall(clause):
             w = self.weight(word)
             kind = "insult" if w else _FIXED.get(word, "word")
             state, (kind, marks) = _ARCS[state, (kind, frozenset())]
@@ -194,15 +219,16 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], np.ndarray]:
     """Cue weights and the logistic weights (bias first) of FEATURES, from a bounded sample of labelled documents.
 
-    A form's weight is its log odds of document frequency, toxic against clean, smoothed by one half;
-    MOST_CUES forms at most, those of most weight, reach the driver.  Of the features, SAMPLE rows at most do.
+    A form's weight is its log odds of document frequency, toxic against clean, smoothed by one half.
+    Forms in LEAST_SHARE of the toxic sample reach the driver, of which there are at most the mean
+    number of forms of a sample document / LEAST_SHARE.  Of the features, SAMPLE rows at most do.
     """
     sample = sample_of(docs, labels, id_col, text_col).persist()
     n = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     cues = dict.fromkeys(INSULTS, LEAST_WEIGHT)
     if n[0] and n[1]:
         often = sample.where("toxic = 1").mapInArrow(_count_forms, "form string, t long").groupBy("form").agg(F.sum("t").alias("t")).where(F.col("t") >= max(LEAST_DOCUMENTS, LEAST_SHARE * n[1]))
-        wanted = [r["form"] for r in often.orderBy(F.desc("t"), "form").limit(50 * MOST_CUES).collect()]
+        wanted = [r["form"] for r in often.orderBy(F.desc("t"), "form").collect()]
         cues |= _weigh(sample, wanted, n)
     scorer = Scorer(cues)
 
@@ -230,7 +256,7 @@ def _weigh(sample: DataFrame, wanted: list[str], n: dict[int, int]) -> dict[str,
     counts = sample.mapInArrow(count, "form string, c long, t long").groupBy("form").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).where(F.col("t") >= LEAST_DOCUMENTS)
     weight = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    found = counts.withColumn("w", weight).where(F.col("w") - ERRORS * error >= LEAST_WEIGHT).orderBy(F.desc("w"), "form").limit(MOST_CUES)
+    found = counts.withColumn("w", weight).where(F.col("w") - ERRORS * error >= LEAST_WEIGHT).orderBy(F.desc("w"), "form")
     rows = {r["form"]: (r["w"], r["t"]) for r in found.collect()}
     longer = lambda head, t: any(x.rstrip("*").startswith(head) and len(x.rstrip("*")) > len(head) and rows[x][1] >= COVERED * t for x in rows)
     return {x: w for x, (w, t) in rows.items() if not (x.endswith("*") and longer(x[:-1], t))}
@@ -263,7 +289,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     which its insults stand.  Labels, language and source are no input of a score.
     Null and empty texts have no clause and get the score of the bias alone.  Null
     and repeated ids are scored row by row.  Without labels of both classes the
-    fixed word lists score with prior weights.
+    fixed word lists score with prior weights.  A column of ``docs`` named ``score_col`` gives way.
     """
     cues, weights = learn(docs, labels, id_col, text_col)
     scorer = Scorer(cues)

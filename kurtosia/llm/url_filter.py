@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 #: (rule, verdict): a host with all its subdomains, and the beginning of a path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Pages whose host has one of these terms in a label make the listing of ``op2``.
-LISTED_TERMS = ("casino", "pills", "bets", "spam", "ads-")
+#: A stand-in for a block list: pages of which a part of a host label is one of these words make the listing of ``op2``.
+LISTED_TERMS = ("casino", "pills", "bets", "spam", "ads")
+_LISTED = "(^|[.-])(" + "|".join(LISTED_TERMS) + ")([.-]|$)"
 BITS_PER_URL = 16
 WORDS = 4
 BITS_SET = 8
@@ -98,10 +99,10 @@ def filter_urls(pages: DataFrame, listing: DataFrame, url_col: str = "url", broa
 
 
 def listed_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Canonical URLs of the pages whose host carries a listed term."""
+    """Canonical URLs of the pages of whose host labels a part is a listed term."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col(url_col).cast("string").alias("url")).select(host.alias("host"), path.alias("path"))
-    return urls.where(F.col("host").rlike("|".join(LISTED_TERMS))).select(canonical(F.col("host"), F.col("path")).alias("canonical"))
+    return urls.where(F.col("host").rlike(_LISTED)).select(canonical(F.col("host"), F.col("path")).alias("canonical"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -124,7 +125,7 @@ u AS (
 ), c AS (
     SELECT *, regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(regexp_replace(path, '[.]html$', ''), '/+$', '') AS canonical FROM hp
 ), listing AS (
-    SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{"|".join(LISTED_TERMS)}')
+    SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{_LISTED}')
 ), best AS (
     SELECT k, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
     FROM c JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY k

@@ -77,7 +77,12 @@ def header(r: dict) -> str:
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"),
         ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     )
-    return "WARC/1.1\r\n" + "".join(f"{k}: {r[v]}\r\n" for k, v in named if r.get(v) is not None)
+    return "WARC/1.1\r\n" + "".join(f"{k}: {_one_line(r[v])}\r\n" for k, v in named if r.get(v) is not None)
+
+
+def _one_line(value) -> str:
+    """A header's value; line breaks, which would end the field, become spaces."""
+    return re.sub(r"[\r\n]+", " ", str(value))
 
 
 def _split_http(block: str) -> tuple[str, str]:
@@ -97,7 +102,7 @@ def derive_records(responses: DataFrame) -> DataFrame:
 
     Result, two rows for each response: RECORD.  A null block is an empty page,
     with an empty conversion; null URIs and dates stay null and their header lines are
-    left out.  Responses with a null record_id are given one by their content.
+    left out; line breaks in them become spaces in headers.  Responses with a null record_id are given one by their content.
     Repeated responses give repeated records.  Other columns are not looked at.
     """
     has_digest = "payload_digest" in responses.columns
@@ -127,7 +132,7 @@ def derived(source: dict) -> list[dict]:
         ("sourceContentLength", len(block.encode())), ("conversionRecordId", conversion["record_id"]), ("title", " ".join(html.unescape(title[1] or title[2] or "").split()) if title else ""),
         ("linkCount", len(_LINK.findall(body))), ("http-status", status), *[("http-header", x) for x in lines if x],
     ]
-    return [_record("metadata", source, "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), conversion]
+    return [_record("metadata", source, "application/warc-fields", "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields)), conversion]
 
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:

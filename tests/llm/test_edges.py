@@ -55,6 +55,14 @@ def test_substring_dedup_against_brute_force(spark):
         assert {k for x in r.removed for k in range(x.start, x.end)} == gone[r.doc_id]
 
 
+def test_substring_dedup_of_words_that_cancel_in_a_polynomial(spark):
+    parity = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    tail = " ".join(f"t{i}" for i in range(35))
+    rows = [(1, f"{parity} {tail[:-4]}"), (2, f"{parity.translate(str.maketrans('ab', 'ba'))} {tail[:-4]}")]
+    assert all(r.n_removed == 0 for r in substring_dedup.repeated_windows(docs(spark, rows)).collect())
+    assert all(r.n_removed == r.n_words for r in substring_dedup.repeated_windows(docs(spark, rows), window=33).collect()) is False
+
+
 def test_packing_round_trip(spark):
     rows = [*ODD, *[(i, "word " * (i * 37 % 3000)) for i in range(10, 60)]]
     texts = defaultdict(list)

@@ -138,14 +138,18 @@ def test_similar_sets_share_a_signature(percent):
             distinct, times = np.unique(jaccard_join._all(tables), return_counts=True)
             for share in (0.0, 0.05, 0.3, 1.0):  # of signatures that are everywhere
                 heard = np.where(rng.random(len(distinct)) < share, jaccard_join.MOST_COUNT, times)
-                _, keep = jaccard_join._wanted(tables, 2, distinct, heard)
-                owner, sig, kept = jaccard_join._by_set(tables, [x[1] for x in tables], keep)
+                _, keep, needs = jaccard_join._wanted(tables, 2, lambda s: s, distinct, heard)
+                pieces = [np.broadcast_to(x[4][:, None], x[1].shape) for x in tables]
+                owner, sig, kept, piece = jaccard_join._by_set(tables, [x[1] for x in tables], keep, pieces)
                 x, y = sig[kept & (owner == 0)], sig[kept & (owner == 1)]
                 assert len(np.intersect1d(x, y)), (n, gone, more)
+                for i in (0, 1):  # and in as many parts of some instance as each needs
+                    both = np.unique(piece[kept & (owner == i) & np.isin(sig, np.intersect1d(x, y))])
+                    assert any((both >> 40 == up).sum() >= needs[up, i] and (both >> 40 == up).any() for up in (0, 1))
     assert met > 100
 
 
 def test_subsets_of_parts_are_enumerated():
-    for row_set, sig, empty, sure in jaccard_join.signatures([np.arange(n, dtype=np.uint64) * np.uint64((1 << 63) // n) for n in (9, 200)], 80):
+    for row_set, sig, empty, sure, _ in jaccard_join.signatures([np.arange(n, dtype=np.uint64) * np.uint64((1 << 63) // n) for n in (9, 200)], 80):
         assert sig.shape[1] > 1 and sig.shape == empty.shape and len(row_set) == len(sig)
         assert (sure > 0).all()
