@@ -16,26 +16,34 @@ from kurtosia.llm.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score_col="_toxicity")
-    return scored.where("_toxicity < 0.5").drop("_toxicity")
+    """Documents that score under 0.5; empty and null texts score as clean ones do, so they stay."""
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score_col=name)
+    return scored.where(F.col(name) < 0.5).drop(name)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of near duplicates; rows without an id or words are in none and stay, as do rows that repeat a kept id."""
     groups = jaccard_join.jaccard_components(docs)
     others = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; empty and null texts hold none."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by tags; ``n_chars`` follows the text, null texts keep theirs."""
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows; an empty or null text is its end token alone."""
     return packing.pack_documents(docs)
 
 
@@ -53,9 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.save(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
