@@ -11,10 +11,6 @@ def log_feature(x: Column, eps: float = 1e-6) -> Column:
     return F.ln(F.greatest(x, F.lit(0.0)) + eps)
 
 
-def log_floor(x: Column, floor: float = 1e-20) -> Column:
-    return F.ln(F.greatest(x, F.lit(floor)))
-
-
 def rate(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
@@ -38,16 +34,21 @@ def ramp(z: Column, start: float = 2.0, width: float = 4.0) -> Column:
     return clamp((z - start) / width, 0.0, 1.0)
 
 
+def _bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a string as numbers."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    at = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.when(text.isNotNull(), F.transform(at, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")))
+
+
 def fold31(text: Column) -> Column:
-    """The multiply-by-31 checksum of a string's code units, modulo 2**32."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32)))
+    """The multiply-by-31 checksum of a string's UTF-8 bytes, modulo 2**32."""
+    return F.aggregate(_bytes(text), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32)))
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a of a string's characters."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * 16777619, F.lit(1 << 32)))
+    """32-bit FNV-1a of a string's UTF-8 bytes."""
+    return F.aggregate(_bytes(text), F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * 16777619, F.lit(1 << 32)))
 
 
 # Labels of the source data and their canonical names.

@@ -25,8 +25,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: Names, time: str, values: Nam
     cols = [c for c in left.columns if c not in (*keys, time)]
     l = left.select(*keys, time, F.struct(*cols).alias("_l") if cols else F.struct(F.lit(1).alias("_")).alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"), F.lit(1).alias("_side"))
     r = right.select(*keys, time, F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.struct(*values).alias("_r"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(time, "_side", "_r")
-    found = F.first("_r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    order = [F.desc(time), F.desc("_side"), F.asc("_r")] if forward else [time, "_side", "_r"]  # at one time rights come last, or first: so forward is after
+    found = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     out = l.unionByName(r).withColumn("_found", found).where("_side = 1")
     return out.select(*keys, time, *[F.col(f"_l.{c}").alias(c) for c in cols], *[F.col(f"_found.{v}").alias(v) for v in values])
 
@@ -37,7 +37,7 @@ def interpolate(grid: DataFrame, signal: DataFrame, keys: Names, time: str, x: s
     before = as_of(grid, points, keys, time, ["_t0", "_x0"])
     after = as_of(before, points.withColumnsRenamed({"_t0": "_t1", "_x0": "_x1"}), keys, time, ["_t1", "_x1"], forward=True)
     t = F.col(time)
-    value = F.when(t == F.col("_t0"), F.col("_x0")).otherwise(F.col("_x0") + (F.col("_x1") - F.col("_x0")) * rate(t - F.col("_t0"), F.col("_t1") - F.col("_t0")))
+    value = F.when(t == F.col("_t0"), F.col("_x0")).otherwise(F.col("_x0") + rate((F.col("_x1") - F.col("_x0")) * (t - F.col("_t0")), F.col("_t1") - F.col("_t0")))
     return after.withColumn(x, value).drop("_t0", "_x0", "_t1", "_x1")
 
 
@@ -80,3 +80,21 @@ def pulse_quality(pulses: DataFrame, keys: Names, least_us: float = 3000, most_u
 def continues(before_period: Column, gap: Column, ordinal_step: Column, deviation: float = 0.15) -> Column:
     """Whether the first pulse of a window follows the last of the window before: next ordinal, a step within ``deviation`` of its period."""
     return (ordinal_step == 1) & (F.abs(gap - before_period) <= deviation * before_period)
+
+
+def window_continuity(pulses: DataFrame, starts: DataFrame, keys: Names, window: str, start: str, least_us: float = 3000, most_us: float = 100000, deviation: float = 0.15, tail: float = 1.1) -> DataFrame:
+    """(keys, window, period, tail, continuous): whether a window's pulses (t_us, ordinal) go on from the window before.
+
+    They do if the period before was in bounds, the first pulse ``continues`` it, and the window
+    (``start`` in ``starts``) begins after its last pulse by ``tail`` periods at most.  NULL for a key's first window.
+    """
+    span = F.max("t_us") - F.min("t_us")
+    own = pulses.groupBy(*keys, window).agg(
+        F.min("t_us").alias("_first"), F.max("t_us").alias("_last"), F.min_by("ordinal", "t_us").alias("_from"), F.max_by("ordinal", "t_us").alias("_to"), rate(span, F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("period")
+    ).join(starts.select(*keys, window, start), [*keys, window])
+    w = Window.partitionBy(*keys).orderBy(window)
+    was = own.withColumns({f"_before{c}": F.lag(c).over(w) for c in ("_last", "_to", "period")})
+    out = was.withColumn("tail", F.col(start) - F.col("_before_last"))
+    period = F.col("_beforeperiod")
+    good = period.between(least_us, most_us) & continues(period, F.col("_first") - F.col("_before_last"), F.col("_from") - F.col("_before_to"), deviation) & F.col("tail").between(F.lit(0), tail * period)
+    return out.select(*keys, window, "period", "tail", F.when(F.col("_before_last").isNotNull(), F.coalesce(good, F.lit(False))).alias("continuous"))

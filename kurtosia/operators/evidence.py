@@ -46,8 +46,3 @@ def relative_shares(df: DataFrame, windows: str, least_windows: int = 3, least:
     total = sum([F.coalesce(f"{c}_strength", F.lit(0.0)) for c in CANDIDATES], F.lit(0.0))
     shown = (F.col(windows) >= least_windows) & (F.col("abnormality") >= least) & (total >= least)
     return df.withColumns({f"{c}_share": F.when(shown, 100 * rate(F.col(f"{c}_strength"), total)) for c in CANDIDATES})
-
-
-def candidate_gate(support_ok: Column, masks_equal: Column, generation_equal: Column, energy: Column, floor: float) -> Column:
-    """Why a window cannot be judged against a baseline, in order of precedence; ok if it can."""
-    return F.when(energy <= floor, "zero_energy").when(~masks_equal, "feature_mask_changed").when(~support_ok, "outside_support").when(~generation_equal, "baseline_changed").otherwise("ok")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from kurtosia.functions.numbers import rate
 
+from .joins import drawn_share, memberships
+
 Names = Sequence[str]
 
 
@@ -91,16 +93,52 @@ def nearest_centroid(train: DataFrame, test: DataFrame, label: str, vector: str,
     return test.join(F.broadcast(all_), how="cross").select(id_col, best["label"].alias("predicted"), best["d"].alias("distance"))
 
 
+def held_out_centroids(df: DataFrame, label: str, vector: str, fold: str, id_col: str) -> DataFrame:
+    """(id, label, fold, predicted, distance): each fold by the nearest class mean of the other folds; ties to the smaller label.
+
+    Sums by class and fold are made once; a fold's means are all sums less its own.
+    """
+    return _nearest_of_folds(df, df.select(label, vector, F.col(fold).alias("_f")), label, vector, fold, id_col, leave_out=True)
+
+
+def _nearest_of_folds(df: DataFrame, train: DataFrame, label: str, vector: str, fold: str, id_col: str, leave_out: bool) -> DataFrame:
+    """By class means for each fold: of the rows of other folds (``leave_out``), or of the rows that ``train`` gives to the fold."""
+    parts = train.select(label, "_f", F.posexplode(vector).alias("i", "x")).groupBy(label, "_f", "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    if leave_out:
+        whole = parts.groupBy(label, "i").agg(F.sum("s").alias("ws"), F.sum("n").alias("wn"))
+        folds_ = df.select(F.col(fold).alias("_f")).distinct()
+        each = whole.join(F.broadcast(folds_), how="cross")  # as many rows a class and component as folds
+        parts = each.join(parts, [label, "_f", "i"], "left").select(label, "_f", "i", (F.col("ws") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("wn") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    means = parts.groupBy(label, "_f").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("x")))), lambda e: e["x"]).alias("centre"))
+    models = means.groupBy("_f").agg(F.collect_list(F.struct(F.col(label).alias("label"), "centre")).alias("centres"))  # a row a fold, a centre a class
+    away = lambda c: F.aggregate(F.zip_with(c["centre"], F.col(vector), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v)
+    best = F.array_min(F.transform("centres", lambda c: F.struct(away(c).alias("d"), c["label"].alias("label"))))
+    out = df.join(F.broadcast(models), F.col(fold) == F.col("_f"), "left").withColumn("_b", best)
+    return out.select(id_col, label, fold, F.col("_b.label").alias("predicted"), F.col("_b.d").alias("distance"))
+
+
+def centroid_learning_curve(df: DataFrame, label: str, vector: str, trial: str, fold: str, id_col: str, holdouts: Sequence[int], counts: Sequence[int]) -> DataFrame:
+    """(trials, n, hits, accuracy): held-out folds by class means of the first 1, 2, ... trials of each class."""
+    out = None
+    for count in counts:
+        dealt = memberships(df, label, trial, fold, holdouts, count)
+        train = dealt.where("role = 'train'").select(label, vector, F.col("holdout").alias("_f"))
+        told = _nearest_of_folds(df, train, label, vector, fold, id_col, leave_out=False)
+        one = told.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == F.col("predicted")).alias("hits")).select(F.lit(count).alias("trials"), "n", "hits", rate(F.col("hits"), F.col("n")).alias("accuracy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def bootstrap(df: DataFrame, stratum: str, cluster: str, hits: str, n: str, replicates: int = 1000, seed: str = "bootstrap") -> DataFrame:
     """(lo, mid, hi): 2.5, 50 and 97.5 % quantiles of accuracy when whole clusters are drawn again within strata.
 
     ``df`` has a row a cluster with its hits and rows.  Draw d of a replicate takes
-    the cluster at a hashed position, so runs repeat exactly.
+    the cluster at a position that follows from an MD5, so runs repeat exactly.
     """
     size = Window.partitionBy(stratum)
     numbered = df.withColumn("_i", F.row_number().over(size.orderBy(cluster)) - 1).withColumn("_size", F.count(F.lit(1)).over(size))
     draws = numbered.select(stratum, F.col("_i").alias("_d"), "_size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "replicate", F.col(stratum).cast("string"), "_d"), F.col("_size")).cast("int"))
+    draws = draws.withColumn("_i", F.floor(drawn_share(F.lit(seed), F.col("replicate"), F.col(stratum), F.col("_d")) * F.col("_size")).cast("int"))
     drawn = draws.join(numbered.select(stratum, "_i", hits, n), [stratum, "_i"])
     accuracy = drawn.groupBy("replicate").agg((F.sum(hits) / F.sum(n)).alias("a"))
     q = F.percentile("a", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
@@ -115,11 +153,21 @@ def folds(df: DataFrame, stratum: str, group: str, k: int = 5) -> DataFrame:
 
 
 def spaced_sample(df: DataFrame, order: Names, k: int) -> DataFrame:
-    """``k`` rows spaced evenly from the first to the last (a sampling operator); the table is numbered as one sequence."""
-    whole = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).join(F.broadcast(whole), how="cross")
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.rint(j * (F.col("_n") - 1) / max(k - 1, 1)).cast("int"))
-    return ranked.where((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i"))).drop("_i", "_n")
+    """``k`` rows spaced evenly from the first to the last (a sampling operator).
+
+    Rows are range-partitioned and sorted; a row's number is its place in its partition
+    after the counts of the partitions before.  No task sees the whole table.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = sorted_.withColumn("_p", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).agg(F.array_sort(F.collect_list(F.struct("_p", "_c"))).alias("_counts"))  # a row a partition
+    before = F.aggregate(F.filter("_counts", lambda x: x["_p"] < F.col("_p")), F.lit(0).cast("long"), lambda t, x: t + x["_c"])
+    whole = F.aggregate("_counts", F.lit(0).cast("long"), lambda t, x: t + x["_c"])
+    ranked = placed.join(F.broadcast(counts), how="cross").withColumn("_i", before + F.col("_at")).withColumn("_n", whole)
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.rint(j * (F.col("_n") - 1) / max(k - 1, 1)).cast("long"))
+    return ranked.where((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i"))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def assert_contract(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

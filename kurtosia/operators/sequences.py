@@ -136,6 +136,167 @@ def segments(df: DataFrame, keys: Names, order: Names, resets: Column) -> DataFr
     return df.withColumn("segment", F.sum(F.coalesce(resets, F.lit(False)).cast("int")).over(w))
 
 
+BEARING = "outcome string, votes_positive int, votes_valid int, status string"
+FRESH_MS, STRIDE, VOTES, NEEDED = 2000, 2048, 5, 4
+
+
+def bearing_step(state: tuple, session, sequence, start, rpm, now, usable, flag, stride: int = STRIDE, fresh_ms: int = FRESH_MS) -> tuple[tuple, tuple]:
+    """One window of a bearing detector: (state, outputs).
+
+    state is (session, sequence, start, rpm, now, history of votes); outputs are those of BEARING.
+    A window that cannot be used, or that repeats or precedes the last one, is rejected and
+    clears the votes.  A new session, a gap, another speed or an age over ``fresh_ms``
+    restarts them with the window.  A row without a sequence only tells the time: once
+    the last window is too old the verdict is unavailable again.
+    """
+    empty = (None, None, None, None, None, "")
+    last_session, last_sequence, last_start, last_rpm, last_now, history = state
+    known = last_sequence is not None
+    stale = known and now is not None and now - last_now > fresh_ms
+    if sequence is None:
+        if stale:
+            return empty, ("expired", 0, 0, "unavailable")
+        return state, ("time", history.count("1"), len(history), _bearing_status(history))
+    if not usable or flag is None:
+        return empty, ("rejected_unusable", 0, 0, "unavailable")
+    outcome = "continued" if known else "first"
+    if known and session == last_session and (sequence <= last_sequence or start <= last_start):
+        return empty, ("rejected_repeated", 0, 0, "unavailable")
+    if known and (session != last_session or rpm != last_rpm or sequence != last_sequence + 1 or start != last_start + stride or stale):
+        outcome, history = "restarted", ""
+    history = (history + ("1" if flag else "0"))[-VOTES:]
+    return (session, sequence, start, rpm, now, history), (outcome, history.count("1"), len(history), _bearing_status(history))
+
+
+def _bearing_status(history: str) -> str:
+    return "unavailable" if len(history) < VOTES else "confirmed" if history.count("1") >= NEEDED else "normal"
+
+
+def bearing_continuity(df: DataFrame, keys: Names, order: Names, session: str, sequence: str, start: str, rpm: str, now: str, usable: str, flag: str, stride: int = STRIDE, fresh_ms: int = FRESH_MS) -> DataFrame:
+    """(keys, order, outcome, votes_positive, votes_valid, status) of each window, see ``bearing_step``."""
+
+    def step(held, *row):
+        state, out = bearing_step(held[:6], *row, stride=stride, fresh_ms=fresh_ms)
+        return (*state, *out)
+
+    kinds = (("string", session), ("long", sequence), ("long", start), ("double", rpm), ("long", now), ("boolean", usable), ("boolean", flag))
+    fields = f"_session string, _sequence long, _start long, _rpm double, _now long, _history string, {BEARING}"
+    out = fold(df, keys, order, [F.col(c).cast(kind) for kind, c in kinds], (None, None, None, None, None, "", None, 0, 0, None), step, fields)
+    return out.select(*keys, *order, *[x.split()[0] for x in BEARING.split(", ")])
+
+
+PROFILE_STATE = "ok boolean, reason string, context string, ppr int, current long, current_context string, current_ppr int, candidate long, candidate_context string, candidate_ppr int, previous long, previous_context string, previous_ppr int, next_id long, generation long, learning boolean, paused boolean, hold boolean"
+_START = (None, None, None, 0, None, None, None, None, None, None, None, None, None, 1, 0, False, True, False)
+_AT = {f.split()[0]: i for i, f in enumerate(PROFILE_STATE.split(", "))}
+
+
+def _names_context(x: str) -> bool:
+    return 0 < len(x) <= 12 and all(c.isascii() and (c.isalnum() or c in "_-") for c in x)
+
+
+def profile_step(state: tuple, line: str | None) -> tuple:
+    """One command line of a baseline store, or one of the events ``learned`` and ``storage_error``.
+
+    learn needs a context and pulses a turn and no candidate; what is learned becomes
+    the candidate under a new id that is never used again.  approve <id> and rollback
+    ask that the profile's condition is the selected one; clear forgets the selection
+    and all profiles.  A storage error holds the store: only status, stop and recover go on.
+    Every command ends learning unless it begins it.
+    """
+    s = dict(zip(_AT, state, strict=True))
+    word, _, rest = (line or "").strip().partition(" ")
+    roles = ("current", "candidate", "previous")
+    profile = lambda role: (s[role], s[f"{role}_context"], s[f"{role}_ppr"])
+
+    def put(role, value):
+        s[role], s[f"{role}_context"], s[f"{role}_ppr"] = value
+
+    def matches(role):
+        return s[role] is not None and (s[f"{role}_context"], s[f"{role}_ppr"]) == (s["context"], s["ppr"])
+
+    def told(ok, reason, saves=True):
+        s["ok"], s["reason"] = ok, reason
+        s["generation"] += 1 if ok and saves else 0
+        if word not in ("learn", "learned") or not ok:
+            s["learning"] = False
+        return tuple(s.values())
+
+    number = int(rest) if rest.isascii() and rest.isdigit() else 0
+    if word == "storage_error":
+        s["hold"] = True
+        return told(False, "storage_hold")
+    if word == "profile":
+        return told(True, "status", saves=False)
+    if word == "stop":
+        s["paused"] = True
+        return told(True, "paused", saves=False)
+    if word == "recover":
+        was, s["hold"], s["paused"] = s["hold"], False, True
+        return told(was, "recovered" if was else "recovery_not_required")
+    if word not in ("start", "learn", "learned", "context", "ppr", "approve", "discard", "rollback", "import", "clear"):
+        return told(False, "unknown_command")
+    if s["hold"]:
+        return told(False, "storage_hold")
+    if word == "start":
+        s["paused"] = False
+        return told(True, "sampling", saves=False)
+    if word == "context":
+        if not _names_context(rest):
+            return told(False, "context_invalid")
+        s["context"] = rest
+    elif word == "ppr":
+        if not 1 <= number <= 16:
+            return told(False, "ppr_invalid")
+        s["ppr"] = number
+    elif word in ("learn", "learned", "import"):
+        if word == "learned" and not s["learning"]:
+            return told(False, "not_learning")
+        if s["candidate"] is not None:
+            return told(False, "candidate_exists")
+        if word == "learn" and s["learning"]:
+            return told(False, "learning_in_progress")
+        if word == "import":  # import <context>
+            if not _names_context(rest):
+                return told(False, "context_invalid")
+            s["context"] = rest
+        if s["context"] is None or not s["ppr"]:
+            return told(False, "selection_required")
+        if word == "learn":
+            s["learning"], s["paused"] = True, False
+            return told(True, "started", saves=False)
+        put("candidate", (s["next_id"], s["context"], s["ppr"]))
+        s["next_id"] += 1
+        s["learning"] = False
+    elif word == "approve":
+        if not number or number != s["candidate"]:
+            return told(False, "candidate_id_mismatch" if number else "candidate_id_invalid")
+        if not matches("candidate"):
+            return told(False, "condition_mismatch")
+        put("previous", profile("current"))
+        put("current", profile("candidate"))
+        put("candidate", (None,) * 3)
+    elif word == "discard":
+        if s["candidate"] is None:
+            return told(False, "candidate_missing")
+        put("candidate", (None,) * 3)
+    elif word == "rollback":
+        if s["previous"] is None or not matches("previous"):
+            return told(False, "previous_missing" if s["previous"] is None else "condition_mismatch")
+        current = profile("current")
+        put("current", profile("previous"))
+        put("previous", current)
+    elif word == "clear":
+        s["context"], s["ppr"] = None, 0
+        for role in roles:
+            put(role, (None,) * 3)
+    return told(True, "saved")
+
+
+def profile_store(df: DataFrame, keys: Names, order: Names, line: str) -> DataFrame:
+    """(keys, order, PROFILE_STATE): answer and state after each command line, see ``profile_step``."""
+    return fold(df, keys, order, [F.col(line).cast("string")], _START, profile_step, PROFILE_STATE)
+
+
 # Commands of the baseline store.
 COMMANDS = ("learned", "approve", "discard", "rollback", "clear", "import")
 

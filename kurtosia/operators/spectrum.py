@@ -1,8 +1,8 @@
 """Spectra in long form (keys, k, value), bands of them, and the feature vectors of the analysis paths.
 
-``dft`` joins samples with a basis of size * bins rows, which is bounded by the window
-and so broadcast; sums combine before the shuffle.  It is exact and relational, for
-short windows; ``fft`` does the same in Arrow batches for long ones.
+``fft`` takes windows as arrays, a row each, and shuffles nothing; ``dft`` takes samples in
+long form and gathers each window, whose size bounds the array, first.  Both transform
+all windows of an Arrow batch at once.
 """
 
 from __future__ import annotations
@@ -11,53 +11,57 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kurtosia.functions.numbers import clamp, rate
 
+from .waveform import by_length
+
 Names = Sequence[str]
 TAPERS = ("none", "hann_symmetric", "hann_periodic")
 
 
-def taper(i: Column, size: int, kind: str) -> Column:
+def taper(size: int, kind: str) -> np.ndarray:
     if kind == "none":
-        return F.lit(1.0)
-    return 0.5 - 0.5 * F.cos(2 * math.pi * i / (size - 1 if kind == "hann_symmetric" else size))
-
+        return np.ones(size)
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1 if kind == "hann_symmetric" else size))
 
-def _basis(spark: SparkSession, size: int, kind: str) -> DataFrame:
-    pairs = spark.range(size * (size // 2 + 1)).select((F.col("id") % size).cast("int").alias("i"), F.floor(F.col("id") / size).cast("int").alias("k"))
-    angle = 2 * math.pi * ((F.col("i") * F.col("k")) % size) / size
-    w = taper(F.col("i"), size, kind)
-    return pairs.select("i", "k", (w * F.cos(angle)).alias("c"), (-w * F.sin(angle)).alias("s"))
 
+def fft(df: DataFrame, keys: Names, signal: str, kind: str = "none", centre: bool = True, size: int | None = None) -> DataFrame:
+    """(keys, k, re, im) for k up to half the size of the windows in an array column; NULL samples count nothing.
 
-def dft(long: DataFrame, keys: Names, size: int, kind: str = "none", centre: bool = True) -> DataFrame:
-    """(keys, k, re, im) for k up to size/2 of windows (keys, i, x) of ``size`` samples."""
-    if centre:
-        long = long.join(long.groupBy(*keys).agg(F.avg("x").alias("_mean")), list(keys)).withColumn("x", F.col("x") - F.col("_mean"))
-    basis = F.broadcast(_basis(long.sparkSession, size, kind))
-    return long.join(basis, "i").groupBy(*keys, "k").agg(F.sum(F.col("x") * F.col("c")).alias("re"), F.sum(F.col("x") * F.col("s")).alias("im"))
+    Windows that are NULL or hold other than finite samples give no rows, nor do those of another length than ``size``.
+    """
+    if kind not in TAPERS:
+        raise ValueError(f"unknown taper {kind}")
 
+    def rows(x: np.ndarray) -> list:
+        if size is not None and x.shape[1] != size:
+            return [None] * len(x)
+        x = x - x.mean(axis=1, keepdims=True) if centre else x
+        z = np.fft.rfft(x * taper(x.shape[1], kind))
+        return list(np.stack([z.real, z.imag], axis=1))
 
-def fft(df: DataFrame, keys: Names, signal: str, kind: str = "none", centre: bool = True) -> DataFrame:
-    """The same from an array column, by NumPy in Arrow batches."""
+    def transform(column: pd.Series) -> pd.DataFrame:
+        z = by_length(column, rows)
+        return pd.DataFrame({part: [None if x is None else x[i] for x in z] for i, part in enumerate(("re", "im"))}, index=column.index)
 
-    @F.pandas_udf("array<struct<k:int,re:double,im:double>>")
-    def transform(column):
-        def one(x):
-            x = np.asarray(x, dtype=np.float64)
-            x = x - x.mean() if centre else x
-            n = len(x)
-            if kind != "none":
-                x = x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1 if kind == "hann_symmetric" else n)))
-            z = np.fft.rfft(x)
-            return [{"k": k, "re": float(c.real), "im": float(c.imag)} for k, c in enumerate(z)]
+    bins = F.pandas_udf(transform, "re array<double>, im array<double>")(F.col(signal))
+    out = df.select(*keys, bins.alias("_z"))
+    k = F.transform(F.sequence(F.lit(0), F.size("_z.re") - 1), lambda i: i.cast("int"))
+    return out.where("_z.re is not null").select(*keys, F.inline(F.arrays_zip(k.alias("k"), F.col("_z.re"), F.col("_z.im"))).alias("k", "re", "im"))
 
-        return column.map(one, na_action="ignore")
 
-    return df.select(*keys, F.inline(transform(F.col(signal))))
+def dft(long: DataFrame, keys: Names, size: int, kind: str = "none", centre: bool = True) -> DataFrame:
+    """The same of windows (keys, i, x) of ``size`` samples; a missing sample counts as the mean, or as 0 without centring."""
+    at = F.col("i").between(0, size - 1) & F.col("x").isNotNull()
+    got = long.where(at).groupBy(*keys).agg(F.collect_list(F.struct("i", "x")).alias("_s"), F.avg("x").alias("_mean"))
+    by_place = F.map_from_entries("_s")
+    gap = F.col("_mean") if centre else F.lit(0.0)
+    window = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("_m", i.cast(long.schema["i"].dataType)), gap))
+    return fft(got.select(*keys, "_mean", by_place.alias("_m")).select(*keys, window.alias("_x")), keys, "_x", kind, centre, size)
 
 
 def amplitude(spectrum: DataFrame, size: int) -> DataFrame:
@@ -84,6 +88,19 @@ def power_spectrum(spectrum: DataFrame, size: int) -> DataFrame:
     return spectrum.withColumn("power", F.when(F.col("k").isin(0, size // 2), p).otherwise(2 * p))
 
 
+def harmonic_capture(spectrum: DataFrame, keys: Names, bin_hz: float, hz: float, errors: Sequence[float], harmonics: Sequence[int] = (1, 2, 3), width: float = 5.0) -> DataFrame:
+    """(keys, error, harmonic, captured): the magnitude in a harmonic's band when the speed is off by ``error``, over that at the right speed.
+
+    The errors and harmonics are a few literals; each row of the spectrum is added to the bands that hold it.
+    """
+    f = F.col("k") * bin_hz
+    grid = F.array(*[F.struct(F.lit(float(e)).alias("error"), F.lit(h).alias("harmonic")) for e in errors for h in harmonics])
+    near = spectrum.select(*keys, "mag", f.alias("_f"), F.explode(grid).alias("_g")).select(*keys, "mag", "_f", "_g.*")
+    got = F.sum(F.when(F.abs(F.col("_f") - (hz + F.col("error")) * F.col("harmonic")) <= width, F.col("mag")).otherwise(0.0))
+    right = F.sum(F.when(F.abs(F.col("_f") - hz * F.col("harmonic")) <= width, F.col("mag")).otherwise(0.0))
+    return near.groupBy(*keys, "error", "harmonic").agg(rate(got, right).alias("captured"))
+
+
 def band_within(value: Column, f: Column, centre: Column, width: float | Column) -> Column:
     """Sum over |f - centre| <= width."""
     return F.coalesce(F.sum(F.when(F.abs(f - centre) <= width, value)), F.lit(0.0))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import signals, stream, tables
+from . import checks, lines, signals, stream, tables
 
-_ALL = stream.QUERIES | signals.QUERIES | tables.QUERIES
+_ALL = stream.QUERIES | signals.QUERIES | tables.QUERIES | lines.QUERIES | checks.QUERIES
 
 
 def queries() -> dict:

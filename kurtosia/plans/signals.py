@@ -35,11 +35,11 @@ z AS (SELECT vec_id, b.k, sum(x * {w} * cos(2 * pi() * ((b.i * b.k) % 64) / 64))
 
 
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectrum.amplitude(spectrum.dft(long(spark, sf_dir), KEY, SIZE), SIZE)
+    return spectrum.amplitude(spectrum.fft(vectors(spark, sf_dir), KEY, "x"), SIZE)
 
 
 def _hann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectrum.amplitude_hann(spectrum.dft(long(spark, sf_dir), KEY, SIZE, "hann_symmetric"), SIZE)
+    return spectrum.amplitude_hann(spectrum.fft(vectors(spark, sf_dir), KEY, "x", "hann_symmetric"), SIZE)
 
 
 def amplitude_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,13 @@ HANN_SQL = f"WITH {_spectrum_sql('hann_symmetric')} SELECT vec_id, k, round(sqrt
 
 
 def fft_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = spectrum.fft(vectors(spark, sf_dir), KEY, "x", "hann_symmetric")
+    """The Hann spectrum from samples in long form, window by window gathered."""
+    z = spectrum.dft(long(spark, sf_dir), KEY, SIZE, "hann_symmetric")
     return spectrum.amplitude_hann(z, SIZE).select("vec_id", "k", _r("mag").alias("mag"))
 
 
 def power_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = spectrum.power_spectrum(spectrum.dft(long(spark, sf_dir), KEY, SIZE, "hann_periodic"), SIZE)
+    z = spectrum.power_spectrum(spectrum.fft(vectors(spark, sf_dir), KEY, "x", "hann_periodic"), SIZE)
     band = lambda lo: spectrum.band_half_open(F.col("power"), F.col("k") * 1.0, float(lo), float(lo + 8))
     return z.groupBy("vec_id").agg(*[_r(band(lo)).alias(f"band_{lo}") for lo in (0, 8, 16, 24)], _r(F.sum("power")).alias("total"))
 
@@ -178,7 +179,7 @@ SELECT r.vec_id, round(avg(r2 * r2) / pow(avg(r2), 2), 5) AS kurtosis, round(sqr
 
 
 def owned_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = spectrum.power(spectrum.dft(long(spark, sf_dir), KEY, SIZE, "hann_periodic"), KEY, SIZE)
+    z = spectrum.power(spectrum.fft(vectors(spark, sf_dir), KEY, "x", "hann_periodic"), KEY, SIZE)
     return spectrum.owned_bands(z, KEY, 1.0, 10.0, 25.0, upper_hz=20.0).select("vec_id", "owner", _r("energy").alias("energy"), _r("share", 4).alias("share"))
 
 

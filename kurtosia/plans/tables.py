@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kurtosia.functions import numbers
 from kurtosia.operators import baseline, metrics
-from kurtosia.operators.records import line_kind, measurement_errors
 
 
 def _r(c, digits: int = 6):
@@ -129,7 +128,16 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as clusters of order lines within their nation."""
     hits = _classified(spark, sf_dir).groupBy("l_suppkey").agg(F.count_if(F.col("truth") == F.col("predicted")).alias("hits"), F.count(F.lit(1)).alias("n"))
     rows = hits.join(_read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "s_suppkey", "hits", "n")
-    return metrics.bootstrap(rows, "s_nationkey", "s_suppkey", "hits", "n", 200)
+    return metrics.bootstrap(rows, "s_nationkey", "s_suppkey", "hits", "n", 200).select(*[_r(c) for c in ("lo", "mid", "hi")]).toDF("lo", "mid", "hi")
+
+
+BOOTSTRAP_SQL = f"""
+WITH {_CLASSIFIED}, h AS (SELECT l_suppkey, count(*) FILTER (truth = predicted) AS hits, count(*) AS n FROM c GROUP BY l_suppkey),
+b AS (SELECT s_nationkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS size, hits, n FROM h JOIN supplier ON l_suppkey = s_suppkey WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+d AS (SELECT s_nationkey, r.range AS replicate, CAST(floor(CAST('0x' || substr(md5(concat_ws(':', 'bootstrap', r.range, s_nationkey, i)), 1, 8) AS BIGINT) / 4294967296.0 * size) AS BIGINT) AS i FROM b, range(1, 201) r),
+a AS (SELECT replicate, sum(hits) / sum(n) AS a FROM d JOIN b ON d.s_nationkey = b.s_nationkey AND d.i = b.i GROUP BY replicate)
+SELECT round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.5), 6) AS mid, round(quantile_cont(a, 0.975), 6) AS hi FROM a
+"""
 
 
 def shared_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,26 +171,6 @@ SELECT event_id, list_reduce(list_prepend(CAST(0 AS BIGINT), cs), lambda h, c: (
 """
 
 
-def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurement lines made from events; some of them are wrong in one way or another."""
-    v, kind = F.col("value"), F.col("event_type")
-    seq = F.col("event_id").cast("string")
-    votes = F.when(kind == "login", F.lit("true")).otherwise((F.col("event_id") % 6).cast("string"))
-    rpm = F.when(kind == "error", F.lit('"fast"')).otherwise(v.cast("string"))
-    amp = F.when(kind == "click", F.lit("[0.1,0.2]")).otherwise(F.lit("[0.1,0.2,0.3]"))
-    body = F.concat(F.lit('{"reason":"ok","fs_hz":400.0,"fg_hz":null,"rpm":'), rpm, F.lit(',"amp_1x_g":'), amp, F.lit(',"ratio_1x":1.0,"imbalance":"normal","imbalance_votes":'), votes, F.lit(',"seq":'), seq, F.lit("}"))
-    line = F.when(F.col("event_id") % 11 == 0, F.lit("  ")).when(F.col("event_id") % 13 == 0, F.lit("boot ok")).when(F.col("event_id") % 17 == 0, F.lit('{"reason":')).otherwise(body)
-    rows = _read(spark, sf_dir, "events").select("event_id", line.alias("line"))
-    return rows.select("event_id", line_kind(F.col("line")).alias("kind"), F.array_join(measurement_errors(F.col("line")), "; ").alias("errors"))
-
-
-RECORD_SQL = """
-SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'blank' WHEN event_id % 13 = 0 THEN 'console' WHEN event_id % 17 = 0 THEN 'bad_json' ELSE 'record' END AS kind,
-       CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 THEN 'record must be a JSON object' ELSE concat_ws('; ', CASE WHEN event_type = 'error' THEN 'rpm: expected a finite number or null' END, CASE WHEN event_type = 'click' THEN 'amp_1x_g: expected three finite numbers or null' END, CASE WHEN event_type = 'login' THEN 'imbalance_votes: expected an integer' END) END AS errors
-FROM events
-"""
-
-
 def equipment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of order values by region and nation: the equipment hierarchy of a grouped report."""
     orders = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -207,10 +195,9 @@ QUERIES = {
     "summaries": (summaries, SUMMARIES_SQL),
     "alarm_rates": (alarm_rates, ALARM_SQL),
     "group_folds": (group_folds, FOLDS_SQL),
-    "bootstrap": (bootstrap, None),
+    "bootstrap": (bootstrap, BOOTSTRAP_SQL),
     "shared_content": (shared_content, SHARED_SQL),
     "conditions": (labels_of_conditions, CONDITIONS_SQL),
     "checksums": (checksums, CHECKSUMS_SQL),
-    "record_errors": (record_errors, RECORD_SQL),
     "equipment_report": (equipment_report, REPORT_SQL),
 }

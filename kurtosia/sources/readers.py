@@ -14,14 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kurtosia.operators.records import line_kind, measurement_errors
+from kurtosia.operators.metrics import by_class
+from kurtosia.operators.records import measurements
 
 WAVES = "path string, name string, signal array<double>"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.float64())), strict=True)], ["path", "name", "signal"])
+def _wave(path: str, name: str, signal: np.ndarray) -> pa.RecordBatch:
+    """One row whose samples are the array's own memory."""
+    x = np.ascontiguousarray(signal, dtype=float).ravel()
+    samples = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), samples], ["path", "name", "signal"])
 
 
 def _files(spark: SparkSession, path: str, parse) -> DataFrame:
@@ -31,7 +34,7 @@ def _files(spark: SparkSession, path: str, parse) -> DataFrame:
         for b in batches:
             for p, content in zip(b["path"].to_pylist(), b["content"], strict=True):
                 for name, signal in parse(content.as_py()):
-                    yield _batch([(p, name, np.asarray(signal, dtype=float).tolist())])
+                    yield _wave(p, name, signal)
 
     return files.mapInArrow(run, WAVES)
 
@@ -73,19 +76,44 @@ def read_mat(spark: SparkSession, path: str, suffix: str = "_DE_time") -> DataFr
     return _files(spark, path, lambda content: [(n, v) for n, v in mat_variables(content) if n.endswith(suffix)])
 
 
-def read_npy_zip(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, signal) of the .npy members of ZIP files; a bad checksum or non-finite sample fails the read."""
+def read_npy_zip(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """(path, name, trial, member, signal) of the .npy members of ZIP files.
+
+    trial is the number in the archive's name, member the one in the member's.  A bad
+    checksum, samples that are not finite or numeric, more than one dimension beside
+    those of length 1 or, where ``size`` is given, another number of samples fail the read.
+    """
 
     def parse(content: bytes):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             for name in z.namelist():
                 if name.endswith(".npy"):
                     x = np.load(io.BytesIO(z.read(name)), allow_pickle=False)
+                    if x.dtype.kind not in "fiu" or np.squeeze(x).ndim > 1:
+                        raise ValueError(f"{name}: not one signal of numbers")
+                    if size is not None and x.size != size:
+                        raise ValueError(f"{name}: {x.size} samples, expected {size}")
                     if not np.isfinite(x).all():
                         raise ValueError(f"{name}: samples are not finite")
                     yield name, x.ravel()
 
-    return _files(spark, path, parse)
+    waves = _files(spark, path, parse)
+    number = lambda c: F.regexp_extract(c, r"([0-9]+)[^0-9/]*$", 1).try_cast("int")
+    return waves.select("path", "name", number(F.element_at(F.split("path", "/"), -1)).alias("trial"), number(F.col("name")).alias("member"), "signal")
+
+
+def read_csv_zip(spark: SparkSession, path: str, column: int = 0, header: bool = True) -> DataFrame:
+    """(path, name, condition, number, role, signal) of one column of the CSV members of ZIP files (see ``member_role``)."""
+
+    def parse(content: bytes):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in z.namelist():
+                if name.lower().endswith(".csv"):
+                    rows = z.read(name).decode("utf-8-sig").splitlines()[int(header) :]
+                    yield name, np.array([r.split(",")[column] for r in rows if r.strip()], dtype=float)
+
+    condition, number, role = member_role(F.col("name"))
+    return _files(spark, path, parse).select("path", "name", condition.alias("condition"), number.alias("number"), role.alias("role"), "signal")
 
 
 def read_rotation_csv(spark: SparkSession, path: str, column: int = 1, columns: int = 8) -> DataFrame:
@@ -114,10 +142,8 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """(line, kind, errors) of serial logs, as a batch or a stream; nothing is dropped."""
-    lines = (spark.readStream if stream else spark.read).text(path)
-    kind = line_kind(F.col("value"))
-    errors = F.when(kind == "record", measurement_errors(F.col("value")))
-    return lines.select(F.col("value").alias("line"), kind.alias("kind"), errors.alias("errors"))
+    lines = (spark.readStream if stream else spark.read).text(path).select(F.col("value").alias("line"))
+    return measurements(lines, "line").withColumn("errors", F.when(F.col("kind") == "record", F.col("errors")))
 
 
 def read_verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
@@ -150,12 +176,43 @@ def cache_key(**parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
 
 
-def synthetic(spark: SparkSession, windows: int, size: int, fs: float, hz: float, harmonics: dict[int, float], noise: float = 0.05, wear: float = 0.0, seed: int = 1) -> DataFrame:
-    """(window_id, i, x): a rotation with harmonics and hashed noise; ``wear`` grows the harmonics from the first window to the last."""
+# What injected faults do to the amplitudes of the turning frequency's multiples and of the high band ("hf").
+FAULTS = {
+    "normal": {},
+    "unbalance": {1: 2.2},
+    "misalignment": {2: 3.5},
+    "looseness": {2: 1.8, 3: 3.0, 4: 3.0},
+    "high_frequency": {"hf": 4.0},
+    "power_off": {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0, "hf": 0.0},
+}
+
+
+def synthetic(
+    spark: SparkSession, windows: int, size: int, fs: float, hz: float, harmonics: dict[int, float], noise: float = 0.05, wear: float = 0.0, seed: int = 1, jitter_hz: float = 0.0, amp_jitter: float = 0.0, fault: str = "normal", hf: tuple[float, float] = (0.0, 240.0)
+) -> DataFrame:
+    """(window_id, i, x): a rotation with harmonics, a high tone (amplitude, Hz) and hashed noise.
+
+    ``wear`` grows the harmonics from the first window to the last; speed and amplitudes of a
+    window vary by Gaussian jitter; ``fault`` multiplies amplitudes as FAULTS says.
+    """
     rows = spark.range(windows * size).select(F.floor(F.col("id") / size).alias("window_id"), (F.col("id") % size).cast("int").alias("i"))
-    u = lambda k: F.pmod(F.xxhash64("window_id", "i", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
-    gauss = F.sqrt(-2 * F.ln(u(1) + 1e-12)) * F.cos(2 * np.pi * u(2))
+    u = lambda *of: F.pmod(F.xxhash64(*of, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    gauss = lambda tag, *of: F.sqrt(-2 * F.ln(u(*of, F.lit(f"{tag}1")) + 1e-12)) * F.cos(2 * np.pi * u(*of, F.lit(f"{tag}2")))
     t = (F.col("window_id") * size + F.col("i")) / fs
     grown = 1 + wear * F.col("window_id") / max(windows - 1, 1)
-    wave = sum([F.when(F.lit(k == 1), F.lit(a)).otherwise(a * grown) * F.sin(2 * np.pi * k * hz * t) for k, a in harmonics.items()], F.lit(0.0))
-    return rows.withColumn("x", wave + noise * gauss)
+    turn = hz + jitter_hz * gauss("hz", "window_id") if jitter_hz else F.lit(float(hz))
+    level = 1 + amp_jitter * gauss("amp", "window_id") if amp_jitter else F.lit(1.0)
+    factor = FAULTS[fault]
+    wave = F.lit(0.0)
+    for k, a in harmonics.items():
+        wave = wave + a * factor.get(k, 1.0) * (F.lit(1.0) if k == 1 else grown) * level * F.sin(2 * np.pi * k * turn * t)
+    wave = wave + hf[0] * factor.get("hf", 1.0) * F.sin(2 * np.pi * hf[1] * t)
+    return rows.withColumn("x", wave + noise * gauss("x", "window_id", "i"))
+
+
+def write_results(predictions: DataFrame, path: str, truth: str, predicted: str) -> None:
+    """A run's predictions as CSV, its errors as CSV and its class metrics as JSON, each in a folder of ``path``."""
+    wrong = ~F.col(truth).eqNullSafe(F.col(predicted))
+    predictions.write.mode("overwrite").option("header", True).csv(f"{path}/predictions")
+    predictions.where(wrong).write.mode("overwrite").option("header", True).csv(f"{path}/errors")
+    by_class(predictions, [], truth, predicted).write.mode("overwrite").json(f"{path}/by_class")

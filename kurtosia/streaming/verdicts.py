@@ -14,20 +14,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from kurtosia.operators import sequences
+
 Names = Sequence[str]
 
 
-def _stateful(stream: DataFrame, keys: Names, order: str, out: str, state: str, start: tuple, step: Callable, forget_ms: int | None = None) -> DataFrame:
+def _stateful(stream: DataFrame, keys: Names, order: str, out: str, state: str, start: tuple, step: Callable, forget_ms: int | None = None, expired: tuple | None = None) -> DataFrame:
     """Runs step(state, row) -> (state, outputs) over the rows of each key in order.
 
-    With ``forget_ms`` a key that has been silent for that long starts anew.
+    With ``forget_ms`` a key that has been silent for that long starts anew; ``expired``
+    are the outputs that say so, in a row with the key's last place in the order.
     """
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in stream.schema if f.name in (*keys, order)]
     names = [c.split()[0] for c in out.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
+            last = held.get[0]
             held.remove()
+            if expired:
+                yield pd.DataFrame([(*key, last, *expired)], columns=[*keys, order, *names])
             return
         now = held.get if held.exists else start
         last, now = now[0], now[1:]
@@ -54,11 +60,15 @@ def _flag(x) -> bool | None:
     return None if x is None or x is pd.NA or x != x else bool(x)
 
 
-def confirm(stream: DataFrame, keys: Names, order: str, flag: str, size: int = 5, needed: int = 4, forget_ms: int | None = None) -> DataFrame:
-    """Votes and status of ``operators.voting.confirm``; the state is the last ``size`` votes."""
+def confirm(stream: DataFrame, keys: Names, order: str, flag: str, size: int = 5, needed: int = 4, forget_ms: int | None = None, reset: str | None = None) -> DataFrame:
+    """Votes and status of ``operators.voting.confirm``; the state is the last ``size`` votes.
+
+    A row whose boolean ``reset`` holds begins without votes.  After ``forget_ms`` of silence a
+    row of status unavailable tells that the votes are gone.
+    """
 
     def step(state, row):
-        history = state[0]
+        history = "" if reset and _flag(row[reset]) else state[0]
         f = _flag(row[flag])
         if f is not None:
             history = (history + ("1" if f else "0"))[-size:]
@@ -66,7 +76,7 @@ def confirm(stream: DataFrame, keys: Names, order: str, flag: str, size: int = 5
         status = "unavailable" if f is None or len(history) < size else "confirmed" if hits >= needed else "normal"
         return (history,), (hits, len(history), status)
 
-    return _stateful(stream, keys, order, "votes_positive long, votes_valid long, status string", "history string", (None, ""), step, forget_ms)
+    return _stateful(stream, keys, order, "votes_positive long, votes_valid long, status string", "history string", (None, ""), step, forget_ms, (0, 0, "unavailable"))
 
 
 def track_rotation(stream: DataFrame, keys: Names, order: str, candidate: str, jump: float = 5.0, relock: int = 5) -> DataFrame:
@@ -115,18 +125,36 @@ def sequence_status(stream: DataFrame, keys: Names, order: str, session: str, se
     return _stateful(stream, keys, order, "status string, missing long", "session string, anchor long", (None, None, None), step)
 
 
-def smooth(stream: DataFrame, keys: Names, order: str, value: str, alpha: float = 0.4) -> DataFrame:
-    """An exponential mean that a NULL ends."""
+def smooth(stream: DataFrame, keys: Names, order: str, value: str, start: str, end: str, alpha: float = 0.4, most_gap: int = 500) -> DataFrame:
+    """The mean of ``operators.sequences.smooth``, which starts anew after a gap, an overlap or a NULL."""
 
     def step(state, row):
-        mean, n = state
+        mean, n, last = state
         x = row[value]
+        at, to = (None if v is None or v != v else int(v) for v in (row[start], row[end]))
         if x is None or x != x:
-            return (None, 0), (None, 0)
-        mean = x if not n else mean + alpha * (x - mean)
-        return (mean, n + 1), (mean, n + 1)
+            return (None, 0, to), (None, 0)
+        if not n or last is None or (at is not None and (at < last or at - last > most_gap)):
+            return (x, 1, to), (x, 1)
+        mean += alpha * (x - mean)
+        return (mean, n + 1, to), (mean, n + 1)
+
+    return _stateful(stream, keys, order, "value double, count int", "mean double, n int, end long", (None, None, 0, None), step)
+
+
+def bearing(stream: DataFrame, keys: Names, order: str, columns: dict[str, str], stride: int = sequences.STRIDE, fresh_ms: int = sequences.FRESH_MS, forget_ms: int | None = None) -> DataFrame:
+    """Outcomes of ``operators.sequences.bearing_continuity``; ``columns`` names session, sequence, start, rpm, now, usable and flag.
+
+    With ``forget_ms`` a silent key comes out once more, expired and unavailable.
+    """
+    kinds = {"session": str, "sequence": int, "start": int, "rpm": float, "now": int, "usable": bool, "flag": bool}
+
+    def step(state, row):
+        values = [None if row[columns[c]] is None or row[columns[c]] is pd.NA or row[columns[c]] != row[columns[c]] else kind(row[columns[c]]) for c, kind in kinds.items()]
+        return sequences.bearing_step(state, *values, stride=stride, fresh_ms=fresh_ms)
 
-    return _stateful(stream, keys, order, "smoothed double, n long", "mean double, n long", (None, None, 0), step)
+    state = "session string, sequence long, start long, rpm double, now long, history string"
+    return _stateful(stream, keys, order, sequences.BEARING, state, (None, None, None, None, None, None, ""), step, forget_ms, ("expired", 0, 0, "unavailable"))
 
 
 def alarm_counts(stream: DataFrame, keys: Names, time: str, flag: str, window: str = "10 minutes", late: str = "1 minute") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kurtosia.functions import numbers
-from kurtosia.operators import asof, baseline, framing, metrics, records, scoring, sequences, spectrum, voting, waveform
+from kurtosia.operators import asof, baseline, framing, joins, metrics, records, scoring, sequences, spectrum, voting, waveform
 
 T, N = True, None
 
@@ -171,30 +171,58 @@ RECORD = '{"reason":"ok","fs_hz":400.0,"fg_hz":null,"rpm":1200,"amp_1x_g":[0.1,0
         ('"seq":4', '"seq":9007199254740992', "acquisition.seq"),
         ("00112233aabbccdd", "0011", "acquisition.session"),
         ('"valid":true', '"valid":1', "acquisition.valid"),
-        ('"valid":true', '"valid":false', "disagree"),
-        ('"end_us":1278500', '"end_us":2278500', "380..420"),
-        ('"previous_emit":{"seq":3', '"previous_emit":{"seq":2', "preceding"),
-        ('"min_free_bytes":5', '"min_free_bytes":50', "heap"),
+        ('"valid":true', '"valid":false', "acquisition:validity"),
+        ('"end_us":1278500', '"end_us":2278500', "acquisition:rate"),
+        ('"previous_emit":{"seq":3', '"previous_emit":{"seq":2', "runtime:previous_emit"),
+        ('"min_free_bytes":5', '"min_free_bytes":50', "runtime:heap"),
         ('"reason":"ok","fs_hz"', '"fs_hz"', "reason"),
         ('"v":1,"pre', '"v":2,"pre', "runtime.v"),
     ],
 )
 def test_record_errors(spark, old, new, word):
     line = RECORD.replace(old, new, 1) if old else RECORD
-    (r,) = spark.createDataFrame([(line,)], "line string").select(records.measurement_errors(F.col("line")).alias("e")).collect()
-    assert (r.e == []) if word is None else any(word in x for x in r.e)
+    (r,) = records.measurements(spark.createDataFrame([(line,)], "line string"), "line").collect()
+    assert r.kind == "record" and ((r.errors == []) if word is None else any(word in x for x in r.errors))
 
 
 def test_line_kinds(spark):
     df = spark.createDataFrame([(None,), (" ",), ("boot",), ("{bad",), ('{"a":NaN}',), ("{}",)], "line string")
-    assert [r.k for r in df.select(records.line_kind(F.col("line")).alias("k")).collect()] == ["blank", "blank", "console", "bad_json", "bad_json", "record"]
+    assert [r.kind for r in records.measurements(df, "line").collect()] == ["blank", "blank", "console", "bad_json", "bad_json", "record"]
 
 
 def test_profile_keys_are_closed(spark):
-    good = '{"event":"profile","v":1,"command":"learn","ok":true,"reason":"x","firmware":"f","profile":{}}'
-    df = spark.createDataFrame([(good,), (good.replace('"v":1', '"v":1,"more":2'),), (good.replace('"ok":true,', ""),), (good.replace("learn", "fly"),)], "line string")
-    told = [r.e for r in df.select(records.profile_errors(F.col("line")).alias("e")).collect()]
-    assert told[0] == [] and told[1] == ["profile: unknown field"] and "profile: missing field" in told[2] and told[3] == ["command: unknown command"]
+    from kurtosia.plans.lines import PROFILE
+
+    good = PROFILE.replace("@", "5")
+    lines = [good, good.replace('"v":1', '"v":1,"more":2'), good.replace('"ok":true,', ""), good.replace("approve", "fly"), good.replace('"hold":false', '"hold":true'), good.replace('"id":51', '"id":52'), good.replace('"paused":false', '"paused":0')]
+    told = [r.errors for r in records.profile_events(spark.createDataFrame([(x,) for x in lines], "line string"), "line").collect()]
+    assert told == [[], ["event:keys"], ["event:keys"], ["command:not_command"], ["profile.baseline_ready:unmatched"], ["profile:repeated_id"], ["profile.paused:not_boolean"]]
+
+
+def test_rows_keep_their_columns_beside_record_errors(spark):
+    df = spark.createDataFrame([(1, "{}", "old", "k")], "id int, line string, errors string, kind string")
+    (r,) = records.measurements(df, "line").collect()
+    assert r.id == 1 and r.kind == "record" and "reason:missing" in r.errors
+
+
+def test_profile_store_follows_commands(spark):
+    lines = ["learn", "context pump-1", "ppr 2", "learn", "learn", "learned", "approve 9", "context pump-2", "approve 1", "context pump-1", "approve 1", "learn", "learned", "approve 2", "rollback", "storage_error", "context x", "recover", "start", "clear", "rollback", "dance", "ppr 17", "context much-too-long-a-name"]
+    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(lines)], "k string, seq int, line string")
+    out = sequences.profile_store(df, ["k"], ["seq"], "line").orderBy("seq").collect()
+    assert [r.reason for r in out] == [
+        "selection_required", "saved", "saved", "started", "learning_in_progress", "not_learning", "candidate_id_mismatch", "saved", "candidate_id_mismatch", "saved", "candidate_id_mismatch", "started", "saved",
+        "candidate_id_mismatch", "previous_missing", "storage_hold", "storage_hold", "recovered", "sampling", "saved", "previous_missing", "unknown_command", "ppr_invalid", "context_invalid",
+    ]
+    assert out[12].candidate == 1 and out[12].candidate_context == "pump-1" and out[19].candidate is None and out[19].next_id == 2
+
+
+def test_profile_store_swaps_and_checks_conditions(spark):
+    lines = ["context a", "ppr 1", "learn", "learned", "context b", "approve 1", "context a", "approve 1", "learn", "learned", "approve 2", "rollback", "ppr 3", "rollback", "import c", "discard", "discard"]
+    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(lines)], "k string, seq int, line string")
+    out = sequences.profile_store(df, ["k"], ["seq"], "line").orderBy("seq").collect()
+    assert out[5].reason == "condition_mismatch" and (out[7].current, out[7].candidate) == (1, None)
+    assert (out[10].current, out[10].previous) == (2, 1) and (out[11].current, out[11].previous) == (1, 2)
+    assert out[13].reason == "condition_mismatch" and out[14].candidate == 3 and out[14].context == "c" and out[15].candidate is None and out[16].reason == "candidate_missing"
 
 
 def test_numbers(spark):
@@ -233,3 +261,42 @@ def test_contracts_and_samples(spark):
     with pytest.raises(Exception, match="nine rows"):
         metrics.assert_contract(df, {"nine rows": F.count(F.lit(1)) == 9}).collect()
     assert [r.id for r in metrics.spaced_sample(df, ["id"], 4).orderBy("id").collect()] == [0, 3, 6, 9]
+    assert metrics.spaced_sample(df, ["id"], 50).count() == 10 and metrics.spaced_sample(df.limit(0), ["id"], 3).collect() == []
+
+
+def test_group_split_fails_where_no_draw_can_do(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "label string, g int")
+    with pytest.raises(Exception, match="no draw has all classes"):
+        joins.group_split(df, "label", "g").collect()
+
+
+def test_checksums_are_of_bytes(spark):
+    (r,) = spark.createDataFrame([("é",)], "t string").select(numbers.fnv1a(F.col("t")).alias("f"), numbers.fold31(F.col("t")).alias("m"), numbers.fnv1a(F.lit("")).alias("e")).collect()
+    h = 2166136261
+    for c in "é".encode():
+        h = (h ^ c) * 16777619 % (1 << 32)
+    assert r.f == h and r.m == 0xC3 * 31 + 0xA9 and r.e == 2166136261
+
+
+def test_forward_as_of_and_exact_ends(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (1, 0, "b"), (1, 9, "c")], "k int, t int, v string")
+    right = spark.createDataFrame([(1, 5, 1.0), (1, 9, 3.0), (1, 9, 4.0)], "k int, t int, x double")
+    assert {r.v: r.x for r in asof.as_of(left, right, ["k"], "t", ["x"], forward=True).collect()} == {"a": 4.0, "b": 1.0, "c": None}
+
+
+def test_features_of_a_batch_equal_those_of_each_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(n).tolist()) for i, n in enumerate((400, 300, 400, 20, 400))] + [(9, None), (10, [float("nan")] * 400)]
+    out = {r.i: r.features for r in waveform.waveform_features(spark.createDataFrame(rows, "i int, x array<double>"), "x").collect()}
+    assert all(out[i] == pytest.approx(list(waveform.features(np.array(x)).values())) for i, x in rows if i in (0, 1, 2, 4))
+    assert out[3] is None and out[9] is None and out[10] is None
+    silent = waveform.feature_matrix(np.zeros((2, 400)))
+    assert np.isfinite(silent).all()
+
+
+def test_windows_of_other_kinds_give_no_bins(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 0.0, 1.0]), (2, None), (3, [1.0, float("inf"), 0.0, 0.0]), (4, [1.0, 2.0])], "w int, x array<double>")
+    assert {(r.w, r.k) for r in spectrum.fft(df, ["w"], "x").collect()} == {(1, 0), (1, 1), (1, 2), (4, 0), (4, 1)}
+    long = spark.createDataFrame([(1, 0, 1.0), (1, 2, 3.0), (1, 3, 2.0)], "w int, i int, x double")
+    got = {r.k: r.re for r in spectrum.dft(long, ["w"], 4).collect()}
+    assert got == pytest.approx({0: 0.0, 1: -2.0, 2: 0.0})

@@ -81,3 +81,39 @@ def test_synthetic_repeats_and_wears(spark):
     assert a.exceptAll(readers.synthetic(spark, 4, 64, 64.0, 8.0, {1: 1.0, 2: 0.5}, wear=1.0)).count() == 0
     power = [r.p for r in a.groupBy("window_id").agg(F.avg(F.col("x") * F.col("x")).alias("p")).orderBy("window_id").collect()]
     assert power == sorted(power)
+
+
+def test_csv_in_zip_and_sizes_of_npy(spark, tmp_path):
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "rotor_03.zip", "w") as z:
+        z.writestr("rpm_normal_05.csv", "t,x\n0,1.5\n1,2.5\n")
+        z.writestr("rpm_belt_12.csv", "t,x\n0,3\n")
+    out = {(r.condition, r.number, r.role): list(r.signal) for r in readers.read_csv_zip(spark, str(tmp_path / "rotor_03.zip"), 1).collect()}
+    assert out == {("normal", 5, "baseline"): [1.5, 2.5], ("belt", 12, "evaluation"): [3.0]}
+    raw = io.BytesIO()
+    np.save(raw, np.arange(6.0))
+    with zipfile.ZipFile(tmp_path / "trial7.zip", "w") as z:
+        z.writestr("wave_11.npy", raw.getvalue())
+    (r,) = readers.read_npy_zip(spark, str(tmp_path / "trial7.zip"), 6).collect()
+    assert (r.trial, r.member, len(r.signal)) == (7, 11, 6)
+    with pytest.raises(Exception, match="expected 5"):
+        readers.read_npy_zip(spark, str(tmp_path / "trial7.zip"), 5).collect()
+
+
+def test_injected_faults_and_result_sinks(spark, tmp_path):
+    from kurtosia.operators import spectrum
+
+    def amplitudes(fault):
+        rows = readers.synthetic(spark, 1, 256, 256.0, 20.0, {1: 0.3, 2: 0.08, 3: 0.05, 4: 0.03}, noise=0.0, fault=fault, hf=(0.02, 100.0))
+        return {r.k: r.mag for r in spectrum.amplitude(spectrum.dft(rows, ["window_id"], 256), 256).collect()}
+
+    normal = amplitudes("normal")
+    assert amplitudes("unbalance")[20] == pytest.approx(2.2 * normal[20]) and amplitudes("misalignment")[40] == pytest.approx(3.5 * normal[40])
+    assert amplitudes("looseness")[80] == pytest.approx(3 * normal[80]) and amplitudes("high_frequency")[100] == pytest.approx(4 * normal[100]) and max(amplitudes("power_off").values()) < 1e-9
+    jittered = readers.synthetic(spark, 6, 64, 64.0, 8.0, {1: 1.0}, noise=0.0, jitter_hz=0.8, amp_jitter=0.1)
+    assert jittered.groupBy("window_id").max("x").select("max(x)").distinct().count() == 6
+    told = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "truth string, predicted string")
+    readers.write_results(told, str(tmp_path / "run"), "truth", "predicted")
+    assert spark.read.option("header", True).csv(str(tmp_path / "run/errors")).count() == 1 and spark.read.json(str(tmp_path / "run/by_class")).count() == 2
