@@ -34,6 +34,7 @@ SPARE_BITS = 8
 MOST_COUNT = 255  # a count of this means: this or more
 BLOCKS = "chunk long, bucket long, payload binary, times binary"
 REPLIES = "chunk long, bucket long, counts binary"
+REPEATED = "chunk long, bucket long, payload binary"
 _ARROW = {"chunk": pa.int64(), "bucket": pa.int64(), "payload": pa.binary(), "times": pa.binary(), "counts": pa.binary()}
 
 
@@ -108,20 +109,26 @@ def _summed(blocks, plan: Plan) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     return parts, seen, np.minimum(np.bincount(where, weights=np.concatenate(counts)), MOST_COUNT).astype(np.uint8)
 
 
-def _replies(blocks, parts: list[np.ndarray], seen: np.ndarray, times: np.ndarray) -> pa.Table:
-    out: dict[str, list] = {"chunk": [], "bucket": [], "counts": []}
+def _replies(blocks, parts: list[np.ndarray], seen: np.ndarray, times: np.ndarray, plan: Plan, repeated: bool) -> pa.Table:
+    """For each block with a shared hash the counts of all its hashes, or (``repeated``) those that are shared."""
+    out: dict[str, list] = {"chunk": [], "bucket": [], "payload" if repeated else "counts": []}
     for chunk, bucket, part in zip(blocks["chunk"].to_pylist(), blocks["bucket"].to_pylist(), parts, strict=True):
         n = times[np.searchsorted(seen, part)]
         if (n > 1).any():
-            for k, v in zip(out, (chunk, bucket, zlib.compress(n.tobytes(), 1)), strict=True):
+            told = encode(part[n > 1], plan.dropped_bits) if repeated else zlib.compress(n.tobytes(), 1)
+            for k, v in zip(out, (chunk, bucket, told), strict=True):
                 out[k].append(v)
     return pa.table({k: pa.array(v, _ARROW[k]) for k, v in out.items()})
 
 
-def count_in_chunks(blocks: DataFrame, plan: Plan, levels: int = 1) -> DataFrame:
-    """REPLIES: for each block with a shared hash, in how many chunks (MOST_COUNT at most) each of its hashes occurs."""
+def count_in_chunks(blocks: DataFrame, plan: Plan, repeated: bool = False, levels: int = 1) -> DataFrame:
+    """REPLIES: for each block with a shared hash, in how many chunks (MOST_COUNT at most) each of its hashes occurs.
+
+    With ``repeated``, REPEATED: the hashes of each block that occur in more than one chunk.
+    """
+    schema = REPEATED if repeated else REPLIES
     if levels == len(plan.fans):
-        return blocks.groupBy("bucket").applyInArrow(lambda b: _replies(b, *_summed(b, plan)), REPLIES)
+        return blocks.groupBy("bucket").applyInArrow(lambda b: _replies(b, *_summed(b, plan), plan, repeated), schema)
     merger = F.floor(F.col("chunk") / plan.fan) * plan.ranges(levels) + F.col("bucket")
     keyed = blocks.withColumn("merger", merger.cast("long"))
 
@@ -131,13 +138,13 @@ def count_in_chunks(blocks: DataFrame, plan: Plan, levels: int = 1) -> DataFrame
 
     def pass_on(b, answers):
         if not b.num_rows:
-            return pa.table({k: pa.array([], _ARROW[k]) for k in ("chunk", "bucket", "counts")})
+            return pa.table({c.split()[0]: pa.array([], _ARROW[c.split()[0]]) for c in schema.split(", ")})
         parts, seen, own = _summed(b, plan)
         told = unpack(answers, seen, plan, levels + 1)
-        return _replies(b, parts, seen, np.maximum(told, own))
+        return _replies(b, parts, seen, np.maximum(told, own), plan, repeated)
 
-    answers = count_in_chunks(keyed.groupBy("merger").applyInArrow(merge, BLOCKS), plan, levels + 1).withColumnRenamed("chunk", "merger")
-    return keyed.groupBy("merger").cogroup(answers.groupBy("merger")).applyInArrow(pass_on, REPLIES)
+    answers = count_in_chunks(keyed.groupBy("merger").applyInArrow(merge, BLOCKS), plan, False, levels + 1).withColumnRenamed("chunk", "merger")
+    return keyed.groupBy("merger").cogroup(answers.groupBy("merger")).applyInArrow(pass_on, schema)
 
 
 def unpack(replies: pa.Table, hashes: np.ndarray, plan: Plan, levels: int = 1) -> np.ndarray:

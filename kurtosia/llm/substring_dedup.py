@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCKS, count_in_chunks, in_chunks, pack, unpack
+from .blocks import BLOCKS, count_in_chunks, decode, in_chunks, pack, unpack
 from .hashing import U, mix, other_window_hashes, utf8_slices, window_hashes, word_hashes, words
 
 RESULT = "doc_id {id}, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
@@ -78,11 +78,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     exact = replace(plan, dropped_bits=0)
 
-    def again(hashes: np.ndarray, replies, plan) -> np.ndarray:
+    def again(hashes: np.ndarray, replies) -> np.ndarray:
         """The sorted short hashes that occur more than once."""
         h, n = np.unique(plan.short(hashes), return_counts=True)
         return h[(n > 1) | (unpack(replies, h, plan) > 1)]
 
+    def surely_again(hashes: np.ndarray, repeated) -> np.ndarray:
+        """The sorted whole hashes that occur more than once."""
+        h, n = np.unique(hashes, return_counts=True)
+        return np.unique(np.concatenate([h[n > 1], *[decode(x.as_py()) for x in repeated["payload"]]]))
+
     def blocks(key, table):
         return pack(key[0].as_py(), np.unique(plan.short(flat([x[-2] for x in _windows(table["text"], window)]))), plan)
 
@@ -91,11 +96,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return pack(0, np.zeros(0, dtype=U), exact)
         slices = [(x[-2], x[-1]) for x in _windows(table["text"], window)]
         first, both = flat([x[0] for x in slices]), flat([x[1] for x in slices])
-        return pack(key[0].as_py(), np.unique(both[_member(plan.short(first), again(first, replies, plan))]), exact)
+        return pack(key[0].as_py(), np.unique(both[_member(plan.short(first), again(first, replies))]), exact)
 
-    def cut(table, replies):
+    def cut(table, repeated):
         slices = list(_windows(table["text"], window))
-        twice = again(flat([x[-1] for x in slices]), replies, exact)
+        twice = surely_again(flat([x[-1] for x in slices]), repeated)
         out: list[list] = [[], [], [], []]
         for _, data, s, e, bounds, begin, _, hashes in slices:
             change = np.zeros(len(s) + 1, dtype=np.int64)
@@ -122,7 +127,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     replies = count_in_chunks(chunked.groupBy("chunk").applyInArrow(blocks, BLOCKS), plan)
     checked = chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(candidates, BLOCKS)
     schema = RESULT.format(id=chunked.schema["doc_id"].dataType.simpleString())
-    return chunked.groupBy("chunk").cogroup(count_in_chunks(checked, exact).groupBy("chunk")).applyInArrow(cut, schema)
+    return chunked.groupBy("chunk").cogroup(count_in_chunks(checked, exact, repeated=True).groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def _intervals(gone: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:

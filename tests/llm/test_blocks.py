@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from kurtosia.llm import blocks
@@ -28,6 +29,11 @@ def test_counts_of_all_hashes(spark, fan):
     for c, x in chunks.items():
         own = replies.filter(pa.compute.equal(replies["chunk"], c))
         assert blocks.unpack(own, x, plan).tolist() == [want[h] for h in x.tolist()]
+    repeated = blocks.count_in_chunks(sent.groupBy("c").applyInArrow(send, blocks.BLOCKS), plan, repeated=True).toArrow()
+    for c, x in chunks.items():
+        own = repeated.filter(pa.compute.equal(repeated["chunk"], c))
+        got = [h for p in own["payload"] for h in blocks.decode(p.as_py(), plan.dropped_bits).tolist()]
+        assert sorted(got) == [h for h in x.tolist() if want[h] > 1]
 
 
 def test_ranges_stay_large_in_any_corpus():

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import itertools
 import zlib
 from collections import defaultdict
 
