@@ -262,18 +262,24 @@ def _close_within(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
 
         |Dy| <= |Dx| - 2i + budget(x, y)  and  |Dx| <= |Dy| - 2j + budget(x, y).
 
-    The order puts differences first that no member of another component has, then
-    rare ones.  One of the pair, say x, is not similar to p (|Dx| > budget(x, p)): so
+    The order puts items of x before those of p, and of both kinds first those that no
+    member of another component has, then rare ones.  Items of p come after so many
+    others in sets far from p that they are never asked for there.  One of the pair, say x, is not similar to p (|Dx| > budget(x, p)): so
     2j < |Dy| + budget(y, .) - budget(p, .), about the rarer half of Dy, and i <= budget(x, y).
     """
-    size = lambda c: F.size(c).cast("long")
     px = members.join(sets.select(F.col("x").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select("x", F.col("shingles").alias("sx")), "x")
-    d = F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))
-    deltas = scratch.save(px.select("p", "x", "xc", "new", (F.col("xc") != F.col("pc")).alias("apart"), size("sx").alias("n"), size("sp").alias("np"), d.alias("d")))
-    each = deltas.select("p", "x", "xc", "new", "apart", "n", "np", size("d").alias("nd"), F.explode("d").alias("item"))
+    size = lambda c: F.size(c).cast("long")
+    own = px.select("p", "x", "xc", "new", (F.col("xc") != F.col("pc")).alias("apart"), size("sx").alias("n"), size("sp").alias("np"), F.array_except("sx", "sp").alias("own"), "sx", "sp")
+    near = F.expr(f"size(own) <= {100 - percent} * (n + n * 100 div {percent}) div {100 + percent}")
+    of_p = F.when(near, F.array_except("sp", "sx")).otherwise(F.array().cast("array<long>"))
+    nd = 2 * size("own") + F.col("np") - F.col("n")  # what x has more, and what p has more
+    deltas = scratch.save(own.select("p", "x", "xc", "new", "apart", "n", "np", nd.alias("nd"), "own", of_p.alias("of_p")))
+    kinds = F.explode(F.array(F.struct(F.lit(False).alias("of_p"), F.col("own").alias("items")), F.struct(F.lit(True).alias("of_p"), F.col("of_p").alias("items"))))
+    each = deltas.select("p", "x", "xc", "new", "apart", "n", "np", "nd", size("own").alias("n_own"), kinds.alias("k")).select("*", "k.of_p", F.explode("k.items").alias("item")).drop("k")
     open_ = each.groupBy("p", "item").agg(F.count(F.lit(1)).alias("holders"), F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p", "item", "holders")
-    own = Window.partitionBy("p", "x")
-    place = F.row_number().over(own.orderBy("holders", "item")) - 1 + F.col("nd") - F.count(F.lit(1)).over(own)
+    kind = Window.partitionBy("p", "x", "of_p")
+    after = F.when(F.col("of_p"), F.col("nd")).otherwise(F.col("n_own"))  # the last of its kind ends there
+    place = F.row_number().over(kind.orderBy("holders", "item")) - 1 + after - F.count(F.lit(1)).over(kind)
     placed = each.join(open_, ["p", "item"]).withColumn("at", place)
     placed = scratch.save(placed.where(f"at <= {100 - percent} * (n + n * 100 div {percent}) div {100 + percent}"))
 
@@ -348,9 +354,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = scratch.save(_open(named(rest, "x"), "xc"))
     live = scratch.save(_open(live, "xc"))
     held = scratch.save(named(live.select("p", "pw", "x", "xc").distinct(), "p"))
-    one, two = held.alias("l"), members.alias("r")
-    earlier = (F.col("l.x") == F.col("r.x")) & (F.struct("r.pw", "r.p") > F.struct("l.pw", "l.p"))
-    homes = one.join(two, earlier).groupBy(F.col("l.p").alias("p"), F.col("r.p").alias("home")).agg(F.count(F.lit(1)).alias("n"))
+    first = members.groupBy("x").agg(F.max(F.struct("pw", "p")).alias("first"))
+    homes = held.join(first, "x").where(F.col("first") > F.struct("pw", "p")).groupBy("p", F.col("first.p").alias("home")).agg(F.count(F.lit(1)).alias("n"))
     homes = homes.groupBy("p").agg(F.max(F.struct("n", "home")).alias("top")).select("p", "top.home")
     served = held.join(homes, "p").join(members.select(F.col("p").alias("home"), "x"), ["home", "x"]).select("p", "x", F.lit(False).alias("new"))
     held = scratch.save(held.join(served, ["p", "x"], "left").select("p", "x", "pc", "xc", F.coalesce("new", F.lit(True)).alias("new")))
