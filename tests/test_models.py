@@ -31,7 +31,7 @@ def test_trees_as_case_and_importance(spark):
 def test_weights_reach_the_fit(spark):
     """Nine tenths of class 0 and features that tell little: without weights nearly all rows are predicted 0."""
     rng = np.random.default_rng(8)
-    rows = [(i, int(i % 10 == 0), [float(rng.normal(0.8 * (i % 10 == 0), 1))], i % 2) for i in range(600)]
+    rows = [(i, int(i % 10 == 0), [float(rng.normal(0.8 * (i % 10 == 0), 1))], i // 10 % 2) for i in range(600)]
     df = spark.createDataFrame(rows, "id int, label int, x array<double>, fold int")
     out = models.held_out_predictions(df, "label", "x", "fold", models.logistic, 2)
     assert out.where("label = 1 and predicted = 1").count() > 25
