@@ -66,7 +66,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, .
     a set's items in one subset.  Some subset holds none of the k2 differences: similar
     sets share a signature.
 
-    k up to 2: n1 = 1, k2 = k, n2 = 2k + 2.  Else k2 = 1, n2 = 3 and n1 = k/2 + 1 and k/8 + 1
+    k up to 2: n1 = 1, k2 = k, n2 = 2k + 2.  Else k2 = 1, n2 = 3 and n1 = k/2 + 1 and k/5 + 1
     spare ones more.  A set whose partners are so small that they differ from it in
     at most k' < k items gives only the first parts, k - k' over two fewer: in what
     two similar sets both give, as many parts as ``sure`` differ in k2 items or fewer.
@@ -82,7 +82,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, .
         partner = np.minimum(size * 100 // percent, last)
         k = _budget(2 * last, percent)
         spoiled = np.where(k <= 2, k, 1)
-        spare = np.where(k <= 2, 0, k // 8 + 1)
+        spare = np.where(k <= 2, 0, k // 5 + 1)
         parts = np.where(k <= 2, 1, k // 2 + 1 + spare)
         given = np.where(k <= 2, 1, _budget(size + partner, percent) // 2 + 1 + spare)
         takes_part = (size > 0) & ((partner > ends[band]) | (up == 0))
@@ -262,26 +262,28 @@ def _close_within(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
 
         |Dy| <= |Dx| - 2i + budget(x, y)  and  |Dx| <= |Dy| - 2j + budget(x, y).
 
-    The order puts items of x before those of p, and of both kinds first those that no
-    member of another component has, then rare ones.  Items of p come after so many
-    others in sets far from p that they are never asked for there.  One of the pair, say x, is not similar to p (|Dx| > budget(x, p)): so
-    2j < |Dy| + budget(y, .) - budget(p, .), about the rarer half of Dy, and i <= budget(x, y).
+    The order puts items that p lacks first: those that no member of another component
+    has, then rare ones.  Items of p come last, by their value: in sets far from p after so
+    many others that they are not asked for.  One of the pair, say x, is not similar to
+    p (|Dx| > budget(x, p)): so 2j < |Dy| + budget(y, .) - budget(p, .), about the rarer
+    half of Dy, and i <= budget(x, y).
     """
     px = members.join(sets.select(F.col("x").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select("x", F.col("shingles").alias("sx")), "x")
     size = lambda c: F.size(c).cast("long")
     own = px.select("p", "x", "xc", "new", (F.col("xc") != F.col("pc")).alias("apart"), size("sx").alias("n"), size("sp").alias("np"), F.array_except("sx", "sp").alias("own"), "sx", "sp")
-    near = F.expr(f"size(own) <= {100 - percent} * (n + n * 100 div {percent}) div {100 + percent}")
-    of_p = F.when(near, F.array_except("sp", "sx")).otherwise(F.array().cast("array<long>"))
+    most = F.expr(f"{100 - percent} * (n + n * 100 div {percent}) div {100 + percent}")  # the budget of x and its largest partner
+    asked = F.greatest(F.lit(0), most - size("own") + 1).cast("int")
+    of_p = F.slice(F.array_sort(F.array_except("sp", "sx")), F.lit(1), asked)
     nd = 2 * size("own") + F.col("np") - F.col("n")  # what x has more, and what p has more
-    deltas = scratch.save(own.select("p", "x", "xc", "new", "apart", "n", "np", nd.alias("nd"), "own", of_p.alias("of_p")))
-    kinds = F.explode(F.array(F.struct(F.lit(False).alias("of_p"), F.col("own").alias("items")), F.struct(F.lit(True).alias("of_p"), F.col("of_p").alias("items"))))
-    each = deltas.select("p", "x", "xc", "new", "apart", "n", "np", "nd", size("own").alias("n_own"), kinds.alias("k")).select("*", "k.of_p", F.explode("k.items").alias("item")).drop("k")
+    deltas = scratch.save(own.select("p", "x", "xc", "new", "apart", "n", "np", nd.alias("nd"), "own", of_p.alias("of_p"), most.alias("most")))
+    slim = ["p", "x", "xc", "new", "apart", "n", "np", "nd"]
+    each = deltas.select(*slim, "most", size("own").alias("n_own"), F.explode("own").alias("item"))
     open_ = each.groupBy("p", "item").agg(F.count(F.lit(1)).alias("holders"), F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p", "item", "holders")
-    kind = Window.partitionBy("p", "x", "of_p")
-    after = F.when(F.col("of_p"), F.col("nd")).otherwise(F.col("n_own"))  # the last of its kind ends there
-    place = F.row_number().over(kind.orderBy("holders", "item")) - 1 + after - F.count(F.lit(1)).over(kind)
-    placed = each.join(open_, ["p", "item"]).withColumn("at", place)
-    placed = scratch.save(placed.where(f"at <= {100 - percent} * (n + n * 100 div {percent}) div {100 + percent}"))
+    mine = Window.partitionBy("p", "x")
+    place = F.row_number().over(mine.orderBy("holders", "item")) - 1 + F.col("n_own") - F.count(F.lit(1)).over(mine)
+    owned = each.join(open_, ["p", "item"]).withColumn("at", place).where("at <= most").select(*slim, "item", "at")
+    lent = deltas.select(*slim, size("own").alias("n_own"), F.posexplode("of_p").alias("i", "item")).withColumn("at", F.col("n_own") + F.col("i")).select(*slim, "item", "at")
+    placed = scratch.save(owned.unionByName(lent))
 
     x, y = placed.where("apart").alias("x"), placed.where(f"2 * at * {100 + percent} < {100 + percent} * nd + {100 - percent} * (n - np)").alias("y")
     budget = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
