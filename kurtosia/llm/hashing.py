@@ -136,3 +136,21 @@ def other_window_hashes(h: np.ndarray, begin: np.ndarray, width: int) -> np.ndar
 def _turned(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Rotation of the 64 bits to the left."""
     return (x << by) | (x >> ((U(64) - by) & U(63)))
+
+
+def kept_texts(data: np.ndarray, s: np.ndarray, e: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The kept words of each document, joined by one space."""
+    k = np.flatnonzero(keep)
+    kept_bounds = np.searchsorted(k, bounds)
+    size = e[k] - s[k] + 1
+    filled = kept_bounds[1:] > kept_bounds[:-1]
+    last = kept_bounds[1:][filled] - 1
+    size[last] -= 1  # no space after a document's last word
+    end = np.cumsum(size)
+    source = np.repeat(s[k] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+    out = np.concatenate((data, np.zeros(1, dtype=np.uint8)))[source]
+    spaced = np.ones(len(k), dtype=bool)
+    spaced[last] = False
+    out[end[spaced] - 1] = 0x20
+    offsets = np.concatenate(([0], end))[kept_bounds].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, html_text, jaccard_join, nn_descent, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
+from . import decontamination, html_text, jaccard_join, nn_descent, packing, periodic_runs, quality, secret_scan, source_divergence, substring_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_html_text": html_text.op9,
         "op10_secret_scan": secret_scan.op10,
+        "op11_periodic_runs": periodic_runs.op11,
+        "op12_source_divergence": source_divergence.op12,
+        "op13_line_quality": quality.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substring_dedup.ORACLE_SQL,
         "op7_jaccard_join": jaccard_join.ORACLE_SQL,
         "op10_secret_scan": secret_scan.ORACLE_SQL,
+        "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+        "op12_source_divergence": source_divergence.ORACLE_SQL,
     }

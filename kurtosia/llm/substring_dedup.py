@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCKS, count_in_chunks, decode, in_chunks, pack, unpack
-from .hashing import U, mix, other_window_hashes, utf8_slices, window_hashes, word_hashes, words
+from .hashing import U, kept_texts, mix, other_window_hashes, utf8_slices, window_hashes, word_hashes, words
 
 RESULT = "doc_id {id}, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 
@@ -36,24 +36,6 @@ def _member(h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return out
 
 
-def _kept_texts(data, s, e, bounds, keep) -> pa.Array:
-    """The kept words of each document, joined by one space."""
-    k = np.flatnonzero(keep)
-    kept_bounds = np.searchsorted(k, bounds)
-    size = e[k] - s[k] + 1
-    filled = kept_bounds[1:] > kept_bounds[:-1]
-    last = kept_bounds[1:][filled] - 1
-    size[last] -= 1  # no space after a document's last word
-    end = np.cumsum(size)
-    source = np.repeat(s[k] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
-    out = np.concatenate((data, np.zeros(1, dtype=np.uint8)))[source]
-    spaced = np.ones(len(k), dtype=bool)
-    spaced[last] = False
-    out[end[spaced] - 1] = 0x20
-    offsets = np.concatenate(([0], end))[kept_bounds].astype(np.int64)
-    return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
-
-
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """Words that stand in a window of ``window`` words whose word sequence starts elsewhere too, and the texts without them.
 
@@ -112,7 +94,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out[0].append(np.diff(bounds))
             out[1].append(total[bounds[1:]] - total[bounds[:-1]])
             out[2].extend(_intervals(gone, bounds))
-            out[3].append(_kept_texts(data, s, e, bounds, ~gone))
+            out[3].append(kept_texts(data, s, e, bounds, ~gone))
         longs = lambda x: pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64())
         return pa.table(
             {
