@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +15,54 @@ from pyspark.sql import functions as F
 from .hashing import utf8_slices
 from .scratch import Scratch
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
+NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK_BYTES = 16 << 20
+BLOCK_DOCUMENTS = 1 << 16
+BUCKET_BYTES = 8 << 20
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS = 10
 TOP = 10
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-POSTINGS = "block long, lang string, chunk string, docs array<int>, sources array<string>, counts array<long>"
+ENTRIES = "lang_id long, key string, docs binary, counts binary"
+COUNTS = "lang_id long, group_id long, term string, n long"
 
 
-def _grouped(keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin, and the end."""
-    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, dtype=np.int64)
+@dataclass(frozen=True)
+class Entries:
+    """For each (language, key): numbers of documents that hold the key, and its occurrences by (language, source) group.
+
+    ``docs`` and ``counts`` (group, occurrences) are flat; ``n_docs`` and ``n_counts`` say how many each entry has.
+    """
+
+    lang: np.ndarray
+    key: pa.Array
+    docs: np.ndarray
+    n_docs: np.ndarray
+    counts: np.ndarray
+    n_counts: np.ndarray
+
+    def table(self) -> pa.RecordBatch:
+        def packed(values: np.ndarray, n: np.ndarray, width: int) -> pa.Array:
+            offsets = np.concatenate(([0], np.cumsum(n * width))).astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+        return pa.RecordBatch.from_arrays([pa.array(self.lang), self.key, packed(self.docs, self.n_docs, 8), packed(self.counts, self.n_counts, 16)], ["lang_id", "key", "docs", "counts"])
+
+
+def entries_of(table: pa.Table) -> Entries:
+    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [memoryview(c.buffers()[2])[_at(c, 0) : _at(c, len(c))] for c in column.chunks if len(c)]
+        return np.frombuffer(b"".join(parts), dtype=np.int64), pc.binary_length(column).to_numpy().astype(np.int64) // 8
+
+    docs, n_docs = flat(table["docs"])
+    counts, n_counts = flat(table["counts"])
+    key = table["key"].combine_chunks()
+    return Entries(table["lang_id"].to_numpy(), key, docs, n_docs, counts.reshape(-1, 2), n_counts // 2)
+
+
+def _at(c: pa.Array, i: int) -> int:
+    """Where value i of a binary array begins."""
+    return int(np.frombuffer(c.buffers()[1], dtype=np.int32, count=1, offset=4 * (c.offset + i))[0])
 
 
 def _coded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -32,90 +70,125 @@ def _coded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
 
 
-def count_chunks(batch: pa.Table, block: int) -> pa.RecordBatch:
-    """POSTINGS of a block of documents (text, lang, source), none of them null: for each language and chunk that may hold
-    a term the documents that have it, by their places in the block, and its occurrences by source."""
-    split = pc.ascii_split_whitespace(batch["text"])
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether each place begins a new combination of the sorted keys."""
+    out = np.ones(len(sorted_keys[0]), dtype=bool)
+    out[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return out
+
+
+def merged(x: Entries, least: int) -> Entries:
+    """One entry for each (language, key); of its documents the first ``least`` numbers.
+
+    Whether an entry has ``least`` documents is all that is asked, and that many different ones
+    prove it: what is left out changes no answer, however entries are merged further.
+    """
+    code, keys = _coded(x.key)
+    of, owner = np.unique(x.lang, return_inverse=True)
+    ids, owner = np.unique(owner * max(1, len(keys)) + code, return_inverse=True)
+
+    d_owner = np.repeat(owner, x.n_docs)
+    order = np.lexsort((x.docs, d_owner))
+    d_owner, docs = d_owner[order], x.docs[order]
+    new = _starts(d_owner, docs)
+    d_owner, docs = d_owner[new], docs[new]
+    first = np.searchsorted(d_owner, np.arange(len(ids)))
+    kept = np.arange(len(docs)) - first[d_owner] < least
+    c_owner, group = np.repeat(owner, x.n_counts), x.counts[:, 0]
+    order = np.lexsort((group, c_owner))
+    c_owner, group, n = c_owner[order], group[order], x.counts[order, 1]
+    at = np.flatnonzero(_starts(c_owner, group))
+    counts = np.stack([group[at], np.add.reduceat(n, at) if len(at) else n], axis=1)
+    tally = lambda o: np.bincount(o, minlength=len(ids)).astype(np.int64)
+    return Entries(of[ids // max(1, len(keys))], keys.take(pa.array(ids % max(1, len(keys)))), docs[kept], tally(d_owner[kept]), counts, tally(c_owner[at]))
+
+
+def chunk_entries(texts: pa.Array, lang: np.ndarray, group: np.ndarray, first_number: int, least: int) -> Entries:
+    """The entries of the whitespace chunks of some documents, which are numbered from ``first_number``; chunks that hold no letter are passed over."""
+    split = pc.ascii_split_whitespace(texts)
     own = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
     chunk, chunks = _coded(split.flatten())
-    useful = pc.match_substring_regex(chunks, r"[A-Za-z\x{80}-\x{10FFFF}]").to_numpy(zero_copy_only=False)
+    useful = pc.match_substring_regex(chunks, LETTER).to_numpy(zero_copy_only=False)
     kept = useful[chunk] if len(chunk) else np.zeros(0, dtype=bool)
-    own, chunk = own[kept], chunk[kept]
-    lang, langs = _coded(batch["lang"])
-    source, sources = _coded(batch["source"])
-
-    # (language, chunk, document) once each, with how often
-    pair, n = np.unique(((lang[own] * len(chunks)) + chunk) * len(batch) + own, return_counts=True)
-    key, doc = pair // len(batch), pair % len(batch)
-    docs = _grouped(key)
-    # and occurrences by (language, chunk, source)
-    by, where = np.unique(key * len(sources) + source[doc], return_inverse=True)
-    total = np.bincount(where, weights=n, minlength=len(by)).astype(np.int64)
-    cut = _grouped(by // len(sources)) if len(by) else np.zeros(1, dtype=np.int64)
-    of = key[docs[:-1]]
-    offsets = lambda x: pa.array(x, pa.int32())
-    columns = [
-        pa.array(np.full(len(of), block, dtype=np.int64)),
-        langs.take(pa.array(of // max(1, len(chunks)))),
-        chunks.take(pa.array(of % max(1, len(chunks)))),
-        pa.ListArray.from_arrays(offsets(docs), pa.array(doc.astype(np.int32))),
-        pa.ListArray.from_arrays(offsets(cut), sources.take(pa.array(by % max(1, len(sources))))),
-        pa.ListArray.from_arrays(offsets(cut), pa.array(total)),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["block", "lang", "chunk", "docs", "sources", "counts"])
-
-
-def chunk_postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """POSTINGS of all documents, in blocks of BLOCK_BYTES of text that one task holds at a time; a longer text is a block of its own."""
-    slim = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for k, c in (("text", text_col), ("lang", lang_col), ("source", source_col))])
+    pair, n = np.unique(chunk[kept] * len(split) + own[kept], return_counts=True)  # each chunk's count in each document
+    own = pair % max(1, len(split))
+    one = np.ones(len(pair), dtype=np.int64)
+    return merged(Entries(lang[own], chunks.take(pa.array(pair // max(1, len(split)))), own + first_number, one, np.stack([group[own], n], axis=1).astype(np.int64), one), least)
+
+
+def term_entries(x: Entries, least: int) -> Entries:
+    """Entries of terms from entries of chunks: each distinct chunk is tokenized once, and its terms are joined back to its entries."""
+    code, chunks = _coded(x.key)
+    terms = pc.ascii_split_whitespace(pc.ascii_lower(pc.replace_substring_regex(chunks, NO_TERM, " ")))
+    of = np.repeat(np.arange(len(chunks)), np.diff(terms.offsets.to_numpy()))
+    flat = terms.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    term, names = _coded(flat.filter(pa.array(real)))
+    pair, times = np.unique(of[real] * max(1, len(names)) + term, return_counts=True)
+    of, term = pair // max(1, len(names)), pair % max(1, len(names))
+
+    lo, hi = np.searchsorted(of, code), np.searchsorted(of, code, side="right")
+    entry = np.repeat(np.arange(len(code)), hi - lo)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[entry]
+    d_at = np.cumsum(x.n_docs) - x.n_docs
+    c_at = np.cumsum(x.n_counts) - x.n_counts
+
+    def gathered(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(start[entry] - (np.cumsum(n[entry]) - n[entry]), n[entry]) + np.arange(int(n[entry].sum()))
+
+    counts = x.counts[gathered(c_at, x.n_counts)]
+    counts[:, 1] *= np.repeat(times[place], x.n_counts[entry])
+    return merged(Entries(x.lang[entry], names.take(pa.array(term[place])), x.docs[gathered(d_at, x.n_docs)], x.n_docs[entry], counts, x.n_counts[entry]), least)
+
+
+def term_counts(texts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """COUNTS of the terms that ``least`` documents of their language or more hold, from (text, lang_id, group_id) without nulls.
+
+    1. Each document's whitespace chunks are counted; a task brings together the documents of a
+       block of BLOCK_BYTES (a longer text is a block of its own) and sends an entry for each language and chunk.
+    2. Buckets by chunk: each globally distinct chunk is tokenized once, its terms are
+       joined back to the chunk's entries, and entries of a term are merged.
+    3. Buckets by term: what different chunks say of a term is merged; distinct
+       documents are counted as far as ``least``, occurrences add up by group.
+
+    A hot chunk, language or source sends one entry a block, with ``least`` documents at most.
+    """
+    spark = texts.sparkSession
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        number, held, bytes_held = TaskContext.get().partitionId() << 40, [], 0
+
+        def block() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            return chunk_entries(t["text"].chunk(0), t["lang_id"].to_numpy(), t["group_id"].to_numpy(), number, least).table()
+
         for batch in batches:
             for row, data, offs in utf8_slices(batch["text"], BLOCK_BYTES):
-                if held and size + len(data) > BLOCK_BYTES:
-                    yield count_chunks(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
-                    block, held, size = block + 1, [], 0
+                if held and (bytes_held + len(data) > BLOCK_BYTES or sum(map(len, held)) > BLOCK_DOCUMENTS):
+                    yield block()
+                    number, held, bytes_held = number + sum(map(len, held)), [], 0
                 held.append(batch.slice(row, len(offs) - 1))
-                size += len(data)
+                bytes_held += len(data)
         if held:
-            yield count_chunks(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
+            yield block()
 
-    return slim.mapInArrow(count, POSTINGS)
+    dealt = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket")
 
+    def tokenized(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([term_entries(entries_of(table), least).table()])
 
-def chunk_terms(postings: DataFrame) -> DataFrame:
-    """(chunk, term, times): the terms of each globally distinct chunk, which is tokenized once."""
-    chunks = postings.select("chunk").distinct()
-    term = F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term")
-    return chunks.select("chunk", term).select("chunk", F.translate("term", _UPPER, _UPPER.lower()).alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
+    def counted(table: pa.Table) -> pa.Table:
+        x = merged(entries_of(table), least)
+        enough = np.repeat(x.n_docs >= least, x.n_counts)
+        of = np.repeat(np.arange(len(x.lang)), x.n_counts)[enough]
+        return pa.table({"lang_id": x.lang[of], "group_id": x.counts[enough, 0], "term": x.key.take(pa.array(of)), "n": x.counts[enough, 1]})
 
-
-def term_counts(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, source, term, n): occurrences of the terms that ``least`` documents of their language or more hold.
-
-    1. Each document's whitespace chunks are counted, and those of a block of
-       documents brought together: a row says which documents of the block have a
-       chunk and how often each source does.
-    2. Each globally distinct chunk is tokenized once, and its terms are joined back.
-    3. Chunks of a block with a term in common are merged: its distinct documents are
-       the union of theirs, and blocks add up.  Occurrences add up by source.
-
-    A hot chunk, language or source has one row a block, however many documents hold it.
-    """
-    postings = scratch.save(chunk_postings(docs, text_col, lang_col, source_col))
-    joined = postings.join(chunk_terms(postings), "chunk")
-    by_source = F.transform(F.arrays_zip("sources", "counts"), lambda x: F.struct(x["sources"].alias("source"), x["counts"].alias("n")))
-    joined = joined.select("block", "lang", "term", "docs", F.transform(by_source, lambda x: F.struct(x["source"].alias("source"), (x["n"] * F.col("times")).alias("n"))).alias("found"))
-    blocks = scratch.save(joined.groupBy("block", "lang", "term").agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("documents"), F.flatten(F.collect_list("found")).alias("found")))
-    scratch.drop(postings)
-    kept = blocks.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least).select("lang", "term")
-    counts = blocks.join(kept, ["lang", "term"]).select("lang", "term", F.explode("found").alias("f"))
-    out = scratch.save(counts.groupBy("lang", F.col("f.source").alias("source"), "term").agg(F.sum("f.n").alias("n")))
-    scratch.drop(blocks)
-    return out
+    terms = dealt(texts.mapInArrow(count, ENTRIES)).applyInArrow(tokenized, ENTRIES)
+    return dealt(terms).applyInArrow(counted, COUNTS)
 
 
 def _share(count: Column, total: Column, kinds: Column) -> Column:
@@ -149,11 +222,14 @@ def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     row is a document, repeated and null ids included; no rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "divergence")
-    counts = term_counts(docs, scratch, text_col, lang_col, source_col, least)
-    groups = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).distinct()
+    slim = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for k, c in (("text", text_col), ("lang", lang_col), ("source", source_col))])
+    groups = scratch.save(slim.select("lang", "source").distinct().withColumn("group_id", F.monotonically_increasing_id()))
+    groups = groups.join(groups.groupBy("lang").agg(F.min("group_id").alias("lang_id")), "lang")
+    texts = slim.join(groups, ["lang", "source"]).select("text", "lang_id", "group_id")
+    counts = scratch.save(term_counts(texts, least)).join(groups.select("group_id", "lang", "source"), "group_id").select("lang", "source", "term", "n")
     kinds = counts.groupBy("lang").agg(F.countDistinct("term").alias("kinds"), F.sum("n").alias("lang_total"))
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
-    groups = groups.join(own, ["lang", "source"], "left").join(kinds, "lang", "left").na.fill(0, ["kinds", "lang_total", "total", "held"])
+    groups = groups.select("lang", "source").join(own, ["lang", "source"], "left").join(kinds, "lang", "left").na.fill(0, ["kinds", "lang_total", "total", "held"])
     groups = scratch.save(groups.withColumn("none", _share(F.lit(0), F.col("total"), F.col("kinds"))))
     shares = counts.join(groups, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kinds")))
     shares = scratch.save(shares.select("lang", "source", "term", "n", "p", "none"))
