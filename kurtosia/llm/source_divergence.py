@@ -17,7 +17,7 @@ from .scratch import Scratch
 
 LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 BLOCK_DOCUMENTS = 1 << 16
 BUCKET_BYTES = 8 << 20
 SCALE = 1_000_000_000
@@ -85,35 +85,47 @@ def merged(x: Entries, least: int) -> Entries:
     """
     code, keys = _coded(x.key)
     of, owner = np.unique(x.lang, return_inverse=True)
-    ids, owner = np.unique(owner * max(1, len(keys)) + code, return_inverse=True)
+    owner = owner * max(1, len(keys)) + code
+    del code
+    ids, owner = np.unique(owner, return_inverse=True)
 
     d_owner = np.repeat(owner, x.n_docs)
     order = np.lexsort((x.docs, d_owner))
     d_owner, docs = d_owner[order], x.docs[order]
     new = _starts(d_owner, docs)
     d_owner, docs = d_owner[new], docs[new]
-    first = np.searchsorted(d_owner, np.arange(len(ids)))
-    kept = np.arange(len(docs)) - first[d_owner] < least
-    c_owner, group = np.repeat(owner, x.n_counts), x.counts[:, 0]
-    order = np.lexsort((group, c_owner))
-    c_owner, group, n = c_owner[order], group[order], x.counts[order, 1]
-    at = np.flatnonzero(_starts(c_owner, group))
-    counts = np.stack([group[at], np.add.reduceat(n, at) if len(at) else n], axis=1)
-    tally = lambda o: np.bincount(o, minlength=len(ids)).astype(np.int64)
-    return Entries(of[ids // max(1, len(keys))], keys.take(pa.array(ids % max(1, len(keys)))), docs[kept], tally(d_owner[kept]), counts, tally(c_owner[at]))
+    kept = np.arange(len(docs)) - np.searchsorted(d_owner, np.arange(len(ids)))[d_owner] < least
+    docs, n_docs = docs[kept], np.bincount(d_owner[kept], minlength=len(ids)).astype(np.int64)
+    del d_owner, order, new, kept
+    c_owner = np.repeat(owner, x.n_counts)
+    order = np.lexsort((x.counts[:, 0], c_owner))
+    c_owner, counts = c_owner[order], x.counts[order]
+    del order, owner
+    at = np.flatnonzero(_starts(c_owner, counts[:, 0]))
+    counts = np.stack([counts[at, 0], np.add.reduceat(counts[:, 1], at) if len(at) else counts[:, 1]], axis=1)
+    n_counts = np.bincount(c_owner[at], minlength=len(ids)).astype(np.int64)
+    return Entries(of[ids // max(1, len(keys))], keys.take(pa.array(ids % max(1, len(keys)))), docs, n_docs, counts, n_counts)
 
 
 def chunk_entries(texts: pa.Array, lang: np.ndarray, group: np.ndarray, first_number: int, least: int) -> Entries:
     """The entries of the whitespace chunks of some documents, which are numbered from ``first_number``; chunks that hold no letter are passed over."""
-    split = pc.ascii_split_whitespace(texts)
-    own = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
-    chunk, chunks = _coded(split.flatten())
-    useful = pc.match_substring_regex(chunks, LETTER).to_numpy(zero_copy_only=False)
-    kept = useful[chunk] if len(chunk) else np.zeros(0, dtype=bool)
-    pair, n = np.unique(chunk[kept] * len(split) + own[kept], return_counts=True)  # each chunk's count in each document
-    own = pair % max(1, len(split))
-    one = np.ones(len(pair), dtype=np.int64)
-    return merged(Entries(lang[own], chunks.take(pa.array(pair // max(1, len(split)))), own + first_number, one, np.stack([group[own], n], axis=1).astype(np.int64), one), least)
+    split, n = pc.ascii_split_whitespace(texts), max(1, len(texts))
+    coded = split.flatten().dictionary_encode()
+    chunks = coded.dictionary
+    pair = coded.indices.to_numpy().astype(np.int64)
+    kept = pc.match_substring_regex(chunks, LETTER).to_numpy(zero_copy_only=False)[pair] if len(pair) else np.zeros(0, dtype=bool)
+    pair *= n
+    pair += np.repeat(np.arange(len(split), dtype=np.int32), np.diff(split.offsets.to_numpy()))
+    del split, coded
+    pair = pair[kept]
+    pair.sort()  # by chunk, then document
+    at = np.flatnonzero(_starts(pair))
+    times = np.diff(np.append(at, len(pair)))  # each chunk's count in each document
+    pair = pair[at]
+    del at, kept
+    own, one = pair % n, np.ones(len(pair), dtype=np.int64)
+    pair //= n
+    return merged(Entries(lang[own], chunks.take(pa.array(pair)), own + first_number, one, np.stack([group[own], times], axis=1).astype(np.int64), one), least)
 
 
 def term_entries(x: Entries, least: int) -> Entries:
