@@ -17,6 +17,7 @@ Shortened hashes may be shared by chance, one in some hundreds: answers are cand
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U
+from .scratch import Scratch
 
 CHUNK_BYTES = 2 << 20
 BUCKET_HASHES = 1 << 20
 FAN = 4096
 SPARE_BITS = 8
 MOST_COUNT = 255  # a count of this means: this or more
+_IN_ORDER = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation")
 BLOCKS = "chunk long, bucket long, payload binary, times binary"
 REPLIES = "chunk long, bucket long, counts binary"
 REPEATED = "chunk long, bucket long, payload binary"
@@ -158,10 +161,20 @@ def unpack(replies: pa.Table, hashes: np.ndarray, plan: Plan, levels: int = 1) -
     return out
 
 
-def in_chunks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Plan]:
-    """(doc_id, text, chunk), and a plan by the bytes of all texts.  Rows without an id are dealt by their place in the input."""
+def _reads_in_order(df: DataFrame) -> bool:
+    """Whether each run over the rows meets them in the same places: plain reads do, shuffles need not."""
+    nodes = re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE)
+    return all(n in _IN_ORDER for n in nodes)
+
+
+def in_chunks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, Plan]:
+    """(doc_id, text, chunk), and a plan by the bytes of all texts.
+
+    Rows are dealt by their content and their place in the input, so equal rows spread over
+    chunks.  Where a second run could meet rows in other places, they are written first.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = slim if _reads_in_order(slim) else scratch.save(slim)
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     plan = plan_of(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", place), F.lit(plan.chunks))), plan
+    return slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(plan.chunks))), plan

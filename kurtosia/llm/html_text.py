@@ -32,7 +32,8 @@ DROPPED_WORDS = "ad ads advert adverts advertisement advertising banner sponsor
 MAIN_WORDS = "article main".split()
 
 _TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(%s)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)" % "|".join(RAW))
-_NAMED = re.compile(r"""(?is)(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""(?s)([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_NAMING = frozenset(("class", "id", "role"))
 _MARK = re.compile(r"[a-z]+")
 _BLOCKS, _VOID, _DROPPED, _DROPPED_WORDS, _MAIN = map(frozenset, (BLOCKS, VOID, DROPPED, DROPPED_WORDS, MAIN_WORDS))
 _P_ENDS = _BLOCKS - {"body", "html", "head"}
@@ -54,7 +55,7 @@ class Token:
 class Element:
     """An element; ``boilerplate`` are those whose name or class, id or role as a whole says that they are no content."""
 
-    __slots__ = ("boilerplate", "dropped", "holds_main", "linked", "main", "marks", "name", "parent", "words")
+    __slots__ = ("barrier", "boilerplate", "dropped", "holds_main", "linked", "main", "marks", "name", "parent", "words")
 
     def __init__(self, name: str, marks: tuple[str, ...], parent: Element | None, named: bool = False):
         self.name, self.marks, self.parent = name, marks, parent
@@ -63,13 +64,17 @@ class Element:
         self.main = bool(parent and parent.main) or name in _MAIN
         self.linked = bool(parent and parent.linked) or name == "a"
         self.dropped, self.holds_main, self.words = False, name in _MAIN, 0
+        #: The nearest paragraph or block, itself included: an open paragraph that a new block ends, if it is one.
+        self.barrier = self if name == "p" or name in _BLOCKS or not parent else parent.barrier
 
 
 def _names(attributes: str) -> tuple[list[str], bool]:
     """The words of class, id and role as marks, and whether one of these names has only words of DROPPED_WORDS."""
     words, named = set(), False
-    for a in _NAMED.finditer(attributes):
-        for whole in (a[1] or a[2] or a[3] or "").lower().split():
+    for a in _ATTRIBUTE.finditer(attributes):
+        if (a[1] or "").lower() not in _NAMING:
+            continue
+        for whole in (a[2] or a[3] or a[4] or "").lower().split():
             parts = _MARK.findall(whole)
             words.update(parts)
             named = named or bool(parts) and _DROPPED_WORDS.issuperset(parts)
@@ -123,42 +128,49 @@ def tokens(page: str) -> list[Token]:
     """
     out, elements = [], []
     top, head, at, missing = Element("", (), None), None, 0, set()
+    still_open: Counter = Counter()  # names of top and what it stands in: an end tag without a start is passed over at once
+
+    def closed(e: Element) -> Element:
+        """What stands around e, when e and all that is open in it end."""
+        x = top
+        while x is not e.parent:
+            still_open[x.name] -= 1
+            x = x.parent
+        return x
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         raw, raw_attributes, slash, name, attributes, text = m.groups()
         if text is not None:
             if head is top and text.strip():
-                top, head = head.parent, None
+                top, head = closed(head), None
             out.append(Token(top, text))
         elif name:
             name = name.lower()
             if slash:
                 e = top
-                while e.parent and e.name != name:
+                while still_open[name] and e.name != name:
                     e = e.parent
-                if e.parent:
+                if still_open[name]:
                     out.append(Token(e, None, name in _BLOCKS))
-                    top = e.parent
+                    top = closed(e)
                     head = None if e.name in ("head", "html") else head
                 continue
             if head and name not in _HEAD_PARTS:
                 e = top
                 while e.parent and e is not head:
                     e = e.parent
-                top, head = head.parent if e is head else top, None
-            if name in _P_ENDS:
-                e = top
-                while e.parent and e.name != "p" and e.name not in _BLOCKS:
-                    e = e.parent
-                if e.name == "p":
-                    top = e.parent
+                top, head = closed(head) if e is head else top, None
+            if name in _P_ENDS and top.barrier.name == "p":
+                top = closed(top.barrier)
             marks, named = _names(attributes) if attributes else ((), False)
             e = Element(name, (name, *marks), top, named)
             elements.append(e)
             out.append(Token(e, None, name in _BLOCKS))
             if name not in _VOID and not attributes.endswith("/"):
                 top = e
+                still_open[name] += 1
                 head = e if name == "head" else head
             elif name == "br":
                 out.append(Token(top, " "))

@@ -160,9 +160,9 @@ def _sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """SETS: a row per document; all but the number of shingles only where another document may be similar."""
-    chunked, plan = in_chunks(docs, id_col, text_col)
+    chunked, plan = in_chunks(docs, id_col, text_col, scratch)
 
     def blocks(key, table):
         return pack(key[0].as_py(), np.unique(plan.short(_all(signatures(shingle_sets(table["text"], width), percent)))), plan)
@@ -322,7 +322,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 1 <= percent <= 100 or width < 1:
         raise ValueError("percent must lie in 1..100 and width be positive")
     scratch = Scratch(docs.sparkSession, "jaccard")
-    found = scratch.save(_candidates(docs, id_col, text_col, width, percent))
+    found = scratch.save(_candidates(docs, id_col, text_col, width, percent, scratch))
     shared = found.where("set_key is not null")
     classes = scratch.save(shared.groupBy("set_key").agg(F.min("doc_id").alias("class_id")).withColumn("x", F.monotonically_increasing_id()))
     first = classes.select("set_key", F.col("class_id").alias("doc_id"), "x")

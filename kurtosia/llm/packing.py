@@ -28,6 +28,8 @@ END_ID = 0
 PIECES = "doc_id {id}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, merge_group long"
 
 _TWO_SPACES = re.compile(r"\s\s")
+#: Runs of white space, as the pattern's engine knows it, that are too long for its look-ahead.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _encoders: dict[str, tuple] = {}
 
 
@@ -35,7 +37,9 @@ def encoder(ranks_path: str = RANKS):
     """text -> ids of the byte-level BPE in the ranks file; special strings are ordinary text.
 
     The pattern's look-ahead only matters in runs of white space; texts without
-    any use the pattern without it, which a faster engine runs.
+    any use the pattern without it, which a faster engine runs.  A long run is cut out
+    first, by the pattern's own rule: all of it but the last character, or all of it
+    at the end of a text, is one piece.
     """
     import tiktoken
 
@@ -47,7 +51,20 @@ def encoder(ranks_path: str = RANKS):
         simple = pattern.replace(r"\s+(?!\S)|\s+", r"\s+")
         _encoders[ranks_path] = (make(pattern), make(simple) if simple != pattern else make(pattern))
     full, fast = _encoders[ranks_path]
-    return lambda text: (full if _TWO_SPACES.search(text) else fast).encode_ordinary(text)
+
+
+    def encode(text: str) -> list[int]:
+        if not _TWO_SPACES.search(text):
+            return fast.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += full.encode_ordinary(text[at : run.start()])
+            ids += fast.encode_ordinary(text[run.start() : end])
+            at = end
+        return ids + full.encode_ordinary(text[at:])
+
+    return encode
 
 
 def document_encoder(ranks_path: str = RANKS, tokenizer_path: str = TOKENIZER):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCKS, count_in_chunks, decode, in_chunks, pack, unpack
 from .hashing import U, kept_texts, mix, other_window_hashes, utf8_slices, window_hashes, word_hashes, words
+from .scratch import Scratch
 
 RESULT = "doc_id {id}, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 
@@ -55,7 +56,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     if window < 1:
         raise ValueError("window must be positive")
-    chunked, plan = in_chunks(docs, id_col, text_col)
+    chunked, plan = in_chunks(docs, id_col, text_col, Scratch(docs.sparkSession, "substrings"))
     flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, dtype=U)
 
     exact = replace(plan, dropped_bits=0)

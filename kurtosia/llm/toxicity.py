@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 # Word lists of the grammar, in English, German, French and Spanish.
 TARGETS = "you your yours u ur du dich dir ihr euch tu toi vous te ti usted ustedes vosotros they them he she him her these those people".split()
 NEGATIONS = "not no never isn't aren't don't wasn't nicht kein keine nie niemals pas jamais ni nunca jamás".split()
-REPORTING = "said says say wrote writes called claims claimed quoted quote reported sagte sagt schrieb dit écrit dijo dice escribió".split()
+REPORTING = "said says say wrote writes called claims claimed quoted quote reported asked shouted yelled sagte sagt schrieb rief meinte dit écrit cria dijo dice escribió gritó".split()
 CONTRASTS = "but however yet aber sondern doch mais pero sino".split()
-THREATS = "kill hurt destroy shoot stab beat murder töten schlagen tuer frapper matar golpear".split()
+THREATS = "kill killing hurt destroy shoot stab beat murder burn strangle smash töten töte schlagen schlage erschießen erwürgen umbringen umbringe bringe tuer tue tuerai frapper frappe étrangler matar mato mataré golpear golpeo".split()
+#: What makes no threat of one: it is no living thing that dies, or a manner of speaking.
+IDIOMS = "for time".split()
+#: Dying is a threat only after one of these: "die" is an article in German.
+MODALS = "should must shall gonna".split()
+DYING = "die".split()
 INSULTS = "idiot moron loser scum trash stupid pathetic worthless disgusting clown fool dumb imbecile".split()
 
 #: Documents of each class that a fit reads at most, smallest hash of the id first.
@@ -42,7 +47,9 @@ _CLAUSE = re.compile(r"[.!?;\n|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SYMBOL = re.compile(rf"{_WORD.pattern}|,")
 _QUOTES = {"\"": "\"", "“": "”", "«": "»", "„": "“"}
-_QUOTE = re.compile("[\"“”«»„]")
+_POINT = re.compile("[\"“”«»„.!?;\n|]")
+_AFTER_QUOTE = re.compile(r"[\s,]*(?:[^\W\d_]+\s+){0,2}[^\W\d_]+")
+_REPORTING = frozenset(REPORTING)
 
 
 class Transducer:
@@ -76,7 +83,10 @@ class Transducer:
 
 
 # A symbol is (kind, marks): the kind of a word and what the machines so far say of it.
-KINDS = ("word", "insult", "threat", "target", "negation", "reporting", "contrast", "comma")
+KINDS = ("word", "insult", "threat", "target", "negation", "reporting", "contrast", "comma", "idiom", "modal", "dying")
+
+
+_MARKED = ("insult", "threat", "dying")
 
 
 def _negation(state: int, x):
@@ -86,51 +96,85 @@ def _negation(state: int, x):
         return 1, x
     if kind == "contrast" or (state == 2 and kind == "target"):
         return 0, x
-    return (2 if kind == "comma" else 1) if state else 0, (kind, marks | {"negated"}) if state and kind in ("insult", "threat") else x
+    return (2 if kind == "comma" else 1) if state else 0, (kind, marks | {"negated"}) if state and kind in _MARKED else x
 
 
 def _reported(state: bool, x):
     kind, marks = x
-    return state or kind == "reporting", (kind, marks | {"reported"}) if state and kind in ("insult", "threat") else x
+    return state or kind == "reporting", (kind, marks | {"reported"}) if state and kind in _MARKED else x
 
 
 def _target(state: bool, x):
     return state or x[0] == "target", x
 
 
-def _threat(state: bool, x):
-    return state or (x[0] == "threat" and not x[1]), x
+def _threat(state: int, x):
+    """A plain threat is pending (1) until the next word, and stands (2) unless that makes an idiom of it, as in \"kill for\"; 3 is right after a modal."""
+    if state == 2 or x[1]:
+        return 2 if state in (1, 2) else 0, x
+    if x[0] == "threat" or (x[0] == "dying" and state == 3):
+        return 1, x
+    if state == 1:
+        return 0 if x[0] == "idiom" else 2, x
+    return 3 if x[0] == "modal" else 0, x
 
 
 GRAMMAR = (
     Transducer(0, _negation)
     >> Transducer(False, _reported)
     >> Transducer(False, _target, lambda aimed: {"aimed": aimed})
-    >> Transducer(False, _threat, lambda threat: {"threat": threat})
+    >> Transducer(0, _threat, lambda threat: {"threat": threat in (1, 2)})
 )
 _START = GRAMMAR.start
 _ARCS, _LAST = GRAMMAR.table([(k, frozenset()) for k in KINDS])
 _CONTEXT = {frozenset(m for m, on in zip(("negated", "reported"), bits, strict=True) if on): ("negated" if bits[0] else "reported" if bits[1] else "plain") for bits in product((0, 1), repeat=2)}
-_FIXED = {w: k for k, ws in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("reporting", REPORTING), ("contrast", CONTRASTS), ("comma", [","])) for w in ws}
-
+_FIXED = {w: k for k, ws in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("reporting", REPORTING), ("contrast", CONTRASTS), ("comma", [","]), ("idiom", IDIOMS), ("modal", MODALS), ("dying", DYING)) for w in ws}
 
-def _clause_start(low: str, at: int) -> int:
-    return max(low.rfind(c, 0, at) for c in _CLAUSE_ENDS) + 1
 
-
-def _before_quote(low: str, left: int, at: int) -> str:
-    """What leads up to the quotation that a clause (from ``left``) goes on with, as in: she said: "One. Two": nothing outside quotations.
+class Reading:
+    """Walks a text once from left to right and knows where the clause and the quotation begin that a place is in.
 
     A quotation ends with its line at the latest.
     """
-    line = low.rfind("\n", 0, at) + 1
-    opened, closer = -1, ""
-    for m in _QUOTE.finditer(low, line, at):
-        if opened >= 0 and m[0] == closer:
-            opened = -1
-        elif opened < 0 and m[0] in _QUOTES:
-            opened, closer = m.start(), _QUOTES[m[0]]
-    return low[_clause_start(low, opened) : opened] + " " if 0 <= opened < left else ""
+
+    def __init__(self, low: str):
+        self.low, self.at, self.clause = low, 0, 0
+        self.opened, self.closer, self.lead = -1, "", 0
+        self.line_end = -1
+        self._marks: dict[int, tuple] = {}
+
+    def to(self, place: int) -> None:
+        for m in _POINT.finditer(self.low, self.at, place):
+            c = m[0]
+            if c in _CLAUSE_ENDS:
+                self.clause = m.end()
+                self.opened = -1 if c == "\n" else self.opened
+            elif self.opened >= 0 and c == self.closer:
+                self.opened = -1
+            elif self.opened < 0 and c in _QUOTES:
+                self.opened, self.closer, self.lead = m.start(), _QUOTES[c], self.clause
+        self.at = place
+
+    def before(self) -> str:
+        """What leads up to the quotation that the clause goes on with, as in: she said: "One. Two": nothing outside quotations."""
+        return self.low[self.lead : self.opened] if 0 <= self.opened < self.clause else ""
+
+    def reported_after(self) -> bool:
+        """Whether words of saying follow the quotation here, as in: "One. Two", she said."""
+        if self.opened < 0:
+            return False
+        if self.line_end < self.at:
+            end = self.low.find("\n", self.at)
+            self.line_end = end if end >= 0 else len(self.low)
+        end = self.low.find(self.closer, max(self.at, self.opened + 1), self.line_end)
+        tail = _AFTER_QUOTE.match(self.low, end + 1) if end >= 0 else None
+        return bool(tail) and any(w in _REPORTING for w in _WORD.findall(tail[0]))
+
+    def remembered(self, key: str, make):
+        """``make()``, once for each quotation."""
+        if key not in self._marks or self._marks[key][0] != self.opened:
+            self._marks[key] = (self.opened, make())
+        return self._marks[key][1]
 
 
 class Scorer:
@@ -140,7 +184,7 @@ class Scorer:
         self.words = {c: w for c, w in cues.items() if not c.endswith("*")}
         self.heads = {c[:-1]: w for c, w in cues.items() if c.endswith("*")}
         self.finder = ahocorasick.Automaton()
-        for c in {*self.words, *self.heads, *THREATS}:
+        for c in {*self.words, *self.heads, *THREATS, *MODALS}:
             self.finder.add_word(c, len(c))
         if cues or THREATS:
             self.finder.make_automaton()
@@ -152,27 +196,38 @@ class Scorer:
         """FEATURES of a whole text.  Clauses without a cue or a threat weigh nothing and are passed over."""
         f = dict.fromkeys(FEATURES, 0.0)
         low = (text or "").lower()
-        done = 0
+        done, reading = 0, Reading(low)
         for at, n in self.finder.iter(low):
             begin = at - n + 1
             if begin < done or (begin and low[begin - 1].isalpha()):
                 continue
-            left = _clause_start(low, begin)
+            reading.to(begin)
+            left = reading.clause
             right = _CLAUSE.search(low, at)
             done = right.start() if right else len(low)
-            self._clause(_before_quote(low, left, begin) + low[left:done], f)
+            state = _START
+            if reading.opened >= 0:
+                state = reading.remembered("before", lambda: self._run(_START, reading.before())[0])  # noqa: B023
+                if reading.remembered("after", reading.reported_after):
+                    state = _ARCS[state, ("reporting", frozenset())][0]
+            self._clause(state, low[left:done], f)
         for c in CONTEXTS:
             f[f"{c}_sum"] = math.log1p(f[f"{c}_sum"])
         return np.array([f[k] for k in FEATURES])
 
-    def _clause(self, clause: str, f: dict) -> None:
-        state, found = _START, []
+    def _run(self, state, clause: str) -> tuple:
+        """The state after a clause, and the contexts and weights of its insults."""
+        found = []
         for word in _SYMBOL.findall(clause):
             w = self.weight(word)
             kind = "insult" if w else _FIXED.get(word, "word")
             state, (kind, marks) = _ARCS[state, (kind, frozenset())]
             if kind == "insult":
                 found.append((_CONTEXT[marks], w))
+        return state, found
+
+    def _clause(self, state, clause: str, f: dict) -> None:
+        state, found = self._run(state, clause)
         last = _LAST[state]
         for context, w in found:
             f[f"{context}_top"] = max(f[f"{context}_top"], w)

@@ -26,6 +26,7 @@ _BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|articl
 _TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*(?:>|\Z)")
 _TITLE = re.compile(r"(?is)<title(?=[\s/>])[^>]*>(?:(.*?)</title\s*>|([^<]*))")
 _LINK = re.compile(r"(?i)<a\b[^>]*\bhref\s*=")
+_CHARSET = re.compile(r"(?im)^content-type:[^\r\n]*?charset\s*=\s*[\"']?([\w.:-]+)")
 
 
 def digest(data: bytes) -> str:
@@ -85,28 +86,42 @@ def _one_line(value) -> str:
     return re.sub(r"[\r\n]+", " ", str(value))
 
 
-def _split_http(block: str) -> tuple[str, str]:
-    head, gap, body = block.partition("\r\n\r\n")
-    return (head, body) if gap else ("", block)
+def _split_http(block: bytes) -> tuple[str, bytes]:
+    head, gap, body = block.partition(b"\r\n\r\n")
+    return (head.decode("utf-8", "replace"), body) if gap else ("", block)
+
+
+def decoded(body: bytes, head: str) -> str:
+    """A body as text by the charset of its header, or UTF-8 where that names none that is known; other bytes become replacement characters."""
+    named = _CHARSET.search(head)
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
 
 
 def derive_records(responses: DataFrame) -> DataFrame:
     """For each response record its metadata and its conversion record, linked to it.
 
     ``responses`` holds record_id, target_uri, date and block (HTTP header, empty
-    line, body) and, optionally, payload_digest.  Both derived records refer to the
+    line, body; binary, or a string of UTF-8) and, optionally, record_type, block_digest,
+    payload_digest and content_length of the source.  Both derived records refer to the
     response (WARC-Refers-To) and keep its URI and date.  The metadata block
     (application/warc-fields) keeps the response's identifier, digests, lengths and
     every HTTP header line, with title, link count and the conversion's identifier;
-    the conversion block (text/plain) is the page's visible text.
+    the conversion block (text/plain) is the page's visible text, decoded by the charset of the header.
+    Digests and lengths that the source states are kept as they are; others are those of its bytes.
 
-    Result, two rows for each response: RECORD.  A null block is an empty page,
+    Result, two rows for each response: RECORD.  Rows with a record_type other than ``response``
+    are passed over.  A null block is an empty page,
     with an empty conversion; null URIs and dates stay null and their header lines are
     left out; line breaks in them become spaces in headers.  Responses with a null record_id are given one by their content.
     Repeated responses give repeated records.  Other columns are not looked at.
     """
-    has_digest = "payload_digest" in responses.columns
-    slim = responses.select(*[F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "date", "block")], (F.col("payload_digest") if has_digest else F.lit(None)).cast("string").alias("payload_digest"))
+    if "record_type" in responses.columns:
+        responses = responses.where("record_type is null or lower(record_type) = 'response'")
+    stated = [(F.col(c) if c in responses.columns else F.lit(None)).cast(t).alias(c) for c, t in (("block_digest", "string"), ("payload_digest", "string"), ("content_length", "long"))]
+    slim = responses.select(*[F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "date")], F.col("block").cast("binary").alias("block"), *stated)
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,16 +135,18 @@ def derive_records(responses: DataFrame) -> DataFrame:
 
 
 def derived(source: dict) -> list[dict]:
-    block = source["block"] or ""
-    source = source | {"record_id": source["record_id"] or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, block)}>"}
-    head, body = _split_http(block)
+    block = source["block"] or b""
+    source = source | {"record_id": source["record_id"] or f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(block).digest()[:16], version=5)}>"}
+    head, raw = _split_http(block)
+    body = decoded(raw, head)
     text = plain_text(body)
     conversion = _record("conversion", source, "text/plain; charset=utf-8", text, digest(text.encode()))
     title = _TITLE.search(body)
     status, *lines = head.split("\r\n")
+    length = source.get("content_length")
     fields = [
-        ("sourceRecordId", source["record_id"]), ("sourceBlockDigest", digest(block.encode())), ("sourcePayloadDigest", source["payload_digest"] or digest(body.encode())),
-        ("sourceContentLength", len(block.encode())), ("conversionRecordId", conversion["record_id"]), ("title", " ".join(html.unescape(title[1] or title[2] or "").split()) if title else ""),
+        ("sourceRecordId", source["record_id"]), ("sourceBlockDigest", source.get("block_digest") or digest(block)), ("sourcePayloadDigest", source.get("payload_digest") or digest(raw)),
+        ("sourceContentLength", len(block) if length is None else length), ("conversionRecordId", conversion["record_id"]), ("title", " ".join(html.unescape(title[1] or title[2] or "").split()) if title else ""),
         ("linkCount", len(_LINK.findall(body))), ("http-status", status), *[("http-header", x) for x in lines if x],
     ]
     return [_record("metadata", source, "application/warc-fields", "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields)), conversion]
@@ -145,15 +162,15 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Writes ``header`` and ``block`` of records as WARC files, one a partition, with Spark's text writer."""
-    whole = records.select(F.concat("header", F.lit("\r\n"), F.coalesce("block", F.lit(""))).alias("value"))
+    """Writes ``header`` and ``block`` (text or bytes, which stay as they are) of records as WARC files, one a partition, with Spark's text writer."""
+    whole = records.select(F.concat("header", F.lit("\r\n"), F.coalesce(F.col("block").cast("string"), F.lit(""))).alias("value"))
     whole.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORD of every record below ``path``; a file is read by one task, so files should be of usual size (1 GB).
+    """RECORD of every record below ``path``, with ``block`` in bytes; a file is read by one task, so files should be of usual size (1 GB).
 
-    Bytes that are not UTF-8 read as replacement characters.  A cut-off last record is left out.
+    Bytes of headers that are not UTF-8 read as replacement characters.  A cut-off last record is left out.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -168,11 +185,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield _batch(rows)
 
-    return files.mapInArrow(parse, RECORD)
+    return files.mapInArrow(parse, RECORD.replace("block string", "block binary"))
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({c: pa.array([r.get(c) for r in rows], pa.int64() if c == "content_length" else pa.string()) for c in _COLUMNS})
+    kinds = {"content_length": pa.int64(), "block": pa.binary()}
+    return pa.RecordBatch.from_pydict({c: pa.array([r.get(c) for r in rows], kinds.get(c, pa.string())) for c in _COLUMNS})
 
 
 def _parse(data: bytes) -> Iterator[dict]:
@@ -193,7 +211,7 @@ def _parse(data: bytes) -> Iterator[dict]:
         start = end + 4
         if start + r["content_length"] > len(data):
             return
-        yield r | {"header": head, "block": data[start : start + r["content_length"]].decode(errors="replace")}
+        yield r | {"header": head, "block": data[start : start + r["content_length"]]}
         at = data.find(b"WARC/", start + r["content_length"])
 
 

@@ -38,5 +38,5 @@ def test_many_open_tags_take_linear_time():
 
 def test_titles_without_an_end():
     block = f"HTTP/1.1 200 OK\r\n\r\n<head><title-bar>n</title-bar><title>Name<body><p>{WORDS}</p>"
-    meta = warc.derived({"record_id": "a", "target_uri": None, "date": None, "block": block, "payload_digest": None})[0]
+    meta = warc.derived({"record_id": "a", "target_uri": None, "date": None, "block": block.encode(), "payload_digest": None})[0]
     assert "title: Name\r\n" in meta["block"]
