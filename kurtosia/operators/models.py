@@ -61,16 +61,26 @@ def predicted_by(model: tuple, test: DataFrame, label: str, vector: str) -> Data
     return fit.transform(_ready(test, label, vector, scale)).withColumn("predicted", F.col("prediction").cast("int")).select(*test.columns, "predicted")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as rows in the checkpoint folder: what is built on it carries no fitted model, and lost executors lose no prediction."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def held_out_predictions(df: DataFrame, label: str, vector: str, fold: str, make: Callable, folds: int = 5, train_where: Callable | None = None) -> DataFrame:
     """``df`` with ``predicted``: each fold by a model of the others, scaled by them alone.
 
     ``train_where(k)`` narrows the rows that train for fold k further.  Models are a few per fold; Spark trains each over all its rows.
+    Each fold's predictions are written before the next: the union is one of plain tables.
     """
     out = None
     for k in range(folds):
         train = df.where(F.col(fold) != k)
         train = train.where(train_where(k)) if train_where else train
-        told = predicted_by(fitted(train, label, vector, make), df.where(F.col(fold) == k), label, vector)
+        told = settled(predicted_by(fitted(train, label, vector, make), df.where(F.col(fold) == k), label, vector))
         out = told if out is None else out.unionByName(told)
     return out
 
@@ -106,7 +116,7 @@ def nested_predictions(df: DataFrame, label: str, vector: str, fold: str, makes:
             r = overall(by_class(told, [], label, "predicted"), []).first()
             scores.append((-min(r["min_precision"], r["min_recall"]), -r["macro_f1"], name))
         best = min(scores)[2]
-        told = predicted_by(fitted(train, label, vector, makes[best]), test, label, vector).withColumn("model", F.lit(best))
+        told = settled(predicted_by(fitted(train, label, vector, makes[best]), test, label, vector)).withColumn("model", F.lit(best))
         out = told if out is None else out.unionByName(told)
     return out
 
