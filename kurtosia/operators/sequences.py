@@ -201,7 +201,9 @@ def profile_step(state: tuple, line: str | None) -> tuple:
     the candidate under a new id that is never used again.  approve <id> and rollback
     ask that the profile's condition is the selected one; clear forgets the selection
     and all profiles.  A storage error holds the store: only status, stop and recover go on.
-    Every command ends learning unless it begins it.
+    Every command ends learning unless it begins it.  A command that fails changes no profile and no selection.
+
+    Fixed values: commands and reasons are the words of the store's protocol.
     """
     s = dict(zip(_AT, state, strict=True))
     word, _, rest = (line or "").strip().partition(" ")
@@ -237,6 +239,8 @@ def profile_step(state: tuple, line: str | None) -> tuple:
         return told(False, "unknown_command")
     if s["hold"]:
         return told(False, "storage_hold")
+    if word == "import" and not _names_context(rest):  # import <context>
+        return told(False, "context_invalid")
     if word == "start":
         s["paused"] = False
         return told(True, "sampling", saves=False)
@@ -255,12 +259,10 @@ def profile_step(state: tuple, line: str | None) -> tuple:
             return told(False, "candidate_exists")
         if word == "learn" and s["learning"]:
             return told(False, "learning_in_progress")
-        if word == "import":  # import <context>
-            if not _names_context(rest):
-                return told(False, "context_invalid")
-            s["context"] = rest
-        if s["context"] is None or not s["ppr"]:
+        context = rest if word == "import" else s["context"]
+        if context is None or not s["ppr"]:
             return told(False, "selection_required")
+        s["context"] = context
         if word == "learn":
             s["learning"], s["paused"] = True, False
             return told(True, "started", saves=False)
@@ -295,35 +297,3 @@ def profile_step(state: tuple, line: str | None) -> tuple:
 def profile_store(df: DataFrame, keys: Names, order: Names, line: str) -> DataFrame:
     """(keys, order, PROFILE_STATE): answer and state after each command line, see ``profile_step``."""
     return fold(df, keys, order, [F.col(line).cast("string")], _START, profile_step, PROFILE_STATE)
-
-
-# Commands of the baseline store.
-COMMANDS = ("learned", "approve", "discard", "rollback", "clear", "import")
-
-
-def baseline_store(df: DataFrame, keys: Names, order: Names, command: str, baseline: str) -> DataFrame:
-    """(keys, order, current, candidate, previous, generation) after each command.
-
-    learned sets the candidate; approve makes it current and keeps the old one as
-    previous; discard drops the candidate; rollback swaps current and previous; clear drops the
-    current one, which becomes previous; import replaces the current one.  A command
-    that cannot apply changes nothing; others raise the generation.
-    """
-    def step(s, c, b):
-        current, candidate, previous, generation = s
-        if c == "learned" and b is not None:
-            return current, b, previous, generation + 1
-        if c == "approve" and candidate is not None:
-            return candidate, None, previous if current is None else current, generation + 1
-        if c == "discard" and candidate is not None:
-            return current, None, previous, generation + 1
-        if c == "rollback" and previous is not None:
-            return previous, candidate, current, generation + 1
-        if c == "clear" and current is not None:
-            return None, candidate, current, generation + 1
-        if c == "import" and b is not None:
-            return b, candidate, previous if current is None else current, generation + 1
-        return s
-
-    fields = "current string, candidate string, previous string, generation int"
-    return fold(df, keys, order, [F.col(command).cast("string"), F.col(baseline).cast("string")], (None, None, None, 0), step, fields)

@@ -407,6 +407,50 @@ def profile_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.profile_store(rows, KEY, ORDER, "line")
 
 
+def _commands_sql() -> str:
+    """The store's rules row by row: the reason of each command from the state before it, and what each reason changes."""
+    matches = lambda r: f"({r} IS NOT NULL AND {r}_context IS NOT DISTINCT FROM context AND {r}_ppr = ppr)"
+    fits = "(length(rest) BETWEEN 1 AND 12 AND regexp_full_match(rest, '[A-Za-z0-9_-]+'))"
+    reason = f"""CASE WHEN w = 'storage_error' THEN 'storage_hold' WHEN w = 'profile' THEN 'status' WHEN w = 'stop' THEN 'paused'
+        WHEN w = 'recover' THEN CASE WHEN hold THEN 'recovered' ELSE 'recovery_not_required' END
+        WHEN w NOT IN ('start', 'learn', 'learned', 'context', 'ppr', 'approve', 'discard', 'rollback', 'import', 'clear') THEN 'unknown_command'
+        WHEN hold THEN 'storage_hold' WHEN w = 'start' THEN 'sampling' WHEN w IN ('context', 'import') AND NOT {fits} THEN 'context_invalid'
+        WHEN w = 'ppr' AND (number < 1 OR number > 16) THEN 'ppr_invalid' WHEN w = 'learned' AND NOT learning THEN 'not_learning'
+        WHEN w IN ('learn', 'learned', 'import') AND candidate IS NOT NULL THEN 'candidate_exists' WHEN w = 'learn' AND learning THEN 'learning_in_progress'
+        WHEN w IN ('learn', 'learned') AND context IS NULL OR w IN ('learn', 'learned', 'import') AND ppr = 0 THEN 'selection_required' WHEN w = 'learn' THEN 'started'
+        WHEN w = 'approve' AND number = 0 THEN 'candidate_id_invalid' WHEN w = 'approve' AND number IS DISTINCT FROM candidate THEN 'candidate_id_mismatch'
+        WHEN w = 'approve' AND NOT {matches("candidate")} THEN 'condition_mismatch' WHEN w = 'discard' AND candidate IS NULL THEN 'candidate_missing'
+        WHEN w = 'rollback' AND previous IS NULL THEN 'previous_missing' WHEN w = 'rollback' AND NOT {matches("previous")} THEN 'condition_mismatch' ELSE 'saved' END"""
+    made = "reason = 'saved' AND w IN ('learned', 'import')"
+    saved = lambda *words: f"reason = 'saved' AND w IN ({', '.join(map(repr, words))})"
+    part = lambda r, p: r + p
+    profiles = []
+    for p, new in (("", "next_id"), ("_context", "CASE WHEN w = 'import' THEN rest ELSE context END"), ("_ppr", "ppr")):
+        profiles += [
+            f"CASE WHEN {saved('approve')} THEN {part('candidate', p)} WHEN {saved('rollback')} THEN {part('previous', p)} WHEN {saved('clear')} THEN NULL ELSE {part('current', p)} END AS {part('current', p)}",
+            f"CASE WHEN {made} THEN {new} WHEN {saved('approve', 'discard', 'clear')} THEN NULL ELSE {part('candidate', p)} END AS {part('candidate', p)}",
+            f"CASE WHEN {saved('approve', 'rollback')} THEN {part('current', p)} WHEN {saved('clear')} THEN NULL ELSE {part('previous', p)} END AS {part('previous', p)}",
+        ]
+    state = [f"{r}{p}" for p in ("", "_context", "_ppr") for r in ("current", "candidate", "previous")]
+    lines = "[" + ", ".join(f"'{x}'" for x in COMMAND_LINES) + "]"
+    return f"""
+WITH RECURSIVE {_ROWS}, l AS (SELECT user_id, event_id, rn, {lines}[1 + CASE WHEN event_type = 'view' THEN rn - 1 ELSE CAST(floor(value) AS BIGINT) END % {len(COMMAND_LINES)}] AS line FROM rows_),
+k AS (SELECT user_id, event_id, rn, split_part(line, ' ', 1) AS w, CASE WHEN line LIKE '% %' THEN substr(line, instr(line, ' ') + 1) ELSE '' END AS rest,
+             coalesce(try_cast(CASE WHEN regexp_full_match(split_part(line, ' ', 2), '[0-9]+') THEN split_part(line, ' ', 2) END AS BIGINT), 0) AS number FROM l),
+t AS (
+    SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS rn, CAST('' AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS context, CAST(0 AS BIGINT) AS ppr,
+           {", ".join(f"CAST(NULL AS {'VARCHAR' if x.endswith('_context') else 'BIGINT'}) AS {x}" for x in state)}, CAST(1 AS BIGINT) AS next_id, CAST(0 AS BIGINT) AS generation, FALSE AS learning, TRUE AS paused, FALSE AS hold FROM k
+    UNION ALL
+    SELECT user_id, event_id, rn, reason, CASE WHEN {saved("context", "import")} THEN rest WHEN {saved("clear")} THEN NULL ELSE context END, CASE WHEN {saved("ppr")} THEN number WHEN {saved("clear")} THEN 0 ELSE ppr END,
+           {", ".join(sorted(profiles, key=lambda x: state.index(x.rpartition(" AS ")[2])))}, next_id + CASE WHEN {made} THEN 1 ELSE 0 END, generation + CASE WHEN reason IN ('saved', 'recovered') THEN 1 ELSE 0 END,
+           reason = 'started', CASE WHEN reason = 'paused' OR w = 'recover' THEN TRUE WHEN reason IN ('sampling', 'started') THEN FALSE ELSE paused END, CASE WHEN w = 'storage_error' THEN TRUE WHEN w = 'recover' THEN FALSE ELSE hold END
+    FROM (SELECT k.user_id, k.event_id, k.rn, w, rest, number, context, ppr, {", ".join(state)}, next_id, generation, learning, paused, hold, {reason} AS reason FROM t JOIN k ON k.user_id = t.user_id AND k.rn = t.rn + 1)
+)
+SELECT user_id, event_id, reason IN ('status', 'paused', 'recovered', 'sampling', 'saved', 'started') AS ok, reason, context, CAST(ppr AS INT) AS ppr,
+       {", ".join(f"CAST({x} AS INT) AS {x}" if x.endswith("_ppr") else f'{x} AS "{x}"' for x in state)}, next_id, generation, learning, paused, hold FROM t WHERE rn > 0
+"""
+
+
 _WAVE = ["log_rms", *(f"log_h{k}" for k in (1, 2, 3)), "log_hf_fraction", "log_crest", "log_kurtosis", "log_impulse", "log_shape", "skewness", "log_order_1.0", "log_order_abs_1.0", "log_hz_band_0_10", "log_hz_band_10_20", "log_hz_band_20_30", "spectral_entropy", "log_spectral_flatness", "rms_cv", "envelope_cv"]
 
 
@@ -465,6 +509,6 @@ QUERIES = {
     "pulse_continuity": (pulse_continuity, CONTINUITY_SQL),
     "confirmed_after_resets": (confirmed_after_resets, RESETS_SQL),
     "bearing_continuity": (bearing_continuity, BEARING_SQL),
-    "profile_commands": (profile_commands, None),
+    "profile_commands": (profile_commands, _commands_sql()),
     "waveform_shape": (waveform_shape, _waveform_sql()),
 }

@@ -14,12 +14,14 @@ _A, _R = '"acquisition":', ',"runtime":{"v":1,"pre_emit_us":@,"previous_emit":{"
 FAULTS = [
     ("", ""), ('"imbalance_votes":3', '"imbalance_votes":true'), ('"rpm":@', '"rpm":"@"'), ('"imbalance_votes":3', '"imbalance_votes":3.5'), ("[0.1,0.2,0.3]", "[0.1,0.2]"), ("[0.1,0.2,0.3]", "[0.1,0.2,true]"), ("[0.1,0.2,0.3]", "null"),
     ('"seq":@4', '"seq":9007199254740992'), ("00112233aabbCCDD", "0011"), ('"valid":true', '"valid":1'), ('"valid":true', '"valid":false'), ("9000001277500", "9000002277500"), ('"seq":@3', '"seq":@2'), ('"min_free_bytes":@05', '"min_free_bytes":9@00'),
-    ('"reason":"ok","fs_hz"', '"fs_hz"'), ('"v":1,"pre', '"v":2,"pre'), ('"samples":512', '"samples":400'), ('"samples":512', '"samples":0'), ('"samples":512', '"samples":513'), ('"samples":512,', ""), (_R, ""), (_R, ',"runtime":[]'),
+    ('"samples":512', '"samples":1'), ('"end_us":9000001277500', '"end_us":9000000000000'), ('"reason":"ok","fs_hz"', '"fs_hz"'), ('"v":1,"pre', '"v":2,"pre'), ('"samples":512', '"samples":400'), ('"samples":512', '"samples":0'), ('"samples":512', '"samples":513'), ('"samples":512,', ""), (_R, ""), (_R, ',"runtime":[]'),
     ('"v":1,"session"', '"session"'), ('"gap_us":@,', ""), ('"gap_us":@', '"gap_us":9900000000000'), ('"end_us":9000001277500', '"end_us":1'), ('"valid":true,"reason":"ok"', '"valid":false,"reason":"no_samples"'), ('"previous_emit":{"seq":@3,"call_us":7}', '"previous_emit":null'),
     ('"call_us":7', '"call_us":-7'), ('"heap":{', '"heap":[],"other":{'), ('"imbalance":"normal"', '"imbalance":null'), ('"fs_hz":400.0', '"fs_hz":null,"context_id":"c-1","baseline_id":@1'), ('"fs_hz":400.0', '"fs_hz":1,"context_id":null,"baseline_id":7'),
     ('"fs_hz":400.0', '"fs_hz":1,"context_id":"<script>","baseline_id":7'), ('"fs_hz":400.0', '"fs_hz":1,"baseline_id":7'), ('"fs_hz":400.0', '"fs_hz":1,"context_id":"a","baseline_id":0'), ('"fs_hz":400.0', '"fs_hz":1,"collector_report_transport":{}'), (_A, '"acquisition":7,"was":'), ("{", "{{"),
 ]
-LINES = [RECORD.replace(old, new, 1) if old else RECORD for old, new in FAULTS] + ["  ", "boot @ ok", '[1,"@"]', "{}", '{"reason":']
+#: One sample, whose start and end are one time; and such a record whose times differ.
+ONE_SAMPLE = RECORD.replace('"samples":512', '"samples":1').replace('"valid":true,"reason":"ok"', '"valid":false,"reason":"partial_window"')
+LINES = [RECORD.replace(old, new, 1) if old else RECORD for old, new in FAULTS] + [ONE_SAMPLE, ONE_SAMPLE.replace("9000001277500", "9000000000000"), "  ", "boot @ ok", '[1,"@"]', "{}", '{"reason":']
 
 _BASE = '{"id":@%d,"context_id":"pump-1","ppr":2,"amplitude_g":[0.05,0.1,4],"learn_count":336,"origin":"learned","session":"0123456789abcdef","seq":@}'
 PROFILE = '{"event":"profile","v":1,"command":"approve","ok":true,"reason":"saved","firmware":"postreport_v2","profile":{"selected":{"context_id":"pump-1","ppr":2},"current":%s,"candidate":null,"previous":%s,"baseline_ready":true,"learning":false,"learn_count":0,"paused":false,"storage":{"hold":false,"reason":"saved","generation":@},"legacy":{"valid":false,"reason":"none"}}}' % (_BASE % 1, _BASE % 2)
@@ -128,7 +130,7 @@ def _record_sql() -> str:
     cols = f"{_whole('samples')} AS n, {_whole('acquisition.seq')} AS q, {_whole('acquisition.start_us')} AS s, {_whole('acquisition.end_us')} AS e, {_whole('acquisition.gap_us')} AS g, {_true('acquisition.valid')} AS v, {_text('acquisition.reason')} AS why"
     relations = [
         (f"{n} = 0 AND NOT ({s} IS NULL AND {e} IS NULL AND {g} IS NULL AND {why} = 'no_samples' AND NOT {v})", "acquisition:empty_window"),
-        (f"{n} > 0 AND NOT coalesce({s} IS NOT NULL AND {e} IS NOT NULL AND ({e} > {s} OR ({n} = 1 AND {e} = {s})), FALSE)", "acquisition:times_unordered"),
+        (f"{n} > 0 AND ({s} IS NULL OR {e} IS NULL OR {e} < {s} OR ({n} > 1 AND {e} = {s}) OR ({n} = 1 AND {e} <> {s}))", "acquisition:times_unordered"),
         (f"{n} BETWEEN 1 AND 511 AND NOT ({why} = 'partial_window' AND NOT {v})", "acquisition:partial_window"),
         (f"{n} = 512 AND {why} IN ('no_samples', 'partial_window')", "acquisition:full_window"),
         (f"{v} <> ({why} = 'ok')", "acquisition:validity"),

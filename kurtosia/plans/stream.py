@@ -421,29 +421,6 @@ FROM t
 """
 
 
-def baseline_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in sequences.COMMANDS])
-    rows = events(spark, sf_dir).withColumn("command", F.element_at(names, (F.col("event_id") % 6 + 1).cast("int"))).withColumn("baseline", F.concat(F.lit("b"), F.col("event_id").cast("string")))
-    return sequences.baseline_store(rows, KEY, ORDER, "command", "baseline")
-
-
-_NEW = {
-    "current": "CASE WHEN c = 'approve' AND candidate IS NOT NULL THEN candidate WHEN c = 'rollback' AND previous IS NOT NULL THEN previous WHEN c = 'clear' THEN NULL WHEN c = 'import' THEN b ELSE current_ END",
-    "candidate": "CASE WHEN c = 'learned' THEN b WHEN c IN ('approve', 'discard') THEN NULL ELSE candidate END",
-    "previous": "CASE WHEN c = 'approve' AND candidate IS NOT NULL OR c = 'import' THEN coalesce(current_, previous) WHEN c = 'rollback' AND previous IS NOT NULL OR c = 'clear' AND current_ IS NOT NULL THEN current_ ELSE previous END",
-    "generation": "g + CASE WHEN c IN ('learned', 'import') OR c IN ('approve', 'discard') AND candidate IS NOT NULL OR c = 'rollback' AND previous IS NOT NULL OR c = 'clear' AND current_ IS NOT NULL THEN 1 ELSE 0 END",
-}
-LIFECYCLE_SQL = f"""
-WITH RECURSIVE {_ROWS}, k AS (SELECT user_id, event_id, rn, ['learned', 'approve', 'discard', 'rollback', 'clear', 'import'][event_id % 6 + 1] AS c, 'b' || event_id AS b FROM rows_),
-t(user_id, event_id, rn, current_, candidate, previous, g) AS (
-    SELECT DISTINCT user_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0 FROM k
-    UNION ALL
-    SELECT k.user_id, k.event_id, k.rn, {_NEW["current"]}, {_NEW["candidate"]}, {_NEW["previous"]}, {_NEW["generation"]} FROM t JOIN k ON k.user_id = t.user_id AND k.rn = t.rn + 1
-)
-SELECT user_id, event_id, current_ AS "current", candidate, previous, g AS generation FROM t WHERE rn > 0
-"""
-
-
 QUERIES = {
     "confirmed_anomaly": (confirmed_anomaly, CONFIRMED_SQL),
     "vote_rate": (vote_rate, VOTE_RATE_SQL),
@@ -471,5 +448,4 @@ QUERIES = {
     "interpolated": (interpolated, INTERPOLATED_SQL),
     "pulse_quality": (pulse_quality, PULSE_QUALITY_SQL),
     "evidence_shares": (evidence_shares, EVIDENCE_SQL),
-    "baseline_lifecycle": (baseline_lifecycle, LIFECYCLE_SQL),
 }

@@ -96,12 +96,22 @@ def test_sequence_status(spark, rows, told):
     assert [(r.status, r.missing) for r in out] == told
 
 
-def test_baseline_store(spark):
-    commands = [("approve", None), ("learned", "a"), ("approve", None), ("learned", "b"), ("discard", None), ("learned", "c"), ("approve", None), ("rollback", None), ("clear", None), ("rollback", None)]
-    df = spark.createDataFrame([("k", i, c, b) for i, (c, b) in enumerate(commands)], "k string, seq int, command string, baseline string")
-    out = sequences.baseline_store(df, ["k"], ["seq"], "command", "baseline").orderBy("seq").collect()
-    assert [(r.current, r.candidate, r.previous) for r in out] == [(N, N, N), (N, "a", N), ("a", N, N), ("a", "b", N), ("a", N, N), ("a", "c", N), ("c", N, "a"), ("a", N, "c"), (N, N, "a"), ("a", N, N)]
-    assert [r.generation for r in out] == list(range(10))
+def _told(spark, lines):
+    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(lines)], "k string, seq int, line string")
+    return sequences.profile_store(df, ["k"], ["seq"], "line").orderBy("seq").collect()
+
+
+def test_profile_store_follows_the_protocol(spark):
+    out = _told(spark, ["context a", "ppr 2", "learn", "learned", "approve 1", "learn", "learned", "import b", "approve 2", "context b", "rollback", "context a", "rollback", "clear", "rollback"])
+    assert [r.reason for r in out] == ["saved", "saved", "started", "saved", "saved", "started", "saved", "candidate_exists", "saved", "saved", "condition_mismatch", "saved", "saved", "saved", "previous_missing"]
+    assert [(r.current, r.candidate, r.previous) for r in out][-8:] == [(1, 2, N), (2, N, 1), (2, N, 1), (2, N, 1), (2, N, 1), (1, N, 2), (N, N, N), (N, N, N)]
+    assert out[-1].next_id == 3 and out[-1].context is None and out[-1].ppr == 0
+
+
+def test_a_failed_import_changes_nothing(spark):
+    (a, b, c) = _told(spark, ["import fan-3", "import bad name", None])
+    assert (a.reason, a.context, a.generation) == ("selection_required", None, 0)
+    assert (b.reason, c.reason) == ("context_invalid", "unknown_command")
 
 
 def test_log_baseline_floors_deviations(spark):
