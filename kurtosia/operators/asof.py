@@ -17,31 +17,45 @@ from kurtosia.functions.numbers import rate
 Names = Sequence[str]
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Names, time: str, values: Names, forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: Names, time: str, values: Names, forward: bool = False, bucket: float | None = None) -> DataFrame:
     """``left`` with ``values`` of the last right row at or before its time (``forward``: the first after it).
 
-    Right rows of equal time count as one; the largest values in their order win.
+    Right rows of equal time count as one; the largest values in their order win.  With
+    ``bucket``, a span of the time (a number), a key's rows are dealt by key and bucket: windows run inside
+    buckets, and what earlier buckets leave is carried on by a scan of one row a bucket.  So
+    one key of any length spreads over tasks.
     """
     cols = [c for c in left.columns if c not in (*keys, time)]
     l = left.select(*keys, time, F.struct(*cols).alias("_l") if cols else F.struct(F.lit(1).alias("_")).alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"), F.lit(1).alias("_side"))
     r = right.select(*keys, time, F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.struct(*values).alias("_r"), F.lit(0).alias("_side"))
     order = [F.desc(time), F.desc("_side"), F.asc("_r")] if forward else [time, "_side", "_r"]  # at one time rights come last, or first: so forward is after
-    found = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = l.unionByName(r).withColumn("_found", found).where("_side = 1")
+    both, within = l.unionByName(r), list(keys)
+    if bucket:
+        both, within = both.withColumn("_bucket", F.floor(F.col(time) / bucket)), [*keys, "_bucket"]
+    found = F.last("_r", ignorenulls=True).over(Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_found", found)
+    if bucket:
+        best = F.struct(F.when(F.col("_r").isNotNull(), -F.col(time) if forward else F.col(time)), "_r")
+        left_by = both.groupBy(*within).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), best)).alias("_leaves"))
+        before = Window.partitionBy(*keys).orderBy(F.desc("_bucket") if forward else "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = left_by.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.last("_leaves", ignorenulls=True).over(before).alias("_carried"))
+        same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+        out = out.join(carried, [*same, F.col("_bucket").eqNullSafe(F.col("_b"))], "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    out = out.where("_side = 1")
     return out.select(*keys, time, *[F.col(f"_l.{c}").alias(c) for c in cols], *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def interpolate(grid: DataFrame, signal: DataFrame, keys: Names, time: str, x: str) -> DataFrame:
-    """``grid`` with x between the nearest signal rows on both sides; NULL beyond the ends."""
+def interpolate(grid: DataFrame, signal: DataFrame, keys: Names, time: str, x: str, bucket: float | None = None) -> DataFrame:
+    """``grid`` with x between the nearest signal rows on both sides; NULL beyond the ends.  ``bucket`` as for ``as_of``."""
     points = signal.select(*keys, time, F.col(time).alias("_t0"), F.col(x).alias("_x0"))
-    before = as_of(grid, points, keys, time, ["_t0", "_x0"])
-    after = as_of(before, points.withColumnsRenamed({"_t0": "_t1", "_x0": "_x1"}), keys, time, ["_t1", "_x1"], forward=True)
+    before = as_of(grid, points, keys, time, ["_t0", "_x0"], bucket=bucket)
+    after = as_of(before, points.withColumnsRenamed({"_t0": "_t1", "_x0": "_x1"}), keys, time, ["_t1", "_x1"], forward=True, bucket=bucket)
     t = F.col(time)
     value = F.when(t == F.col("_t0"), F.col("_x0")).otherwise(F.col("_x0") + rate((F.col("_x1") - F.col("_x0")) * (t - F.col("_t0")), F.col("_t1") - F.col("_t0")))
     return after.withColumn(x, value).drop("_t0", "_x0", "_t1", "_x1")
 
 
-def order_projection(samples: DataFrame, pulses: DataFrame, keys: Names, ppr: int = 1, orders: Sequence[int] = (1, 2, 3)) -> DataFrame:
+def order_projection(samples: DataFrame, pulses: DataFrame, keys: Names, ppr: int = 1, orders: Sequence[int] = (1, 2, 3), bucket: float | None = None) -> DataFrame:
     """(keys, amp_<k>x, ratio_<k>x, phase_1x) of samples (keys, t_us, x) against pulses (keys, t_us, ordinal).
 
     A sample's angle comes from the pulse at or before it and its share of the way to
@@ -51,7 +65,7 @@ def order_projection(samples: DataFrame, pulses: DataFrame, keys: Names, ppr: in
     w = Window.partitionBy(*keys).orderBy("t_us")
     edge = pulses.withColumn("_edge", F.col("t_us")).withColumn("_step", F.lead("t_us").over(w) - F.col("t_us"))
     mean_step = edge.groupBy(*keys).agg(F.avg("_step").alias("_mean_step"))
-    joined = as_of(samples, edge, keys, "t_us", ["_edge", "_step", "ordinal"]).join(mean_step, list(keys), "left")
+    joined = as_of(samples, edge, keys, "t_us", ["_edge", "_step", "ordinal"], bucket=bucket).join(mean_step, list(keys), "left")
     mean = samples.groupBy(*keys).agg(F.avg("x").alias("_mean"), F.count(F.lit(1)).alias("_n"))
     part = (F.col("t_us") - F.col("_edge")) / F.coalesce("_step", "_mean_step")
     angle = 2 * math.pi / ppr * (F.col("ordinal") % ppr + part)

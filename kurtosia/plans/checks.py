@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kurtosia.operators import asof, baseline, framing, gates, joins, metrics, scenarios, sequences, spectrum, voting, waveform
 from kurtosia.operators.records import acquisition_reason
+from kurtosia.streaming import keyed
 
 from .signals import _LONG, _MAGS, FS, SIZE, vectors
 from .stream import _ROWS, KEY, ORDER, events
@@ -397,6 +398,25 @@ t(user_id, event_id, rn, ses, seq, sta, rpm, now_, h, outcome) AS (
 SELECT user_id, event_id, outcome, CAST(length(replace(h, '0', '')) AS INT) AS votes_positive, CAST(length(h) AS INT) AS votes_valid, CASE WHEN length(h) < 5 THEN 'unavailable' WHEN length(replace(h, '0', '')) >= 4 THEN 'confirmed' ELSE 'normal' END AS status FROM t WHERE rn > 0
 """
 
+SILENCE_MS = 200_000
+
+
+def votes_with_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of each user's events in order of time; errors are commands that begin them anew, and silence ends them."""
+    timed = _read(spark, sf_dir, "events").withColumns({"t": F.timestamp_seconds("event_id"), "flag": F.when(F.floor("value") % 7 != 3, F.col("value") > 20), "command": F.lit("reset")})
+    return keyed.confirmed(timed.where("event_type <> 'error'"), timed.where("event_type = 'error'"), KEY, "t", "event_id", "flag", forget_ms=SILENCE_MS)
+
+
+VOTES_SQL = f"""
+WITH e AS (SELECT user_id, event_id, event_id * 1000 AS ms, event_type = 'error' AS command, CASE WHEN CAST(floor(value) AS BIGINT) % 7 <> 3 THEN CAST(value > 20 AS INT) END AS f FROM events),
+g AS (SELECT *, lag(ms) OVER w AS was, lead(ms) OVER w AS next FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+p AS (SELECT *, sum(CASE WHEN command OR ms - was > {SILENCE_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM g),
+v AS (SELECT user_id, event_id, ms, f, list_slice(coalesce(list(f) FILTER (f IS NOT NULL) OVER (PARTITION BY user_id, part ORDER BY event_id), []), -5, -1) AS l FROM p WHERE NOT command)
+SELECT user_id, ms AS "at", event_id AS place, CAST(coalesce(list_sum(l), 0) AS BIGINT) AS votes_positive, CAST(len(l) AS BIGINT) AS votes_valid,
+       CASE WHEN f IS NULL OR len(l) < 5 THEN 'unavailable' WHEN list_sum(l) >= 4 THEN 'confirmed' ELSE 'normal' END AS status FROM v
+UNION ALL SELECT user_id, ms + {SILENCE_MS}, NULL, 0, 0, 'expired' FROM p WHERE next IS NULL OR next - ms > {SILENCE_MS}
+"""
+
 COMMAND_LINES = ("context pump-1", "ppr 2", "learn", "learned", "approve 1", "learn", "learned", "approve 2", "rollback", "discard", "context pump-2", "stop", "start", "import fan-3", "clear", "storage_error", "recover", "profile", "dance", "ppr 99", "approve 7")
 
 
@@ -509,6 +529,7 @@ QUERIES = {
     "pulse_continuity": (pulse_continuity, CONTINUITY_SQL),
     "confirmed_after_resets": (confirmed_after_resets, RESETS_SQL),
     "bearing_continuity": (bearing_continuity, BEARING_SQL),
+    "votes_with_commands": (votes_with_commands, VOTES_SQL),
     "profile_commands": (profile_commands, _commands_sql()),
     "waveform_shape": (waveform_shape, _waveform_sql()),
 }

@@ -347,11 +347,15 @@ FROM (SELECT user_id, event_id, (event_id * 715827883) % 4294967296 AS c FROM ev
 """
 
 
+#: Microseconds of a key that a task takes at a time in as-of joins.
+TIME_BUCKET = 20_000
+
+
 def pulse_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     pulses = rows.where("event_type = 'click'").select("user_id", F.col("event_id").alias("t_us"), F.col("value").alias("pulse"))
     samples = rows.where("event_type <> 'click'").select("user_id", F.col("event_id").alias("t_us"), "value")
-    out = asof.as_of(samples, pulses, KEY, "t_us", ["pulse"])
+    out = asof.as_of(samples, pulses, KEY, "t_us", ["pulse"], bucket=TIME_BUCKET)
     return out.select("user_id", "t_us", "value", "pulse")
 
 
@@ -365,7 +369,7 @@ def interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     known = rows.where("event_type = 'click'").select("user_id", F.col("event_id").alias("t_us"), F.col("value").alias("x"))
     grid = rows.where("event_type <> 'click'").select("user_id", F.col("event_id").alias("t_us"))
-    return asof.interpolate(grid, known, KEY, "t_us", "x").select("user_id", "t_us", _r("x", 4).alias("x"))
+    return asof.interpolate(grid, known, KEY, "t_us", "x", bucket=TIME_BUCKET).select("user_id", "t_us", _r("x", 4).alias("x"))
 
 
 INTERPOLATED_SQL = """
