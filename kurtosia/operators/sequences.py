@@ -47,11 +47,8 @@ def fold(df: DataFrame, keys: Names, order: Names, values: Sequence[Column], sta
     return rows.mapInArrow(run, StructType([*kept, *fields]))
 
 
-def track_rotation(df: DataFrame, keys: Names, order: Names, candidate: str, jump: float = 5.0, relock: int = 5) -> DataFrame:
-    """(keys, order, hz): follows candidates within ``jump``; a farther one is taken after ``relock`` that stay near their predecessors.
-
-    NULL candidates change nothing.
-    """
+def rotation_step(jump: float, relock: int) -> Callable[..., tuple]:
+    """The step of the tracker's state (hz, last rejected candidate, how many in a row), see ``track_rotation``."""
     def step(s, c):
         hz, pending, rejected = s
         if c is None:
@@ -59,7 +56,15 @@ def track_rotation(df: DataFrame, keys: Names, order: Names, candidate: str, jum
         n = rejected + 1 if rejected > 0 and abs(c - pending) <= jump else 1
         return (c, None, 0) if hz is None or abs(c - hz) <= jump or n >= relock else (hz, c, n)
 
-    return fold(df, keys, order, [F.col(candidate).cast("double")], (None, None, 0), step, "hz double, pending double, rejected int").select(*keys, *order, "hz")
+    return step
+
+
+def track_rotation(df: DataFrame, keys: Names, order: Names, candidate: str, jump: float = 5.0, relock: int = 5) -> DataFrame:
+    """(keys, order, hz): follows candidates within ``jump``; a farther one is taken after ``relock`` that stay near their predecessors.
+
+    NULL candidates change nothing.
+    """
+    return fold(df, keys, order, [F.col(candidate).cast("double")], (None, None, 0), rotation_step(jump, relock), "hz double, pending double, rejected int").select(*keys, *order, "hz")
 
 
 def run_state(df: DataFrame, keys: Names, order: Names, snr: str, threshold: float = 5.0, rows: int = 3) -> DataFrame:

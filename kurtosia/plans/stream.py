@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kurtosia.functions.numbers import ramp, wrapping_difference
-from kurtosia.operators import asof, baseline, evidence, sequences, voting
+from kurtosia.operators import asof, baseline, evidence, folds, sequences, voting
 
 KEY, ORDER = ["user_id"], ["event_id"]
 CALIBRATION = 20
@@ -247,6 +247,12 @@ def rotation_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.track_rotation(rows, KEY, ORDER, "candidate", 5.0, 3).select("user_id", "event_id", _r("hz").alias("hz"))
 
 
+def rotation_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rotation_tracking`` with the rows of an equipment dealt by spans of 500 windows."""
+    rows = events(spark, sf_dir).withColumn("candidate", F.when(F.col("event_type") != "error", 40 + F.col("value") % 16))
+    return folds.track_rotation(rows, KEY, ORDER, "candidate", F.floor(F.col("event_id") / 500), 5.0, 3).select("user_id", "event_id", _r("hz").alias("hz"))
+
+
 ROTATION_SQL = f"""
 WITH RECURSIVE {_ROWS},
 c AS (SELECT user_id, event_id, rn, CASE WHEN event_type <> 'error' THEN 40 + value % 16 END AS c FROM rows_),
@@ -284,6 +290,12 @@ def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.smooth(rows, KEY, ORDER, "x", "start", "end", 0.4, 2000).select("user_id", "event_id", _r("value").alias("value"), F.col("count").alias("n"))
 
 
+def smoothed_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``smoothed`` with the rows of an equipment dealt by spans of 500 windows."""
+    rows = events(spark, sf_dir).select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("x"), (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + 5).alias("end"))
+    return folds.smooth(rows, KEY, ORDER, "x", "start", "end", F.floor(F.col("event_id") / 500), 0.4, 2000).select("user_id", "event_id", _r("value").alias("value"), F.col("count").alias("n"))
+
+
 SMOOTHED_SQL = f"""
 WITH RECURSIVE {_ROWS},
 c AS (SELECT user_id, event_id, rn, CASE WHEN event_type <> 'error' THEN value END AS x, event_id * 10 AS st, event_id * 10 + 5 AS en FROM rows_),
@@ -443,8 +455,10 @@ QUERIES = {
     "median_relative": (median_relative, MEDIAN_RELATIVE_SQL),
     "time_split": (time_split, TIME_SPLIT_SQL),
     "rotation_tracking": (rotation_tracking, ROTATION_SQL),
+    "rotation_in_buckets": (rotation_in_buckets, ROTATION_SQL),
     "run_states": (run_states, RUN_STATES_SQL),
     "smoothed": (smoothed, SMOOTHED_SQL),
+    "smoothed_in_buckets": (smoothed_in_buckets, SMOOTHED_SQL),
     "transport_sequence": (transport_sequence, TRANSPORT_SQL),
     "window_gaps": (window_gaps, WINDOW_GAPS_SQL),
     "clock_steps": (clock_steps, CLOCK_SQL),
