@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import json
 import struct
-import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from kurtosia.operators.metrics import by_class
 from kurtosia.operators.records import measurements
 
+from .archives import members, parsed
+
 WAVES = "path string, name string, signal array<double>"
 
 
@@ -84,20 +85,17 @@ def read_npy_zip(spark: SparkSession, path: str, size: int | None = None) -> Dat
     those of length 1 or, where ``size`` is given, another number of samples fail the read.
     """
 
-    def parse(content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name in z.namelist():
-                if name.endswith(".npy"):
-                    x = np.load(io.BytesIO(z.read(name)), allow_pickle=False)
-                    if x.dtype.kind not in "fiu" or np.squeeze(x).ndim > 1:
-                        raise ValueError(f"{name}: not one signal of numbers")
-                    if size is not None and x.size != size:
-                        raise ValueError(f"{name}: {x.size} samples, expected {size}")
-                    if not np.isfinite(x).all():
-                        raise ValueError(f"{name}: samples are not finite")
-                    yield name, x.ravel()
-
-    waves = _files(spark, path, parse)
+    def parse(path: str, name: str, content: bytes):
+        x = np.load(io.BytesIO(content), allow_pickle=False)
+        if x.dtype.kind not in "fiu" or np.squeeze(x).ndim > 1:
+            raise ValueError(f"{name}: not one signal of numbers")
+        if size is not None and x.size != size:
+            raise ValueError(f"{name}: {x.size} samples, expected {size}")
+        if not np.isfinite(x).all():
+            raise ValueError(f"{name}: samples are not finite")
+        return _wave(path, name, x)
+
+    waves = parsed(members(spark, path).where(F.endswith("name", F.lit(".npy"))), parse, WAVES)
     number = lambda c: F.regexp_extract(c, r"([0-9]+)[^0-9/]*$", 1).try_cast("int")
     return waves.select("path", "name", number(F.element_at(F.split("path", "/"), -1)).alias("trial"), number(F.col("name")).alias("member"), "signal")
 
@@ -105,15 +103,13 @@ def read_npy_zip(spark: SparkSession, path: str, size: int | None = None) -> Dat
 def read_csv_zip(spark: SparkSession, path: str, column: int = 0, header: bool = True) -> DataFrame:
     """(path, name, condition, number, role, signal) of one column of the CSV members of ZIP files (see ``member_role``)."""
 
-    def parse(content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name in z.namelist():
-                if name.lower().endswith(".csv"):
-                    rows = z.read(name).decode("utf-8-sig").splitlines()[int(header) :]
-                    yield name, np.array([r.split(",")[column] for r in rows if r.strip()], dtype=float)
+    def parse(path: str, name: str, content: bytes):
+        rows = content.decode("utf-8-sig").splitlines()[int(header) :]
+        return _wave(path, name, np.array([r.split(",")[column] for r in rows if r.strip()], dtype=float))
 
     condition, number, role = member_role(F.col("name"))
-    return _files(spark, path, parse).select("path", "name", condition.alias("condition"), number.alias("number"), role.alias("role"), "signal")
+    waves = parsed(members(spark, path).where(F.endswith(F.lower("name"), F.lit(".csv"))), parse, WAVES)
+    return waves.select("path", "name", condition.alias("condition"), number.alias("number"), role.alias("role"), "signal")
 
 
 def read_rotation_csv(spark: SparkSession, path: str, column: int = 1, columns: int = 8) -> DataFrame:
