@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kurtosia.functions.numbers import ramp, wrapping_difference
-from kurtosia.operators import asof, baseline, evidence, folds, sequences, voting
+from kurtosia.operators import asof, baseline, evidence, folds, medians, sequences, voting
 
 KEY, ORDER = ["user_id"], ["event_id"]
 CALIBRATION = 20
@@ -199,6 +199,12 @@ def robust_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("user_id", _r("value_median").alias("median"), _r("value_scale").alias("scale"))
 
 
+def robust_baseline_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``robust_baseline`` by counting in brackets, for keys of any size."""
+    fit = medians.fit_robust(events(spark, sf_dir), KEY, ["value"])
+    return fit.select("user_id", _r("value_median").alias("median"), _r("value_scale").alias("scale"))
+
+
 ROBUST_SQL = "SELECT user_id, round(median(ln(value)), 6) AS median, round(greatest(1.4826 * mad(ln(value)), 0.2), 6) AS scale FROM events GROUP BY user_id"
 
 
@@ -206,6 +212,14 @@ def median_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.fit_medians(events(spark, sf_dir), ["user_id", "event_type"], ["value"], F.col("value") > 10).select("user_id", "event_type", _r("value_median").alias("median"))
 
 
+def median_baseline_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of all events by type, few keys of many rows, by counting in brackets."""
+    return medians.fit_medians(events(spark, sf_dir), ["event_type"], ["value", "event_id"]).select("event_type", _r("value_median").alias("median"), F.col("event_id_median").alias("middle_event"))
+
+
+MEDIAN_COUNTED_SQL = "SELECT event_type, round(median(value), 6) AS median, median(CAST(event_id AS DOUBLE)) AS middle_event FROM events GROUP BY event_type"
+
+
 MEDIAN_SQL = "SELECT user_id, event_type, round(median(value), 6) AS median FROM events WHERE value > 10 GROUP BY user_id, event_type"
 
 
@@ -450,6 +464,8 @@ QUERIES = {
     "state_log": (state_log, STATE_LOG_SQL),
     "three_sigma": (three_sigma, THREE_SIGMA_SQL),
     "robust_baseline": (robust_baseline, ROBUST_SQL),
+    "robust_baseline_counted": (robust_baseline_counted, ROBUST_SQL),
+    "median_baseline_counted": (median_baseline_counted, MEDIAN_COUNTED_SQL),
     "median_baseline": (median_baseline, MEDIAN_SQL),
     "speed_bins": (speed_bins, SPEED_BINS_SQL),
     "median_relative": (median_relative, MEDIAN_RELATIVE_SQL),

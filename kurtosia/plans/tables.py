@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kurtosia.functions import numbers
-from kurtosia.operators import baseline, metrics
+from kurtosia.operators import baseline, isolation, metrics
 
 
 def _r(c, digits: int = 6):
@@ -186,7 +186,15 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 """
 
 
+def isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How soon random cuts part each order line from others, by quantity, price, discount and tax."""
+    ids, features = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = _read(spark, sf_dir, "lineitem").select(*ids, *features)
+    return isolation.score(rows, isolation.fit(rows, ids, features), features).select(*ids, _r("anomaly", 9).alias("anomaly"))
+
+
 QUERIES = {
+    "isolation_scores": (isolation_scores, None),
     "confusion": (confusion, CONFUSION_SQL),
     "coverage": (coverage, COVERAGE_SQL),
     "by_class": (by_class, BY_CLASS_SQL),
