@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kurtosia.functions.numbers import ramp, wrapping_difference
-from kurtosia.operators import asof, baseline, evidence, folds, medians, sequences, voting
+from kurtosia.operators import asof, baseline, evidence, folds, medians, recordings, sequences, voting
 
 KEY, ORDER = ["user_id"], ["event_id"]
 CALIBRATION = 20
@@ -324,6 +324,44 @@ SELECT user_id, event_id, round(v, 6) AS value, n FROM t
 """
 
 
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recordings.blocks(_rows(spark, sf_dir), KEY, F.col("rn") - 1, "value", 37)
+
+
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every equipment's values, a recording in blocks of 37, at two fifths of their rate."""
+    out = recordings.resampled(_recordings(spark, sf_dir), KEY, "first", "signal", 2, 5, 100)
+    return recordings.samples(out, KEY).select("user_id", "i", _r("x").alias("x"))
+
+
+RESAMPLED_SQL = f"""
+WITH {_ROWS},
+raw AS (
+    SELECT k, CASE WHEN k = 0 THEN 1 ELSE sin(pi() * k / 5.0) / (pi() * k / 5.0) END * list_sum(list_transform(range(0, 40), lambda q: power(6.25 * (1 - k * k / 2500.0), q) / power(CAST(factorial(CAST(least(q, 30) AS INTEGER)) AS DOUBLE), 2) * CASE WHEN q <= 30 THEN 1 ELSE 0 END)) AS t
+    FROM (SELECT unnest(range(-50, 51)) AS k)
+),
+taps AS (SELECT k, 2 * t / (SELECT sum(t) FROM raw) AS t FROM raw),
+m AS (SELECT user_id, unnest(range(0, (2 * count(*) + 4) // 5)) AS i FROM rows_ GROUP BY user_id)
+SELECT m.user_id, i, round(sum(value * t), 6) AS x
+FROM m JOIN rows_ ON rows_.user_id = m.user_id AND 2 * (rn - 1) BETWEEN 5 * i - 50 AND 5 * i + 50 JOIN taps ON k = 5 * i - 2 * (rn - 1)
+GROUP BY m.user_id, i
+"""
+
+
+def framed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 16 values, one each 5, over the borders of blocks."""
+    out = recordings.frames(_recordings(spark, sf_dir), KEY, "first", "signal", 16, 5, 50)
+    return out.select("user_id", "start", _r(F.aggregate("frame", F.lit(0.0), lambda t, v: t + v), 4).alias("total"), _r(F.col("frame")[0]).alias("opens"), _r(F.col("frame")[15]).alias("ends"))
+
+
+FRAMED_BLOCKS_SQL = f"""
+WITH {_ROWS}
+SELECT a.user_id, a.rn - 1 AS start, round(sum(b.value), 4) AS total, round(min_by(b.value, b.rn), 6) AS opens, round(max_by(b.value, b.rn), 6) AS ends
+FROM rows_ a JOIN rows_ b ON b.user_id = a.user_id AND b.rn BETWEEN a.rn AND a.rn + 15
+WHERE (a.rn - 1) % 5 = 0 GROUP BY a.user_id, a.rn HAVING count(*) = 16
+"""
+
+
 def transport_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir).select("user_id", "event_id", F.when(F.col("event_type") != "login", F.concat(F.lit("S"), F.floor(F.col("rn") / 30).cast("string"))).alias("session"), F.floor(F.col("rn") + F.col("value") % 3).cast("long").alias("seq"), (F.col("event_type") == "error").alias("bad"))
     rows = rows.withColumn("seq", F.when(F.col("session").isNotNull(), F.col("seq")))
@@ -475,6 +513,8 @@ QUERIES = {
     "run_states": (run_states, RUN_STATES_SQL),
     "smoothed": (smoothed, SMOOTHED_SQL),
     "smoothed_in_buckets": (smoothed_in_buckets, SMOOTHED_SQL),
+    "resampled": (resampled, RESAMPLED_SQL),
+    "framed_blocks": (framed_blocks, FRAMED_BLOCKS_SQL),
     "transport_sequence": (transport_sequence, TRANSPORT_SQL),
     "window_gaps": (window_gaps, WINDOW_GAPS_SQL),
     "clock_steps": (clock_steps, CLOCK_SQL),
