@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 Names = Sequence[str]
 NODES = "tree int, node int, feature int, cut double, below int, above int, length double"
@@ -50,6 +50,14 @@ def grown(x: np.ndarray, seed: int, tree: int) -> list[tuple]:
     return nodes
 
 
+def _mixed(key: np.ndarray, tree: int) -> np.ndarray:
+    """A place of 52 bits for each key, another for each tree."""
+    h = key ^ np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(12)
+
+
 def fit(df: DataFrame, ids: Names, features: Names, trees: int = 100, sample: int = 256, seed: int = 1) -> DataFrame:
     """NODES of ``trees`` trees, each grown on the ``sample`` rows of least hash of tree and ``ids``.
 
@@ -63,10 +71,21 @@ def fit(df: DataFrame, ids: Names, features: Names, trees: int = 100, sample: in
     n = rows.agg(F.approx_count_distinct("_id", 0.02)).first()[0]
     # ten standard deviations and 100 over the expected number: far more than the count of ids and chance may err
     share = min(1.0, (sample + 10 * math.sqrt(sample) + 100) / max(n, 1))
-    bits = 52
-    place = lambda t: F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed), t), 64 - bits)
-    held = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < F.lit(int(share * (1 << bits))))
-    dealt = rows.select("_id", "_x", F.explode(held).alias("tree")).groupBy("tree", "_id").agg(F.min("_x").alias("_x")).withColumn("_h", place(F.col("tree")))
+    bound = np.uint64(int(share * 0xFFFFFFFFFFFFF))  # of places of 52 bits
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b["_k"].to_numpy(zero_copy_only=False).view(np.uint64)
+            for t in range(trees):
+                place = _mixed(key, t)
+                at = np.flatnonzero(place <= bound)
+                if len(at):
+                    chosen = [b[c].take(pa.array(at)) for c in ("_id", "_x")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, dtype=np.int32)), pa.array(place[at].astype(np.int64)), *chosen], names=["tree", "_h", "_id", "_x"])
+
+    schema = StructType([StructField("tree", IntegerType()), StructField("_h", LongType()), rows.schema["_id"], rows.schema["_x"]])
+    dealt = rows.withColumn("_k", F.xxhash64("_id", F.lit(seed))).mapInArrow(draw, schema)
+    dealt = dealt.groupBy("tree", "_h", "_id").agg(F.min("_x").alias("_x"))
     w = Window.partitionBy("tree").orderBy("_h", "_id")
     chosen = dealt.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sample).select("tree", "_n", "_x")
 
@@ -81,6 +100,17 @@ def fit(df: DataFrame, ids: Names, features: Names, trees: int = 100, sample: in
     return chosen.groupBy("tree").applyInArrow(grow, NODES)
 
 
+def _walkable(nodes: list[tuple]) -> tuple:
+    """(feature, cut, children by twos, length, depth) of a tree whose leaves lead to themselves."""
+    feature, cut, below, above, length = (np.array(c) for c in zip(*nodes, strict=True))
+    leaf, own = feature < 0, np.arange(len(feature))
+    children = np.stack([np.where(leaf, own, below), np.where(leaf, own, above)], axis=1)
+    depth, level = 0, np.array([0])
+    while not leaf[level].all():
+        level, depth = np.unique(children[level]), depth + 1
+    return np.where(leaf, 0, feature), cut, children.ravel(), length, depth
+
+
 def score(df: DataFrame, forest: DataFrame, features: Names, sample: int = 256, out: str = "anomaly") -> DataFrame:
     """Adds ``out``: 2 ** -(mean path length / mean length for ``sample`` rows), near 1 for outliers; NULL where a feature is missing or not finite.
 
@@ -89,7 +119,7 @@ def score(df: DataFrame, forest: DataFrame, features: Names, sample: int = 256,
     trees: dict[int, list] = {}
     for r in forest.orderBy("tree", "node").collect():
         trees.setdefault(r["tree"], []).append((r["feature"], r["cut"], r["below"], r["above"], r["length"]))
-    built = [tuple(np.array(c) for c in zip(*nodes, strict=True)) for _, nodes in sorted(trees.items())]
+    built = [_walkable(nodes) for _, nodes in sorted(trees.items())]
     norm = average_length(sample) or 1.0
     names = [f"_feature{i}" for i in range(len(features))]
     schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
@@ -99,14 +129,12 @@ def score(df: DataFrame, forest: DataFrame, features: Names, sample: int = 256,
             x = np.stack([b[c].to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)
             known = np.isfinite(x).all(axis=1)
             x = x[known]
-            total = np.zeros(len(x))
-            for feature, cut, below, above, length in built:
+            total, flat = np.zeros(len(x)), x.ravel()
+            row = np.arange(len(x)) * len(names)
+            for feature, cut, children, length, depth in built:
                 at = np.zeros(len(x), dtype=np.int64)
-                live = np.flatnonzero(feature[at] >= 0)
-                while len(live):
-                    node = at[live]
-                    at[live] = np.where(x[live, feature[node]] < cut[node], below[node], above[node])
-                    live = live[feature[at[live]] >= 0]
+                for _ in range(depth):
+                    at = children[2 * at + (flat[row + feature[at]] >= cut[at])]
                 total += length[at]
             value = np.full(b.num_rows, np.nan)
             value[known] = 2.0 ** (-total / max(len(built), 1) / norm)
