@@ -29,16 +29,20 @@ def sensor_state(failed: Column, clipped: Column, size: int) -> tuple[Column, Co
 
 
 def sample_faults(samples: DataFrame, keys: Names, fs: str, most_g: float = 3.95, jitter: float = 0.05) -> DataFrame:
-    """(keys, n, seconds, bad_sample, bad_step) of samples (keys, i, t_us, x, fs): the first sample out of range and the first uneven step."""
+    """(keys, n, seconds, bad_sample, bad_step) of samples (keys, i, t_us, x, fs): the first sample out of range and the first uneven step.
+
+    ``t_us`` may be a 32-bit clock that wraps: steps and the seconds from the first sample to the last are taken modulo 2 ** 32.
+    """
     from pyspark.sql import Window
 
-    step = F.col("t_us") - F.lag("t_us").over(Window.partitionBy(*keys).orderBy("i"))
+    since = lambda a, b: F.pmod(a.cast("long") - b.cast("long"), F.lit(1 << 32))
+    step = since(F.col("t_us"), F.lag("t_us").over(Window.partitionBy(*keys).orderBy("i")))
     even = F.abs(step - 1e6 / F.col(fs)) <= jitter * 1e6 / F.col(fs)
     good = ~F.isnan("x") & (F.abs("x") < most_g)
     marked = samples.withColumn("_step", step).withColumn("_uneven", F.col("_step").isNotNull() & ~F.coalesce(even, F.lit(False)))
     return marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        ((F.max("t_us") - F.min("t_us")) / 1e6).alias("seconds"),
+        (since(F.max_by("t_us", "i"), F.min_by("t_us", "i")) / 1e6).alias("seconds"),
         F.min(F.when(~F.coalesce(good, F.lit(False)), F.col("i"))).alias("bad_sample"),
         F.min(F.when(F.col("_uneven"), F.col("i"))).alias("bad_step"),
     )

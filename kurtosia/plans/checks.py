@@ -181,12 +181,22 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("vec_id", "fs", "i", (F.col("i") * 2500 + late).alias("t_us"), (F.col("x") * F.when(F.col("vec_id") % 17 == 2, 100.0).otherwise(1.0)).alias("x"))
 
 
-def live_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faults = gates.sample_faults(_live(spark, sf_dir), ["vec_id", "fs"], "fs").join(vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
+def _live_gates(spark: SparkSession, sf_dir: str, live: DataFrame) -> DataFrame:
+    faults = gates.sample_faults(live, ["vec_id", "fs"], "fs").join(vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
     reason = gates.live_reason(F.col("vec_id") % 11 != 0, F.col("fs"), F.col("label") * 100.0, (F.col("vec_id") % 7).cast("double"), F.col("bad_sample"), F.col("bad_step"), F.col("seconds"), 0.15)
     return faults.select("vec_id", _r("seconds").alias("seconds"), "bad_sample", "bad_step", reason.alias("reason"))
 
 
+def live_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _live_gates(spark, sf_dir, _live(spark, sf_dir))
+
+
+def live_gates_of_wrapped_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``live_gates`` of clocks that wrap at 2 ** 32 within most windows, each at another sample: they change nothing."""
+    start = F.lit((1 << 32) - 1) - F.col("vec_id") % 90 * 2500
+    return _live_gates(spark, sf_dir, _live(spark, sf_dir).withColumn("t_us", F.pmod(F.col("t_us") + start, F.lit(1 << 32))))
+
+
 LIVE_SQL = f"""
 WITH {_LONG}, l AS (SELECT vec_id, label, 396.0 + vec_id % 27 AS fs, i, i * 2500 + CASE WHEN vec_id % 13 = 3 AND i = 20 THEN 600 ELSE 0 END AS t, x * CASE WHEN vec_id % 17 = 2 THEN 100 ELSE 1 END AS x FROM s),
 p AS (SELECT *, t - lag(t) OVER (PARTITION BY vec_id ORDER BY i) AS st FROM l),
@@ -517,6 +527,7 @@ QUERIES = {
     "history": (history, HISTORY_SQL),
     "spaced_sample": (spaced_sample, SPACED_SQL),
     "live_gates": (live_gates, LIVE_SQL),
+    "live_gates_of_wrapped_clocks": (live_gates_of_wrapped_clocks, LIVE_SQL),
     "sensor_states": (sensor_states, SENSOR_SQL),
     "support_gates": (support_gates, SUPPORT_SQL),
     "top_axes": (top_axes, TOP_AXES_SQL),

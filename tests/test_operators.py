@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kurtosia.functions import numbers
-from kurtosia.operators import asof, baseline, framing, joins, metrics, records, scoring, sequences, spectrum, voting, waveform
+from kurtosia.operators import asof, baseline, framing, gates, joins, metrics, records, scoring, sequences, spectrum, voting, waveform
 
 T, N = True, None
 
@@ -310,3 +310,20 @@ def test_windows_of_other_kinds_give_no_bins(spark):
     long = spark.createDataFrame([(1, 0, 1.0), (1, 2, 3.0), (1, 3, 2.0)], "w int, i int, x double")
     got = {r.k: r.re for r in spectrum.dft(long, ["w"], 4).collect()}
     assert got == pytest.approx({0: 0.0, 1: -2.0, 2: 0.0})
+
+
+def test_content_hash_is_of_the_samples_bytes(spark):
+    import hashlib
+    import struct
+
+    df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,), ([1.5, -2.0],)], "x array<double>")
+    got = [r[0] for r in df.select(waveform.content_hash(F.col("x"))).collect()]
+    want = hashlib.sha256(struct.pack("<2d", 1.5, -2.0)).hexdigest()
+    assert got == [want, hashlib.sha256(b"").hexdigest(), None, want]
+
+
+def test_clocks_that_go_back_are_uneven(spark):
+    times = [2**32 - 3000, 2**32 - 500, 2000, 1900, 4400]
+    df = spark.createDataFrame([(1, i, t, 0.5, 400.0) for i, t in enumerate(times)], "k int, i int, t_us long, x double, fs double")
+    (r,) = gates.sample_faults(df, ["k"], "fs").collect()
+    assert (r.bad_step, r.seconds) == (3, (4400 + 3000) / 1e6)
