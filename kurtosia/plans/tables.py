@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kurtosia.functions import numbers
-from kurtosia.operators import baseline, isolation, metrics
+from kurtosia.operators import baseline, boosting, isolation, metrics
 
 
 def _r(c, digits: int = 6):
@@ -193,7 +193,52 @@ def isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.score(rows, isolation.fit(rows, ids, features), features).select(*ids, _r("anomaly", 9).alias("anomaly"))
 
 
+def boosted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price of each order line by two rounds of boosted trees over quantity, discount and tax."""
+    ids, features = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"]
+    rows = _read(spark, sf_dir, "lineitem").select(*ids, *features, "l_extendedprice")
+    model = boosting.boosted(rows, "l_extendedprice", features, boosting.even_edges(rows, features, 16), rounds=2, depth=2, rate=0.5)
+    return boosting.predicted(rows, model, features).select(*ids, _r(F.col("predicted")[0], 4).alias("price"))
+
+
+def _boosted_sql(rounds: int = 2, depth: int = 2, rate: float = 0.5, bins: int = 16, scale: int = boosting.SCALE) -> str:
+    """The same rounds and levels as a chain of tables: rows with their node and value, sums by bin, and the best cut of each node."""
+    features = ("l_quantity", "l_discount", "l_tax")
+    limits = ", ".join(f"min(CAST({f} AS DOUBLE)) AS lo{i}, max(CAST({f} AS DOUBLE)) AS hi{i}" for i, f in enumerate((*features, "l_extendedprice")))
+    cell = ", ".join(f"1 + len(list_filter(range(1, {bins}), lambda j: lo{i} + (hi{i} - lo{i}) * j / {bins} <= CAST({f} AS DOUBLE))) AS b{i}" for i, f in enumerate(features))
+    part = lambda g, n: f"(CAST({g} AS DOUBLE) / {scale}) * (CAST({g} AS DOUBLE) / {scale}) / (CAST({n} AS DOUBLE) + 1)"
+    value = lambda g, n: f"-{rate} * (CAST({g} AS DOUBLE) / {scale}) / (CAST({n} AS DOUBLE) + 1)"
+    steps = [
+        f"m AS (SELECT {limits} FROM lineitem)",
+        f"x AS MATERIALIZED (SELECT l_orderkey, l_linenumber, {cell}, (CAST(l_extendedprice AS DOUBLE) - lo3) / (hi3 - lo3) AS y FROM lineitem, m)",
+        f"f0 AS MATERIALIZED (SELECT *, (SELECT CAST(sum(CAST(floor(y * {scale} + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / {scale} FROM x) AS f FROM x)",
+    ]
+    for r in range(rounds):
+        steps.append(f"r{r}_0 AS MATERIALIZED (SELECT *, CAST(floor((f - y) * {scale} + 0.5) AS BIGINT) AS g, 0 AS node, CAST(0 AS DOUBLE) AS v FROM f{r})")
+        for d in range(depth):
+            at = f"r{r}_{d}"
+            steps += [
+                f"s{at} AS (SELECT node, k, b, CAST(sum(g) AS BIGINT) AS g, count(*) AS n FROM (SELECT node, g, unnest([0, 1, 2]) AS k, unnest([b0, b1, b2]) AS b FROM {at} WHERE node >= {2**d - 1}) GROUP BY ALL)",
+                f"w{at} AS (SELECT *, sum(g) OVER u AS lg, sum(n) OVER u AS ln, sum(g) OVER t AS tg, sum(n) OVER t AS tn FROM s{at} WINDOW u AS (PARTITION BY node, k ORDER BY b), t AS (PARTITION BY node, k))",
+                f"c{at} AS (SELECT *, {part('lg', 'ln')} + {part('tg - lg', 'tn - ln')} - {part('tg', 'tn')} AS gain FROM w{at} WHERE ln >= 20 AND tn - ln >= 20)",
+                f"t{at} AS MATERIALIZED (SELECT node AS parted, k, b AS cut, {value('lg', 'ln')} AS below, {value('tg - lg', 'tn - ln')} AS above FROM c{at} WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, k, b) = 1)",
+                f"r{r}_{d + 1} AS MATERIALIZED (SELECT * EXCLUDE (node, v, parted, k, cut, below, above), CASE WHEN parted IS NULL THEN node WHEN [b0, b1, b2][k + 1] <= cut THEN 2 * node + 1 ELSE 2 * node + 2 END AS node, CASE WHEN parted IS NULL THEN v WHEN [b0, b1, b2][k + 1] <= cut THEN below ELSE above END AS v FROM {at} LEFT JOIN t{at} ON parted = node)",
+            ]
+        steps.append(f"f{r + 1} AS MATERIALIZED (SELECT l_orderkey, l_linenumber, b0, b1, b2, y, f + v AS f FROM r{r}_{depth})")
+    return f"WITH {', '.join(steps)} SELECT l_orderkey, l_linenumber, round(lo3 + (hi3 - lo3) * f, 4) AS price FROM f{rounds}, m"
+
+
+def extra_trees_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each order line came back, by a forest of random cuts on quantity, price, discount and day of shipping."""
+    ids, features = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount", "day"]
+    rows = _read(spark, sf_dir, "lineitem").select(*ids, *features[:3], F.unix_date(F.to_date("l_shipdate")).alias("day"), (F.col("l_returnflag") == "R").cast("int").alias("back"))
+    model = boosting.extra_trees(rows, "back", features, boosting.even_edges(rows, features), trees=10, depth=4)
+    return boosting.predicted(rows, model, features).select(*ids, "back", _r(F.col("predicted")[1], 6).alias("share"))
+
+
 QUERIES = {
+    "boosted_prices": (boosted_prices, _boosted_sql()),
+    "extra_trees_flags": (extra_trees_flags, None),
     "isolation_scores": (isolation_scores, None),
     "confusion": (confusion, CONFUSION_SQL),
     "coverage": (coverage, COVERAGE_SQL),
