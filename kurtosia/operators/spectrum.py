@@ -55,13 +55,20 @@ def fft(df: DataFrame, keys: Names, signal: str, kind: str = "none", centre: boo
 
 
 def dft(long: DataFrame, keys: Names, size: int, kind: str = "none", centre: bool = True) -> DataFrame:
-    """The same of windows (keys, i, x) of ``size`` samples; a missing sample counts as the mean, or as 0 without centring."""
+    """The same of windows (keys, i, x) of ``size`` samples; a missing sample counts as the mean, or as 0 without centring.
+
+    Of samples that repeat a number in a window the least counts.
+    """
     at = F.col("i").between(0, size - 1) & F.col("x").isNotNull()
-    got = long.where(at).groupBy(*keys).agg(F.collect_list(F.struct("i", "x")).alias("_s"), F.avg("x").alias("_mean"))
-    by_place = F.map_from_entries("_s")
-    gap = F.col("_mean") if centre else F.lit(0.0)
-    window = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("_m", i.cast(long.schema["i"].dataType)), gap))
-    return fft(got.select(*keys, "_mean", by_place.alias("_m")).select(*keys, window.alias("_x")), keys, "_x", kind, centre, size)
+    sample = F.struct(F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x"))
+    got = long.where(at).groupBy(*keys).agg(F.array_sort(F.collect_list(sample)).alias("_s"))
+    first = F.filter("_s", lambda s, j: (j == 0) | (s["i"] != F.get("_s", j - 1)["i"]))
+    got = got.select(*keys, first.alias("_s"))
+    gap = F.aggregate("_s", F.lit(0.0), lambda total, s: total + s["x"]) / F.size("_s") if centre else F.lit(0.0)
+    got = got.select(*keys, "_s", gap.alias("_gap"))
+    absent = F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), F.transform("_s", lambda s: s["i"]))
+    filled = F.array_sort(F.concat("_s", F.transform(absent, lambda i: F.struct(i.alias("i"), F.col("_gap").alias("x")))))
+    return fft(got.select(*keys, F.transform(filled, lambda s: s["x"]).alias("_x")), keys, "_x", kind, centre, size)
 
 
 def amplitude(spectrum: DataFrame, size: int) -> DataFrame:

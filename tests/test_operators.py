@@ -310,6 +310,8 @@ def test_windows_of_other_kinds_give_no_bins(spark):
     long = spark.createDataFrame([(1, 0, 1.0), (1, 2, 3.0), (1, 3, 2.0)], "w int, i int, x double")
     got = {r.k: r.re for r in spectrum.dft(long, ["w"], 4).collect()}
     assert got == pytest.approx({0: 0.0, 1: -2.0, 2: 0.0})
+    twice = long.unionAll(spark.createDataFrame([(1, 2, 9.0), (1, 3, 2.0), (1, None, 5.0), (1, 4, 5.0)], "w int, i int, x double"))
+    assert {r.k: r.re for r in spectrum.dft(twice, ["w"], 4).collect()} == pytest.approx(got)
 
 
 def test_content_hash_is_of_the_samples_bytes(spark):
