@@ -11,6 +11,11 @@ def log_feature(x: Column, eps: float = 1e-6) -> Column:
     return F.ln(F.greatest(x, F.lit(0.0)) + eps)
 
 
+def natural_log(x: Column) -> Column:
+    """log(x) as C and SQL have it: -infinity of zero and NaN below, where ``F.ln`` has NULL as if nothing was measured."""
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.ln(x))
+
+
 def rate(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 

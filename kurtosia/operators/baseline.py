@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kurtosia.functions.numbers import log_feature, rate
+from kurtosia.functions.numbers import log_feature, natural_log, rate
 
 Names = Sequence[str]
 
@@ -38,11 +38,15 @@ def fit_log(df: DataFrame, keys: Names, order: Names, features: Names, n: int =
 
 
 def fit_robust(df: DataFrame, keys: Names, features: Names, least_scale: float = 0.20) -> DataFrame:
-    """Median of the logs and scale max(1.4826 * MAD, ``least_scale``) of each feature, exactly."""
-    logs = df.select(*keys, *[F.ln(f).alias(f) for f in features])
-    medians = logs.groupBy(*keys).agg(*[F.median(f).alias(f"{f}_median") for f in features])
+    """Median of the logs and scale max(1.4826 * MAD, ``least_scale``) of each feature, exactly.
+
+    Zeros have the log -infinity and count as smallest; null keys are keys.
+    """
+    logs = df.select(*keys, *[natural_log(F.col(f)).alias(f) for f in features])
+    medians = logs.groupBy(*keys).agg(*[F.median(f).alias(f"{f}_median") for f in features]).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     spread = [F.greatest(1.4826 * F.median(F.abs(F.col(f) - F.col(f"{f}_median"))), F.lit(least_scale)).alias(f"{f}_scale") for f in features]
-    return logs.join(medians, list(keys)).groupBy(*keys, *[f"{f}_median" for f in features]).agg(*spread)
+    return logs.join(medians, same).groupBy(*keys, *[f"{f}_median" for f in features]).agg(*spread)
 
 
 def fit_medians(df: DataFrame, keys: Names, features: Names, where: Column | None = None) -> DataFrame:

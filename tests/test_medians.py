@@ -41,3 +41,25 @@ def test_one_large_key_sorts_few_values(spark):
     out = medians.medians(df, ["k"], ["x"])._jdf.queryExecution().toString()
     assert "collect_list" not in out and "percentile(" not in out
     assert pytest.approx(medians.MARGIN * 2) == 0.002
+
+
+def sql_fits(rows):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (k VARCHAR, x DOUBLE)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    return {k: (m, s) for k, m, s in db.execute("SELECT k, median(ln(x)), greatest(1.4826 * mad(ln(x)), 0.2) FROM t GROUP BY k").fetchall()}
+
+
+ZEROS = [("some", x) for x in (0.0, 1.0, 2.0, 8.0, 9.0)] + [("half", 0.0), ("half", 5.0), ("most", 0.0), ("most", 0.0), ("most", 3.0), ("below", -1.0), ("below", 2.0), ("below", 4.0)]
+ZEROS += [("none", None), ("gaps", None), ("gaps", 2.0), ("gaps", 0.0), ("gaps", 3.0), (None, 0.0), (None, 2.0), (None, 7.0)]
+
+
+def test_logs_of_zeros_count_as_smallest(spark):
+    df = spark.createDataFrame(ZEROS, "k string, x double")
+    got = {r.k: (r.x_median, r.x_scale) for r in baseline.fit_robust(df, ["k"], ["x"]).collect()}
+    want = sql_fits(ZEROS)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], nan_ok=True), k
