@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kurtosia.functions.numbers import natural_log
+
 Names = Sequence[str]
 
 ACCURACY = 10_000
@@ -58,7 +60,7 @@ def fit_medians(df: DataFrame, keys: Names, features: Names, where: Column | Non
 
 def fit_robust(df: DataFrame, keys: Names, features: Names, least_scale: float = 0.20) -> DataFrame:
     """``baseline.fit_robust`` for keys of any size: (keys, <feature>_median, <feature>_scale), of logs."""
-    logs = df.select(*keys, *[F.ln(f).alias(f) for f in features])
+    logs = df.select(*keys, *[natural_log(F.col(f)).alias(f) for f in features])
     centre = medians(logs, keys, features)
     apart = _same_keys(logs, centre, keys).select(*keys, *[F.abs(F.col(f) - F.col(f"{f}_median")).alias(f) for f in features])
     spread = medians(apart, keys, features).withColumnsRenamed({f"{f}_median": f"{f}_scale" for f in features})

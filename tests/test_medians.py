@@ -63,3 +63,12 @@ def test_logs_of_zeros_count_as_smallest(spark):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], nan_ok=True), k
+
+
+def test_counted_logs_of_zeros_count_as_smallest(spark):
+    df = spark.createDataFrame(ZEROS, "k string, x double")
+    got = {r.k: (r.x_median, r.x_scale) for r in medians.fit_robust(df, ["k"], ["x"]).collect()}
+    want = sql_fits(ZEROS)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], nan_ok=True), k
