@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .models import settled
+from .settling import settled
 
 Names = Sequence[str]
 SCALE = 1 << 24  # sums of 2 ** 38 rows' gradients fit in a long

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kurtosia.functions.numbers import rate
 
 from .joins import drawn_share, memberships
+from .settling import settled
 
 Names = Sequence[str]
 
@@ -156,12 +157,13 @@ def spaced_sample(df: DataFrame, order: Names, k: int) -> DataFrame:
     """``k`` rows spaced evenly from the first to the last (a sampling operator).
 
     Rows are range-partitioned and sorted; a row's number is its place in its partition
-    after the counts of the partitions before.  No task sees the whole table.
+    after the counts of the partitions before.  No task sees the whole table.  The sorted rows
+    are written once: borders of ranges are sampled, and each new plan would draw its own.
     """
     if k < 1:
         raise ValueError("k must be positive")
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    placed = sorted_.withColumn("_p", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = settled(sorted_).withColumn("_p", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).agg(F.array_sort(F.collect_list(F.struct("_p", "_c"))).alias("_counts"))  # a row a partition
     before = F.aggregate(F.filter("_counts", lambda x: x["_p"] < F.col("_p")), F.lit(0).cast("long"), lambda t, x: t + x["_c"])
     whole = F.aggregate("_counts", F.lit(0).cast("long"), lambda t, x: t + x["_c"])

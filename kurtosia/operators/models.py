@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .joins import memberships
 from .metrics import by_class, overall
 from .scoring import standardised
+from .settling import settled
 
 Names = Sequence[str]
 
@@ -61,15 +62,6 @@ def predicted_by(model: tuple, test: DataFrame, label: str, vector: str) -> Data
     return fit.transform(_ready(test, label, vector, scale)).withColumn("predicted", F.col("prediction").cast("int")).select(*test.columns, "predicted")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as rows in the checkpoint folder: what is built on it carries no fitted model, and lost executors lose no prediction."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def held_out_predictions(df: DataFrame, label: str, vector: str, fold: str, make: Callable, folds: int = 5, train_where: Callable | None = None) -> DataFrame:
     """``df`` with ``predicted``: each fold by a model of the others, scaled by them alone.
 

@@ -274,6 +274,12 @@ def test_contracts_and_samples(spark):
     assert metrics.spaced_sample(df, ["id"], 50).count() == 10 and metrics.spaced_sample(df.limit(0), ["id"], 3).collect() == []
 
 
+def test_spaced_samples_count_and_place_rows_in_the_same_ranges(spark):
+    n, k = 400_001, 41
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("more")).repartition(16)
+    assert [r.id for r in metrics.spaced_sample(df, ["id"], k).orderBy("id").collect()] == list(range(0, n, 10_000))
+
+
 def test_group_split_fails_where_no_draw_can_do(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "label string, g int")
     with pytest.raises(Exception, match="no draw has all classes"):
