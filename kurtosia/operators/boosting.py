@@ -1,6 +1,7 @@
 """Trees grown level by level from histograms: gradient boosting, and forests of extremely random trees.
 
-Features are cut into bins once.  Each level of all trees of a round is one pass: tasks add up
+Features are cut into bins once, and rows are kept in blocks: a block is one row of packed numbers,
+so that a pass hands no single rows to the tasks.  Each level of all trees of a round is one pass: tasks add up
 gradients by (tree, node, feature, bin), the sums are merged by one aggregation, and the best cut
 of each node is chosen by windows over bins.  Only these cuts reach the driver, at most two to the
 depth for each tree.  Gradients are whole numbers of 1 / SCALE, so sums do not depend on
@@ -118,18 +119,39 @@ def _with_features(df: DataFrame, features: Names) -> list[Column]:
     return [F.col(f).cast("double").alias(f"_feature{i}") for i, f in enumerate(features)]
 
 
+BLOCKS = "_y binary, _w binary, _b binary, _f binary"
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
+
+
+def _packed(blocks: Sequence[Block], kind: type) -> pa.RecordBatch:
+    held = [[y.astype(np.float64).tobytes(), w.astype(np.int64).tobytes(), bins.astype(kind).tobytes(), None if f is None else f.astype(np.float64).tobytes()] for y, w, bins, f in blocks]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*held, strict=True)], names=["_y", "_w", "_b", "_f"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], edges: list[list[float]]) -> Iterator[Block]:
+    """(_y, _w, bins, scores or None) of each block."""
+    for batch in batches:
+        for y, w, bins, f in zip(*[batch[c] for c in ("_y", "_w", "_b", "_f")], strict=True):
+            n = len(y.as_buffer()) // 8
+            scores = np.frombuffer(f.as_buffer(), np.float64).reshape(n, -1) if f.is_valid else None
+            yield np.frombuffer(y.as_buffer(), np.float64), np.frombuffer(w.as_buffer(), np.int64), np.frombuffer(bins.as_buffer(), _kind(edges)).astype(np.int64).reshape(n, -1), scores
+
+
+def _kind(edges: list[list[float]]) -> type:
+    """The smallest type that holds every bin."""
+    return np.uint8 if _sizes(edges)[1] <= 256 else np.int32
+
+
 def _binned(rows: DataFrame, edges: list[list[float]]) -> DataFrame:
-    """Rows (_y, _w, _b, _f) of (_y, _w, features)."""
+    """BLOCKS of rows (_y, _w, features)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = _bins(_values(b, len(edges)), edges)
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(edges))
-            held = pa.ListArray.from_arrays(offsets, pa.array(bins.ravel().astype(np.int32)))
-            none = pa.array([None] * b.num_rows, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b["_y"], b["_w"], held, none], names=["_y", "_w", "_b", "_f"])
+            if b.num_rows:
+                y, w = (b[c].to_numpy(zero_copy_only=False) for c in ("_y", "_w"))
+                yield _packed([(y, w, _bins(_values(b, len(edges)), edges), None)], _kind(edges))
 
-    return rows.mapInArrow(run, "_y double, _w long, _b array<int>, _f array<double>")
+    return rows.mapInArrow(run, BLOCKS)
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -138,22 +160,17 @@ def _spread(df: DataFrame) -> DataFrame:
     return settled(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df)
 
 
-def _matrix(column: pa.Array, kind) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
-
-
-def _level(rows: DataFrame, trees: list[Tree], level: int, sizes: tuple[int, int], outputs: int, targets: Callable) -> DataFrame:
+def _level(rows: DataFrame, trees: list[Tree], level: int, edges: list[list[float]], outputs: int, targets: Callable) -> DataFrame:
     """Sums g0.., h and n by (tree, node, feature, bin) over the rows in nodes of one level."""
-    n_features, n_bins = sizes
+    n_features, n_bins = _sizes(edges)
     first, nodes = 2**level - 1, 2**level
     names = [*[f"g{k}" for k in range(outputs)], "h", "n"]
     shape = (len(trees), len(names), n_features, nodes * n_bins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(shape, dtype=np.int64)
-        for b in batches:
-            bins = _matrix(b["_b"], np.int64)
-            g, h = targets(b, bins)  # (trees or 1, outputs, rows) and (trees or 1, rows) of whole numbers
+        for y, w, bins, scores in _blocks(batches, edges):
+            g, h = targets(y, w, bins, scores)  # (trees or 1, outputs, rows) and (trees or 1, rows) of whole numbers
             weights = np.concatenate([g, h[:, None]], axis=1).astype(float)
             for t, tree in enumerate(trees):
                 at = tree.places(bins, level) - first
@@ -212,12 +229,12 @@ def _splits(sums: DataFrame, outputs: int, penalty: float, least_rows: int, leas
     return rows.groupBy("tree", "node").agg(F.max(F.when(F.col("gain") > least_gain, told)).alias("best"), *[F.max(n).alias(n) for n in names]).collect()
 
 
-def _grown(rows: DataFrame, trees: list[Tree], depth: int, sizes: tuple, outputs: int, targets: Callable, value: Callable, **choice) -> None:
+def _grown(rows: DataFrame, trees: list[Tree], depth: int, edges: list[list[float]], outputs: int, targets: Callable, value: Callable, **choice) -> None:
     """Grows all trees to ``depth``, a pass for each level."""
     names = [f"g{k}" for k in range(outputs)]
     for level in range(depth):
         alive = False
-        for r in _splits(_level(rows, trees, level, sizes, outputs, targets), outputs, **choice):
+        for r in _splits(_level(rows, trees, level, edges, outputs, targets), outputs, **choice):
             tree, node, best = trees[r["tree"]], r["node"], r["best"]
             total = np.array([r[n] for n in names], dtype=float)
             if level == 0:
@@ -266,11 +283,8 @@ def boosted(df: DataFrame, label: str, features: Names, edges: list[list[float]]
     for r in range(rounds):
         fresh = model.rounds[written:]
 
-        def raw(b: pa.RecordBatch, bins: np.ndarray, fresh=fresh, kept=written > 0) -> np.ndarray:
-            return model.raw(bins, fresh, _matrix(b["_f"], float) if kept else start)
-
-        def targets(b: pa.RecordBatch, bins: np.ndarray, raw=raw) -> tuple[np.ndarray, np.ndarray]:
-            f, y = raw(b, bins), b["_y"].to_numpy(zero_copy_only=False)
+        def targets(y: np.ndarray, w: np.ndarray, bins: np.ndarray, scores: np.ndarray | None, fresh=fresh) -> tuple[np.ndarray, np.ndarray]:
+            f = model.raw(bins, fresh, start if scores is None else scores)
             if loss == "squares":
                 g, h = f[:, 0] - y, np.ones(len(y))
                 return np.floor(g * SCALE + 0.5)[None, None].astype(np.int64), (h * SCALE)[None].astype(np.int64)
@@ -279,18 +293,16 @@ def boosted(df: DataFrame, label: str, features: Names, edges: list[list[float]]
             return np.floor(g.T * SCALE + 0.5)[:, None].astype(np.int64), np.floor(h.T * SCALE + 0.5).astype(np.int64)
 
         trees = [Tree.empty(depth, 1) for _ in range(outputs)]
-        _grown(rows, trees, depth, _sizes(edges), 1, targets, value, penalty=penalty, least_rows=least_rows, least_gain=least_gain)
+        _grown(rows, trees, depth, edges, 1, targets, value, penalty=penalty, least_rows=least_rows, least_gain=least_gain)
         model.rounds.append(trees)
         if all(tree.feature[0] < 0 for tree in trees):
             break
         if len(model.rounds) - written == KEPT_ROUNDS and r + 1 < rounds:
-            fresh, kept = model.rounds[written:], written > 0
+            fresh = model.rounds[written:]
 
-            def scored(batches: Iterator[pa.RecordBatch], fresh=fresh, kept=kept) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    f = model.raw(_matrix(b["_b"], np.int64), fresh, _matrix(b["_f"], float) if kept else start)
-                    offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * outputs)
-                    yield pa.RecordBatch.from_arrays([b["_y"], b["_w"], b["_b"], pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))], names=["_y", "_w", "_b", "_f"])
+            def scored(batches: Iterator[pa.RecordBatch], fresh=fresh) -> Iterator[pa.RecordBatch]:
+                for y, w, bins, scores in _blocks(batches, edges):
+                    yield _packed([(y, w, bins, model.raw(bins, fresh, start if scores is None else scores))], _kind(edges))
 
             rows, written = settled(rows.mapInArrow(scored, rows.schema)), len(model.rounds)
     return model
@@ -313,12 +325,11 @@ def extra_trees(df: DataFrame, label: str, features: Names, edges: list[list[flo
     w = F.coalesce(*[F.when(y == k, F.lit(round(v * SCALE))) for k, v in weight.items()]).cast("long")
     rows = _spread(_binned(known.select(y.alias("_y"), w.alias("_w"), *_with_features(df, features)), edges))
 
-    def targets(b: pa.RecordBatch, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w, y = b["_w"].to_numpy(zero_copy_only=False), b["_y"].to_numpy(zero_copy_only=False)
+    def targets(y: np.ndarray, w: np.ndarray, bins: np.ndarray, scores: None) -> tuple[np.ndarray, np.ndarray]:
         return np.where(y == np.arange(outputs)[:, None], w, 0)[None], w[None]
 
     grown = [Tree.empty(depth, outputs) for _ in range(trees)]
-    _grown(rows, grown, depth, _sizes(edges), outputs, targets, lambda g, h: g / h, penalty=0.0, least_rows=least_rows, least_gain=1e-9, random=(seed, max(1, math.ceil(share * len(features)))))
+    _grown(rows, grown, depth, edges, outputs, targets, lambda g, h: g / h, penalty=0.0, least_rows=least_rows, least_gain=1e-9, random=(seed, max(1, math.ceil(share * len(features)))))
     model.rounds = [[tree] for tree in grown]
     return model
 

@@ -134,3 +134,14 @@ def test_nulls_empties_ties_and_clashing_names(spark):
         assert boosting.boosted(none, "c", FEATURES, flat, "classes").rounds == []
     alike = boosting.boosted(df.where("id < 3"), "y", FEATURES, edges)
     assert alike.rounds == [] and {r.predicted[0] for r in boosting.predicted(df, alike, FEATURES).collect()} == {1.0}
+
+
+def test_passes_read_blocks_of_rows(spark, monkeypatch):
+    held = []
+    settled = boosting.settled
+    monkeypatch.setattr(boosting, "settled", lambda df: held.append(settled(df)) or held[-1])
+    monkeypatch.setattr(boosting, "KEPT_ROUNDS", 1)
+    df = ring(spark, 1500).coalesce(2)
+    boosting.boosted(df, "c", FEATURES, boosting.even_edges(df, FEATURES, 8), "classes", rounds=2, depth=2)
+    boosting.extra_trees(df, "c", FEATURES, boosting.even_edges(df, FEATURES, 300), trees=2, depth=2)
+    assert len(held) == 3 and all(0 < table.count() <= 2 for table in held)
