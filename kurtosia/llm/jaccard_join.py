@@ -252,6 +252,17 @@ def _compared(entries: DataFrame, most: int = PIVOTS) -> DataFrame:
     return pairs.select(F.col("p.x").alias("p"), F.col("p.weight").alias("pw"), "x").distinct()
 
 
+def _shared_items(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, shared): the items of x that a member of another component holds too, where they are enough for a partner.
+
+    All that similar sets have in common, ``percent`` hundredths of each at least, is among
+    these.  A set is opened once here, however many pivots it has.
+    """
+    items = members.select("x", "xc").distinct().join(sets.select("x", "n", "shingles"), "x").select("x", "xc", "n", F.explode("shingles").alias("item"))
+    shared = items.groupBy("item").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("item")
+    return items.join(shared, "item", "left_semi").groupBy("x", "n").agg(F.collect_list("item").alias("shared")).where(100 * F.size("shared") >= percent * F.col("n")).select("x", "shared")
+
+
 def _close_within(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) that may be similar among the ``members`` (p, x, pc, xc, new) of each pivot p.
 
@@ -267,22 +278,27 @@ def _close_within(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     many others that they are not asked for.  One of the pair, say x, is not similar to
     p (|Dx| > budget(x, p)): so 2j < |Dy| + budget(y, .) - budget(p, .), about the rarer
     half of Dy, and i <= budget(x, y).
+
+    Members that ``_shared_items`` shows to have no partner are left out.  Of the others only
+    shared items are laid out by pivot: all others come first in the order, and a count places them.
     """
+    members = scratch.save(members)
+    members = members.join(scratch.save(_shared_items(members, sets, percent)), "x")
     px = members.join(sets.select(F.col("x").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select("x", F.col("shingles").alias("sx")), "x")
     size = lambda c: F.size(c).cast("long")
-    own = px.select("p", "x", "xc", "new", (F.col("xc") != F.col("pc")).alias("apart"), size("sx").alias("n"), size("sp").alias("np"), F.array_except("sx", "sp").alias("own"), "sx", "sp")
+    own = px.select("p", "x", "xc", "new", (F.col("xc") != F.col("pc")).alias("apart"), size("sx").alias("n"), size("sp").alias("np"), F.size(F.array_except("sx", "sp")).alias("n_own"), F.array_except("shared", "sp").alias("own"), "sx", "sp")
     most = F.expr(f"{100 - percent} * (n + n * 100 div {percent}) div {100 + percent}")  # the budget of x and its largest partner
-    asked = F.greatest(F.lit(0), most - size("own") + 1).cast("int")
+    asked = F.greatest(F.lit(0), most - F.col("n_own") + 1).cast("int")
     of_p = F.slice(F.array_sort(F.array_except("sp", "sx")), F.lit(1), asked)
-    nd = 2 * size("own") + F.col("np") - F.col("n")  # what x has more, and what p has more
-    deltas = scratch.save(own.select("p", "x", "xc", "new", "apart", "n", "np", nd.alias("nd"), "own", of_p.alias("of_p"), most.alias("most")))
+    nd = 2 * F.col("n_own") + F.col("np") - F.col("n")  # what x has more, and what p has more
+    deltas = scratch.save(own.select("p", "x", "xc", "new", "apart", "n", "np", nd.alias("nd"), "n_own", "own", of_p.alias("of_p"), most.alias("most")))
     slim = ["p", "x", "xc", "new", "apart", "n", "np", "nd"]
-    each = deltas.select(*slim, "most", size("own").alias("n_own"), F.explode("own").alias("item"))
+    each = deltas.select(*slim, "most", "n_own", F.explode("own").alias("item"))
     open_ = each.groupBy("p", "item").agg(F.count(F.lit(1)).alias("holders"), F.min("xc").alias("lo"), F.max("xc").alias("hi")).where("lo < hi").select("p", "item", "holders")
     mine = Window.partitionBy("p", "x")
     place = F.row_number().over(mine.orderBy("holders", "item")) - 1 + F.col("n_own") - F.count(F.lit(1)).over(mine)
     owned = each.join(open_, ["p", "item"]).withColumn("at", place).where("at <= most").select(*slim, "item", "at")
-    lent = deltas.select(*slim, size("own").alias("n_own"), F.posexplode("of_p").alias("i", "item")).withColumn("at", F.col("n_own") + F.col("i")).select(*slim, "item", "at")
+    lent = deltas.select(*slim, "n_own", F.posexplode("of_p").alias("i", "item")).withColumn("at", F.col("n_own") + F.col("i")).select(*slim, "item", "at")
     placed = scratch.save(owned.unionByName(lent))
 
     x, y = placed.where("apart").alias("x"), placed.where(f"2 * at * {100 + percent} < {100 + percent} * nd + {100 - percent} * (n - np)").alias("y")

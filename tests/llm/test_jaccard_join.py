@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from kurtosia.llm import jaccard_join
+from kurtosia.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, x string, p string, s long, set_key string, n int"
 
@@ -153,3 +154,25 @@ def test_subsets_of_parts_are_enumerated():
     for row_set, sig, empty, sure, _ in jaccard_join.signatures([np.arange(n, dtype=np.uint64) * np.uint64((1 << 63) // n) for n in (9, 200)], 80):
         assert sig.shape[1] > 1 and sig.shape == empty.shape and len(row_set) == len(sig)
         assert (sure > 0).all()
+
+
+def test_items_that_no_other_member_holds_are_not_laid_out_by_pivot(spark):
+    """40 sets far from each of 6 pivots and from one another, and two that are similar: only the items of these are laid out."""
+    sets = {p: list(range(80)) for p in range(6)}
+    sets |= {x: [*range(60), *range(1000 * x, 1000 * x + 60)] for x in range(10, 50)}
+    sets |= {50: [*range(60), *range(9000, 9060)], 51: [*range(60), *range(9005, 9065)]}
+    sets |= {52: [*range(60), *range(9000, 9060), 7]}  # in the component of 50: what only these two hold counts for nothing
+    table = spark.createDataFrame([(x, len(set(items)), sorted(set(items))) for x, items in sets.items()], "x long, n long, shingles array<long>")
+    component = lambda x: 50 if x == 52 else x
+    members = spark.createDataFrame([(p, x, p, component(x), True) for p in range(6) for x in sets if x >= 10], "p long, x long, pc long, xc long, new boolean")
+    saved = []
+
+    class Kept(Scratch):
+        def save(self, df):
+            saved.append(super().save(df))
+            return saved[-1]
+
+    pairs = jaccard_join._close_within(members, table, 80, Kept(spark, "test")).collect()
+    assert {(r.a, r.b) for r in pairs} >= {(50, 51), (51, 52)}
+    laid_out = [t.selectExpr("sum(size(own)) AS n").first().n for t in saved if "own" in t.columns]
+    assert 0 < laid_out[0] <= 6 * 3 * 60
