@@ -119,22 +119,23 @@ def _with_features(df: DataFrame, features: Names) -> list[Column]:
     return [F.col(f).cast("double").alias(f"_feature{i}") for i, f in enumerate(features)]
 
 
-BLOCKS = "_y binary, _w binary, _b binary, _f binary"
-Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
+BLOCKS = "_y binary, _w binary, _b binary, _f binary, _n binary"
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]
+_LOW = 26  # bits of the lower part of a whole number that is added up in two
 
 
 def _packed(blocks: Sequence[Block], kind: type) -> pa.RecordBatch:
-    held = [[y.astype(np.float64).tobytes(), w.astype(np.int64).tobytes(), bins.astype(kind).tobytes(), None if f is None else f.astype(np.float64).tobytes()] for y, w, bins, f in blocks]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*held, strict=True)], names=["_y", "_w", "_b", "_f"])
+    held = [[y.astype(np.float64).tobytes(), w.astype(np.int64).tobytes(), bins.astype(kind).tobytes(), None if f is None else f.astype(np.float64).tobytes(), None if n is None else n.astype(np.int64).tobytes()] for y, w, bins, f, n in blocks]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*held, strict=True)], names=["_y", "_w", "_b", "_f", "_n"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], edges: list[list[float]]) -> Iterator[Block]:
-    """(_y, _w, bins, scores or None) of each block."""
+    """(_y, _w, bins, scores or None, how many rows each stands for or None) of each block."""
     for batch in batches:
-        for y, w, bins, f in zip(*[batch[c] for c in ("_y", "_w", "_b", "_f")], strict=True):
+        for y, w, bins, f, times in zip(*[batch[c] for c in ("_y", "_w", "_b", "_f", "_n")], strict=True):
             n = len(y.as_buffer()) // 8
             scores = np.frombuffer(f.as_buffer(), np.float64).reshape(n, -1) if f.is_valid else None
-            yield np.frombuffer(y.as_buffer(), np.float64), np.frombuffer(w.as_buffer(), np.int64), np.frombuffer(bins.as_buffer(), _kind(edges)).astype(np.int64).reshape(n, -1), scores
+            yield np.frombuffer(y.as_buffer(), np.float64), np.frombuffer(w.as_buffer(), np.int64), np.frombuffer(bins.as_buffer(), _kind(edges)).astype(np.int64).reshape(n, -1), scores, np.frombuffer(times.as_buffer(), np.int64) if times.is_valid else None
 
 
 def _kind(edges: list[list[float]]) -> type:
@@ -149,17 +150,45 @@ def _binned(rows: DataFrame, edges: list[list[float]]) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 y, w = (b[c].to_numpy(zero_copy_only=False) for c in ("_y", "_w"))
-                yield _packed([(y, w, _bins(_values(b, len(edges)), edges), None)], _kind(edges))
+                yield _packed([(y, w, _bins(_values(b, len(edges)), edges), None, None)], _kind(edges))
 
     return rows.mapInArrow(run, BLOCKS)
 
 
+def _merged(rows: DataFrame, edges: list[list[float]]) -> DataFrame:
+    """BLOCKS of rows (_y, _w, features) in which rows of equal label, weight and bins are one that counts as many: their number is bounded by that of cells, however long the table."""
+    kind, n_features = _kind(edges), len(edges)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = np.ascontiguousarray(_bins(_values(b, n_features), edges).astype(kind))
+            offsets = np.arange(b.num_rows + 1, dtype=np.int32) * held.itemsize * n_features
+            code = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(held)])
+            yield pa.RecordBatch.from_arrays([b["_y"], b["_w"], code], names=["_y", "_w", "_b"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                y, w, n = (b[c].to_numpy(zero_copy_only=False) for c in ("_y", "_w", "_n"))
+                bins = np.frombuffer(b"".join(b["_b"].to_pylist()), kind).reshape(len(y), n_features)
+                yield _packed([(y, w, bins, None, n)], kind)
+
+    cells = rows.mapInArrow(coded, "_y double, _w long, _b binary").groupBy("_y", "_w", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    return cells.mapInArrow(packed, BLOCKS)
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """The table that every level reads again: dealt once to all cores where the input has fewer splits than these."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return settled(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df)
 
 
+def _sums(cell: np.ndarray, column: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by cell, exact beyond what a double holds."""
+    low, high = (np.bincount(cell, weights=x, minlength=size).astype(np.int64) for x in (column & ((1 << _LOW) - 1), column >> _LOW))
+    return (high << _LOW) + low
+
+
 def _level(rows: DataFrame, trees: list[Tree], level: int, edges: list[list[float]], outputs: int, targets: Callable) -> DataFrame:
     """Sums g0.., h and n by (tree, node, feature, bin) over the rows in nodes of one level."""
     n_features, n_bins = _sizes(edges)
@@ -169,9 +198,10 @@ def _level(rows: DataFrame, trees: list[Tree], level: int, edges: list[list[floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(shape, dtype=np.int64)
-        for y, w, bins, scores in _blocks(batches, edges):
+        for y, w, bins, scores, times in _blocks(batches, edges):
             g, h = targets(y, w, bins, scores)  # (trees or 1, outputs, rows) and (trees or 1, rows) of whole numbers
-            weights = np.concatenate([g, h[:, None]], axis=1).astype(float)
+            weights = np.concatenate([g, h[:, None]], axis=1)
+            weights = weights.astype(float) if times is None else weights * times
             for t, tree in enumerate(trees):
                 at = tree.places(bins, level) - first
                 here = slice(None) if level == 0 else np.flatnonzero(at >= 0)  # rows of leaves above stay behind
@@ -179,8 +209,8 @@ def _level(rows: DataFrame, trees: list[Tree], level: int, edges: list[list[floa
                 for f in range(n_features):
                     cell = at[here] * n_bins + bins[here, f]
                     for i, column in enumerate(own):
-                        sums[t, i, f] += np.bincount(cell, weights=column, minlength=shape[3]).astype(np.int64)
-                    sums[t, -1, f] += np.bincount(cell, minlength=shape[3])
+                        sums[t, i, f] += np.bincount(cell, weights=column, minlength=shape[3]).astype(np.int64) if times is None else _sums(cell, column, shape[3])
+                    sums[t, -1, f] += np.bincount(cell, minlength=shape[3]) if times is None else _sums(cell, times[here], shape[3])
         tree_of, feature, cell = np.nonzero(sums[:, -1])
         if len(cell):
             keys = [tree_of, cell // n_bins + first, feature, cell % n_bins]
@@ -301,8 +331,8 @@ def boosted(df: DataFrame, label: str, features: Names, edges: list[list[float]]
             fresh = model.rounds[written:]
 
             def scored(batches: Iterator[pa.RecordBatch], fresh=fresh) -> Iterator[pa.RecordBatch]:
-                for y, w, bins, scores in _blocks(batches, edges):
-                    yield _packed([(y, w, bins, model.raw(bins, fresh, start if scores is None else scores))], _kind(edges))
+                for y, w, bins, scores, times in _blocks(batches, edges):
+                    yield _packed([(y, w, bins, model.raw(bins, fresh, start if scores is None else scores), times)], _kind(edges))
 
             rows, written = settled(rows.mapInArrow(scored, rows.schema)), len(model.rounds)
     return model
@@ -323,7 +353,7 @@ def extra_trees(df: DataFrame, label: str, features: Names, edges: list[list[flo
         return model
     weight = {k: (n / (len(counts) * c) if balanced else 1.0) for k, c in counts.items()}
     w = F.coalesce(*[F.when(y == k, F.lit(round(v * SCALE))) for k, v in weight.items()]).cast("long")
-    rows = _spread(_binned(known.select(y.alias("_y"), w.alias("_w"), *_with_features(df, features)), edges))
+    rows = settled(_merged(known.select(y.alias("_y"), w.alias("_w"), *_with_features(df, features)), edges))
 
     def targets(y: np.ndarray, w: np.ndarray, bins: np.ndarray, scores: None) -> tuple[np.ndarray, np.ndarray]:
         return np.where(y == np.arange(outputs)[:, None], w, 0)[None], w[None]

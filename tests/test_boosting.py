@@ -145,3 +145,22 @@ def test_passes_read_blocks_of_rows(spark, monkeypatch):
     boosting.boosted(df, "c", FEATURES, boosting.even_edges(df, FEATURES, 8), "classes", rounds=2, depth=2)
     boosting.extra_trees(df, "c", FEATURES, boosting.even_edges(df, FEATURES, 300), trees=2, depth=2)
     assert len(held) == 3 and all(0 < table.count() <= 2 for table in held)
+
+
+def test_forests_keep_equal_rows_once(spark, monkeypatch):
+    """Forty copies of a table are no more to grow trees on than the table itself, and give the same trees."""
+    held = []
+    settled = boosting.settled
+    monkeypatch.setattr(boosting, "settled", lambda df: held.append(settled(df)) or held[-1])
+    df = ring(spark, 300)
+    edges = boosting.even_edges(df, FEATURES, 8)
+    grow = lambda d: boosting.extra_trees(d, "c", FEATURES, edges, trees=3, depth=3)
+    one, forty = grow(df), grow(df.crossJoin(spark.range(40).select()))
+    kept = [t.selectExpr("sum(length(_y) / 8) AS n").first().n for t in held]
+    assert kept[0] == kept[1] <= 300
+    assert all(np.array_equal(a.cut, b.cut) and np.allclose(a.value, b.value, rtol=1e-12) for (a,), (b,) in zip(one.rounds, forty.rounds, strict=True))
+
+
+def test_sums_of_whole_numbers_are_exact():
+    column = np.array([(1 << 60) + 1, 3, -(1 << 40) - 1, 5])
+    assert boosting._sums(np.array([0, 0, 1, 1]), column, 3).tolist() == [(1 << 60) + 4, 4 - (1 << 40), 0]
